@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .gif import read_back, to_gif
 from .mixing import mix_sources
+from .token_counts import count_tokens
+
+
+def op1_gif(spark, sf_dir):
+    return read_back(to_gif(documents(spark, sf_dir)))
 
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_counts(spark, sf_dir):
+    return count_tokens(documents(spark, sf_dir))
+
+
 def op7_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op7_mixing)}
 
 ORACLES = {
     "op2_exact_dedup": """
