@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from .common import documents
+from .common import documents, labels
 from .exact_dedup import exact_duplicates
 from .gif import read_back, to_gif
 from .mixing import mix_sources
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 
 def op1_gif(spark, sf_dir):
@@ -21,11 +22,15 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op5_toxicity, op7_mixing)}
 
 ORACLES = {
     "op2_exact_dedup": """
