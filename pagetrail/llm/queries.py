@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .class_lm import class_scores
 from .common import documents, labels
 from .exact_dedup import exact_duplicates
 from .gif import read_back, to_gif
@@ -30,7 +31,11 @@ def op7_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op5_toxicity, op7_mixing)}
+def op10_class_lm(spark, sf_dir):
+    return class_scores(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op5_toxicity, op7_mixing, op10_class_lm)}
 
 ORACLES = {
     "op2_exact_dedup": """
