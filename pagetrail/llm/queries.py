@@ -7,6 +7,7 @@ from .common import documents, labels
 from .exact_dedup import exact_duplicates
 from .gif import read_back, to_gif
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -23,6 +24,10 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -35,13 +40,25 @@ def op10_class_lm(spark, sf_dir):
     return class_scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op5_toxicity, op7_mixing, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op7_mixing, op10_class_lm)}
 
 ORACLES = {
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS sh FROM w),
+        e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT o.a, o.b FROM o JOIN s p ON p.doc_id = o.a JOIN s q ON q.doc_id = o.b WHERE 100 * shared >= 80 * (len(p.sh) + len(q.sh) - shared)),
+        u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(d, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.a, r.c FROM r JOIN u ON u.b = r.d),
+        m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+        SELECT doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON d = doc_id""",
     "op7_mixing": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
