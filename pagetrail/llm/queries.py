@@ -6,8 +6,10 @@ from .class_lm import class_scores
 from .common import documents, labels
 from .exact_dedup import exact_duplicates
 from .gif import read_back, to_gif
+from .licenses import scan_licences
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .sentencepiece_fst import round_trip
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -32,15 +34,23 @@ def op5_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_licenses(spark, sf_dir):
+    return scan_licences(documents(spark, sf_dir))
+
+
 def op7_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return round_trip(documents(spark, sf_dir))
+
+
 def op10_class_lm(spark, sf_dir):
     return class_scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op7_mixing, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_licenses, op7_mixing, op8_sentencepiece, op10_class_lm)}
 
 ORACLES = {
     "op2_exact_dedup": """
