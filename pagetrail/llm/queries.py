@@ -9,6 +9,7 @@ from .gif import read_back, to_gif
 from .licenses import scan_licences
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .repeats import cut_repeats
 from .sentencepiece_fst import round_trip
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
@@ -46,11 +47,15 @@ def op8_sentencepiece(spark, sf_dir):
     return round_trip(documents(spark, sf_dir))
 
 
+def op9_repeats(spark, sf_dir):
+    return cut_repeats(documents(spark, sf_dir)).drop("kept", "spans")
+
+
 def op10_class_lm(spark, sf_dir):
     return class_scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_licenses, op7_mixing, op8_sentencepiece, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_licenses, op7_mixing, op8_sentencepiece, op9_repeats, op10_class_lm)}
 
 ORACLES = {
     "op2_exact_dedup": """
