@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-for _name in ("corpus", "joins", "reports", "sequences", "scoring", "gateway", "signal", "streams"):
+for _name in ("corpus", "files", "joins", "reports", "sequences", "scoring", "gateway", "signal", "streams"):
     importlib.import_module(f"pagetrail.plans.{_name}")

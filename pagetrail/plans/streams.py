@@ -1 +1,88 @@
-"""Queries."""
+"""Queries of the streaming operators: events are read as a stream, all that is there is run, and the result is a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagetrail.streaming import flows as S
+from pagetrail.streaming import tracking as K
+
+from .registry import query
+from .tables import LOG, table
+
+
+def _stream(spark, d):
+    schema = table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    page = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)).alias("t"), F.col("event_type").alias("speaker"), page.alias("page"), "value", F.least(F.col("value") / 50.0, F.lit(1.0)).alias("score"), (F.col("value") > 60).alias("triggered"))
+
+
+@query(f"WITH {LOG} SELECT session_id, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, round(avg(value), 5) AS avg_value FROM log GROUP BY ALL")
+def h1_tumbling(spark, d):
+    out = S.run_available(S.chunk_stream(_stream(spark, d), length="6 hours"), mode="complete")
+    return out.select("session_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("avg_value", 5).alias("avg_value"))
+
+
+@query(f"""WITH {LOG}, w AS (SELECT session_id, value, time_bucket(INTERVAL 3 HOUR, ts) - unnest([INTERVAL 0 HOUR, INTERVAL 3 HOUR]) AS start FROM log) SELECT session_id, start, count(*) AS n, round(avg(value), 5) AS avg_value FROM w GROUP BY ALL""")
+def h1_sliding(spark, d):
+    out = S.run_available(S.chunk_stream(_stream(spark, d), length="6 hours", slide="3 hours"), mode="complete")
+    return out.select("session_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("avg_value", 5).alias("avg_value"))
+
+
+def _observations(df):
+    """Scores fall off from the observed page."""
+    scores = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda p: F.col("score") * F.exp(-F.abs(p - F.col("page")) / 3))
+    return df.select("session_id", F.col("event_id").alias("id"), F.col("t").alias("ts"), "speaker", (F.col("page") / 1000).alias("rms"), scores.alias("scores"))
+
+
+def _track(profile):
+    def run(spark, d):
+        return S.run_available(K.track_pages(_observations(_stream(spark, d)), profile=profile))
+
+    run.__name__ = f"h{'2' if profile == 'tracker' else '3' if profile in ('smart', 'word_buffer', 'double_gate', 'sensitivity') else {'discriminative': 4, 'transcript': 5, 'coordinator': 6, 'aligner': 7, 'belief': 8}[profile]}_track_{profile}"
+    return run
+
+
+for _profile in K.PROFILES:
+    query()(_track(_profile))
+
+
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def h9_dedupe(spark, d):
+    s = _stream(spark, d).select("speaker", "session_id", "ts", F.concat_ws("|", "speaker", "session_id").alias("id"))
+    out = S.run_available(S.dedupe(s, id="id", ttl="400 days"))
+    return out.select(F.col("speaker").alias("event_type"), F.col("session_id").alias("user_id"))
+
+
+@query(f"""WITH {LOG}, g AS (SELECT event_id, session_id, t, lag(t) OVER (PARTITION BY session_id ORDER BY t) AS p FROM log) SELECT event_id, session_id FROM g WHERE p IS NULL OR t >= p + 7200""")
+def h9_dedupe_refreshed(spark, d):
+    s = _stream(spark, d).select("session_id", "event_id", "t")
+    return S.run_available(S.dedupe(s, id="session_id", ttl="7200 seconds", refresh=True)).select("event_id", "session_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+def h10_accepted(spark, d):
+    return S.run_available(S.split_late(_stream(spark, d), since=F.expr("TIMESTAMP '2024-01-10 00:00:00 UTC'"))[0]).select("event_id")
+
+
+@query("SELECT 'stale' AS reason, count(*) AS count FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+def h10_rejected(spark, d):
+    return S.run_available(S.split_late(_stream(spark, d), since=F.expr("TIMESTAMP '2024-01-10 00:00:00 UTC'"))[1], mode="complete")
+
+
+@query(f"""WITH {LOG}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 5 HOUR THEN 1 ELSE 0 END AS new FROM log WINDOW w AS (PARTITION BY session_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT session_id, min(ts) AS start, count(*) AS n, list(event_id ORDER BY event_id) AS items FROM s GROUP BY session_id, k""")
+def h11_debounce(spark, d):
+    out = S.run_available(S.debounce(_stream(spark, d), key="session_id", gap="5 hours"), mode="complete")
+    return out.select("session_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n", "items")
+
+
+@query(f"WITH {LOG} SELECT session_id, count(*) AS chunks, count(*) FILTER (triggered) AS triggered, round(avg(score), 5) AS avg, min(score) AS min, max(score) AS max FROM log GROUP BY session_id")
+def h13_session_summary(spark, d):
+    return S.run_available(S.stream_session_summary(_stream(spark, d)), mode="complete").withColumn("avg", F.round("avg", 5))
+
+
+@query(f"WITH {LOG} SELECT session_id, greatest(1, least(50, arg_max(page, ts))) AS state FROM log GROUP BY session_id")
+def h14_latest_state(spark, d):
+    return S.run_available(S.latest_state(_stream(spark, d), key="session_id", state="page", lo=1, hi=50), mode="complete")
