@@ -1,9 +1,8 @@
 """Near-dedup: banded MinHash for candidates, odd sketches to sift them, whole shingle sets to confirm.
 
 Equal sets are one node. A bucket of one band's key links its members to one centre, so candidates grow with members, not with their
-square. Where that leaves a bucket with several components, it is tried again from another centre, and what is still apart after that
-is compared pair by pair across components: every pair of different texts that share a bucket is then either in one component or was
-compared. An odd sketch folds the MinHash samples into a parity bitmap; the population count of two sketches' XOR estimates their
+square. Where that leaves a bucket with several components, its members are compared across components in bounded blocks: every pair of
+different texts that share a bucket is then either in one component or was compared. An odd sketch folds the MinHash samples into a parity bitmap; the population count of two sketches' XOR estimates their
 similarity closely near 1, and only pairs far below the threshold by it are left out before the exact test.
 """
 
@@ -29,6 +28,8 @@ SLACK = 0.22
 MEMO = 400_000
 #: Ids up to which a list of candidates is broadcast (16 bytes each); a longer one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members of a block; a group of two blocks is compared in memory.
+BLOCK = 512
 
 _MUL = np.random.default_rng(20240101).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.random.default_rng(20240102).integers(1, 1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,6 +141,96 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _spanning(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different components, of side 0 with side 1 or, where there is one side, within it; no more than connect
+    the same rows. Sketches sift the pairs; many survivors are counted at once by a product of incidence matrices."""
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)), np.arange(len(ids)))
+    most, pairs = most_differing_bits(percent / 100), []
+    for i in range(0, len(left), 128):
+        a = left[i : i + 128]
+        ok = np.bitwise_count(sketch[a][:, None] ^ sketch[right][None]).sum(2) <= most
+        ok &= comp[a][:, None] != comp[right][None]
+        low, high = np.minimum(n[a][:, None], n[right][None]), np.maximum(n[a][:, None], n[right][None])
+        ok &= 100 * low >= percent * high
+        if not side.any():
+            ok &= ids[a][:, None] < ids[right][None]
+        x, y = np.nonzero(ok)
+        pairs.append(np.stack([a[x], right[y]], 1))
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), int)
+    if not len(pairs):
+        return []
+    shared = None
+    if len(pairs) > 4 * len(ids):
+        flat = np.concatenate(sets)
+        _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        if (times > 1).sum() * len(ids) <= 50_000_000:
+            m = np.zeros((len(ids), int((times > 1).sum())), np.float32)
+            keep = times[place] > 1
+            m[np.repeat(np.arange(len(ids)), [len(s) for s in sets])[keep], column[place[keep]]] = 1
+            shared = (m @ m.T)[pairs[:, 0], pairs[:, 1]]
+    root, out = {c: c for c in comp.tolist()}, []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for k, (x, y) in enumerate(pairs.tolist()):
+        a, b = find(int(comp[x])), find(int(comp[y]))
+        if a == b:
+            continue
+        both = int(shared[k]) if shared is not None else len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * both >= percent * (n[x] + n[y] - both):
+            root[a] = b
+            out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def _links_across(apart: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, **how) -> DataFrame:
+    """Links ``a, b`` between components (``low, doc_id, comp`` of buckets that hold several): at least those that connect the same nodes.
+
+    Members of such buckets form families (components of shared buckets). A family is dealt into blocks of about ``BLOCK`` members,
+    every two blocks meet in one group, and a group is compared in memory on whole sets: no pair becomes a row unless it is a link that
+    joins two components, and no group grows with the family.
+    """
+    family = components(apart.select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("comp").alias("family"))
+    members = apart.select("doc_id", "comp").distinct().join(family, "doc_id")
+    blocks = family.groupBy(F.col("family").alias("_f")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(cut(blocks), F.col("family") == F.col("_f")).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    ids = cut(members.select(F.col("doc_id").alias("_id")))
+    wanted = docs.join(broadcast_if(ids, BROADCAST_IDS), docs[how["id_col"]] == F.col("_id"), "left_semi")
+    sets = cut(_sets(wanted, **how)).dropDuplicates(["id"])
+    full = dealt.join(sets.withColumnRenamed("id", "doc_id"), "doc_id").join(nodes.select("doc_id", "sketch", "n").dropDuplicates(["doc_id"]), "doc_id")
+    full = full.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("family", F.least("i", "j").alias("b0"), F.greatest("i", "j").alias("b1"), "i", "doc_id", "comp", "n", "sketch", "s")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key = None
+
+        def flush() -> Iterator[pd.DataFrame]:
+            g = pd.concat(held)
+            if len(g) > 1:
+                side = (g["i"] != g["b0"]).to_numpy().astype(int)
+                sets_ = [np.asarray(x) for x in g["s"]]
+                found = _spanning(g["doc_id"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(), np.stack(g["sketch"].to_numpy()).view(np.uint64), sets_, side, percent)
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+        for b in batches:
+            for k, part in b.groupby(["family", "b0", "b1"], sort=False):
+                if held and k != key:
+                    yield from flush()
+                    held = []
+                key = k
+                held.append(part)
+        if held:
+            yield from flush()
+
+    return full.repartition("family", "b0", "b1").sortWithinPartitions("family", "b0", "b1", "doc_id").mapInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -155,24 +246,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     nodes = cut(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     banded = nodes.select("doc_id", F.explode("bands").alias("key"))
-    full = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    full = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").drop("high")
     members = cut(banded.join(full, "key"))
     pairs = cut(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = cut(_confirm(pairs, nodes, docs, percent, **how))
-    for centre in ("high", None):
-        comp = components(links)
-        placed = members.join(comp, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "high", F.coalesce("comp", "doc_id").alias("comp"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-        apart = cut(placed.join(split, "key"))
-        other = apart.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"))
-        mine = apart.where("doc_id = high") if centre else apart
-        met = mine.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("comp_a")).join(other, "key").where("comp_a <> comp_b" + ("" if centre else " and a < b"))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = cut(met.join(pairs, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        links = cut(links.union(_confirm(fresh, nodes, docs, percent, **how)))
-        pairs = cut(pairs.union(fresh))
+    placed = members.join(components(links), F.col("doc_id") == F.col("node"), "left").select("key", "low", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    apart = cut(placed.join(split, "key").select("low", "doc_id", "comp").distinct())
+    links = cut(links.union(_links_across(apart, nodes, docs, percent, **how)))
     comp = components(links)
     told = classes.join(comp, F.col("rep") == F.col("node"), "left").where("copies > 1 or comp is not null").select(F.col("set_key").alias("_key"), F.coalesce("comp", "rep").alias("comp"))
     out = signed.join(cut(told), F.col("set_key") == F.col("_key"), "left")
