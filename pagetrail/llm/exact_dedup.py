@@ -16,9 +16,8 @@ from .common import cut, text_or_empty
 BLOCK_BITS = 1 << 15
 
 
-def _bits(text: Column, blocks: int) -> Column:
+def _bits(h: Column, blocks: int) -> Column:
     """A block, and two bit positions in it, from disjoint parts of one 64-bit hash."""
-    h = F.xxhash64(text)
     at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(BLOCK_BITS - 1))
     return F.struct(h.bitwiseAND(F.lit(blocks - 1)).cast("int").alias("block"), at(30).cast("int").alias("b1"), at(46).cast("int").alias("b2"))
 
@@ -31,7 +30,7 @@ def repeated_bits(texts: DataFrame, *, text_col: str = "text", filter_bits: int
     """
     if filter_bits < BLOCK_BITS or filter_bits & (filter_bits - 1):
         raise ValueError("filter_bits must be a power of two, 32768 at least")
-    hit = texts.select(_bits(text_or_empty(text_col), filter_bits // BLOCK_BITS).alias("h"))
+    hit = texts.select(_bits(F.xxhash64(text_or_empty(text_col)), filter_bits // BLOCK_BITS).alias("h"))
     bits = hit.select("h.block", F.explode(F.array_distinct(F.array("h.b1", "h.b2"))).alias("bit"))
     twice = bits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
@@ -42,13 +41,25 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
     return F.get(F.array(*[byte.bitwiseAND(F.lit(1 << i)) for i in range(8)]), bit % 8) > 0
 
 
+def flag(rows: DataFrame, bits: DataFrame, h: Column, filter_bits: int) -> DataFrame:
+    """``rows`` with ``_maybe``: false proves that the hash isn't in the filter. The filter has a fixed size and is broadcast."""
+    hit = rows.withColumn("_h", _bits(h, filter_bits // BLOCK_BITS))
+    joined = hit.join(F.broadcast(bits), F.col("_h.block") == bits["block"], "left")
+    both = _is_set(F.col("bitmap"), F.col("_h.b1")) & _is_set(F.col("bitmap"), F.col("_h.b2"))
+    return joined.select(*rows.columns, F.coalesce(both, F.lit(False)).alias("_maybe"))
+
+
+def key_filter(keys: DataFrame, h: Column, filter_bits: int) -> DataFrame:
+    """A filter that holds the hash of every row of ``keys``: ``block, bitmap``, of ``filter_bits / 8`` bytes at most."""
+    bits = keys.select(_bits(h, filter_bits // BLOCK_BITS).alias("h"))
+    bits = bits.select("h.block", F.explode(F.array("h.b1", "h.b2")).alias("bit"))
+    return bits.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
+
+
 def maybe_repeated(docs: DataFrame, bits: DataFrame, *, text_col: str = "text", filter_bits: int = 1 << 27) -> DataFrame:
     """Pass 2: the rows of ``docs`` as a struct ``_row``, with ``_maybe``: false proves that no other row has this text."""
     rows = docs.select(F.struct("*").alias("_row"))
-    hit = rows.withColumn("_h", _bits(text_or_empty(F.col("_row")[text_col]), filter_bits // BLOCK_BITS))
-    joined = hit.join(F.broadcast(bits), F.col("_h.block") == bits["block"], "left")
-    both = _is_set(F.col("bitmap"), F.col("_h.b1")) & _is_set(F.col("bitmap"), F.col("_h.b2"))
-    return joined.select("_row", F.coalesce(both, F.lit(False)).alias("_maybe"))
+    return flag(rows, bits, F.xxhash64(text_or_empty(F.col("_row")[text_col])), filter_bits).select("_row", "_maybe")
 
 
 def _sha(text: Column) -> Column:

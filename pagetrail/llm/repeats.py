@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
+from .exact_dedup import flag, key_filter
 from .near_dedup import mix
 
 LENGTH = 400
 GRAM = 64
 SPAN = 96
-#: Entries of lists by document up to which the lists are broadcast (8 bytes each); with more they are joined by a shuffle.
-BROADCAST_ENTRIES = 4_000_000
+#: Bits of the filters that keep texts without a list from shuffling.
+FILTER_BITS = 1 << 26
 
 _BYTE = np.random.default_rng(20240201).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -105,8 +106,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash(text).alias("t"), text.cast("binary").alias("data"))
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
-    return texts.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, ["k", "t"], how)
+def _with_lists(texts: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Texts that may have a list, joined with it (null without one), and those that have none for certain.
+
+    A Bloom filter of the lists' keys, of fixed size, decides; so only texts with lists and a few others shuffle, whatever the size.
+    """
+    lists = cut(lists)
+    held = flag(texts, key_filter(lists, F.xxhash64("k", "t"), FILTER_BITS), F.xxhash64("k", "t"), FILTER_BITS)
+    met = held.where("_maybe").drop("_maybe").join(lists, ["k", "t"], "left")
+    return met, held.where("not _maybe").drop("_maybe").withColumn(column, F.lit(None).cast(lists.schema[column].dataType))
 
 
 def _frame(columns: list[str], *arrays) -> pd.DataFrame:
@@ -151,7 +159,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     rows.append(_frame(names, k, t, lo, hi, h, roll.parts(lo, hi + length)))
             yield from _stack(rows)
 
-    held = _with_lists(texts, lists, met.count(), "inner").select("k", "t", "data", "known")
+    held = _with_lists(texts, lists, "known")[0].where("known is not null").select("k", "t", "data", "known")
     held = cut(held.mapInPandas(context, "k long, t int, lo long, hi long, h long, c long"))
     classes = cut(held.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "t", "lo", "hi", "h")).alias("one")))
     settled = held.join(classes.where("n > 1").select("c"), "c").select("k", "t", "lo", "hi")
@@ -170,7 +178,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 rows.append(_frame(["k", "t", "at", "w"], k, t, np.where(open_ == 1, at, -1), Rolling(bytes(data)).parts(at, at + length)))
             yield from _stack(rows)
 
-    held = _with_lists(texts, lists, 3 * places.count(), "inner").select("k", "t", "data", "places")
+    held = _with_lists(texts, lists, "places")[0].where("places is not null").select("k", "t", "data", "places")
     suffixes = cut(held.mapInPandas(compare, "k long, t int, at long, w long"))
     equal = cut(suffixes.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
     single = suffixes.where("at >= 0").join(equal, "w").select("k", "t", "at")
@@ -211,5 +219,6 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
             yield out.astype({"doc_id": "Int64"})
 
-    held = _with_lists(_keyed(docs, id_col, text_col), lists, 2 * spans.count(), "left")
-    return held.select("doc_id", "data", "places").mapInPandas(remove, OUT)
+    met, rest = _with_lists(_keyed(docs, id_col, text_col), lists, "places")
+    columns = ("doc_id", "data", "places")
+    return met.select(*columns).mapInPandas(remove, OUT).unionByName(rest.select(*columns).mapInPandas(remove, OUT))
