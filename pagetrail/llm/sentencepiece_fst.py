@@ -25,7 +25,7 @@ from .common import text_or_empty
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 #: Parts, and pairs of pieces, that a task keeps.
-CACHE = 500_000
+CACHE = 150_000
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -231,7 +231,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, n_byte_tokens, ids_sha256, text_sha256, decoded_sha256``: each text encoded, and decoded from its ids.
+    """``doc_id, n_tokens, n_byte_tokens, ids_sha256, decoded_sha256``: each text encoded, and decoded from its ids, in one task.
 
     ``ids_sha256`` is of the ids as little-endian 32-bit numbers; the text comes back unless it holds the space mark U+2581 itself.
     """
@@ -243,9 +243,10 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         low, high = min(t.bytes.values(), default=0), max(t.bytes.values(), default=-1)
         for b in batches:
             rows = []
-            for doc, ids in zip(b["doc_id"], b["token_ids"], strict=True):
-                a = np.asarray(ids, "<i4")
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                a = t.encode(text)
                 rows.append((doc, len(a), int(((a >= low) & (a <= high)).sum()), hashlib.sha256(a.tobytes()).hexdigest(), hashlib.sha256(t.decode(a.tolist()).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in out.split(", ")])
 
-    return encode_documents(docs, id_col=id_col, text_col=text_col, path=path).select(F.col("doc_id").cast("long").alias("doc_id"), "token_ids").mapInPandas(digest, out)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInPandas(digest, out)
