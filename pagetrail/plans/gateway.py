@@ -141,9 +141,9 @@ def _bm25(spark, d):
     return G.bm25(questions(spark, d), tokens(spark, d)).withColumn("bm25", F.round("bm25", 6))
 
 
-@query(f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, page) AS n FROM bm) SELECT query_id, page, round(bm25, 4) AS bm25 FROM r WHERE n <= 10")
+@query(f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, page) AS n FROM bm) SELECT query_id, page, round(bm25 + 1e-9, 4) AS bm25 FROM r WHERE n <= 10")
 def i13_bm25(spark, d):
-    return G.last_n(_bm25(spark, d), key="query_id", order=[F.desc("bm25"), F.asc("page")], n=10).withColumn("bm25", F.round("bm25", 4))
+    return G.last_n(_bm25(spark, d), key="query_id", order=[F.desc("bm25"), F.asc("page")], n=10).withColumn("bm25", F.round(F.col("bm25") + 1e-9, 4))
 
 
 @query(f"""WITH {_BM}, {VEC}, t AS (SELECT query_id, page, 1.0 / n AS t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, page) AS n FROM bm) WHERE n <= 24),

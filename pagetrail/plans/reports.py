@@ -15,9 +15,10 @@ _R = lambda df, n, *cols: df.select(*[F.round(c, n).alias(c) if c in cols else c
 
 @query(f"""WITH {LOG}, p AS (SELECT session_id, page, max(score) AS hi, count(*) FILTER (triggered) AS tn FROM log GROUP BY ALL), q AS (SELECT session_id, count(*) FILTER (hi < 0.5) AS never_matched, count(*) FILTER (hi > 0.95 AND tn = 0) AS overconfident FROM p GROUP BY session_id),
     s AS (SELECT session_id, avg(score) AS a, avg(score) FILTER (triggered) AS b, avg(score) FILTER (NOT triggered) AS c, max(score) AS max_score, min(score) AS min_score FROM log GROUP BY session_id)
-    SELECT session_id, round(a, 5) AS avg_all, round(b, 5) AS avg_triggered, round(c, 5) AS avg_not_triggered, max_score, min_score, never_matched, overconfident, CASE WHEN never_matched > 5 THEN 'retrain missing pages' WHEN a > 0.85 THEN 'raise the threshold' WHEN a < 0.425 THEN 'lower the threshold' ELSE 'keep' END AS recommendation FROM s JOIN q USING (session_id)""")
+    SELECT session_id, round(a + 1e-9, 5) AS avg_all, round(b + 1e-9, 5) AS avg_triggered, round(c + 1e-9, 5) AS avg_not_triggered, max_score, min_score, never_matched, overconfident, CASE WHEN never_matched > 5 THEN 'retrain missing pages' WHEN a > 0.85 THEN 'raise the threshold' WHEN a < 0.425 THEN 'lower the threshold' ELSE 'keep' END AS recommendation FROM s JOIN q USING (session_id)""")
 def d7_summarize_sessions(spark, d):
-    return _R(R.summarize_sessions(entries(spark, d)), 5, "avg_all", "avg_triggered", "avg_not_triggered")
+    out = R.summarize_sessions(entries(spark, d))
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 5) for c in ("avg_all", "avg_triggered", "avg_not_triggered")})
 
 
 @query(f"""WITH {LOG}, p AS (SELECT session_id, page, avg(score) AS a, count(*) AS attempts, count(*) FILTER (triggered) AS triggered, count(DISTINCT speaker) AS speakers FROM log GROUP BY ALL)

@@ -151,13 +151,13 @@ def f12_duration_factor(spark, d):
 
 
 @query(f"""WITH {_LAG}, e AS (SELECT prev AS from_page, page AS to_page, count(*) / sum(count(*)) OVER (PARTITION BY prev) AS prob FROM lg WHERE prev IS NOT NULL GROUP BY prev, page)
-    SELECT event_id, round(1 + 10 * coalesce(prob, 1e-5), 6)::DOUBLE AS temporal_boost, round(score * (1 + 10 * coalesce(prob, 1e-5)), 6)::DOUBLE AS final_score FROM lg LEFT JOIN e ON e.from_page = prev AND e.to_page = page""")
+    SELECT event_id, round(1 + 10 * coalesce(prob, 1e-5) + 1e-9, 6)::DOUBLE AS temporal_boost, round(score * (1 + 10 * coalesce(prob, 1e-5)) + 1e-9, 6)::DOUBLE AS final_score FROM lg LEFT JOIN e ON e.from_page = prev AND e.to_page = page""")
 def f13_apply_transitions(spark, d):
     from pagetrail.operators.reports import transition_counts
 
     edges = transition_counts(entries(spark, d).select("session_id", "page", "t", "event_id"))
     out = D.apply_transitions(_lagged(spark, d), edges)
-    return out.select("event_id", F.round("temporal_boost", 6).alias("temporal_boost"), F.round("final_score", 6).alias("final_score"))
+    return out.select("event_id", F.round(F.col("temporal_boost") + 1e-9, 6).alias("temporal_boost"), F.round(F.col("final_score") + 1e-9, 6).alias("final_score"))
 
 
 @query(f"""WITH {_LAG}, x AS (SELECT event_id, 0.6 * score + 0.4 * page / 100 AS b, page - prev AS g FROM lg)

@@ -65,9 +65,9 @@ def e5_moving_mean(spark, d):
 
 @query(f"""WITH RECURSIVE {LOG}, o AS (SELECT session_id, event_id, value, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS n FROM log),
     r AS (SELECT session_id, event_id, n, value AS e FROM o WHERE n = 1 UNION ALL SELECT o.session_id, o.event_id, o.n, 0.25 * o.value + 0.75 * r.e FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)
-    SELECT session_id AS recording, event_id AS id, round(e, 5)::DOUBLE AS smooth FROM r""")
+    SELECT session_id AS recording, event_id AS id, round(e + 1e-9, 5)::DOUBLE AS smooth FROM r""")
 def e5_exponential_mean(spark, d):
-    return Q.smooth(_frames(spark, d), alpha=0.25).select("recording", "id", F.round("smooth", 5).alias("smooth"))
+    return Q.smooth(_frames(spark, d), alpha=0.25).select("recording", "id", F.round(F.col("smooth") + 1e-9, 5).alias("smooth"))
 
 
 @query(f"""WITH {LOG}, p AS (SELECT session_id AS recording, event_id AS id, page // 20 AS p, lag(page // 20, 2) OVER w AS a, lag(page // 20, 1) OVER w AS b FROM log WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id))
