@@ -78,9 +78,9 @@ def h11_debounce(spark, d):
     return out.select("session_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n", "items")
 
 
-@query(f"WITH {LOG} SELECT session_id, count(*) AS chunks, count(*) FILTER (triggered) AS triggered, round(avg(score), 5) AS avg, min(score) AS min, max(score) AS max FROM log GROUP BY session_id")
+@query(f"WITH {LOG} SELECT session_id, count(*) AS chunks, count(*) FILTER (triggered) AS triggered, round(avg(score) + 1e-9, 5) AS avg, min(score) AS min, max(score) AS max FROM log GROUP BY session_id")
 def h13_session_summary(spark, d):
-    return S.run_available(S.stream_session_summary(_stream(spark, d)), mode="complete").withColumn("avg", F.round("avg", 5))
+    return S.run_available(S.stream_session_summary(_stream(spark, d)), mode="complete").withColumn("avg", F.round(F.col("avg") + 1e-9, 5))
 
 
 @query(f"WITH {LOG} SELECT session_id, greatest(1, least(50, arg_max(page, ts))) AS state FROM log GROUP BY session_id")
