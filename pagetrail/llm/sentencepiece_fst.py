@@ -226,8 +226,19 @@ def decode_column(ids: Column, *, path: str | None = None) -> Column:
 
 def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, token_ids, n_tokens`` for every row. Null and empty texts have no tokens; repeated rows repeat; extra columns play no part."""
-    ids = docs.select(F.col(id_col).alias("doc_id"), encode_column(F.col(text_col), path=path).alias("token_ids"))
-    return ids.withColumn("n_tokens", F.size("token_ids").cast("long"))
+    path = path or default_path()
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = transducer(path)
+        for b in batches:
+            for i in range(0, len(b), 500):  # ids take more room than texts: they leave in small pieces
+                part = b.iloc[i : i + 500]
+                ids = [t.encode(x) for x in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "token_ids": ids, "n_tokens": [len(x) for x in ids]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInPandas(encode, f"doc_id {kind}, token_ids array<int>, n_tokens long")
 
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
