@@ -25,7 +25,7 @@ from .common import text_or_empty
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 #: Parts, and pairs of pieces, that a task keeps.
-CACHE = 150_000
+CACHE = 600_000
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -81,8 +81,11 @@ class Transducer:
         self.arcs = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4)}
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i, k in enumerate(self.kinds) if k == 6}
         self.unknown = self.kinds.index(2)
-        level = {v: float(n) for n, v in enumerate(sorted({self.scores[i] for i in self.arcs.values()}), 1)}
-        self.rank = {p: level[self.scores[i]] for p, i in self.arcs.items()}
+        self.level = {v: float(n) for n, v in enumerate(sorted({self.scores[i] for i in self.arcs.values()}), 1)}
+        self.rank = {p: self.level[self.scores[i]] for p, i in self.arcs.items()}
+        self.made: dict[str, tuple[float, str, str]] = {}
+        if self.bpe:
+            self._history()
         self.longest = max(map(len, self.arcs), default=1)
         self.split_at_marks = not any(MARK in p.lstrip(MARK) for p in self.arcs)
         self.parts: dict[str, bytes] = {}
@@ -100,15 +103,63 @@ class Transducer:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
+    def _history(self) -> None:
+        """When and of what two parts merging makes each piece: its place in the order of merges (0 for a character). Left out are
+        pieces that merging never makes, those whose parts come later, and runs of marks, which tie with each other."""
+        top = max(self.rank.values(), default=0.0)
+        for piece in sorted(self.rank, key=len):
+            if MARK * 2 in piece:
+                continue
+            if len(piece) == 1:
+                self.made[piece] = (0.0, "", "")
+                continue
+            s, parts = [*piece], ("", "")
+            while len(s) > 1:
+                best, at = 0.0, -1
+                for i in range(len(s) - 1):
+                    r = self.rank.get(s[i] + s[i + 1], 0.0)
+                    if r > best:
+                        best, at = r, i
+                if at < 0:
+                    break
+                parts = (s[at], s[at + 1])
+                s[at : at + 2] = [s[at] + s[at + 1]]
+            when = top + 1 - self.rank[piece]
+            if len(s) == 1 and all(x in self.made and self.made[x][0] < when for x in parts):
+                self.made[piece] = (when, *parts)
+
     def _meet(self, a: str, b: str) -> bool:
-        """Whether merging the characters of ``a + b`` (best piece first, leftmost of equals) gives just these two pieces."""
-        key = (a, b)
-        told = self.pairs.get(key)
-        if told is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            told = self.pairs[key] = self._merges_to(a, b)
-        return told
+        """Whether merging the characters of ``a + b`` (best piece first, leftmost of equals) gives just these two pieces.
+
+        Followed backwards along the seam: of the two pieces beside it the one made later is taken apart, and at each step a piece
+        over the seam must not have been due before the merge that ended the step. Pieces without a history are merged out.
+        """
+        made = self.made
+        if not a:
+            return b in made or len(b) == 1 or self._merges_to(a, b)
+        x, y = made.get(a), made.get(b)
+        if x is None or y is None:
+            key = (a, b)
+            told = self.pairs.get(key)
+            if told is None:
+                if len(self.pairs) > CACHE:
+                    self.pairs.clear()
+                told = self.pairs[key] = self._merges_to(a, b)
+            return told
+        limit, right = float("inf"), False
+        rank, top = self.rank.get, len(self.level) + 1
+        while True:
+            over = rank(a + b)
+            if over is not None and (top - over < limit or right and top - over == limit):
+                return False
+            if x[0] > y[0]:
+                limit, right, a = x[0], False, x[2]
+                x = made[a]
+            elif y[0] > 0:
+                limit, right, b = y[0], True, y[1]
+                y = made[b]
+            else:
+                return True
 
     def _merges_to(self, a: str, b: str) -> bool:
         s, seam, rank = [*a, *b], len(a), self.rank.get
