@@ -1,30 +1,37 @@
 """LM scoring with Brown class-based bigrams: exchange clustering, class transitions and word emissions.
 
-All counts come from all training documents: word counts and unit-pair counts are added up in tasks first and then by Spark. The
-``CLUSTERED`` most frequent words and ``SHAPES`` groups of the other words (by their last three bytes) are the units that exchange
-clustering moves between classes; that problem has a fixed size, so it is solved at the driver. Counts of the ``HEAD`` most frequent
-words go to the tasks as a table; the counts of all other words stay in Spark and are joined by word.
+All counts come from all training documents. Every word of them is clustered: words and their neighbours are dealt by word to buckets;
+a pass gives each word the class of the largest exchange gain against the current class table, and words
+then tell their neighbours their classes. The driver holds the class table and the classes of the ``HEAD`` most frequent words, which
+the tasks get as a table. Words that no training document holds have the class of most word types. Words meet by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 from .toxicity import remainder
 
-CLUSTERED = 1000
-SHAPES = 128
 HEAD = 150_000
 CLASSES = 48
-SWEEPS = 4
+#: Buckets of words are the root of so much of the tokens: as many pairs of buckets as tokens by this, and some MB a bucket.
+BUCKET = 5000
+#: A sweep over all words that raises the log likelihood by less than this share of it is the last.
+RISE = 1e-4
+#: The smallest share of words that is tried when more at once make the pairs no likelier.
+LEAST = 1 / 64
+#: The hash that stands for the end of a text.
+END_ID = 0
 #: Added to each class transition.
 ALPHA = 0.1
 #: Distinct words whose counts a task holds before it passes them on.
@@ -37,12 +44,9 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def shape(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word[-3:], 42) % SHAPES
-
-
-def _shape(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(word, -3, 3)), F.lit(SHAPES)).cast("int")
+def word_id(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (h >> 63 << 64)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -61,52 +65,12 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Units(dict):
-    """Word to unit: clustered words first, then the shapes, then the end of a text."""
-
-    def __missing__(self, word: bytes) -> int:
-        u = CLUSTERED + shape(word)
-        if len(self) < FLUSH:
-            self[word] = u
-        return u
-
-
-END = CLUSTERED + SHAPES
-UNITS = END + 1
-
-
-def count_pairs(texts: DataFrame, clustered: list[bytes]) -> np.ndarray:
-    """Counts of adjacent units in all texts, each between two ends: a matrix of fixed size."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, total = _Units({w: i for i, w in enumerate(clustered)}), np.zeros(UNITS * UNITS, np.int64)
-        for b in batches:
-            held: list[int] = [END]
-            for t in b["text"]:
-                held += map(units.__getitem__, words(t))
-                held.append(END)
-                if len(held) > 500_000:
-                    a = np.array(held)
-                    total += np.bincount(a[:-1] * UNITS + a[1:], minlength=UNITS * UNITS)
-                    held = [END]
-            if len(held) > 1:
-                a = np.array(held)
-                total += np.bincount(a[:-1] * UNITS + a[1:], minlength=UNITS * UNITS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": at, "n": total[at]})
-
-    got = texts.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(UNITS * UNITS, np.int64)
-    out[got["pair"]] = got["n"]
-    return out.reshape(UNITS, UNITS)
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, *, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """A class for each unit: each unit in turn moves to the class that makes the pairs likeliest, until a sweep moves none.
+def exchange(pairs: np.ndarray, *, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
+    """A class for each unit: each unit in turn moves to the class that makes the pairs likeliest, until a sweep moves none or for ``sweeps`` sweeps.
 
     The last unit, the end of a text, has class 0 to itself. Ties go to the smallest class.
     """
@@ -119,7 +83,7 @@ def exchange(pairs: np.ndarray, *, classes: int = CLASSES, sweeps: int = SWEEPS)
     one[np.arange(n), cls] = 1
     table = one.T @ pairs @ one
     p = pairs.astype(float)
-    for _ in range(sweeps):
+    for _ in itertools.count() if sweeps is None else range(sweeps):
         moved = 0
         for u in order:
             if not weight[u]:
@@ -132,7 +96,7 @@ def exchange(pairs: np.ndarray, *, classes: int = CLASSES, sweeps: int = SWEEPS)
             table[a] -= out
             table[:, a] -= into
             table[a, a] -= self_n
-            left, right, diag = table.sum(1), table.sum(0), np.diag(table)
+            left, right, diag = table.sum(1) + into, table.sum(0) + out, np.diag(table)
             gain = (_xlogx(table + out) - _xlogx(table)).sum(1) + (_xlogx(table + into[:, None]) - _xlogx(table)).sum(0)
             gain += _xlogx(diag + out + into + self_n) - _xlogx(diag + out) - _xlogx(diag + into) + _xlogx(diag)
             gain -= _xlogx(left + out.sum() + self_n) - _xlogx(left) + _xlogx(right + into.sum() + self_n) - _xlogx(right)
@@ -150,7 +114,252 @@ def exchange(pairs: np.ndarray, *, classes: int = CLASSES, sweeps: int = SWEEPS)
     return cls
 
 
-def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, head: int = HEAD, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+def gains(out: np.ndarray, into: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray, near: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What each word (a row of class counts after it and before it, and its count after itself) brings in each class, once it is taken out
+    of its own. ``near`` is ``small_gains(table)``."""
+    left, right, diag = table.sum(1), table.sum(0), np.diag(table)
+    at = np.arange(len(cls))
+    total = np.zeros(out.shape)
+    for vec, side, other, small in ((out, table, into, near[0]), (into, table.T, out, near[1])):
+        i, c = np.nonzero(vec)
+        if not len(i):
+            continue
+        n, a = vec[i, c], cls[i]
+        got = small[np.minimum(n, len(small) - 1).astype(int), c]
+        anew = np.flatnonzero((n >= len(small)) | (c == a))
+        j, base = i[anew], side[:, c[anew]].T
+        base = base - np.where((c == a)[anew, None], other[j], 0)
+        got[anew] = _xlogx(base + n[anew, None]) - _xlogx(base)
+        home = side[a, c] - n - np.where(c == a, other[i, a] + own[i], 0)
+        got[np.arange(len(i)), a] = _xlogx(home + n) - _xlogx(home)
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        total[i[first]] += np.add.reduceat(got, first, axis=0)
+    after, before, s = out.sum(1), into.sum(1), own[:, None]
+    l, r, d = (np.repeat(x[None], len(cls), 0) for x in (left, right, diag))
+    l[at, cls] -= after + own
+    r[at, cls] -= before + own
+    d[at, cls] -= out[at, cls] + into[at, cls] + own
+    total += _xlogx(d + out + into + s) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
+    total -= _xlogx(l + after[:, None] + s) - _xlogx(l) + _xlogx(r + before[:, None] + s) - _xlogx(r)
+    total[:, 0] = -np.inf
+    return total
+
+
+def small_gains(table: np.ndarray, most: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """``[n, c, b]``: what n more pairs of class b with c bring, for n below ``most``; with b first and with c first."""
+    n = np.arange(most)[:, None, None]
+    return _xlogx(table.T + n) - _xlogx(table.T), _xlogx(table + n) - _xlogx(table)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the pairs' log likelihood that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+HEAD_AFTER, HEAD_BEFORE, AFTER, BEFORE, OWN, WORD = range(6)
+_PARTS = "bucket int, x binary, kind binary, u binary, n binary"
+_STATIC = "bucket int, ids binary, count binary, own binary, start binary, x binary, kind binary, u binary, n binary"
+_SENT = "bucket int, cls binary, moved long, wants long, ids binary, slot binary, n binary"
+_STATE = "bucket int, cls binary, key binary, num binary, pairs binary"
+
+
+def _long(x) -> np.ndarray:
+    return np.frombuffer(x, np.int64)
+
+
+def _dealt(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its words."""
+    b = ids.view(np.uint64) % np.uint64(buckets)
+    order = np.argsort(b, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+        if len(part):
+            yield int(b[part[0]]), part
+
+
+def _ranks(ids: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The place of each hash in ``heads``, -1 where it isn't there."""
+    order = np.argsort(heads, kind="stable")
+    at = order[np.minimum(np.searchsorted(heads, ids, sorter=order), len(heads) - 1)]
+    return np.where(heads[at] == ids, at, -1)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    return (key[first], np.add.reduceat(n, first)) if len(key) else (key, n)
+
+
+class _Seen(dict):
+    """Word to place in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
+
+
+def neighbours(texts: DataFrame, heads: np.ndarray, buckets: int, *, classes: int = CLASSES) -> DataFrame:
+    """A row a bucket: its words' hashes, counts, counts after themselves and first classes, and their pairs with neighbours.
+
+    A pair with a head word (``heads``: hashes by rank) is held once, with the other word or the first of two heads; a pair of other
+    words with both. So no word's pairs are more than the heads or than a rare word's count.
+    """
+    def flush(seen: _Seen, held: list[int]) -> pd.DataFrame:
+        ids = np.array([END_ID, *map(word_id, itertools.islice(seen, 1, None))], np.int64)
+        rank = _ranks(ids, heads)
+        first = np.where(ids == END_ID, 0, 1 + np.where(rank < 0, ids, rank) % (classes - 1))
+        h = np.array(held)
+        key, n = np.unique(h[:-1] * len(ids) + h[1:], return_counts=True)
+        a, b = key // len(ids), key % len(ids)
+        ha, hb, same = rank[a] >= 0, rank[b] >= 0, a == b
+        count = np.bincount(h[1:], minlength=len(ids))
+        parts = [(a, rank[b], HEAD_AFTER, n, hb & ~same), (b, rank[a], HEAD_BEFORE, n, ha & ~hb), (a, ids[b], AFTER, n, ~ha & ~hb & ~same), (b, ids[a], BEFORE, n, ~ha & ~hb & ~same), (a, a, OWN, n, same), (np.arange(len(ids)), first, WORD, count, np.full(len(ids), True))]
+        x = np.concatenate([ids[p[0][p[4]]] for p in parts])
+        u = np.concatenate([p[1][p[4]] for p in parts]).astype(np.int64)
+        kind = np.concatenate([np.full(p[4].sum(), p[2], np.uint8) for p in parts])
+        n = np.concatenate([p[3][p[4]] for p in parts]).astype(np.int64)
+        return pd.DataFrame([(k, x[p].tobytes(), kind[p].tobytes(), u[p].tobytes(), n[p].tobytes()) for k, p in _dealt(x, buckets)], columns=["bucket", "x", "kind", "u", "n"])
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, held = _Seen({b" ": 0}), [0]
+        for b in batches:
+            for t in b["text"]:
+                held += map(seen.__getitem__, words(t))
+                held.append(0)
+                if len(held) > 1_500_000:
+                    yield flush(seen, held)
+                    seen, held = _Seen({b" ": 0}), [0]
+        if len(held) > 1:
+            yield flush(seen, held)
+
+    def gather(found: pd.DataFrame) -> pd.DataFrame:
+        x, u, n = (np.concatenate([_long(r) for r in found[c]]) for c in ("x", "u", "n"))
+        kind = np.concatenate([np.frombuffer(r, np.uint8) for r in found["kind"]])
+        ids, loc = np.unique(x, return_inverse=True)
+        count, own, first = (np.zeros(len(ids), np.int64) for _ in range(3))
+        w, o, e = kind == WORD, kind == OWN, kind < OWN
+        np.add.at(count, loc[w], n[w])
+        np.add.at(own, loc[o], n[o])
+        first[loc[w]] = u[w]
+        loc, kind, u, n = loc[e], kind[e], u[e], n[e]
+        by = np.lexsort((u, kind, loc))
+        loc, kind, u, n = loc[by], kind[by], u[by], n[by]
+        new = np.flatnonzero((np.diff(loc, prepend=-1) != 0) | (np.diff(kind.astype(int), prepend=-1) != 0) | (np.diff(u, prepend=0) != 0))
+        n = np.add.reduceat(n, new) if len(n) else n
+        row = (int(found["bucket"].iloc[0]), ids, count, own, first.astype(np.uint8), loc[new].astype(np.int32), kind[new], u[new], n)
+        return pd.DataFrame([tuple(v.tobytes() if isinstance(v, np.ndarray) else v for v in row)], columns=[c.split()[0] for c in _STATIC.split(", ")])
+
+    return texts.select("text").mapInPandas(pairs, _PARTS).groupBy("bucket").applyInPandas(gather, _STATIC)
+
+
+def _choose(state, own: np.ndarray, ids: np.ndarray, cls: np.ndarray, table: np.ndarray, near, part: float, turn: int, classes: int) -> tuple[np.ndarray, int]:
+    """New classes of a bucket's words, of which the share ``part`` may move in this turn, and how many words would move."""
+    key, num, new, wants = _long(state.key), _long(state.num), cls.copy(), 0
+    step = 4096
+    for lo in range(0, len(ids), step):
+        hi = min(lo + step, len(ids))
+        s, e = np.searchsorted(key, (lo * 2 * classes, hi * 2 * classes))
+        dense = np.bincount(key[s:e] - lo * 2 * classes, num[s:e], (hi - lo) * 2 * classes).reshape(hi - lo, 2, classes)
+        a = cls[lo:hi].astype(int)
+        g = gains(dense[:, 0], dense[:, 1], own[lo:hi].astype(float), a, table, near)
+        best, least = g.argmax(1), max(1e-6, 1e-12 * abs(likelihood(table)))
+        at = np.arange(hi - lo)
+        go = (g[at, best] > g[at, a] + least) & (ids[lo:hi] != END_ID)
+        wants += int(go.sum())
+        if part < 1:
+            mixed = (ids[lo:hi].view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+            go &= (mixed >> np.uint64(40)).astype(float) < part * 2**24
+        new[lo:hi] = np.where(go, best, a)
+    return new, wants
+
+
+def cluster(static: DataFrame, heads: np.ndarray, buckets: int, *, classes: int = CLASSES, sweeps: int | None = None, rise: float = RISE) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``bucket, cls`` for the buckets of ``neighbours``, the heads' classes, and the class table: the exchange over all words.
+
+    Starts with the classes dealt out in turn. In a sweep all words choose at once. Choices that together make the pairs no likelier
+    are taken back, and half as many words may move in the next sweep, else twice as many. Ends when no word would move,
+    when a sweep raises the log likelihood by less than ``rise`` of it (0: never for that), or after ``sweeps`` sweeps: some words
+    may then still have a better class.
+    """
+
+    def sender(table, part: float, turn: int):
+        near = None if table is None else small_gains(table)
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples():
+                    ids, own = _long(r.ids), _long(r.own)
+                    old = np.frombuffer(r.start if table is None else r.cls, np.uint8)
+                    cls, wants = (old, 0) if table is None else _choose(r, own, ids, old, table, near, part, turn, classes)
+                    rank = _ranks(ids, heads)
+                    yield pd.DataFrame([(r.bucket, cls.tobytes(), int((cls != old).sum()), wants, None, cls[rank >= 0].tobytes(), rank[rank >= 0].tobytes())], columns=[c.split()[0] for c in _SENT.split(", ")])
+                    x, kind, u, n = np.frombuffer(r.x, np.int32), np.frombuffer(r.kind, np.uint8), _long(r.u), _long(r.n)
+                    slot = np.where(kind % 2 == 0, classes, 0) + cls[x]
+                    h = kind <= HEAD_BEFORE
+                    key, k = _summed(u[h] * 2 * classes + slot[h], n[h])
+                    to, slot, n = np.concatenate([heads[key // (2 * classes)], u[~h]]), np.concatenate([key % (2 * classes), slot[~h]]).astype(np.uint8), np.concatenate([k, n[~h]])
+                    yield pd.DataFrame([(i, None, 0, 0, to[p].tobytes(), slot[p].tobytes(), n[p].tobytes()) for i, p in _dealt(to, buckets)], columns=[c.split()[0] for c in _SENT.split(", ")])
+
+        return send
+
+    def receiver(of: np.ndarray):
+        def receive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples():
+                    ids, cls = _long(r.ids), np.frombuffer(r.cls, np.uint8)
+                    x, kind, u, n = np.frombuffer(r.x, np.int32), np.frombuffer(r.kind, np.uint8), _long(r.u), _long(r.n)
+                    h = kind <= HEAD_BEFORE
+                    keys, nums = [x[h].astype(np.int64) * 2 * classes + np.where(kind[h] == HEAD_AFTER, 0, classes) + of[u[h]]], [n[h]]
+                    for m in r.told if r.told is not None else ():
+                        keys.append(np.searchsorted(ids, _long(m["ids"])) * 2 * classes + np.frombuffer(m["slot"], np.uint8))
+                        nums.append(_long(m["n"]))
+                    key, num = _summed(np.concatenate(keys), np.concatenate(nums))
+                    after = key % (2 * classes) < classes
+                    pairs = np.bincount(cls[key[after] // (2 * classes)].astype(int) * classes + key[after] % (2 * classes), num[after], classes * classes)
+                    pairs += np.bincount(cls.astype(int) * (classes + 1), _long(r.own), classes * classes)
+                    yield pd.DataFrame([(r.bucket, r.cls, key.tobytes(), num.tobytes(), pairs.tobytes())], columns=[c.split()[0] for c in _STATE.split(", ")])
+
+        return receive
+
+    def head_classes(sent: DataFrame) -> np.ndarray:
+        of = np.zeros(len(heads), np.int64)
+        for r in sent.where("cls is not null").select("slot", "n").collect():
+            of[_long(r["n"])] = np.frombuffer(r["slot"], np.uint8)
+        return of
+
+    def received(sent: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        of = head_classes(sent)
+        told = sent.where("ids is not null").groupBy("bucket").agg(F.collect_list(F.struct("ids", "slot", "n")).alias("told"))
+        state = cut(static.join(sent.where("cls is not null").select("bucket", "cls"), "bucket").join(told, "bucket", "left").mapInPandas(receiver(of), _STATE))
+        found = [np.frombuffer(r["pairs"], np.float64) for r in state.select("pairs").collect()]
+        table = np.sum(found, axis=0) if len(found) else np.zeros(classes * classes)
+        return state, of, table.reshape(classes, classes)
+
+    state, of, table = received(cut(static.mapInPandas(sender(None, 1.0, 0), _SENT)))
+    part = 1.0
+    for turn in itertools.count() if sweeps is None else range(sweeps):
+        sent = cut(static.join(state, "bucket").mapInPandas(sender(table, part, turn), _SENT))
+        moved, wants = sent.agg(F.sum("moved"), F.sum("wants")).first()
+        if not wants:
+            break
+        if moved:
+            then = received(sent)
+            old, new = likelihood(table), likelihood(then[2])
+            if new > old:
+                state, of, table = then
+                if new - old < rise * part * abs(old):
+                    break
+                part = min(1.0, 2 * part)
+            elif rise and part <= LEAST:
+                break
+            else:
+                part /= 2
+        else:
+            part = min(1.0, 2 * part)
+    return state.select("bucket", "cls"), of, table
+
+
+def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, head: int = HEAD, classes: int = CLASSES, sweeps: int | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Learns from rows whose crc32(id) mod 5 is not ``held_out``. ``base_score`` is the smoothed unigram's log10 probability, ``score``
@@ -164,60 +373,75 @@ def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     most = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
     top, top_n = most.column("word").to_pylist(), most.column("n").to_numpy()
     del most
-    clustered = top[:CLUSTERED]
     packed = b" ".join(top)  # words hold no space: one small object for the tasks instead of many
-    pairs = count_pairs(train, clustered)
-    cls = exchange(pairs, classes=classes, sweeps=sweeps)
-    one = np.zeros((UNITS, classes))
-    one[np.arange(UNITS), cls] = 1
-    steps = one.T @ pairs @ one
+    heads = np.array([*map(word_id, top), END_ID], np.int64)
+    del top
+    buckets = max(4, math.ceil(math.sqrt((counts.agg(F.sum("n")).first()[0] or 0) / BUCKET)))
+    static = cut(neighbours(train, heads, buckets, classes=classes))
+    found, of_heads, steps = cluster(static, heads, buckets, classes=classes, sweeps=sweeps)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                yield pd.DataFrame({"id": _long(r.ids), "known": _long(r.count_), "c": np.frombuffer(r.cls, np.uint8).astype(np.int32)})
+
+    lexicon = cut(static.select("bucket", "ids", F.col("count").alias("count_")).join(found, "bucket").mapInPandas(unpack, "id long, known long, c int"))
+    tokens, kinds, ends = np.zeros(classes), np.zeros(classes), 0
+    for c, end, n, v in lexicon.groupBy("c", F.col("id") == END_ID).agg(F.sum("known"), F.count(F.lit(1))).collect():
+        if end:
+            ends = n
+        else:
+            tokens[c], kinds[c] = n, v
     jump = np.log10((steps + ALPHA) / (steps.sum(1, keepdims=True) + ALPHA * classes))
-    ends = int(pairs[:, END].sum())
-    shapes = counts.where(~F.col("word").isin([bytearray(w) for w in clustered]) if clustered else F.lit(True)).groupBy(_shape(F.col("word")).alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    tokens, kinds = np.zeros(classes), np.zeros(classes)
-    for i, n in enumerate(top_n[:CLUSTERED].tolist()):
-        tokens[cls[i]] += n
-        kinds[cls[i]] += 1
-    for s, n, v in shapes:
-        tokens[cls[CLUSTERED + s]] += n
-        kinds[cls[CLUSTERED + s]] += v
     total = int(tokens.sum()) + ends
     distinct = int(kinds.sum()) + (ends > 0)
     base_under = float(np.log10(total + 0.5 * (distinct + 1)))
     under = np.log10(tokens + 0.5 * (kinds + 1))
-    floor = int(top_n[-1]) if len(top) == head else 0
-    del top
+    other = int(kinds.argmax())
+    floor = int(top_n[-1]) if len(top_n) == head else 0
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = {w: i for i, w in enumerate(packed.split())}
-        of = np.array([cls[i if i < CLUSTERED else CLUSTERED + shape(w)] for w, i in place.items()] or [0])
         logs = np.log10((top_n if len(top_n) else np.zeros(1)) + 0.5)
-        emit = logs - under[of]
-        end_base = np.log10(ends + 0.5) - base_under
-        shape_class = cls[CLUSTERED:END]
+        emit = logs - under[of_heads[: len(logs)]]
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 w = words(text)
                 at = np.array([place.get(x, -1) for x in w], np.int64)
-                rest = Counter(w[i] for i in np.flatnonzero(at < 0).tolist())
-                c = of[at] if len(w) else at
-                if rest:
-                    c[at < 0] = [shape_class[shape(w[i])] for i in np.flatnonzero(at < 0).tolist()]
-                path = np.concatenate(([0], c, [0]))
+                rare = [w[i] for i in np.flatnonzero(at < 0).tolist()]
+                first = {x: i for i, x in enumerate(dict.fromkeys(rare))}
+                path = np.where(at < 0, classes, of_heads[at]).astype(np.uint8) if len(w) else at.astype(np.uint8)
                 known = at[at >= 0]
-                rows.append((doc, len(w) + 1, len(known) + (ends > 0), float(logs[known].sum() - base_under * len(known) + end_base), float(jump[path[:-1], path[1:]].sum() + emit[known].sum()),
-                             [{"word": x, "n": n, "c": int(shape_class[shape(x)])} for x, n in rest.items()]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    scored = texts.select("doc_id", "text").mapInPandas(score, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,n:long,c:int>>")
-    scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))
-    rest = scored.select("_row", F.explode("rest").alias("r")).select("_row", "r.*")
-    tail = counts.where(F.col("n") <= floor).withColumnRenamed("n", "known") if floor else counts.where("false").withColumnRenamed("n", "known")
-    met = rest.join(tail, "word", "left").withColumn("known", F.coalesce("known", F.lit(0)))
-    share = F.get(F.array(*[F.lit(float(x)) for x in under]), F.col("c"))
-    log = F.log10(F.col("known") + 0.5)
-    more = met.groupBy("_row").agg(F.sum(F.when(F.col("known") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (log - F.lit(base_under))).alias("b"), F.sum(F.col("n") * (log - share)).alias("s"))
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    out = scored.drop("rest").join(more, "_row", "left")
-    return out.select("doc_id", (remainder(F.col("doc_id")) == held_out).alias("held_out"), "n_tokens", plus("n_known", "k"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "b"), plus("score", "s"))
+                n = Counter(rare)
+                rows.append((doc, len(w) + 1, len(known) + (ends > 0), float(logs[known].sum() - base_under * len(known) + np.log10(ends + 0.5) - base_under), float(emit[known].sum()),
+                             path.tobytes(), np.array([first[x] for x in rare], np.int32).tobytes(), [{"i": i, "id": word_id(x), "n": n[x]} for x, i in first.items()]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "path", "at", "rest"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    seen = texts.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, path binary, at binary, rest array<struct<i:int,id:long,n:long>>")
+    seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()))
+    rest = seen.select("_row", F.explode("rest").alias("r")).select("_row", "r.*")
+    tail = lexicon.where(F.col("known") <= floor) if floor else lexicon.where("false")
+    met = rest.join(tail, "id", "left").select("_row", F.struct("i", "n", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("c", F.lit(other)).alias("c")).alias("r"))
+    met = met.groupBy("_row").agg(F.array_sort(F.collect_list("r")).alias("r")).select("_row", *[F.col(f"r.{x}").alias(f"r_{x}") for x in ("n", "known", "c")])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                path, n_known, base, got = np.frombuffer(r.path, np.uint8), r.n_known, r.base_score, r.score
+                if len(r.at):
+                    n, known, c = (np.asarray(x) for x in (r.r_n, r.r_known, r.r_c))
+                    path = path.copy()
+                    path[path == classes] = c[np.frombuffer(r.at, np.int32)]
+                    logs = np.log10(known + 0.5)
+                    n_known += int(n[known > 0].sum())
+                    base += float((n * (logs - base_under)).sum())
+                    got += float((n * (logs - under[c])).sum())
+                path = np.concatenate(([0], path, [0])).astype(np.int64)
+                rows.append((r.doc_id, r.n_tokens, n_known, base, got + float(jump[path[:-1], path[1:]].sum())))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = seen.drop("rest").join(met, "_row", "left").drop("_row").mapInPandas(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (remainder(F.col("doc_id")) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

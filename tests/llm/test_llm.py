@@ -287,6 +287,46 @@ def test_exchange_finds_classes():
     assert c[0] == c[1] != c[2] == c[3] and c[4] == 0
 
 
+def test_all_seen_words_are_clustered(spark):
+    rng = random.Random(12)
+    left, right = ([f"{c}{i}same" for i in range(700)] for c in "lr")
+    texts = [" ".join(rng.choice(left if i % 2 else right) for i in range(60)) for _ in range(80)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    n = Counter(w for t in texts for w in t.encode().split())
+    heads = np.array([*(class_lm.word_id(w) for w, _ in n.most_common(50)), class_lm.END_ID], np.int64)
+    static = class_lm.cut(class_lm.neighbours(train, heads, 5, classes=3))
+    found, of, table = class_lm.cluster(static, heads, 5, classes=3)
+    cls, count = {}, {}
+    for r in static.join(found, "bucket").collect():
+        ids = np.frombuffer(r["ids"], np.int64).tolist()
+        cls.update(zip(ids, r["cls"], strict=True))
+        count.update(zip(ids, np.frombuffer(r["count"], np.int64).tolist(), strict=True))
+    assert cls[class_lm.END_ID] == 0 and count == {class_lm.END_ID: len(texts)} | {class_lm.word_id(w): k for w, k in n.items()}
+    assert of.tolist() == [cls[i] for i in heads.tolist()]
+    seen = [class_lm.END_ID] + sorted(map(class_lm.word_id, n))
+    place = {i: p for p, i in enumerate(seen)}
+    pairs = np.zeros((len(seen), len(seen)))
+    for t in texts:
+        path = [0, *(place[class_lm.word_id(w)] for w in t.encode().split()), 0]
+        np.add.at(pairs, (path[:-1], path[1:]), 1)
+    a = np.array([cls[i] for i in seen])
+
+    def score(a):
+        one = np.eye(3)[a]
+        return one.T @ pairs @ one
+
+    assert (score(a) == table).all()
+    start = np.array([0] + [1 + (heads.tolist().index(i) if i in heads else i) % 2 for i in seen[1:]])
+    assert class_lm.likelihood(table) > class_lm.likelihood(score(start))
+    one, own = np.eye(3)[a], np.diag(pairs).copy()
+    rest = pairs - np.diag(own)
+    g = class_lm.gains(rest @ one, rest.T @ one, own, a, table, class_lm.small_gains(table))
+    for p in range(1, len(seen), 25):
+        b = a.copy()
+        b[p] = 3 - a[p]
+        assert class_lm.likelihood(score(b)) - class_lm.likelihood(table) == pytest.approx(g[p, b[p]] - g[p, a[p]], abs=1e-6)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
