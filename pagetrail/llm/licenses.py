@@ -137,46 +137,108 @@ def fit_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return model
 
 
-OUT = "doc_id long, n_paragraphs long, n_notices long, family string, probability double, template_share double, confirmed boolean, paragraph_no int"
+_RUNS: dict[str, list[tuple[str, int]]] = {}
+for _f, _sets in _TEMPLATES.items():
+    for _t, _set in enumerate(_sets):
+        for _r in _set:
+            _RUNS.setdefault(_r, []).append((_f, _t))
+#: Words that a notice may spread over, as a multiple of its runs.
+SPREAD = 1.5
+
+
+def paragraphs_of(text: str) -> list[list[list[str]]]:
+    """The words of each line of each paragraph. Lines without a word, such as empty ones and bare comment marks, part paragraphs."""
+    out: list[list[list[str]]] = [[]]
+    for line in text.split("\n"):
+        if w := tokens(line):
+            out[-1].append(w)
+        elif out[-1]:
+            out.append([])
+    return [p for p in out if p]
+
+
+def _windows(w: list[str], confirm: float) -> Iterator[tuple[str, int, int]]:
+    """Families with the stretch of words that holds most of one of their notices."""
+    met: dict[tuple[str, int], list[tuple[int, str]]] = {}
+    for i, x in enumerate(w):
+        if x in _WORDS:
+            run = " ".join(w[i : i + GRAMS])
+            for t in _RUNS.get(run, ()):
+                met.setdefault(t, []).append((i, run))
+    for (f, t), at in met.items():
+        size = len(_TEMPLATES[f][t])
+        if len({r for _, r in at}) < confirm * size:
+            continue
+        held, lo, best = {}, 0, (0, 0, 0)
+        for i, r in at:
+            held[r] = held.get(r, 0) + 1
+            while i - at[lo][0] > SPREAD * size + GRAMS:
+                held[at[lo][1]] -= 1
+                if not held[at[lo][1]]:
+                    del held[at[lo][1]]
+                lo += 1
+            best = max(best, (len(held), -at[lo][0], -(i + GRAMS)))
+        if best[0] >= confirm * size:
+            yield f, -best[1], -best[2]
+
+
+def paragraph_notices(lines: list[list[str]], model: LicenceModel, confirm: float) -> tuple[list[tuple[float, float, str]], float]:
+    """``share, probability, family`` of a paragraph's notices, one a family, and the least unknown probability of its parts.
+
+    Looks at each line, at all lines together, and at stretches that hold most of a notice. What isn't confirmed counts only where no
+    confirmed notice is.
+    """
+    w = [x for line in lines for x in line]
+    parts, at = [], 0
+    for line in lines:
+        parts.append((at, at + len(line)))
+        at += len(line)
+    parts = [*parts, (0, at)] if len(lines) > 1 else parts
+    found, least = [], 1.0
+    for f, a, b in [*((None, a, b) for a, b in parts), *_windows(w, confirm)]:
+        part = w[a:b]
+        grams_in = found_grams(part) if not _WORDS.isdisjoint(part) else []
+        p = model.probabilities(grams_in, len(part) if grams_in else 1)
+        least = min(least, float(p[0]))
+        k = int(p.argmax())
+        if grams_in and k and f in (None, FAMILIES[k]):
+            found.append((template_share(FAMILIES[k], part), float(p[k]), FAMILIES[k], a, b))
+    sure = [x for x in found if x[0] >= confirm]
+    best: dict[str, tuple[float, float, str]] = {}
+    for x in found:
+        if x[0] >= confirm or not any(x[3] < y[4] and y[3] < x[4] for y in sure):
+            best[x[2]] = max(best.get(x[2], (-1.0,)), x[:3])
+    return list(best.values()), least
+
+
+OUT = "doc_id long, n_paragraphs long, n_notices long, family string, probability double, template_share double, confirmed boolean, paragraph_no int, notices array<struct<family:string,probability:double,template_share:double,confirmed:boolean,paragraph_no:int>>"
+_COLUMNS = ["doc_id", "n_paragraphs", "n_notices", "family", "probability", "template_share", "confirmed", "paragraph_no", "notices"]
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None, *, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:
-    """One row per row of ``docs``: its paragraphs (lines with a word), those that name a licence, and the best of them.
+    """One row per row of ``docs``: its paragraphs (of lines with words), the notices in them, the best of these, and all as ``notices``.
 
-    A paragraph's class is its likeliest; the best notice is a confirmed one, then the one with the largest template share, then the
-    likeliest, then the first. Without notices, and for null and empty texts, ``family`` is ``unknown`` with the least unknown
+    A paragraph has one notice of a family at most; the best notice is a confirmed one, then the one with the largest template share,
+    then the likeliest, then the first. Without notices, and for null and empty texts, ``family`` is ``unknown`` with the least unknown
     probability of any paragraph (1 without paragraphs), ``paragraph_no`` -1. Repeated rows repeat; other columns play no part.
     """
     model = model or fit_licences(docs, id_col=id_col, text_col=text_col)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bare: dict[int, float] = {}
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                n, notices, best, least = 0, 0, None, 1.0
-                for no, line in enumerate(text.split("\n")):
-                    w = tokens(line)
-                    if not w:
-                        continue
-                    n += 1
-                    found = found_grams(w) if not _WORDS.isdisjoint(w) else []
-                    if not found:
-                        if 0 not in bare:
-                            bare[0] = float(model.probabilities([], 1)[0])
-                        least = min(least, bare[0])
-                        continue
-                    p = model.probabilities(found, len(w))
-                    k = int(p.argmax())
-                    least = min(least, float(p[0]))
-                    if k:
-                        notices += 1
-                        share = template_share(FAMILIES[k], w)
-                        best = max(best or (-1,), (share, float(p[k]), -no, FAMILIES[k]))
-                if best:
-                    rows.append((doc, n, notices, best[3], best[1], best[0], best[0] >= confirm, -best[2]))
+                found, least, parts = [], 1.0, paragraphs_of(text)
+                for no, lines in enumerate(parts):
+                    got, unknown = paragraph_notices(lines, model, confirm)
+                    found += [(share, p, -no, f) for share, p, f in got]
+                    least = min(least, unknown)
+                listed = [{"family": f, "probability": p, "template_share": share, "confirmed": share >= confirm, "paragraph_no": -no} for share, p, no, f in sorted(found, key=lambda x: (-x[2], x[3]))]
+                if found:
+                    best = max(found)
+                    rows.append((doc, len(parts), len(found), best[3], best[1], best[0], best[0] >= confirm, -best[2], listed))
                 else:
-                    rows.append((doc, n, 0, UNKNOWN, least, 0.0, False, -1))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+                    rows.append((doc, len(parts), 0, UNKNOWN, least, 0.0, False, -1, listed))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(scan, OUT)

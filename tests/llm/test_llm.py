@@ -193,6 +193,22 @@ def test_licences(spark):
     assert all(got[i].confirmed for i, (_, f) in enumerate(texts) if f != "unknown" and got[i].family == f)
 
 
+def test_wrapped_and_several_licences(spark):
+    import textwrap
+
+    rng = random.Random(16)
+    mit, bsd = licenses.NOTICES["mit"][1], licenses.NOTICES["bsd"][0]
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 44))
+    both = f"{sentences(rng, 30)}\n\n{wrap(mit, '# ')}\n#\n{wrap(bsd, ' * ')}"
+    inside = f"{sentences(rng, 200)} {mit} {sentences(rng, 200)}"
+    docs = make(spark, [(1, wrap(mit, "// "), "a"), (2, both, "a"), (3, textwrap.fill(inside, 72), "a"), *((10 + i, sentences(rng, 40), "a") for i in range(20))])
+    got = {r.doc_id: r for r in licenses.scan_licences(docs).collect()}
+    sure = {i: {(x.family, x.paragraph_no) for x in r.notices if x.confirmed} for i, r in got.items()}
+    assert sure[1] == {("mit", 0)} and sure[2] == {("mit", 1), ("bsd", 2)} and ("mit", 0) in sure[3]
+    assert (got[1].family, got[1].confirmed, got[1].n_paragraphs, got[2].n_paragraphs) == ("mit", True, 1, 3)
+    assert all(r.n_notices == len(r.notices) for r in got.values())
+
+
 def test_mixing(some):
     got = mixing.mix_sources(some).collect()
     total = sum(r["size"] for r in got)
