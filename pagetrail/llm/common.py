@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Words are maximal runs of bytes other than the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset one is made, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pagetrail-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,3 +61,29 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows; else as it is, for a shuffle join."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+#: Rows that a Python worker holds as objects at once, beside the Arrow batch they come from.
+PIECE = 256
+
+
+def per_row(rows: DataFrame, make: Callable[[], Callable[..., dict[str, list]]], fresh: str, *, passed: Sequence[str] = ("doc_id",), piece: int = PIECE) -> DataFrame:
+    """``rows`` with the columns ``passed`` as they were and the columns ``fresh`` (a DDL string) computed in Python, a row for a row.
+
+    ``make`` is called once a task and gives a function that takes a list of values for each other column, at most ``piece`` of them,
+    and returns a list for each fresh column. Passed columns stay in Arrow, so that large or null ids come through unchanged.
+    """
+    new = StructType.fromDDL(fresh)
+    schema = StructType([StructField(c, rows.schema[c].dataType) for c in passed] + list(new))
+    arrow, used = to_arrow_schema(schema), [c for c in rows.columns if c not in passed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, piece):
+                part = batch.slice(i, piece)
+                told = compute(*(part.column(c).to_pylist() for c in used))
+                columns = [part.column(f.name).cast(f.type) if f.name in passed else pa.array(told[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return rows.select(*passed, *used).mapInArrow(run, schema)
