@@ -1,9 +1,9 @@
 """LM scoring with Brown class-based bigrams: exchange clustering, class transitions and word emissions.
 
-All counts come from all training documents. Every word of them is clustered: words and their neighbours are dealt by word to buckets;
-a pass gives each word the class of the largest exchange gain against the current class table, and words
-then tell their neighbours their classes. The driver holds the class table and the classes of the ``HEAD`` most frequent words, which
-the tasks get as a table. Words that no training document holds have the class of most word types. Words meet by their 64-bit hashes.
+All counts come from all training documents. Every word that occurs ``LEAST`` times in them is clustered; rarer words, and with them
+those that no training document holds, are one class of their own, and the end of a text is another. Pairs of neighbours are added up in
+Spark, dealt by word to buckets; a sweep over the buckets gives each word the class of the largest exchange gain against the current
+class table. The tasks get the words' hashes and classes as arrays, nine bytes a clustered word. Words meet by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -15,27 +15,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, per_row, text_or_empty
 from .toxicity import remainder
 
-HEAD = 150_000
+#: Occurrences from which on a word is clustered: about as many as there are classes, as fewer can't tell them apart.
+LEAST = 50
+#: Words up to which that holds (36 MB of hashes and classes in each task); with more of them the least count is the next that fits.
+HEAD = 4_000_000
 CLASSES = 48
-#: Buckets of words are the root of so much of the tokens: as many pairs of buckets as tokens by this, and some MB a bucket.
-BUCKET = 5000
+#: Pairs of neighbours that a bucket of words holds, about.
+BUCKET = 1_500_000
 #: A sweep over all words that raises the log likelihood by less than this share of it is the last.
-RISE = 1e-4
+RISE = 5e-4
 #: The smallest share of words that is tried when more at once make the pairs no likelier.
-LEAST = 1 / 64
-#: The hash that stands for the end of a text.
-END_ID = 0
+SMALLEST = 1 / 64
 #: Added to each class transition.
 ALPHA = 0.1
-#: Distinct words whose counts a task holds before it passes them on.
-FLUSH = 400_000
+#: Distinct words whose counts a task holds before it passes them on, and tokens whose pairs it holds.
+FLUSH, TOKENS = 250_000, 3_000_000
 HELD_OUT = 1
 
 
@@ -50,7 +52,7 @@ def word_id(word: bytes) -> int:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """``word, n`` of a table with a column ``text``."""
+    """``word, n`` of a table with a column ``text``; none of null or empty texts, or of an empty table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -62,61 +64,16 @@ def count_words(texts: DataFrame) -> DataFrame:
                     seen = Counter()
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.where("text is not null").select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, *, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
-    """A class for each unit: each unit in turn moves to the class that makes the pairs likeliest, until a sweep moves none or for ``sweeps`` sweeps.
-
-    The last unit, the end of a text, has class 0 to itself. Ties go to the smallest class.
-    """
-    n = len(pairs)
-    weight = pairs.sum(1) + pairs.sum(0)
-    order = sorted(range(n - 1), key=lambda u: (-weight[u], u))
-    cls = np.zeros(n, np.int64)
-    cls[order] = 1 + np.arange(n - 1) % (classes - 1)
-    one = np.zeros((n, classes))
-    one[np.arange(n), cls] = 1
-    table = one.T @ pairs @ one
-    p = pairs.astype(float)
-    for _ in itertools.count() if sweeps is None else range(sweeps):
-        moved = 0
-        for u in order:
-            if not weight[u]:
-                continue
-            a, self_n = cls[u], p[u, u]
-            out = np.bincount(cls, p[u], classes)
-            into = np.bincount(cls, p[:, u], classes)
-            out[a] -= self_n
-            into[a] -= self_n
-            table[a] -= out
-            table[:, a] -= into
-            table[a, a] -= self_n
-            left, right, diag = table.sum(1) + into, table.sum(0) + out, np.diag(table)
-            gain = (_xlogx(table + out) - _xlogx(table)).sum(1) + (_xlogx(table + into[:, None]) - _xlogx(table)).sum(0)
-            gain += _xlogx(diag + out + into + self_n) - _xlogx(diag + out) - _xlogx(diag + into) + _xlogx(diag)
-            gain -= _xlogx(left + out.sum() + self_n) - _xlogx(left) + _xlogx(right + into.sum() + self_n) - _xlogx(right)
-            gain[0] = -np.inf
-            b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
-            table[b] += out
-            table[:, b] += into
-            table[b, b] += self_n
-            moved += b != a
-            cls[u] = b
-        if not moved:
-            break
-    return cls
-
-
 def gains(out: np.ndarray, into: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray, near: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """What each word (a row of class counts after it and before it, and its count after itself) brings in each class, once it is taken out
-    of its own. ``near`` is ``small_gains(table)``."""
+    of its own; nothing in the first and last, which the end of a text and rare words have. ``near`` is ``small_gains(table)``."""
     left, right, diag = table.sum(1), table.sum(0), np.diag(table)
     at = np.arange(len(cls))
     total = np.zeros(out.shape)
@@ -141,7 +98,7 @@ def gains(out: np.ndarray, into: np.ndarray, own: np.ndarray, cls: np.ndarray, t
     d[at, cls] -= out[at, cls] + into[at, cls] + own
     total += _xlogx(d + out + into + s) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
     total -= _xlogx(l + after[:, None] + s) - _xlogx(l) + _xlogx(r + before[:, None] + s) - _xlogx(r)
-    total[:, 0] = -np.inf
+    total[:, [0, -1]] = -np.inf
     return total
 
 
@@ -156,292 +113,254 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-HEAD_AFTER, HEAD_BEFORE, AFTER, BEFORE, OWN, WORD = range(6)
-_PARTS = "bucket int, x binary, kind binary, u binary, n binary"
-_STATIC = "bucket int, ids binary, count binary, own binary, start binary, x binary, kind binary, u binary, n binary"
-_SENT = "bucket int, cls binary, moved long, wants long, ids binary, slot binary, n binary"
-_STATE = "bucket int, cls binary, key binary, num binary, pairs binary"
-
-
-def _long(x) -> np.ndarray:
-    return np.frombuffer(x, np.int64)
-
-
-def _dealt(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket with the places of its words."""
-    b = ids.view(np.uint64) % np.uint64(buckets)
-    order = np.argsort(b, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
-        if len(part):
-            yield int(b[part[0]]), part
+class _Seen(dict):
+    """Word to place in the order of first sight."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
 
-def _ranks(ids: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """The place of each hash in ``heads``, -1 where it isn't there."""
-    order = np.argsort(heads, kind="stable")
-    at = order[np.minimum(np.searchsorted(heads, ids, sorter=order), len(heads) - 1)]
-    return np.where(heads[at] == ids, at, -1)
 
+class Heads:
+    """The clustered words' hashes, most frequent first; the two units after them are rare words and the end of a text."""
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    return (key[first], np.add.reduceat(n, first)) if len(key) else (key, n)
+    def __init__(self, ids: np.ndarray) -> None:
+        self.order = np.argsort(ids, kind="stable").astype(np.int32)
+        self.sorted = ids[self.order]
+        self.rare, self.end, self.units = len(ids), len(ids) + 1, len(ids) + 2
 
+    def units_of(self, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and the unit of each word, in the order of first sight."""
+        ids = np.fromiter(map(word_id, seen), np.int64, len(seen))
+        if not self.rare:
+            return ids, np.full(len(ids), self.rare, np.int32)
+        at = np.minimum(np.searchsorted(self.sorted, ids), self.rare - 1)
+        return ids, np.where(self.sorted[at] == ids, self.order[at], self.rare).astype(np.int32)
 
-class _Seen(dict):
-    """Word to place in the order of first sight."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        return i
+AFTER, BEFORE = 0, 1
+_PARTS = "bucket int, side int, x binary, u binary, n binary"
+_STATIC = "bucket int, words binary, own binary, start binary, u binary, n binary"
 
 
-def neighbours(texts: DataFrame, heads: np.ndarray, buckets: int, *, classes: int = CLASSES) -> DataFrame:
-    """A row a bucket: its words' hashes, counts, counts after themselves and first classes, and their pairs with neighbours.
+def neighbours(texts: DataFrame, heads: Heads, buckets: int) -> DataFrame:
+    """A row a bucket of units (those with this remainder): the units, their pairs with themselves, and where their pairs with units
+    after them and before them start (two places a unit) in the lists of neighbours and counts."""
 
-    A pair with a head word (``heads``: hashes by rank) is held once, with the other word or the first of two heads; a pair of other
-    words with both. So no word's pairs are more than the heads or than a rare word's count.
-    """
     def flush(seen: _Seen, held: list[int]) -> pd.DataFrame:
-        ids = np.array([END_ID, *map(word_id, itertools.islice(seen, 1, None))], np.int64)
-        rank = _ranks(ids, heads)
-        first = np.where(ids == END_ID, 0, 1 + np.where(rank < 0, ids, rank) % (classes - 1))
-        h = np.array(held)
-        key, n = np.unique(h[:-1] * len(ids) + h[1:], return_counts=True)
-        a, b = key // len(ids), key % len(ids)
-        ha, hb, same = rank[a] >= 0, rank[b] >= 0, a == b
-        count = np.bincount(h[1:], minlength=len(ids))
-        parts = [(a, rank[b], HEAD_AFTER, n, hb & ~same), (b, rank[a], HEAD_BEFORE, n, ha & ~hb), (a, ids[b], AFTER, n, ~ha & ~hb & ~same), (b, ids[a], BEFORE, n, ~ha & ~hb & ~same), (a, a, OWN, n, same), (np.arange(len(ids)), first, WORD, count, np.full(len(ids), True))]
-        x = np.concatenate([ids[p[0][p[4]]] for p in parts])
-        u = np.concatenate([p[1][p[4]] for p in parts]).astype(np.int64)
-        kind = np.concatenate([np.full(p[4].sum(), p[2], np.uint8) for p in parts])
-        n = np.concatenate([p[3][p[4]] for p in parts]).astype(np.int64)
-        return pd.DataFrame([(k, x[p].tobytes(), kind[p].tobytes(), u[p].tobytes(), n[p].tobytes()) for k, p in _dealt(x, buckets)], columns=["bucket", "x", "kind", "u", "n"])
+        unit = heads.units_of(seen)[1]
+        unit[0] = heads.end
+        path = unit[np.array(held)].astype(np.int64)
+        key, n = np.unique(path[:-1] * heads.units + path[1:], return_counts=True)
+        a, b, n, rows = (key // heads.units).astype(np.int32), (key % heads.units).astype(np.int32), n.astype(np.int32), []
+        for side, x, u in ((AFTER, a, b), (BEFORE, b, a)):
+            order = np.argsort(x % buckets, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(x[order] % buckets)) + 1):
+                rows.append((int(x[part[0]] % buckets), side, x[part].tobytes(), u[part].tobytes(), n[part].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "side", "x", "u", "n"])
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, held = _Seen({b" ": 0}), [0]
+        seen, held = _Seen({b" ": 0}), [0]  # a space is no word: it stands for the ends of texts
         for b in batches:
             for t in b["text"]:
                 held += map(seen.__getitem__, words(t))
                 held.append(0)
-                if len(held) > 1_500_000:
+                if len(held) > TOKENS:
                     yield flush(seen, held)
                     seen, held = _Seen({b" ": 0}), [0]
         if len(held) > 1:
             yield flush(seen, held)
 
     def gather(found: pd.DataFrame) -> pd.DataFrame:
-        x, u, n = (np.concatenate([_long(r) for r in found[c]]) for c in ("x", "u", "n"))
-        kind = np.concatenate([np.frombuffer(r, np.uint8) for r in found["kind"]])
-        ids, loc = np.unique(x, return_inverse=True)
-        count, own, first = (np.zeros(len(ids), np.int64) for _ in range(3))
-        w, o, e = kind == WORD, kind == OWN, kind < OWN
-        np.add.at(count, loc[w], n[w])
-        np.add.at(own, loc[o], n[o])
-        first[loc[w]] = u[w]
-        loc, kind, u, n = loc[e], kind[e], u[e], n[e]
-        by = np.lexsort((u, kind, loc))
-        loc, kind, u, n = loc[by], kind[by], u[by], n[by]
-        new = np.flatnonzero((np.diff(loc, prepend=-1) != 0) | (np.diff(kind.astype(int), prepend=-1) != 0) | (np.diff(u, prepend=0) != 0))
-        n = np.add.reduceat(n, new) if len(n) else n
-        row = (int(found["bucket"].iloc[0]), ids, count, own, first.astype(np.uint8), loc[new].astype(np.int32), kind[new], u[new], n)
+        x, u, n = (np.concatenate([np.frombuffer(r, np.int32) for r in found[c]]) for c in ("x", "u", "n"))
+        side = np.repeat(found["side"].to_numpy(), [len(r) // 4 for r in found["x"]])
+        units, at = np.unique(x, return_inverse=True)
+        key = (at.astype(np.int64) * 2 + side) * heads.units + u
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n, slot, u = np.add.reduceat(n, first), key[first] // heads.units, key[first] % heads.units
+        self_ = units[slot >> 1] == u
+        own = np.zeros(len(units), np.int64)
+        own[(slot >> 1)[self_ & (slot % 2 == AFTER)]] = n[self_ & (slot % 2 == AFTER)]
+        slot, u, n = slot[~self_], u[~self_].astype(np.int32), n[~self_].astype(np.int32)
+        start = np.searchsorted(slot, np.arange(2 * len(units) + 1))
+        row = (int(found["bucket"].iloc[0]), units, own, start, u, n)
         return pd.DataFrame([tuple(v.tobytes() if isinstance(v, np.ndarray) else v for v in row)], columns=[c.split()[0] for c in _STATIC.split(", ")])
 
     return texts.select("text").mapInPandas(pairs, _PARTS).groupBy("bucket").applyInPandas(gather, _STATIC)
 
 
-def _choose(state, own: np.ndarray, ids: np.ndarray, cls: np.ndarray, table: np.ndarray, near, part: float, turn: int, classes: int) -> tuple[np.ndarray, int]:
-    """New classes of a bucket's words, of which the share ``part`` may move in this turn, and how many words would move."""
-    key, num, new, wants = _long(state.key), _long(state.num), cls.copy(), 0
-    step = 4096
-    for lo in range(0, len(ids), step):
-        hi = min(lo + step, len(ids))
-        s, e = np.searchsorted(key, (lo * 2 * classes, hi * 2 * classes))
-        dense = np.bincount(key[s:e] - lo * 2 * classes, num[s:e], (hi - lo) * 2 * classes).reshape(hi - lo, 2, classes)
-        a = cls[lo:hi].astype(int)
-        g = gains(dense[:, 0], dense[:, 1], own[lo:hi].astype(float), a, table, near)
-        best, least = g.argmax(1), max(1e-6, 1e-12 * abs(likelihood(table)))
-        at = np.arange(hi - lo)
-        go = (g[at, best] > g[at, a] + least) & (ids[lo:hi] != END_ID)
-        wants += int(go.sum())
-        if part < 1:
-            mixed = (ids[lo:hi].view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-            go &= (mixed >> np.uint64(40)).astype(float) < part * 2**24
-        new[lo:hi] = np.where(go, best, a)
-    return new, wants
-
-
-def cluster(static: DataFrame, heads: np.ndarray, buckets: int, *, classes: int = CLASSES, sweeps: int | None = None, rise: float = RISE) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """``bucket, cls`` for the buckets of ``neighbours``, the heads' classes, and the class table: the exchange over all words.
-
-    Starts with the classes dealt out in turn. In a sweep all words choose at once. Choices that together make the pairs no likelier
-    are taken back, and half as many words may move in the next sweep, else twice as many. Ends when no word would move,
-    when a sweep raises the log likelihood by less than ``rise`` of it (0: never for that), or after ``sweeps`` sweeps: some words
-    may then still have a better class.
+class _Bucket:
+    """A row of ``neighbours``, read."""
+
+    def __init__(self, row: dict) -> None:
+        self.units, self.u, self.n = (np.frombuffer(row[c], np.int32) for c in ("words", "u", "n"))
+        self.own, self.start = (np.frombuffer(row[c], np.int64) for c in ("own", "start"))
+
+    def table(self, cls: np.ndarray, classes: int) -> np.ndarray:
+        """Pairs of classes, the unit's first."""
+        side = np.repeat(np.arange(2 * len(self.units)), np.diff(self.start))
+        after = side % 2 == AFTER
+        a = cls[self.units].astype(np.int64)
+        out = np.bincount(a[side[after] >> 1] * classes + cls[self.u[after]], self.n[after], classes * classes)
+        return out + np.bincount(a * (classes + 1), self.own, classes * classes)
+
+    def choose(self, cls: np.ndarray, table: np.ndarray, near, part: float, turn: int, classes: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Units that move and their new classes, and how many would: the share ``part`` may in this turn."""
+        moved, to, wants, least = [], [], 0, max(1e-6, 1e-12 * abs(likelihood(table)))
+        for lo in range(0, len(self.units), 4096):
+            units = self.units[lo : lo + 4096]
+            first = self.start[2 * lo : 2 * (lo + len(units)) + 1]
+            slot = np.repeat(np.arange(2 * len(units)), np.diff(first))
+            dense = np.bincount(slot * classes + cls[self.u[first[0] : first[-1]]], self.n[first[0] : first[-1]], 2 * len(units) * classes).reshape(len(units), 2, classes)
+            a = cls[units].astype(int)
+            g = gains(dense[:, AFTER], dense[:, BEFORE], self.own[lo : lo + 4096].astype(float), a, table, near)
+            best, at = g.argmax(1), np.arange(len(units))
+            go = (g[at, best] > g[at, a] + least) & (a > 0) & (a < classes - 1)
+            wants += int(go.sum())
+            if part < 1:
+                mixed = (units.astype(np.uint64) * np.uint64(64) + np.uint64(turn % 64)) * np.uint64(0x9E3779B97F4A7C15)
+                go &= (mixed >> np.uint64(40)).astype(float) < part * 2**24
+            moved.append(units[go])
+            to.append(best[go].astype(np.uint8))
+        return np.concatenate(moved), np.concatenate(to), wants
+
+
+def class_table(static: DataFrame, cls: np.ndarray, *, classes: int = CLASSES) -> np.ndarray:
+    """How often each class follows each; added up in Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes)
+        for b in batches:
+            for i in range(b.num_rows):
+                total += _Bucket(b.slice(i, 1).to_pylist()[0]).table(cls, classes)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.float64())], ["cell", "n"])
+
+    out = np.zeros(classes * classes)
+    for cell, n in static.mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out.reshape(classes, classes)
+
+
+def cluster(static: DataFrame, units: int, *, classes: int = CLASSES, sweeps: int | None = None, rise: float = RISE) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each unit, and the class table: the exchange over all clustered words.
+
+    The end of a text has class 0 and rare words have the last to themselves; the others are dealt out in turn at first. In a sweep all
+    words choose at once. Choices that together make the pairs no likelier are taken back, and half as many words may move in the next
+    sweep, else twice as many. Ends when no word would move, when a sweep raises the log likelihood by less than ``rise`` of it (0: never
+    for that), or after ``sweeps`` sweeps: some words may then still have a better class.
     """
+    cls = (1 + np.arange(units) % (classes - 2)).astype(np.uint8)
+    cls[units - 2 :] = classes - 1, 0
 
-    def sender(table, part: float, turn: int):
-        near = None if table is None else small_gains(table)
+    def chooser(cls: np.ndarray, table: np.ndarray, part: float, turn: int):
+        near = small_gains(table)
 
-        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.itertuples():
-                    ids, own = _long(r.ids), _long(r.own)
-                    old = np.frombuffer(r.start if table is None else r.cls, np.uint8)
-                    cls, wants = (old, 0) if table is None else _choose(r, own, ids, old, table, near, part, turn, classes)
-                    rank = _ranks(ids, heads)
-                    yield pd.DataFrame([(r.bucket, cls.tobytes(), int((cls != old).sum()), wants, None, cls[rank >= 0].tobytes(), rank[rank >= 0].tobytes())], columns=[c.split()[0] for c in _SENT.split(", ")])
-                    x, kind, u, n = np.frombuffer(r.x, np.int32), np.frombuffer(r.kind, np.uint8), _long(r.u), _long(r.n)
-                    slot = np.where(kind % 2 == 0, classes, 0) + cls[x]
-                    h = kind <= HEAD_BEFORE
-                    key, k = _summed(u[h] * 2 * classes + slot[h], n[h])
-                    to, slot, n = np.concatenate([heads[key // (2 * classes)], u[~h]]), np.concatenate([key % (2 * classes), slot[~h]]).astype(np.uint8), np.concatenate([k, n[~h]])
-                    yield pd.DataFrame([(i, None, 0, 0, to[p].tobytes(), slot[p].tobytes(), n[p].tobytes()) for i, p in _dealt(to, buckets)], columns=[c.split()[0] for c in _SENT.split(", ")])
-
-        return send
-
-    def receiver(of: np.ndarray):
-        def receive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.itertuples():
-                    ids, cls = _long(r.ids), np.frombuffer(r.cls, np.uint8)
-                    x, kind, u, n = np.frombuffer(r.x, np.int32), np.frombuffer(r.kind, np.uint8), _long(r.u), _long(r.n)
-                    h = kind <= HEAD_BEFORE
-                    keys, nums = [x[h].astype(np.int64) * 2 * classes + np.where(kind[h] == HEAD_AFTER, 0, classes) + of[u[h]]], [n[h]]
-                    for m in r.told if r.told is not None else ():
-                        keys.append(np.searchsorted(ids, _long(m["ids"])) * 2 * classes + np.frombuffer(m["slot"], np.uint8))
-                        nums.append(_long(m["n"]))
-                    key, num = _summed(np.concatenate(keys), np.concatenate(nums))
-                    after = key % (2 * classes) < classes
-                    pairs = np.bincount(cls[key[after] // (2 * classes)].astype(int) * classes + key[after] % (2 * classes), num[after], classes * classes)
-                    pairs += np.bincount(cls.astype(int) * (classes + 1), _long(r.own), classes * classes)
-                    yield pd.DataFrame([(r.bucket, r.cls, key.tobytes(), num.tobytes(), pairs.tobytes())], columns=[c.split()[0] for c in _STATE.split(", ")])
-
-        return receive
-
-    def head_classes(sent: DataFrame) -> np.ndarray:
-        of = np.zeros(len(heads), np.int64)
-        for r in sent.where("cls is not null").select("slot", "n").collect():
-            of[_long(r["n"])] = np.frombuffer(r["slot"], np.uint8)
-        return of
-
-    def received(sent: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-        of = head_classes(sent)
-        told = sent.where("ids is not null").groupBy("bucket").agg(F.collect_list(F.struct("ids", "slot", "n")).alias("told"))
-        state = cut(static.join(sent.where("cls is not null").select("bucket", "cls"), "bucket").join(told, "bucket", "left").mapInPandas(receiver(of), _STATE))
-        found = [np.frombuffer(r["pairs"], np.float64) for r in state.select("pairs").collect()]
-        table = np.sum(found, axis=0) if len(found) else np.zeros(classes * classes)
-        return state, of, table.reshape(classes, classes)
-
-    state, of, table = received(cut(static.mapInPandas(sender(None, 1.0, 0), _SENT)))
-    part = 1.0
+                for i in range(b.num_rows):
+                    moved, to, wants = _Bucket(b.slice(i, 1).to_pylist()[0]).choose(cls, table, near, part, turn, classes)
+                    yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()], pa.binary()), pa.array([to.tobytes()], pa.binary()), pa.array([wants], pa.int64())], ["moved", "cls", "wants"])
+
+        return choose
+
+    table, part = class_table(static, cls, classes=classes), 1.0
     for turn in itertools.count() if sweeps is None else range(sweeps):
-        sent = cut(static.join(state, "bucket").mapInPandas(sender(table, part, turn), _SENT))
-        moved, wants = sent.agg(F.sum("moved"), F.sum("wants")).first()
-        if not wants:
+        told = static.mapInArrow(chooser(cls, table, part, turn), "moved binary, cls binary, wants long").collect()  # five bytes a word at most
+        if not sum(r["wants"] for r in told):
             break
-        if moved:
-            then = received(sent)
-            old, new = likelihood(table), likelihood(then[2])
-            if new > old:
-                state, of, table = then
-                if new - old < rise * part * abs(old):
-                    break
-                part = min(1.0, 2 * part)
-            elif rise and part <= LEAST:
+        then = cls.copy()
+        for r in told:
+            then[np.frombuffer(r["moved"], np.int32)] = np.frombuffer(r["cls"], np.uint8)
+        if (then == cls).all():
+            part = min(1.0, 2 * part)
+            continue
+        fresh = class_table(static, then, classes=classes)
+        old, new = likelihood(table), likelihood(fresh)
+        if new > old:
+            cls, table = then, fresh
+            if new - old < rise * part * abs(old):
                 break
-            else:
-                part /= 2
-        else:
             part = min(1.0, 2 * part)
-    return state.select("bucket", "cls"), of, table
+        elif rise and part <= SMALLEST:
+            break
+        else:
+            part /= 2
+    return cls, table
+
+
+def _head(counts: DataFrame, least: int, most: int) -> DataFrame:
+    """``id, n`` of the words that occur ``least`` times, or as often as it takes to be ``most`` words."""
+    by_count = counts.where(F.col("n") >= least).groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"))
+    total = 0
+    for r in by_count.toLocalIterator():  # a row for each count that occurs: about the root of twice the tokens at most
+        total += r["words"]
+        if total > most:
+            least = r["n"] + 1
+            break
+    return counts.where(F.col("n") >= least).select(F.xxhash64("word").alias("id"), "n")
 
 
-def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, head: int = HEAD, classes: int = CLASSES, sweeps: int | None = None) -> DataFrame:
+def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, least: int = LEAST, head: int = HEAD, classes: int = CLASSES, sweeps: int | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Learns from rows whose crc32(id) mod 5 is not ``held_out``. ``base_score`` is the smoothed unigram's log10 probability, ``score``
     the class bigram's: of each token's class after the class before it (the end of a text before the first), times the word's share
-    of its class, in which one half count is kept for unknown words. A null or empty text is its end alone. Repeated rows count as
-    often as they occur. Without training rows nothing is known: N and V are 0. Other columns play no part.
+    of its class; the class of rare words keeps one half count for unknown words. A null or empty text is its end alone. Repeated rows
+    count as often as they occur; null ids are one id, and stay null. Without training rows nothing is known: N and V are 0. An empty
+    table gives an empty result. Other columns play no part.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("held_out", remainder(F.col("doc_id")) == held_out)
     train = texts.where("not held_out")
     counts = cut(count_words(train))
-    most = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    top, top_n = most.column("word").to_pylist(), most.column("n").to_numpy()
-    del most
-    packed = b" ".join(top)  # words hold no space: one small object for the tasks instead of many
-    heads = np.array([*map(word_id, top), END_ID], np.int64)
-    del top
-    buckets = max(4, math.ceil(math.sqrt((counts.agg(F.sum("n")).first()[0] or 0) / BUCKET)))
-    static = cut(neighbours(train, heads, buckets, classes=classes))
-    found, of_heads, steps = cluster(static, heads, buckets, classes=classes, sweeps=sweeps)
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                yield pd.DataFrame({"id": _long(r.ids), "known": _long(r.count_), "c": np.frombuffer(r.cls, np.uint8).astype(np.int32)})
-
-    lexicon = cut(static.select("bucket", "ids", F.col("count").alias("count_")).join(found, "bucket").mapInPandas(unpack, "id long, known long, c int"))
-    tokens, kinds, ends = np.zeros(classes), np.zeros(classes), 0
-    for c, end, n, v in lexicon.groupBy("c", F.col("id") == END_ID).agg(F.sum("known"), F.count(F.lit(1))).collect():
-        if end:
-            ends = n
-        else:
-            tokens[c], kinds[c] = n, v
+    all_n, kinds, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first() + (train.count(),)
+    top = cut(_head(counts, least, head)).toArrow()
+    ids, top_n = top.column("id").to_numpy(), top.column("n").to_numpy()
+    order = np.lexsort((ids, -top_n))
+    ids, top_n = ids[order], top_n[order]
+    heads = Heads(ids)
+    static = cut(neighbours(train, heads, max(4, math.ceil(2 * (all_n + ends) / BUCKET))))
+    cls, steps = cluster(static, heads.units, classes=classes, sweeps=sweeps)
+
     jump = np.log10((steps + ALPHA) / (steps.sum(1, keepdims=True) + ALPHA * classes))
-    total = int(tokens.sum()) + ends
-    distinct = int(kinds.sum()) + (ends > 0)
-    base_under = float(np.log10(total + 0.5 * (distinct + 1)))
-    under = np.log10(tokens + 0.5 * (kinds + 1))
-    other = int(kinds.argmax())
-    floor = int(top_n[-1]) if len(top_n) == head else 0
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = {w: i for i, w in enumerate(packed.split())}
-        logs = np.log10((top_n if len(top_n) else np.zeros(1)) + 0.5)
-        emit = logs - under[of_heads[: len(logs)]]
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                w = words(text)
-                at = np.array([place.get(x, -1) for x in w], np.int64)
-                rare = [w[i] for i in np.flatnonzero(at < 0).tolist()]
-                first = {x: i for i, x in enumerate(dict.fromkeys(rare))}
-                path = np.where(at < 0, classes, of_heads[at]).astype(np.uint8) if len(w) else at.astype(np.uint8)
-                known = at[at >= 0]
-                n = Counter(rare)
-                rows.append((doc, len(w) + 1, len(known) + (ends > 0), float(logs[known].sum() - base_under * len(known) + np.log10(ends + 0.5) - base_under), float(emit[known].sum()),
-                             path.tobytes(), np.array([first[x] for x in rare], np.int32).tobytes(), [{"i": i, "id": word_id(x), "n": n[x]} for x, i in first.items()]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "path", "at", "rest"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    seen = texts.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, path binary, at binary, rest array<struct<i:int,id:long,n:long>>")
-    seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()))
-    rest = seen.select("_row", F.explode("rest").alias("r")).select("_row", "r.*")
-    tail = lexicon.where(F.col("known") <= floor) if floor else lexicon.where("false")
-    met = rest.join(tail, "id", "left").select("_row", F.struct("i", "n", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("c", F.lit(other)).alias("c")).alias("r"))
-    met = met.groupBy("_row").agg(F.array_sort(F.collect_list("r")).alias("r")).select("_row", *[F.col(f"r.{x}").alias(f"r_{x}") for x in ("n", "known", "c")])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples():
-                path, n_known, base, got = np.frombuffer(r.path, np.uint8), r.n_known, r.base_score, r.score
-                if len(r.at):
-                    n, known, c = (np.asarray(x) for x in (r.r_n, r.r_known, r.r_c))
-                    path = path.copy()
-                    path[path == classes] = c[np.frombuffer(r.at, np.int32)]
-                    logs = np.log10(known + 0.5)
-                    n_known += int(n[known > 0].sum())
-                    base += float((n * (logs - base_under)).sum())
-                    got += float((n * (logs - under[c])).sum())
-                path = np.concatenate(([0], path, [0])).astype(np.int64)
-                rows.append((r.doc_id, r.n_tokens, n_known, base, got + float(jump[path[:-1], path[1:]].sum())))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    out = seen.drop("rest").join(met, "_row", "left").drop("_row").mapInPandas(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", (remainder(F.col("doc_id")) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    total, distinct = int(all_n) + ends, kinds + (ends > 0)
+    under = float(np.log10(total + 0.5 * (distinct + 1)))
+    heads_n, heads_kinds = np.bincount(cls[: heads.rare], top_n, classes), np.bincount(cls[: heads.rare], minlength=classes)
+    logs = np.concatenate((np.log10(top_n + 0.5), [0.0, np.log10(ends + 0.5)]))  # rare words' own logarithms come later
+    emit = np.concatenate((logs[: heads.rare] - np.log10(heads_n + 0.5 * heads_kinds)[cls[: heads.rare]] if heads.rare else [], [-np.log10(all_n - top_n.sum() + 0.5 * (kinds - heads.rare + 1)), 0.0]))
+
+    def make():
+        def read(texts):
+            seen, path, cuts = _Seen({b" ": 0}), [], []
+            for t in texts:
+                path += map(seen.__getitem__, words(t))
+                path.append(0)
+                cuts.append(len(path))
+            ids, unit = heads.units_of(seen)
+            unit[0] = heads.end
+            at = unit[np.array(path)]
+            c = cls[at].astype(np.int64)
+            steps = jump[np.concatenate(([0], c[:-1])), c]
+            first = np.concatenate(([0], cuts[:-1])).astype(int)
+            rare, place = at == heads.rare, np.array(path)
+            known = np.add.reduceat((~rare & ((at != heads.end) | (ends > 0))).astype(np.int64), first)
+            out = {"n_tokens": np.diff(cuts, prepend=0), "n_known": known, "base_score": np.add.reduceat(logs[at] - under, first), "score": np.add.reduceat(emit[at] + steps, first), "rest": []}
+            for a, b in zip(first.tolist(), cuts, strict=True):
+                x, n = np.unique(place[a:b][rare[a:b]], return_counts=True)
+                out["rest"].append([{"id": i, "n": k} for i, k in zip(ids[x].tolist(), n.tolist(), strict=True)])
+            return out
+
+        return read
+
+    seen = cut(per_row(texts, make, "n_tokens long, n_known long, base_score double, score double, rest array<struct<id:long,n:long>>", passed=("doc_id", "held_out")).withColumn("_row", F.monotonically_increasing_id()))
+    rest = seen.select("_row", F.inline("rest"))
+    floor = int(top_n[-1]) if heads.rare else None
+    tail = counts if floor is None else counts.where(F.col("n") < floor)
+    met = rest.join(tail.select(F.xxhash64("word").alias("id"), F.col("n").alias("c")), "id", "left")
+    log = F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("n")
+    met = met.groupBy("_row").agg(F.sum(log).alias("log"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("more"))
+    out = seen.drop("rest").join(met, "_row", "left")
+    log = F.coalesce("log", F.lit(0.0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"), (F.col("score") + log).alias("score"))

@@ -271,76 +271,91 @@ def test_repeats(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit("z")).withColumn("t", F.lit(1)).withColumn("places", F.lit(2))
     got = repeats.cut_repeats(df).collect()
     assert {r.doc_id: tuple(r[1:5]) for r in got} == brute_repeats(rows)
+    passage = sentences(rng, 60, [f"w{i}" for i in range(900)])[:370]  # shorter than a removed string
+    alone = [sentences(rng, 80, [f"{c}{i}" for i in range(900)]) for c in "xyz"]
+    df2 = spark.createDataFrame([(1, f"{alone[0]} {passage}"), (2, f"{passage} {alone[1]}"), (3, alone[2]), (None, passage)], "doc_id long, text string")
+    assert len(passage.split()) > 50 and {r.doc_id: (r.n_passages, r.n_removed) for r in repeats.cut_repeats(df2).collect()} == {1: (1, 0), 2: (1, 0), 3: (0, 0), None: (1, 0)}
     twice = repeats.cut_repeats(df.where("doc_id = 1").union(df.where("doc_id = 1"))).collect()
     assert [r.n_removed for r in twice] == [len(base.encode())] * 2
 
 
-def test_class_scores(some):
-    rows = [(r.doc_id, r.text) for r in some.collect()]
-    counts = Counter()
-    toks = lambda t: [*(t or "").encode().lower().split(), "end"]
+def brute_lm(rows, least, alpha=class_lm.ALPHA):
+    """With three classes the classes are given: the end, words that occur ``least`` times, and the others."""
+    toks = lambda t: (t or "").encode().lower().split()
+    train = [toks(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    ends, n = len(train), sum(c.values()) + len(train)
+    v = len(c) + (ends > 0)
+    of = lambda w: 0 if w is None else 1 if c[w] >= least else 2
+    steps = np.zeros((3, 3))
+    for t in train:
+        path = [0, *map(of, t), 0]
+        np.add.at(steps, (path[:-1], path[1:]), 1)
+    jump = (steps + alpha) / (steps.sum(1, keepdims=True) + alpha * 3)
+    heads = [k for k in c.values() if k >= least]
+    rare = [k for k in c.values() if k < least]
+    share = lambda w: (c[w] + 0.5) / (sum(heads) + 0.5 * len(heads) if c[w] >= least else sum(rare) + 0.5 * (len(rare) + 1))
+    out = []
     for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            counts.update(toks(t))
-    n, v = sum(counts.values()), len(counts)
-    for head in (10, 100_000):
-        got = class_lm.class_scores(some, head=head).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            t = toks(dict(rows)[r.doc_id])
-            base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-            assert r.base_score == pytest.approx(base) and r.train_tokens == n
-            assert (r.n_tokens, r.n_known) == (len(t), sum(counts[w] > 0 for w in t)) and r.score < 0
-
-
-def test_exchange_finds_classes():
-    p = np.zeros((5, 5), np.int64)
-    for a in (0, 1):
-        for b in (2, 3):
-            p[a, b] = p[b, a] = 50
-    p[4, 0] = p[2, 4] = 5
-    c = class_lm.exchange(p, classes=3)
-    assert c[0] == c[1] != c[2] == c[3] and c[4] == 0
-
-
-def test_all_seen_words_are_clustered(spark):
+        w = [*toks(t), None]
+        count = lambda x: ends if x is None else c[x]
+        base = sum(math.log10((count(x) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        got, last = 0.0, 0
+        for x in w:
+            got += math.log10(jump[last, of(x)]) + (0.0 if x is None else math.log10(share(x)))
+            last = of(x)
+        out.append((i, len(w), sum(count(x) > 0 for x in w), n, base, got))
+    return sorted(out, key=lambda r: (r[0] is None, r[0], r[4]))
+
+
+@pytest.mark.parametrize("least", [1, 4, 10_000])
+def test_class_scores(some, least):
+    got = class_lm.class_scores(some, least=least, classes=3).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=lambda r: (r[0] is None, r[0], r[4]))
+    want = brute_lm([(r.doc_id, r.text) for r in some.collect()], least)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4:] for r in got] == [pytest.approx(r[4:]) for r in want]
+
+
+def test_most_heads(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), n) for i, n in enumerate([9, 7, 7, 5, 5, 5, 1])], "word binary, n long")
+    for least, most, want in ((1, 100, 7), (5, 100, 6), (1, 6, 6), (1, 5, 3), (1, 2, 1), (1, 0, 0)):
+        assert class_lm._head(counts, least, most).count() == want
+
+
+def test_words_are_clustered_by_exchange(spark):
     rng = random.Random(12)
     left, right = ([f"{c}{i}same" for i in range(700)] for c in "lr")
     texts = [" ".join(rng.choice(left if i % 2 else right) for i in range(60)) for _ in range(80)]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     n = Counter(w for t in texts for w in t.encode().split())
-    heads = np.array([*(class_lm.word_id(w) for w, _ in n.most_common(50)), class_lm.END_ID], np.int64)
-    static = class_lm.cut(class_lm.neighbours(train, heads, 5, classes=3))
-    found, of, table = class_lm.cluster(static, heads, 5, classes=3)
-    cls, count = {}, {}
-    for r in static.join(found, "bucket").collect():
-        ids = np.frombuffer(r["ids"], np.int64).tolist()
-        cls.update(zip(ids, r["cls"], strict=True))
-        count.update(zip(ids, np.frombuffer(r["count"], np.int64).tolist(), strict=True))
-    assert cls[class_lm.END_ID] == 0 and count == {class_lm.END_ID: len(texts)} | {class_lm.word_id(w): k for w, k in n.items()}
-    assert of.tolist() == [cls[i] for i in heads.tolist()]
-    seen = [class_lm.END_ID] + sorted(map(class_lm.word_id, n))
-    place = {i: p for p, i in enumerate(seen)}
-    pairs = np.zeros((len(seen), len(seen)))
+    seen = sorted(w for w, k in n.items() if k >= 2)
+    ids = sorted(map(class_lm.word_id, seen))
+    heads = class_lm.Heads(np.array(ids, np.int64))
+    place = {i: p for p, i in enumerate(ids)}
+    unit = lambda w: place.get(class_lm.word_id(w), heads.rare)
+    pairs = np.zeros((heads.units, heads.units))
     for t in texts:
-        path = [0, *(place[class_lm.word_id(w)] for w in t.encode().split()), 0]
+        path = [heads.end, *map(unit, t.encode().split()), heads.end]
         np.add.at(pairs, (path[:-1], path[1:]), 1)
-    a = np.array([cls[i] for i in seen])
+    static = class_lm.cut(class_lm.neighbours(train, heads, 5))
+    cls, table = class_lm.cluster(static, heads.units, classes=4)
 
     def score(a):
-        one = np.eye(3)[a]
+        one = np.eye(4)[a]
         return one.T @ pairs @ one
 
-    assert (score(a) == table).all()
-    start = np.array([0] + [1 + (heads.tolist().index(i) if i in heads else i) % 2 for i in seen[1:]])
+    assert (score(cls) == table).all() and cls[heads.end] == 0 and cls[heads.rare] == 3 and set(cls[: heads.rare]) == {1, 2}
+    start = (1 + np.arange(heads.units) % 2).astype(int)
+    start[heads.rare :] = 3, 0
     assert class_lm.likelihood(table) > class_lm.likelihood(score(start))
-    one, own = np.eye(3)[a], np.diag(pairs).copy()
-    rest = pairs - np.diag(own)
-    g = class_lm.gains(rest @ one, rest.T @ one, own, a, table, class_lm.small_gains(table))
-    for p in range(1, len(seen), 25):
-        b = a.copy()
-        b[p] = 3 - a[p]
-        assert class_lm.likelihood(score(b)) - class_lm.likelihood(table) == pytest.approx(g[p, b[p]] - g[p, a[p]], abs=1e-6)
+    own = np.diag(pairs).copy()
+    rest, one = pairs - np.diag(own), np.eye(4)[cls]
+    g = class_lm.gains(rest @ one, rest.T @ one, own, cls.astype(int), table, class_lm.small_gains(table))
+    for p in range(0, heads.rare, 25):
+        b = cls.copy()
+        b[p] = 3 - cls[p]
+        assert class_lm.likelihood(score(b)) - class_lm.likelihood(table) == pytest.approx(g[p, b[p]] - g[p, cls[p]], abs=1e-6)
 
 
 def test_pipeline(spark, tmp_path):
