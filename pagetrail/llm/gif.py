@@ -11,11 +11,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import text_or_empty
+from .common import per_row, text_or_empty
 
 WIDTH = 64
 #: Rows of a frame at most; longer payloads take several frames.
@@ -196,59 +198,79 @@ def gif_frames(data: bytes) -> Iterator[dict]:
         no, start, disposal, delay, clear = no + 1, start + delay, 0, 0, None
 
 
-FRAMES = "doc_id long, frame_no int, start_ms long, delay_ms int, disposal int, left_px int, top_px int, width int, height int, whole boolean, rgb binary, hist_red array<long>, hist_green array<long>, hist_blue array<long>"
+FRAME = "frame_no int, start_ms long, delay_ms int, disposal int, left_px int, top_px int, width int, height int, whole boolean, rgb binary, hist_red array<long>, hist_green array<long>, hist_blue array<long>"
+
+
+def frame_rows(data: bytes | None) -> Iterator[dict]:
+    """The frames of a GIF as rows of FRAME."""
+    for f in gif_frames(bytes(data or b"")):
+        red, green, blue = (x.tolist() for x in f["hist"])
+        yield {k: f[k] for k in ("frame_no", "start_ms", "delay_ms", "disposal", "width", "height", "whole")} | {"left_px": f["left"], "top_px": f["top"], "rgb": f["rgb"].tobytes(), "hist_red": red, "hist_green": green, "hist_blue": blue}
 
 
 def decode_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each frame of each GIF: times, geometry, disposal, the composed canvas as RGB bytes and three histograms of its area.
+    """A row for each frame of each GIF: ``doc_id`` and the columns of FRAME: times, geometry, disposal, the composed canvas as RGB bytes
+    and three histograms of the frame's area.
 
     Transparent samples leave what is below; disposal 2 clears the frame's area to black and disposal 3 restores what was there. Null or
     empty media, and what isn't a GIF, give no frame; a damaged stream gives the frames before the damage and one with ``whole`` false,
-    its missing samples as palette entry 0. Other columns play no part.
+    its missing samples as palette entry 0. Null ids stay null, repeated rows repeat, an empty table gives an empty result. Other
+    columns play no part. A worker holds one frame and its canvas at a time.
     """
+    rows = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(FRAME)])
+    arrow = to_arrow_schema(schema)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, data in zip(b["id"], b["media"], strict=True):
-                for f in gif_frames(bytes(data or b"")):
-                    red, green, blue = (x.tolist() for x in f["hist"])
-                    yield pd.DataFrame([{"doc_id": doc, "left_px": f["left"], "top_px": f["top"], "rgb": f["rgb"].tobytes(), "hist_red": red, "hist_green": green, "hist_blue": blue, **{k: f[k] for k in ("frame_no", "start_ms", "delay_ms", "disposal", "width", "height", "whole")}}])[[x.split()[0] for x in FRAMES.split(", ")]]
+            for i in range(b.num_rows):
+                for f in frame_rows(b.column(1)[i].as_py()):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([f[x.name]], x.type) for x in list(arrow)[1:])], schema=arrow)
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInPandas(decode, FRAMES)
+    return rows.mapInArrow(decode, schema)
 
 
 def to_gif(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, stored as a GIF of grey samples.
 
-    A null text counts as empty and gives one row of zeros. One row goes in and one comes out, so repeated rows stay repeated.
+    A null text counts as empty and gives one row of zeros; null ids stay null. One row goes in and one comes out, so repeated rows stay
+    repeated and an empty table stays empty. Other columns play no part.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sizes, media = [], []
-            for data in b["data"]:
-                sizes.append(len(data))
-                media.append(encode_gif(bytes(data).ljust(max(WIDTH, -(-len(data) // WIDTH) * WIDTH), b"\0")))
-            yield pd.DataFrame({"doc_id": b["id"], "n_bytes": sizes, "media": media})
+    def make():
+        return lambda data: {"media": [encode_gif(x.ljust(max(WIDTH, -(-len(x) // WIDTH) * WIDTH), b"\0")) for x in data]}
+
+    data = text_or_empty(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), data.alias("data"))
+    return per_row(rows, make, "media binary", passed=("doc_id", "n_bytes"))
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("data"))
-    return rows.mapInPandas(write, "doc_id long, n_bytes long, media binary")
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long, hist_grey array<long>"
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Decode what :func:`to_gif` stored: digests of the samples read back, of the stored form, and a feature of size, time and greys."""
+    """Decode what :func:`to_gif` stored, frame by frame: digests of the samples read back and of the stored form, the number of timed
+    frames and their time, their summed colour histogram (of greys, so one for all colours), and a feature of all that.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, n, data in zip(b["doc_id"], b["n_bytes"], b["media"], strict=True):
-                data, digest, size, tail, greys, frames, ms = bytes(data), hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
+    A row for a row of ``doc_id, n_bytes, media``: null ids stay null, repeated rows repeat, an empty table gives an empty result. Null or
+    damaged media give the samples before the damage.
+    """
+
+    def make():
+        def read(media):
+            out = {x.split()[0]: [] for x in READ.split(", ")}
+            for data in media:
+                data, digest, size, tail, greys, frames, ms = bytes(data or b""), hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
                 for f in gif_frames(data):
                     part = f["area"][:, :, 0].tobytes()
                     digest.update(part)
                     size, tail, greys, frames, ms = size + len(part), part[-64:], greys + f["hist"][0], frames + 1, f["start_ms"] + f["delay_ms"]
                 feature = f"{WIDTH}x{size // WIDTH};frames={frames};ms={ms};grey=" + ",".join(map(str, greys.tolist()))
-                rows.append((doc, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                told = (size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, frames, ms, greys.tolist())
+                for column, value in zip(out.values(), told, strict=True):
+                    column.append(value)
+            return out
+
+        return read
 
-    return media.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return per_row(media.select("doc_id", "n_bytes", "media"), make, READ, passed=("doc_id", "n_bytes"))

@@ -11,18 +11,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import per_row, text_or_empty
 
 #: Ordinary documents that the unknown class learns from at most (the first in hash order of their ids), and paragraphs of
 #: them (the first in hash order of their texts).
 ORDINARY_DOCUMENTS = 300
 ORDINARY_PARAGRAPHS = 3000
+#: Characters of such a paragraph that are learned from at most.
+ORDINARY_LENGTH = 4000
 VARIANTS = 24
 GRAMS = 3
 #: Share of a notice's three-word runs that a paragraph must hold.
@@ -108,8 +109,11 @@ def fit_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Train on variants of the notices and on ``paragraphs`` paragraphs of ``ordinary`` documents at most; half of a notice's runs make a paragraph
     no example of the unknown class. Works without any document, too: the unknown class then learns from shuffled words alone."""
     rng = np.random.default_rng(seed)
-    some = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).select(F.col(text_col).alias("t")).limit(ordinary)
-    lines = some.select(F.explode(F.split("t", "\n")).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(paragraphs)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    chosen = rows.where("t is not null").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(ordinary)  # ids alone are sorted
+    some = rows.join(F.broadcast(chosen), "i")  # ``ordinary`` ids at most
+    parts = some.select(F.explode(F.split("t", "\n")).alias("p")).select(F.substring("p", 1, ORDINARY_LENGTH).alias("p"))
+    lines = parts.distinct().orderBy(F.xxhash64("p"), "p").limit(paragraphs)
     plain = [w for r in lines.collect() if (w := tokens(r["p"])) and max(template_share(f, w) for f in NOTICES) < 0.5]
     plain += [rng.permutation(sorted(_WORDS))[: rng.integers(1, 12)].tolist() for _ in range(60)]
     rows = [(0, w) for w in plain]
@@ -211,8 +215,21 @@ def paragraph_notices(lines: list[list[str]], model: LicenceModel, confirm: floa
     return list(best.values()), least
 
 
-OUT = "doc_id long, n_paragraphs long, n_notices long, family string, probability double, template_share double, confirmed boolean, paragraph_no int, notices array<struct<family:string,probability:double,template_share:double,confirmed:boolean,paragraph_no:int>>"
-_COLUMNS = ["doc_id", "n_paragraphs", "n_notices", "family", "probability", "template_share", "confirmed", "paragraph_no", "notices"]
+OUT = "n_paragraphs long, n_notices long, family string, probability double, template_share double, confirmed boolean, paragraph_no int, notices array<struct<family:string,probability:double,template_share:double,confirmed:boolean,paragraph_no:int>>"
+
+
+def _scanned(text: str, model: LicenceModel, confirm: float) -> tuple:
+    """The values of OUT for one text."""
+    found, least, parts = [], 1.0, paragraphs_of(text)
+    for no, lines in enumerate(parts):
+        got, unknown = paragraph_notices(lines, model, confirm)
+        found += [(share, p, -no, f) for share, p, f in got]
+        least = min(least, unknown)
+    listed = [{"family": f, "probability": p, "template_share": share, "confirmed": share >= confirm, "paragraph_no": -no} for share, p, no, f in sorted(found, key=lambda x: (-x[2], x[3]))]
+    if not found:
+        return len(parts), 0, UNKNOWN, least, 0.0, False, -1, listed
+    best = max(found)
+    return len(parts), len(found), best[3], best[1], best[0], best[0] >= confirm, -best[2], listed
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None, *, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:
@@ -220,25 +237,13 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None, *, id_col:
 
     A paragraph has one notice of a family at most; the best notice is a confirmed one, then the one with the largest template share,
     then the likeliest, then the first. Without notices, and for null and empty texts, ``family`` is ``unknown`` with the least unknown
-    probability of any paragraph (1 without paragraphs), ``paragraph_no`` -1. Repeated rows repeat; other columns play no part.
+    probability of any paragraph (1 without paragraphs), ``paragraph_no`` -1. Null ids stay null; repeated rows repeat; an empty table
+    gives an empty result; other columns play no part.
     """
     model = model or fit_licences(docs, id_col=id_col, text_col=text_col)
+    names = [x.split()[0] for x in OUT.split(", ")]
+
+    def make():
+        return lambda texts: dict(zip(names, zip(*(_scanned(t, model, confirm) for t in texts), strict=True), strict=True))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                found, least, parts = [], 1.0, paragraphs_of(text)
-                for no, lines in enumerate(parts):
-                    got, unknown = paragraph_notices(lines, model, confirm)
-                    found += [(share, p, -no, f) for share, p, f in got]
-                    least = min(least, unknown)
-                listed = [{"family": f, "probability": p, "template_share": share, "confirmed": share >= confirm, "paragraph_no": -no} for share, p, no, f in sorted(found, key=lambda x: (-x[2], x[3]))]
-                if found:
-                    best = max(found)
-                    rows.append((doc, len(parts), len(found), best[3], best[1], best[0], best[0] >= confirm, -best[2], listed))
-                else:
-                    rows.append((doc, len(parts), 0, UNKNOWN, least, 0.0, False, -1, listed))
-            yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(scan, OUT)
+    return per_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), make, OUT)

@@ -4,7 +4,8 @@ A document longer than a chunk is encoded in overlapping chunks with offsets. Tw
 their overlap that is proven stable: both encodings start a pre-token there, it lies at least ``GUARD`` characters inside the overlap
 on both sides (longer than any special string, which neither chunk then cuts before it), and the left chunk has two more whole pre-tokens
 after it, so that its end played no part. From such a place on, the splitter sees the same text and does the same. Where an
-overlap has none (a run of letters or spaces longer than it), the left chunk is widened until it has one or reaches the end of the text.
+overlap has none (a run of letters or spaces longer than it), the left chunk is widened, by twice as much each time, until it has one or
+reaches the end of the text: the work stays in proportion to the text.
 
 Other texts are encoded whole, or word by word through a cache where single spaces between plain characters prove the same boundaries.
 """
@@ -13,13 +14,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import per_row, text_or_empty
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -48,8 +47,9 @@ class Counter:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        if max((len(t.content) for t in self.tok.get_added_tokens_decoder().values()), default=0) >= GUARD:
-            raise ValueError(f"a special string has {GUARD} characters or more")
+        for t in self.tok.get_added_tokens_decoder().values():
+            if len(t.content) >= GUARD or " " in t.content or t.lstrip or t.rstrip or t.single_word:
+                raise ValueError(f"special strings of {GUARD} characters or more, with spaces, or that take in what is beside them aren't counted here")
         self.chunk, self.overlap = chunk, max(overlap, 4 * GUARD)
         self.words: dict[str, int] = {}
         self.widened = 0
@@ -67,7 +67,7 @@ class Counter:
 
     def spliced(self, text: str) -> int:
         """Tokens of a text longer than a chunk."""
-        total, start, stop = 0, 0, self.chunk
+        total, start, stop, more = 0, 0, self.chunk, self.chunk
         skip = 0  # tokens of the current chunk count from this character on
         left = self._encode(text, start, stop)
         while stop < len(text):
@@ -78,11 +78,11 @@ class Counter:
             seam = next((at for at, _ in right if at in ours), None)
             if seam is None:  # widen: the left chunk takes in more text, the overlap moves on
                 self.widened += 1
-                stop = min(len(text), stop + self.chunk)
+                stop, more = min(len(text), stop + more), 2 * more
                 left = self._encode(text, start, stop)
                 continue
             total += sum(n for at, n in left if skip <= at < seam)
-            left, start, stop, skip = right, begin, fresh_stop, seam
+            left, start, stop, skip, more = right, begin, fresh_stop, seam, self.chunk
         return total + sum(n for at, n in left if at >= skip)
 
     def count(self, texts: list[str]) -> list[int]:
@@ -116,19 +116,16 @@ class Counter:
 def count_tokens(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row: tokens as the library for the file at ``path`` counts them.
 
-    Null texts count as empty and have 0 tokens. Texts of any length are encoded whole. Repeated rows give repeated results, an empty
-    table none. The file must be at ``path`` on every executor. Other columns play no part.
+    Null texts count as empty and have 0 tokens; null ids stay null. Texts of any length are encoded whole. Repeated rows give repeated
+    results, an empty table none. The file must be at ``path`` on every executor. Other columns play no part.
     """
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = Counter(path, chunk=chunk, overlap=overlap)
-        for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                n = counter.count(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["id"], "n_bytes": part["n_bytes"], "n_tokens": n})
+        return lambda texts: {"n_tokens": counter.count(texts)}
 
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    counted = per_row(rows, make, "n_tokens long", passed=("doc_id", "n_bytes"), piece=512)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
