@@ -37,7 +37,9 @@ SMALLEST = 1 / 64
 #: Added to each class transition.
 ALPHA = 0.1
 #: Distinct words whose counts a task holds before it passes them on, and tokens whose pairs it holds.
-FLUSH, TOKENS = 250_000, 3_000_000
+FLUSH, TOKENS = 200_000, 1_500_000
+#: Tokens whose pairs are added up for a bucket in one task; with more, they are first added up in as many parts.
+MERGED = 500_000_000
 HELD_OUT = 1
 
 
@@ -143,9 +145,13 @@ _PARTS = "bucket int, side int, x binary, u binary, n binary"
 _STATIC = "bucket int, words binary, own binary, start binary, u binary, n binary"
 
 
-def neighbours(texts: DataFrame, heads: Heads, buckets: int) -> DataFrame:
+def neighbours(texts: DataFrame, heads: Heads, buckets: int, *, salts: int = 1) -> DataFrame:
     """A row a bucket of units (those with this remainder): the units, their pairs with themselves, and where their pairs with units
-    after them and before them start (two places a unit) in the lists of neighbours and counts."""
+    after them and before them start (two places a unit) in the lists of neighbours and counts.
+
+    Rare words and ends do not move: of theirs only the pairs among each other are held. With ``salts`` over 1 the findings of the
+    tasks are first added up in so many parts a bucket, so that no task gets a frequent word's pairs from all of them.
+    """
 
     def flush(seen: _Seen, held: list[int]) -> pd.DataFrame:
         unit = heads.units_of(seen)[1]
@@ -154,9 +160,11 @@ def neighbours(texts: DataFrame, heads: Heads, buckets: int) -> DataFrame:
         key, n = np.unique(path[:-1] * heads.units + path[1:], return_counts=True)
         a, b, n, rows = (key // heads.units).astype(np.int32), (key % heads.units).astype(np.int32), n.astype(np.int32), []
         for side, x, u in ((AFTER, a, b), (BEFORE, b, a)):
-            order = np.argsort(x % buckets, kind="stable")
+            held_ = np.flatnonzero((x < heads.rare) | (u >= heads.rare))
+            order = held_[np.argsort(x[held_] % buckets, kind="stable")]
             for part in np.split(order, np.flatnonzero(np.diff(x[order] % buckets)) + 1):
-                rows.append((int(x[part[0]] % buckets), side, x[part].tobytes(), u[part].tobytes(), n[part].tobytes()))
+                if len(part):
+                    rows.append((int(x[part[0]] % buckets), side, x[part].tobytes(), u[part].tobytes(), n[part].tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "side", "x", "u", "n"])
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +179,8 @@ def neighbours(texts: DataFrame, heads: Heads, buckets: int) -> DataFrame:
         if len(held) > 1:
             yield flush(seen, held)
 
-    def gather(found: pd.DataFrame) -> pd.DataFrame:
+    def added(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units, and sorted keys (place of the unit, side, neighbour) with their counts."""
         x, u, n = (np.concatenate([np.frombuffer(r, np.int32) for r in found[c]]) for c in ("x", "u", "n"))
         side = np.repeat(found["side"].to_numpy(), [len(r) // 4 for r in found["x"]])
         units, at = np.unique(x, return_inverse=True)
@@ -179,16 +188,32 @@ def neighbours(texts: DataFrame, heads: Heads, buckets: int) -> DataFrame:
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        n, slot, u = np.add.reduceat(n, first), key[first] // heads.units, key[first] % heads.units
+        return units, key[first], np.add.reduceat(n, first).astype(np.int32)
+
+    def combine(found: pd.DataFrame) -> pd.DataFrame:
+        units, key, n = added(found)
+        slot, u, rows = key // heads.units, (key % heads.units).astype(np.int32), []
+        for side in (AFTER, BEFORE):
+            i = np.flatnonzero(slot % 2 == side)
+            rows.append((int(found["bucket"].iloc[0]), side, units[slot[i] >> 1].tobytes(), u[i].tobytes(), n[i].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "side", "x", "u", "n"])
+
+    def gather(found: pd.DataFrame) -> pd.DataFrame:
+        units, key, n = added(found)
+        slot, u = key // heads.units, key % heads.units
         self_ = units[slot >> 1] == u
         own = np.zeros(len(units), np.int64)
         own[(slot >> 1)[self_ & (slot % 2 == AFTER)]] = n[self_ & (slot % 2 == AFTER)]
-        slot, u, n = slot[~self_], u[~self_].astype(np.int32), n[~self_].astype(np.int32)
+        slot, u, n = slot[~self_], u[~self_].astype(np.int32), n[~self_]
         start = np.searchsorted(slot, np.arange(2 * len(units) + 1))
         row = (int(found["bucket"].iloc[0]), units, own, start, u, n)
         return pd.DataFrame([tuple(v.tobytes() if isinstance(v, np.ndarray) else v for v in row)], columns=[c.split()[0] for c in _STATIC.split(", ")])
 
-    return texts.select("text").mapInPandas(pairs, _PARTS).groupBy("bucket").applyInPandas(gather, _STATIC)
+    parts = texts.select("text").mapInPandas(pairs, _PARTS)
+    if salts > 1:
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("x", "u"), F.lit(salts)))
+        parts = salted.groupBy("bucket", "salt").applyInPandas(combine, _PARTS)
+    return parts.groupBy("bucket").applyInPandas(gather, _STATIC)
 
 
 class _Bucket:
@@ -200,11 +225,13 @@ class _Bucket:
 
     def table(self, cls: np.ndarray, classes: int) -> np.ndarray:
         """Pairs of classes, the unit's first."""
-        side = np.repeat(np.arange(2 * len(self.units)), np.diff(self.start))
-        after = side % 2 == AFTER
-        a = cls[self.units].astype(np.int64)
-        out = np.bincount(a[side[after] >> 1] * classes + cls[self.u[after]], self.n[after], classes * classes)
-        return out + np.bincount(a * (classes + 1), self.own, classes * classes)
+        slot, rare = np.repeat(np.arange(2 * len(self.units)), np.diff(self.start)), len(cls) - 2
+        a, c = cls[self.units[slot >> 1]].astype(np.int64), cls[self.u]
+        still = (self.u >= rare) & (self.units[slot >> 1] < rare)
+        after, before = slot % 2 == AFTER, (slot % 2 == BEFORE) & still  # pairs that only the mover holds
+        out = np.bincount(a[after] * classes + c[after], self.n[after], classes * classes)
+        out += np.bincount(c[before] * np.int64(classes) + a[before], self.n[before], classes * classes)
+        return out + np.bincount(cls[self.units].astype(np.int64) * (classes + 1), self.own, classes * classes)
 
     def choose(self, cls: np.ndarray, table: np.ndarray, near, part: float, turn: int, classes: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Units that move and their new classes, and how many would: the share ``part`` may in this turn."""
@@ -321,11 +348,12 @@ def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     order = np.lexsort((ids, -top_n))
     ids, top_n = ids[order], top_n[order]
     heads = Heads(ids)
-    static = cut(neighbours(train, heads, max(4, math.ceil(2 * (all_n + ends) / BUCKET))))
+    tokens = int(all_n) + ends
+    static = cut(neighbours(train, heads, max(4, math.ceil(2 * tokens / BUCKET)), salts=math.ceil(tokens / MERGED)))
     cls, steps = cluster(static, heads.units, classes=classes, sweeps=sweeps)
 
     jump = np.log10((steps + ALPHA) / (steps.sum(1, keepdims=True) + ALPHA * classes))
-    total, distinct = int(all_n) + ends, kinds + (ends > 0)
+    total, distinct = tokens, kinds + (ends > 0)
     under = float(np.log10(total + 0.5 * (distinct + 1)))
     heads_n, heads_kinds = np.bincount(cls[: heads.rare], top_n, classes), np.bincount(cls[: heads.rare], minlength=classes)
     logs = np.concatenate((np.log10(top_n + 0.5), [0.0, np.log10(ends + 0.5)]))  # rare words' own logarithms come later
