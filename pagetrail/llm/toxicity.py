@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,7 +31,8 @@ LEAST = 5
 #: Lower bound (z = 2.6) of the share of toxic texts among those with a term.
 SHARE = 0.5
 PREFIXES = (4, 5, 6)
-MEMO = 300_000
+#: Tokens whose codes, or terms whose counts, a worker holds.
+MEMO = 150_000
 
 # Second-person words, and characters that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -130,20 +132,23 @@ def learn_lexicon(sample: DataFrame, *, most: int = LEXICON, least: int = LEAST,
     One text of each family of near copies counts. Counts are added up in Spark; the driver gets ``most`` terms at most.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(seen: Counter, toxic: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64()), pa.array([toxic[t] for t in seen], pa.int64())], ["term", "n", "k"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
         for b in batches:
-            for text, label in zip(b["text"], b["label"], strict=True):
-                found = {t for w in set(text.lower().split()) for p in set(plain(w)) for t in terms(p)}
+            for text, label in zip(b.column("text"), b.column("label"), strict=True):
+                found = {t for w in set(text.as_py().lower().split()) for p in set(plain(w)) for t in terms(p)}
                 seen.update(found)
-                if label:
+                if label.as_py():
                     toxic.update(found)
-            if len(seen) > MEMO:
-                yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "k": [toxic[t] for t in seen]})
-                seen, toxic = Counter(), Counter()
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "k": [toxic[t] for t in seen]})
+                if len(seen) > MEMO:
+                    yield told(seen, toxic)
+                    seen, toxic = Counter(), Counter()
+        yield told(seen, toxic)
 
-    counted = sample.select("text", "label").mapInPandas(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counted = sample.select("text", "label").mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     z, p = 2.6, F.col("k") / F.col("n")
     low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     best = counted.where(F.col("k") >= least).withColumn("low", low).where(F.col("low") >= share).orderBy(F.desc("low"), F.desc("k"), "term").limit(most)
@@ -157,15 +162,14 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.base = lexicon, trees, calibration, base
 
     def score(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-        """``docs`` as a struct ``_row`` with ``score``: the calibrated probability, in which a twentieth is the trees' own, so that
-        texts on one step of the calibration keep their order. Null texts count as empty and are scored like them."""
+        """``docs`` as a struct ``_row`` with ``score``, the calibrated probability. Null texts count as empty and are scored like them."""
         rows = docs.select(F.struct("*").alias("_row"))
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.base))
         vectors = rows.withColumn("_x", array_to_vector(features(text_or_empty(F.col("_row")[text_col]), self.lexicon)))
         told = _raw(self.trees, vectors)
         told = self.calibration.transform(told)
-        return told.select("_row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.95 * F.col("_iso") + 0.05 * F.col("_raw"))).alias("score"))
+        return told.select("_row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_iso"))).alias("score"))
 
 
 def _raw(trees, vectors: DataFrame) -> DataFrame:
@@ -175,8 +179,9 @@ def _raw(trees, vectors: DataFrame) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 7) -> ToxicityModel:
     """Learn from labelled rows whose crc32(id) mod 5 is not 0, ``rows`` of them at most, the first in hash order of their ids.
 
-    Rows without a label, text or id teach nothing. Four fifths fit the trees, one fifth the calibration. With fewer than LEAST rows
-    of either class there is no fit and every score is the share of toxic rows (0 without labels).
+    Rows without a label, text or id teach nothing. Families of near copies are dealt to five folds: four give a lexicon and trees, and
+    the fifth, which they have not seen, their calibration. Lexicon and trees are then learned again from all five. With fewer than LEAST rows of either class in the four there is no fit and every
+    score is the share of toxic rows (0 without labels).
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
     known = known.where(remainder(F.col("_id")) != 0).orderBy(F.xxhash64("_id"), "_id").limit(rows)
@@ -187,19 +192,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     def family(text: pd.Series) -> pd.Series:
         return text.map(_family)
 
-    sample = cut(sample.withColumn("_family", family("text")))
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    sample = cut(sample.withColumn("_family", family("text")).withColumn("_fold", F.pmod(F.xxhash64("_family", F.lit(seed)), F.lit(5))))
+    told = {r["fit"]: r for r in sample.groupBy((F.col("_fold") != 0).alias("fit")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).collect()}
+    n, toxic = (sum(r[c] for r in told.values()) for c in ("n", "toxic"))
     base = toxic / n if n else 0.0
-    if min(toxic, n - toxic) < LEAST:
+    if len(told) < 2 or min(told[True]["toxic"], told[True]["n"] - told[True]["toxic"]) < LEAST:
         return ToxicityModel({}, None, None, base)
-    lexicon = learn_lexicon(sample.groupBy("_family").agg(F.min_by("text", "_id").alias("text"), F.min_by("label", "_id").alias("label")))
-    vectors = sample.select(F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(5)).alias("_fold"), array_to_vector(features(F.col("text"), lexicon)).alias("_x"))
-    vectors = cut(vectors.withColumn("_x", vector_to_array("_x"))).withColumn("_x", array_to_vector("_x"))
-    trees = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=4, maxIter=12, stepSize=0.3, seed=seed).fit(vectors.where("_fold <> 0"))
-    calibration = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_iso").fit(_raw(trees, vectors.where("_fold = 0")).select("_raw", "label"))
+    lexicon, trees, rest = _trees(sample, F.col("_fold") != 0, seed)
+    calibration = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_iso").fit(_raw(trees, rest).select("_raw", "label"))
+    lexicon, trees, _ = _trees(sample, F.lit(True), seed)
     return ToxicityModel(lexicon, trees, calibration, base)
 
 
+def _trees(sample: DataFrame, fit: Column, seed: int) -> tuple[dict[str, float], object, DataFrame]:
+    """Lexicon and trees from the rows for which ``fit`` holds, and the vectors of the others."""
+    sample = sample.withColumn("_fit", fit)
+    lexicon = learn_lexicon(sample.where("_fit").groupBy("_family").agg(F.min_by("text", "_id").alias("text"), F.min_by("label", "_id").alias("label")))
+    vectors = cut(sample.select(F.col("label").cast("double").alias("label"), "_fit", features(F.col("text"), lexicon).alias("_x"))).withColumn("_x", array_to_vector("_x"))
+    trees = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=4, maxIter=12, stepSize=0.3, seed=seed).fit(vectors.where("_fit"))
+    return lexicon, trees, vectors.where("not _fit")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; ``held_out`` rows taught nothing.
 
@@ -212,5 +225,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **fit) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, as they were."""
+    """The rows of ``docs`` that score below 0.5, as they were; edge cases as in :func:`score_toxicity`. Other columns are passed on."""
     return fit_toxicity(docs, labels, text_col=text_col, **fit).score(docs, text_col=text_col).where("score < 0.5").select("_row.*")
