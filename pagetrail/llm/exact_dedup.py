@@ -1,8 +1,12 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
 Pass 1 counts, for every text's hash, how many rows set each of its two bits of a blocked Bloom filter, and keeps the bits that two
-or more rows set. Pass 2 tests each row against those bits. A row that fails the test has no equal and passes straight through; only
-the others shuffle, where a SHA-256 of the whole text decides. A false positive costs a shuffled row and never changes a result.
+or more rows set. Counts are combined in each task first, so that what it sends are a few bytes for each of its distinct bits and no
+rows. (Bitmaps of the tasks could be merged instead only with a pair of bitmaps for each bit of a row number, as an OR of bits can't tell
+one row from two: more bytes.) Pass 2 tests each row against the kept bits. A row that fails the test has no equal and passes straight
+through; only the others shuffle, where a SHA-256 of the whole text decides. A false positive costs a shuffled row and never changes a
+result. The filter is sized from the number of rows, up to 128 MB; beyond some 70 million rows more and more rows shuffle (their id and
+digest, some 50 bytes), and results stay the same.
 """
 
 from __future__ import annotations
@@ -14,6 +18,16 @@ from .common import cut, text_or_empty
 
 #: Bits of one block: what bitmap_construct_agg packs into one binary.
 BLOCK_BITS = 1 << 15
+#: Bits a row, of which a row sets two, and the largest filter.
+BITS_A_ROW = 16
+MOST_BITS = 1 << 30
+#: Texts with a larger share of the rows than one in so many are joined by broadcast: there are fewer than that.
+HOT = 10_000
+
+
+def bits_for(rows: int) -> int:
+    """Bits of a filter for so many rows: a power of two."""
+    return min(MOST_BITS, max(BLOCK_BITS, 1 << (BITS_A_ROW * max(rows, 1) - 1).bit_length()))
 
 
 def _bits(h: Column, blocks: int) -> Column:
@@ -22,7 +36,7 @@ def _bits(h: Column, blocks: int) -> Column:
     return F.struct(h.bitwiseAND(F.lit(blocks - 1)).cast("int").alias("block"), at(30).cast("int").alias("b1"), at(46).cast("int").alias("b2"))
 
 
-def repeated_bits(texts: DataFrame, *, text_col: str = "text", filter_bits: int = 1 << 27) -> DataFrame:
+def repeated_bits(texts: DataFrame, *, filter_bits: int, text_col: str = "text") -> DataFrame:
     """Pass 1: ``block, bitmap`` of the bits that at least two rows set.
 
     Counts are combined before the shuffle, so that a text with a third of the rows sends a few rows a task. The result has at most
@@ -56,7 +70,7 @@ def key_filter(keys: DataFrame, h: Column, filter_bits: int) -> DataFrame:
     return bits.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
 
 
-def maybe_repeated(docs: DataFrame, bits: DataFrame, *, text_col: str = "text", filter_bits: int = 1 << 27) -> DataFrame:
+def maybe_repeated(docs: DataFrame, bits: DataFrame, *, filter_bits: int, text_col: str = "text") -> DataFrame:
     """Pass 2: the rows of ``docs`` as a struct ``_row``, with ``_maybe``: false proves that no other row has this text."""
     rows = docs.select(F.struct("*").alias("_row"))
     return flag(rows, bits, F.xxhash64(text_or_empty(F.col("_row")[text_col])), filter_bits).select("_row", "_maybe")
@@ -66,29 +80,34 @@ def _sha(text: Column) -> Column:
     return F.sha2(text_or_empty(text), 256)
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 27, salts: int = 8) -> DataFrame:
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null texts count as empty, and empty texts equal each other. Of equal texts the largest id stays (null ids are smallest; ids that
     are null throughout give ``keep_id`` null and ``kept`` true). Rows that repeat both id and text are counted in ``group_size`` and
-    share one decision. Other columns, whatever their names, play no part. An empty table gives an empty result. Groups meet their
-    rows under ``salts`` salts, so that the rows of one text come to several tasks.
+    share one decision. Other columns, whatever their names, play no part. An empty table gives an empty result. Texts with more than
+    one row in ``hot`` meet their group by broadcast, so that no task gets all rows of such a text.
     """
+    filter_bits = filter_bits or bits_for(docs.count())
     bits = repeated_bits(docs, text_col=text_col, filter_bits=filter_bits)
     marked = maybe_repeated(docs, bits, text_col=text_col, filter_bits=filter_bits)
     rows = cut(marked.select(F.col("_row")[id_col].alias("doc_id"), _sha(F.col("_row")[text_col]).alias("text_sha256"), "_maybe"))
     columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     alone = rows.where("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = rows.where("_maybe")
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    told = again.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(groups, ["text_sha256", "_salt"])
+    groups = cut(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    large = F.col("group_size") > max(1000, again.count() // hot)
+    often = groups.where(large)  # fewer than ``hot`` rows
+    told = again.join(F.broadcast(often), "text_sha256")
+    rest = again.join(F.broadcast(often.select("text_sha256")), "text_sha256", "left_anti").join(groups.where(~large), "text_sha256")
+    told = told.unionByName(rest)
     return alone.unionByName(told.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")).select(*columns)
 
 
-def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 27) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they were: of equal texts the one with the largest id, and one of rows
     that repeat both. Edge cases as in :func:`exact_duplicates`."""
+    filter_bits = filter_bits or bits_for(docs.count())
     bits = cut(repeated_bits(docs, text_col=text_col, filter_bits=filter_bits))
     marked = maybe_repeated(docs, bits, text_col=text_col, filter_bits=filter_bits)
     again = marked.where("_maybe").select("_row", F.col("_row")[id_col].alias("_id"), _sha(F.col("_row")[text_col]).alias("_sha"))

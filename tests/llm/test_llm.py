@@ -81,16 +81,20 @@ def test_gif_disposal_and_transparency():
     assert len(list(gif.gif_frames(data[:-20]))) >= 2
 
 
-def test_exact_dedup(some):
+def test_exact_dedup(some, spark):
     rows = some.collect()
     by = Counter(r.text or "" for r in rows)
     top = {}
     for r in rows:
         top[r.text or ""] = max(top.get(r.text or "", -1), r.doc_id)
-    for bits in (1 << 15, 1 << 27):
+    assert [exact_dedup.bits_for(n) for n in (0, 1, 2048, 2049, 10**10)] == [1 << 15, 1 << 15, 1 << 15, 1 << 16, 1 << 30]
+    for bits in (1 << 15, None):
         got = exact_dedup.exact_duplicates(some, filter_bits=bits).collect()
         want = sorted((r.doc_id, top[r.text or ""], by[r.text or ""], r.doc_id == top[r.text or ""], hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows)
         assert sorted(map(tuple, got)) == want
+    copies = make(spark, [(i, "the same" if i % 3 == 0 else f"other {i}", "a") for i in range(6000)])
+    hot = exact_dedup.exact_duplicates(copies).where("text_sha256 = sha2('the same', 256)")
+    assert {tuple(r[1:3]) for r in hot.collect()} == {(5997, 2000)} and hot.where("kept").count() == 1
     kept = exact_dedup.drop_exact_duplicates(some)
     assert kept.columns == some.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(top.values()))
