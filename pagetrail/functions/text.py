@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters folded by the n-gram matcher, ligatures and their parts, speaker tags, function words.
-FOLD_FROM, FOLD_TO = "éèêëàâäáîïíôöóùüúçñ", "eeeeaaaaiiiooouuucn"
+LONG_U = "ûùüú"
 LIGATURES = {"ﬓ": "մն", "ﬔ": "մե", "ﬕ": "մի", "ﬖ": "վն", "ﬗ": "մխ", "և": "եւ"}
 SPEAKERS = {"CHR": "choir", "CLB": "celebrant", "DCN": "deacon", "SRK": "deacon"}
 CUES = ("the", "and", "of", "lord", "with", "for")
@@ -17,12 +18,27 @@ SCRIPT = r"[\x{0530}-\x{058F}\x{FB00}-\x{FB17}]"
 LATIN = r"[\x{0041}-\x{007A}\x{00C0}-\x{024F}]"
 
 
+def _folded() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters without them."""
+    marked = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower()}
+    marked = {c: base for c, base in marked.items() if base != c and base.isascii()}
+    return "".join(marked), "".join(marked.values())
+
+
+FOLD_FROM, FOLD_TO = _folded()
+
+
 def normalize_text(col: Column, *, profile: str = "ngram") -> Column:
-    """``ngram`` folds accents (û to oo) and marks to spaces; ``page_id`` keeps letters and digits; ``live`` keeps letters. Null stays null."""
+    """``ngram`` takes ligatures apart, folds accents (û, ù, ü and ú to oo) and keeps letters a-z, digits and Armenian script; ``page_id``
+    keeps letters and digits; ``live`` keeps letters. The rest becomes single spaces. Null stays null."""
     low = F.lower(col)
     if profile == "ngram":
-        low = F.translate(F.replace(low, F.lit("û"), F.lit("oo")), FOLD_FROM, FOLD_TO)
-        kept = r"[^a-z0-9]+"
+        for ligature, parts in LIGATURES.items():
+            if ligature >= "ﬓ":  # not the letter ew
+                low = F.replace(low, F.lit(ligature), F.lit(parts))
+        low = F.translate(F.regexp_replace(low, f"[{LONG_U}]", "oo"), FOLD_FROM, FOLD_TO)
+        low = F.regexp_replace(low, r"[\x{0300}-\x{036F}]", "")
+        kept = r"[^a-z0-9\x{0530}-\x{058F}]+"
     elif profile == "page_id":
         kept = r"[^\p{L}\p{N}]+"
     elif profile == "live":
@@ -98,7 +114,7 @@ def explain_advance(score: Column, speaker_changed: Column) -> Column:
 # Sounds of letters, of letters in place (rules in order, ^ is the start of a word), and abbreviations.
 LETTERS = dict(zip("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "a p k t e z e u t zh i l kh dz g h ts gh ch m y n sh o ch b j r s v d r ts v p k o f".split(), strict=True))
 IN_PLACE = (("^ու(?=[աեիոօէը])", "vo"), ("ու(?=[աեիոօէը])", "v"), ("ու", "oo"), ("իւ", "yoo"), ("^եւ", "yev"), ("եւ", "ev"), ("^ե", "ye"), ("^ո", "vo"), ("^Ե", "Ye"), ("^Ո", "Vo"))
-ABBREVIATIONS = {"ԴՊՐ": "Tpir", "ՍՐԿ": "Srk", "ՔՀՆ": "Khn"}
+ABBREVIATIONS = {"ԴՊՐ": "Tpir", "ՍՐԿ": "Srk", "ՔՀՆ": "Khn", "ԿԱՆԳՆԻԼ": "Gankneel", "ՆՍՏԻԼ": "Nsdeel", "ՈՏՔԻ": "Vodki"}
 _SOUNDS = str.maketrans(LETTERS | {k.upper(): v.capitalize() for k, v in LETTERS.items()})
 _TRAIL = re.compile(r"[\s.,:;՛՜՝՞։֊]+$")
 
@@ -126,46 +142,59 @@ def transliterate(word: Column, *, profile: str = "matcher") -> Column:
     return run(word)
 
 
-# Shapes of secrets.
+# Shapes of secrets (matched in any case), and how much of a long one stays.
 SECRETS = (
-    r"(?i)\b(?:api|access|auth)[_-]?(?:key|token)\b\s*[=:]\s*[\"']?([A-Za-z0-9_\-./+=]{8,})",
-    r"(?i)\b(?:password|passwd|secret|token)\b\s*[=:]\s*[\"']?([^\s\"',;]{6,})",
-    r"(?i)\bbearer\s+([A-Za-z0-9._\-+=]{18,})",
-    r"\b(sk-[A-Za-z0-9_-]{8,})",
-    r"\b(gh[pousr]_[A-Za-z0-9]{20,})",
-    r"\b(xox[baprs]-[A-Za-z0-9-]{10,})",
-    r"\b(AKIA[0-9A-Z]{16})\b",
-    r"\b(AIza[0-9A-Za-z\-_]{20,})",
-    r"\b(npm_[A-Za-z0-9]{10,})",
+    r"""\b[A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)\b\s*[=:]\s*(["']?)([^\s"'\\]+)\1""",
+    r"""\"(?:apiKey|token|secret|password|passwd|accessToken|refreshToken)\"\s*:\s*\"([^\"]+)\"""",
+    r"""--(?:api[-_]?key|token|secret|password|passwd)\s+(["']?)([^\s"']+)\1""",
+    r"Authorization\s*[:=]\s*Bearer\s+([A-Za-z0-9._\-+=]+)",
+    r"\bBearer\s+([A-Za-z0-9._\-+=]{18,})\b",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----",
+    r"\b(sk-[A-Za-z0-9_-]{8,})\b",
+    r"\b(ghp_[A-Za-z0-9]{20,})\b",
+    r"\b(github_pat_[A-Za-z0-9_]{20,})\b",
+    r"\b(xox[baprs]-[A-Za-z0-9-]{10,})\b",
+    r"\b(xapp-[A-Za-z0-9-]{10,})\b",
+    r"\b(gsk_[A-Za-z0-9_-]{10,})\b",
+    r"\b(AIza[0-9A-Za-z\-_]{20,})\b",
+    r"\b(pplx-[A-Za-z0-9_-]{10,})\b",
+    r"\b(npm_[A-Za-z0-9]{10,})\b",
+    r"\b(\d{6,}:[A-Za-z0-9_-]{20,})\b",
 )
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
+WHOLE, FIRST, LAST = 18, 6, 4
 
 
 def mask(secret: str) -> str:
-    return "***" if len(secret) < 18 else f"{secret[:6]}…{secret[-4:]}"
-
+    return "***" if len(secret) < WHOLE else f"{secret[:FIRST]}…{secret[-LAST:]}"
 
-def _redacted(text: str, patterns: list[re.Pattern]) -> str:
-    def pem(m: re.Match) -> str:
-        lines = [x for x in m[0].splitlines() if x]
-        return m[0] if len(lines) < 3 and "redacted" in m[0] else f"{lines[0]}\n…redacted…\n{lines[-1]}"
 
-    text = _PEM.sub(pem, text)
-    for p in patterns:
-        text = p.sub(lambda m: m[0] if "…" in m[1] or m[1] == "***" else m[0].replace(m[1], mask(m[1])), text)
-    return text
+def _masked(m: re.Match) -> str:
+    if "PRIVATE KEY-----" in m[0]:
+        lines = [x for x in re.split(r"\r?\n", m[0]) if x]
+        return "***" if len(lines) < 2 else f"{lines[0]}\n…redacted…\n{lines[-1]}"
+    secret = next((g for g in reversed(m.groups()) if g), m[0])
+    return m[0].replace(secret, mask(secret), 1)
 
 
 def redact(col: Column, *, patterns: tuple[str, ...] = SECRETS) -> Column:
     """Secrets masked: fewer than 18 characters to ``***``, longer ones to first six and last four; keys in PEM keep their first and last
-    line. Redacting twice changes nothing. Null stays null."""
+    line. Only texts in which a pattern is found go to Python, where the mask is made of what was found. Null stays null."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        compiled = [re.compile(p) for p in patterns]
-        return texts.map(lambda t: None if t is None else _redacted(t, compiled))
+        compiled = [re.compile(p, re.I | re.A) for p in patterns]
 
-    return run(col)
+        def clean(text: str | None) -> str | None:
+            for p in compiled if text is not None else ():
+                text = p.sub(_masked, text)
+            return text
+
+        return texts.map(clean)
+
+    met = F.lit(False)
+    for p in patterns:
+        met = met | col.rlike(f"(?i){p}")
+    return F.coalesce(run(F.when(met, col)), col)
 
 
 def redact_fixed(col: Column, *, pattern: str = r"(password=)[^\s]+") -> Column:

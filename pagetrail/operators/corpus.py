@@ -55,10 +55,21 @@ def dictionary_stats(words: DataFrame) -> DataFrame:
     return words.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("total"), F.countDistinct("armenian").alias("distinct_words"), F.count_if(F.col("occurrences") > 3).alias("common"), F.count_if(F.col("occurrences") == 1).alias("rare"), F.countDistinct("page").alias("pages"))
 
 
-def phrase_index(pages: DataFrame, *, split: str = r"[.!?]", min_len: int = 11) -> DataFrame:
-    """``phrase, pages``: trimmed lower-case phrases of ``min_len`` characters or more, with their distinct pages in order."""
+#: Page numbers that a block of an index spans: a row holds that many pages at most, however common its word.
+BLOCK = 4096
+
+
+def _blocks(post: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """The keys, ``block`` and the sorted pages of each block."""
+    block = F.floor(F.col("page") / span).cast("long")
+    return post.withColumn("block", block).groupBy(*keys, "block").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+
+
+def phrase_index(pages: DataFrame, *, split: str = r"[.!?]", min_len: int = 11, span: int = BLOCK) -> DataFrame:
+    """``phrase, block, pages``: trimmed lower-case phrases of ``min_len`` characters or more, with their distinct pages in order, a row for
+    each block of ``span`` page numbers."""
     phrases = pages.select("page", F.explode(F.split(F.lower("text"), split)).alias("phrase")).select("page", F.trim("phrase").alias("phrase"))
-    return phrases.where(F.length("phrase") >= min_len).distinct().groupBy("phrase").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    return _blocks(phrases.where(F.length("phrase") >= min_len).distinct(), ["phrase"], span)
 
 
 def find_phrase(index: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -94,16 +105,17 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def build_inverted_index(tokens: DataFrame, *, stop: tuple[str, ...] = ()) -> DataFrame:
-    """``lang, word, pages, df`` from ``lang, word, page``."""
+def build_inverted_index(tokens: DataFrame, *, stop: tuple[str, ...] = (), span: int = BLOCK) -> DataFrame:
+    """``lang, word, block, pages, df`` from ``lang, word, page``: a row for each block of ``span`` page numbers; ``df`` counts its pages."""
     kept = tokens.where(~F.col("word").isin(*stop)) if stop else tokens
-    return kept.select("lang", "word", "page").distinct().groupBy("lang", "word").agg(F.sort_array(F.collect_list("page")).alias("pages"), F.count(F.lit(1)).alias("df"))
+    return _blocks(kept.select("lang", "word", "page").distinct(), ["lang", "word"], span).withColumn("df", F.size("pages").cast("long"))
 
 
-def build_dictionary(tokens: DataFrame) -> DataFrame:
-    """``word, first_page, occurrences, page_count`` and the pages of each word; counts are per word and page first."""
+def build_dictionary(tokens: DataFrame, *, span: int = BLOCK) -> DataFrame:
+    """``word, block, first_page, occurrences, page_count`` and the pages of each word in each block of ``span`` page numbers."""
     by_page = tokens.groupBy("word", "page").agg(F.count(F.lit(1)).alias("n"))
-    return by_page.groupBy("word").agg(F.min("page").alias("first_page"), F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("page_count"), F.sort_array(F.collect_list("page")).alias("pages"))
+    by_block = by_page.groupBy("word", F.floor(F.col("page") / span).cast("long").alias("block"))
+    return by_block.agg(F.min("page").alias("first_page"), F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("page_count"), F.sort_array(F.collect_list("page")).alias("pages"))
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pagetrail.functions import scoring as S
 
+from .matching import paired
+
 
 def apply_transitions(scored: DataFrame, edges: DataFrame, *, prev: str = "prev", default: float = 1e-5) -> DataFrame:
     """Scores times 1 + 10 times the probability of the step from the previous page; unseen steps have the default."""
@@ -51,9 +53,9 @@ def noise_sweep(fingerprints: DataFrame, *, levels: tuple[float, ...], seed: int
     unit = lambda i: F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(10_000)) / 5_000 - 1
     noisy = noisy.withColumn("v", F.transform("v", lambda x, i: x * (1 + F.col("level") * unit(i))))
     refs = centre.withColumnRenamed("page", "detected_page")
-    scored = noisy.join(F.broadcast(refs)).withColumn("score", S.cosine(F.col("v"), F.col("ref")))
-    w = Window.partitionBy("level", "id").orderBy(F.desc("score"), "detected_page")
-    best = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    scored = paired(noisy, refs).withColumn("score", S.cosine(F.col("v"), F.col("ref")))
+    first = F.max_by(F.struct("page", "detected_page"), F.struct("score", -F.col("detected_page"))).alias("best")  # combined before it shuffles
+    best = scored.groupBy("level", "id").agg(first).select("level", "best.*")
     return best.groupBy("level").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("page") == F.col("detected_page")).alias("correct"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import top_k, vector_topk
+from .matching import smallest_near, top_k, vector_topk
 
 # Names under which usage is logged.
 USAGE_NAMES = {
@@ -175,22 +175,44 @@ def hybrid_search(text_scores: DataFrame, vector_scores: DataFrame, *, k: int =
     return top_k(x.where(F.col("score") >= min_score), by=["query_id"], score="score", k=k, tie=["page"]).select("query_id", "page", "score", "rank")
 
 
+# What marks a message as worth remembering, and its categories in order.
+TRIGGERS = (
+    r"zapamatuj si|pamatuj|remember", r"preferuji|radši|nechci|prefer", r"rozhodli jsme|budeme používat", r"\+\d{10,}", r"[\w.-]+@[\w.-]+\.\w+",
+    r"můj\s+\w+\s+je|je\s+můj", r"my\s+\w+\s+is|is\s+my", r"i (like|prefer|hate|love|want|need)", r"always|never|important",
+)
+CATEGORIES = (("preference", r"prefer|radši|like|love|hate|want"), ("decision", r"rozhodli|decided|will use|budeme"), ("entity", r"\+\d{10,}|@[\w.-]+\.\w+|is called|jmenuje se"), ("fact", r"is|are|has|have|je|má|jsou"))
+EMOJI = r"[\x{1F300}-\x{1F9FF}]"
+
+
 def capture(messages: DataFrame, *, per_conversation: int = 3) -> DataFrame:
-    """Messages worth remembering: 10 to 500 characters, no markup or list, a trigger word; with a category; the first three each."""
-    t = F.lower("text")
-    good = F.length("text").between(10, 500) & ~F.col("text").rlike(r"^\s*[<\-*]") & t.rlike(r"remember|prefer|like|always|never|important|@|the ")
-    cat = F.when(t.rlike("prefer|like|love|hate"), "preference").when(t.rlike("decided|will use"), "decision").when(t.rlike(r"@|called"), "entity").when(t.rlike("is|are|has|have"), "fact").otherwise("other")
+    """Messages of users worth remembering: 10 to 500 characters with a trigger, no recalled context, markup, list with bold text, or more
+    than three emoji; with a category; the first three of each conversation."""
+    text, low = F.col("text"), F.lower("text")
+    listed = text.contains("**") & text.contains("\n-")
+    good = F.length(text).between(10, 500) & ~text.contains("<relevant-memories>") & ~(text.startswith("<") & text.contains("</")) & ~listed & (F.regexp_count(text, F.lit(EMOJI)) <= 3)
+    met = F.lit(False)
+    for trigger in TRIGGERS:
+        met = met | low.rlike(trigger)
+    cat = F.lit("other")
+    for name, words in reversed(CATEGORIES):
+        cat = F.when(low.rlike(words), name).otherwise(cat)
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return messages.where((F.col("role") == "user") & good).withColumn("category", cat).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_conversation).select("conv_id", "turn", "category")
+    return messages.where((F.col("role") == "user") & good & met).withColumn("category", cat).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_conversation).select("conv_id", "turn", "category")
 
 
-def near_duplicate_items(items: DataFrame, *, min_score: float = 0.95, k: int = 20) -> DataFrame:
-    """``id, duplicate_of``: the smallest id among an item's ``k`` nearest whose score reaches the minimum, if smaller than its own.
+def near_duplicate_items(items: DataFrame, *, min_score: float = 0.95) -> DataFrame:
+    """``id, duplicate_of``: the smallest id among all items whose score with this one reaches the minimum, if smaller than its own.
 
     A batch rule: unlike a serial store, an item can be a duplicate of one that is itself dropped.
     """
-    near = vector_topk(items, items, k=k, metric="l2").where((F.col("score") >= min_score) & (F.col("item_id") < F.col("query_id")))
-    return near.groupBy(F.col("query_id").alias("id")).agg(F.min("item_id").alias("duplicate_of"))
+    return smallest_near(items, min_score=min_score).withColumnRenamed("other", "duplicate_of")
+
+
+def delete_by_query(found: DataFrame, items: DataFrame, *, sure: float = 0.9) -> DataFrame:
+    """``items`` without those that a query names for certain: its only hit (``query_id, item_id, score``), with a score above ``sure``."""
+    single = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id"), F.max("score").alias("score"))
+    gone = single.where((F.col("n") == 1) & (F.col("score") > sure)).select(F.col("item_id").alias("_gone")).distinct()
+    return items.join(gone, F.col("id") == F.col("_gone"), "left_anti")
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:

@@ -99,26 +99,36 @@ def _variants(df: DataFrame, word: str, max_dist: int) -> DataFrame:
     return df.withColumn("_key", F.explode(out))
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, *, max_dist: int = 2) -> DataFrame:
-    """Pairs of words within ``max_dist`` edits, found by shared deletions and confirmed by the distance: no cross join."""
-    a = _variants(left.select(F.col("word").alias("left_word")).distinct(), "left_word", max_dist)
-    b = _variants(right.select(F.col("word").alias("right_word")).distinct(), "right_word", max_dist)
-    pairs = a.join(b, "_key").select("left_word", "right_word").distinct()
-    return pairs.where(F.levenshtein("left_word", "right_word", max_dist) >= 0)
+def _contained(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of words of which ``b`` is a part of ``a``, found by the parts of ``a``."""
+    size, word = F.length(a), F.col(a)
+    starts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(word, i, n)))
+    parts = outer.where(size > 0).select(a, F.explode(F.array_distinct(F.flatten(starts))).alias("_part"))
+    return parts.join(inner, F.col("_part") == F.col(b)).select("left_word", "right_word")
 
 
-def page_overlap(post: DataFrame, *, max_df: int | None = None) -> DataFrame:
-    """Shared distinct words of page pairs; ``max_df`` leaves out words on more pages, which carry little and make most pairs."""
-    if max_df:
-        post = post.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("word"))).where(F.col("_df") <= max_df).drop("_df")
-    a, b = post.withColumnRenamed("page", "page_a"), post.withColumnRenamed("page", "page_b")
-    return a.join(b, "word").where("page_a < page_b").groupBy("page_a", "page_b").agg(F.count(F.lit(1)).alias("shared"))
+def fuzzy_join(left: DataFrame, right: DataFrame, *, max_dist: int = 2, contains: bool = True) -> DataFrame:
+    """Pairs of words that are equal, of which one holds the other, or that are within ``max_dist`` edits: found by shared parts and
+    shared deletions, the latter confirmed by the distance. No cross join."""
+    x, y = left.select(F.col("word").alias("left_word")).distinct(), right.select(F.col("word").alias("right_word")).distinct()
+    pairs = _variants(x, "left_word", max_dist).join(_variants(y, "right_word", max_dist), "_key").select("left_word", "right_word")
+    pairs = pairs.where(F.levenshtein("left_word", "right_word", max_dist) >= 0)
+    if contains:
+        pairs = pairs.unionByName(_contained(x, y, "left_word", "right_word")).unionByName(_contained(y, x, "right_word", "left_word"))
+    return pairs.distinct()
+
+
+def page_overlap(asked: DataFrame, post: DataFrame) -> DataFrame:
+    """Shared distinct words of each asked page with every other page (``word, page`` both)."""
+    a, b = asked.withColumnRenamed("page", "page_a"), post.withColumnRenamed("page", "page_b")
+    return a.join(b, "word").where("page_a <> page_b").groupBy("page_a", "page_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def words_for_recordings(recordings: DataFrame, page_times: DataFrame, tokens: DataFrame) -> DataFrame:
     """Words of the pages that start within each recording."""
     covered = recordings.join(page_times, "recording").where("t <= duration").select("recording", "page").distinct()
-    return covered.join(tokens, "page").groupBy("recording", "word").agg(F.count(F.lit(1)).alias("count"))
+    counted = tokens.groupBy("page", "word").agg(F.count(F.lit(1)).alias("n"))  # a page's word is one row in the join
+    return covered.join(counted, "page").groupBy("recording", "word").agg(F.sum("n").alias("count"))
 
 
 def upsert_by_key(current: DataFrame, updates: DataFrame, *, keys: list[str], update_cols: list[str], version_col: str) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrail.functions import scoring as S
-
 from .corpus import document_frequency, rarity_weight
 
 
@@ -84,69 +80,95 @@ def words_to_pages(recognized: DataFrame, post: DataFrame) -> DataFrame:
     return met.withColumn("score", F.col("matches") * F.col("_s") / (F.col("matches") + 1)).drop("_s")
 
 
+#: Templates up to which they are broadcast, and rows of a block beyond that.
+BROADCAST_TEMPLATES, TEMPLATE_BLOCK = 20_000, 5_000
+
+
+def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``: a broadcast of few, else ``right`` in blocks, to each of which ``left`` goes."""
+    if right.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        return left.join(F.broadcast(right))
+    blocks = -(-right.count() // TEMPLATE_BLOCK)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*[c for c in right.columns]), F.lit(blocks)))
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+
+
 def score_templates(obs: DataFrame, templates: DataFrame, score: Column, *, k: int = 5) -> DataFrame:
-    """Best template of each word for each observation, the ``k`` best words. Templates are a bounded book's; the join is a broadcast of
-    them, and the sort keeps k rows of each observation."""
-    best = obs.join(F.broadcast(templates)).withColumn("score", score).groupBy("obs_id", "word").agg(F.max("score").alias("score"))
+    """Best template of each word for each observation, the ``k`` best words. Scores are combined before they shuffle."""
+    best = paired(obs, templates).withColumn("score", score).groupBy("obs_id", "word").agg(F.max("score").alias("score"))
     return top_k(best, by=["obs_id"], score="score", k=k, tie=["word"])
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 5, metric: str = "cosine", block: int = 2048) -> DataFrame:
-    """``query_id, item_id, score, rank``: all queries against all items, in blocks of matrix products.
-
-    Every partition of items meets every block of queries (``id, v``) and keeps its k best of each query; only those shuffle. Queries
-    are collected block by block as arrays of at most ``block`` rows, so memory stays bounded; items are never gathered.
-    """
-    spark = items.sparkSession
-    out = None
-    for part in _blocks(queries, block):
-        ids = np.array([r["id"] for r in part])
-        mat = np.array([r["v"] for r in part], dtype=np.float64)
-        found = items.select("id", "v").mapInPandas(_block_scorer(ids, mat, k, metric), "query_id long, item_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, item_id long, score double")
-    return top_k(out, by=["query_id"], score="score", k=k, tie=["item_id"])
-
-
-def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    held: list = []
-    for r in queries.select("id", "v").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _block_scorer(ids: np.ndarray, mat: np.ndarray, k: int, metric: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qn = np.linalg.norm(mat, axis=1)
-        best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-        for b in batches:
-            m = np.stack(b["v"].to_numpy())
-            d = mat @ m.T
-            n = np.linalg.norm(m, axis=1)
-            if metric == "cosine":
-                s = np.divide(d, qn[:, None] * n, out=np.zeros_like(d), where=(qn[:, None] * n) > 0)
-            else:
-                s = 1 / (1 + np.sqrt(np.maximum(qn[:, None] ** 2 + n**2 - 2 * d, 0)))
-            best_s = np.concatenate([best_s, s], 1)
-            best_i = np.concatenate([best_i, np.broadcast_to(b["id"].to_numpy(), s.shape)], 1)
-            order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "item_id": best_i.ravel(), "score": best_s.ravel()})
-
-    return run
-
-
-def best_self_match(items: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each item's most similar reference and how many pages off it is. References are a book's fingerprints: few and broadcast."""
-    r = refs.select(F.col("page").alias("best_page"), F.col("id").alias("_rid"), F.col("v").alias("_rv"))
-    scored = items.join(F.broadcast(r)).withColumn("score", S.cosine(F.col("v"), F.col("_rv")))
-    w = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "_rid")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "best_page", "score", F.abs(F.col("best_page") - F.col("page")).alias("page_error"))
+#: Rows of a block of queries and of items, and of queries compared at once.
+QUERY_BLOCK, ITEM_BLOCK, TILE = 4096, 32_768, 128
+
+
+def _met(queries: DataFrame, items: DataFrame, work, told: str) -> DataFrame:
+    """``work(query ids, vectors, item ids, vectors)`` for every block of queries with every block of items: both are dealt by a shuffle,
+    so that neither is ever whole in a task, on the driver or in a broadcast. Rows without a vector play no part."""
+    q, i = (x.where("v is not null").select(F.col("id").alias("id"), F.col("v").alias("v")) for x in (queries, items))
+    nq, ni = (max(1, -(-x.count() // size)) for x, size in ((q, QUERY_BLOCK), (i, ITEM_BLOCK)))
+    names = [x.split()[0] for x in told.split(", ")]
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("a", place(nq)).withColumn("b", every(ni))
+    i = i.withColumn("b", place(ni)).withColumn("a", every(nq))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
+        return work(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()))
+
+    return q.groupBy("a", "b").cogroup(i.groupBy("a", "b")).applyInPandas(run, told)
+
+
+def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    d, na, nb = a @ b.T, np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    if metric == "cosine":
+        return np.divide(d, na[:, None] * nb, out=np.zeros_like(d), where=(na[:, None] * nb) > 0)
+    return 1 / (1 + np.sqrt(np.maximum(na[:, None] ** 2 + nb**2 - 2 * d, 0)))
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 5, metric: str = "cosine", digits: int | None = None) -> DataFrame:
+    """``query_id, item_id, score, rank``: all queries against all items (``id, v``), in blocks of matrix products of which only the ``k``
+    best of each query shuffle. With ``digits`` scores are rounded before they are compared; ties go to the smaller item."""
+
+    def work(ids, mat, item_ids, item_mat):
+        order = np.argsort(item_ids, kind="stable")
+        item_ids, item_mat, rows = item_ids[order], item_mat[order], []
+        for at in range(0, len(ids), TILE):
+            s = _scores(mat[at : at + TILE], item_mat, metric)
+            s = s if digits is None else s.round(digits)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            rows.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + TILE], best.shape[1]), "item_id": item_ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
+        return pd.concat(rows)
+
+    return top_k(_met(queries, items, work, "query_id long, item_id long, score double"), by=["query_id"], score="score", k=k, tie=["item_id"])
+
+
+def smallest_near(items: DataFrame, *, min_score: float) -> DataFrame:
+    """``id, other``: the smallest smaller id within ``min_score`` (1 / (1 + Euclidean distance)), for items that have one. All pairs are
+    compared in blocks and none is capped; a block passes on one row an item at most."""
+
+    def work(ids, mat, item_ids, item_mat):
+        order = np.argsort(item_ids, kind="stable")
+        item_ids, item_mat, rows = item_ids[order], item_mat[order], []
+        for at in range(0, len(ids), TILE):
+            near = (_scores(mat[at : at + TILE], item_mat, "l2").round(9) >= min_score) & (item_ids[None] < ids[at : at + TILE, None])
+            hit = np.flatnonzero(near.any(1))
+            rows.append(pd.DataFrame({"id": ids[at : at + TILE][hit], "other": item_ids[near[hit].argmax(1)]}))
+        return pd.concat(rows)
+
+    return _met(items, items, work, "id long, other long").groupBy("id").agg(F.min("other").alias("other"))
+
+
+def best_self_match(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """For each asked item the most similar other item, and how many pages off it is."""
+    near = vector_topk(asked, items, k=2, digits=9).where("item_id <> query_id").drop("rank")
+    best = top_k(near, by=["query_id"], score="score", k=1, tie=["item_id"])
+    pages = items.select(F.col("id").alias("item_id"), F.col("page").alias("best_page"))
+    out = best.join(pages, "item_id").join(asked.select(F.col("id").alias("query_id"), "page"), "query_id")
+    return out.select(F.col("query_id").alias("id"), "best_page", "score", F.abs(F.col("best_page") - F.col("page")).alias("page_error"))
 
 
 def rarest_words(post: DataFrame, *, k: int = 3) -> DataFrame:

@@ -127,10 +127,10 @@ def i11_token_chunks(spark, d):
     return G.token_chunks(table(spark, d, "documents"), id_col="doc_id", text_col="text")
 
 
-@query(f"""WITH {VEC}, s AS (SELECT a.id AS query_id, b.id AS item_id, 1 / (1 + list_distance(a.v, b.v)) AS s FROM vec a, vec b WHERE a.id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id)::INT AS rank FROM s) SELECT query_id, item_id, round(s, 5) AS score, rank FROM r WHERE rank <= 5 AND s >= 0.3""")
+@query(f"""WITH {VEC}, s AS (SELECT a.id AS query_id, b.id AS item_id, 1 / (1 + list_distance(a.v, b.v)) AS s FROM vec a, vec b WHERE a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id)::INT AS rank FROM s) SELECT query_id, item_id, round(s, 5) AS score, rank FROM r WHERE rank <= 5 AND s >= 0.3""")
 def i12_vector_search(spark, d):
     v = vectors(spark, d)
-    return G.vector_search(v.where("id < 20"), v, k=5, min_score=0.3).withColumn("score", F.round("score", 5))
+    return G.vector_search(v.where("id % 50 = 0"), v, k=5, min_score=0.3).withColumn("score", F.round("score", 5))
 
 
 _BM = f"""{TOK}, {ASK}, tf AS (SELECT page, word, count(*) AS tf FROM tok GROUP BY ALL), ln_ AS (SELECT page, count(*) AS len FROM tok GROUP BY page), st AS (SELECT count(*) AS n, avg(len) AS al FROM ln_), d2 AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
@@ -147,23 +147,31 @@ def i13_bm25(spark, d):
 
 
 @query(f"""WITH {_BM}, {VEC}, t AS (SELECT query_id, page, 1.0 / n AS t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, page) AS n FROM bm) WHERE n <= 24),
-    v AS (SELECT query_id, page, s AS v FROM (SELECT a.id AS query_id, b.id AS page, 1 / (1 + list_distance(a.v, b.v)) AS s, row_number() OVER (PARTITION BY a.id ORDER BY 1 / (1 + list_distance(a.v, b.v)) DESC, b.id) AS n FROM vec a, vec b WHERE a.id < 40) WHERE n <= 24),
+    v AS (SELECT query_id, page, s AS v FROM (SELECT a.id AS query_id, b.id AS page, 1 / (1 + list_distance(a.v, b.v)) AS s, row_number() OVER (PARTITION BY a.id ORDER BY 1 / (1 + list_distance(a.v, b.v)) DESC, b.id) AS n FROM vec a, vec b WHERE a.id IN (SELECT item_id FROM benchmark)) WHERE n <= 24),
     x AS (SELECT query_id, page, round(0.7 * coalesce(v, 0) + 0.3 * coalesce(t, 0), 6)::DOUBLE AS score FROM t FULL JOIN v USING (query_id, page)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page)::INT AS rank FROM x WHERE score >= 0.35) SELECT * FROM r WHERE rank <= 6""")
 def i13_hybrid_search(spark, d):
     v = vectors(spark, d)
-    near = vector_topk(v.where("id < 40"), v, k=24, metric="l2").select("query_id", F.col("item_id").alias("page"), "score")
+    near = vector_topk(v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct(), "id", "left_semi"), v, k=24, metric="l2").select("query_id", F.col("item_id").alias("page"), "score")
     return G.hybrid_search(_bm25(spark, d), near).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {VEC}, s AS (SELECT a.id, b.id AS o, 1 / (1 + list_distance(a.v, b.v)) AS s FROM vec a, vec b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, o) AS n FROM s) SELECT id, min(o) AS duplicate_of FROM r WHERE n <= 20 AND s >= 0.5 AND o < id GROUP BY id""")
+@query(f"""WITH {VEC}, s AS (SELECT a.id, b.id AS o, 1 / (1 + list_distance(a.v, b.v)) AS s FROM vec a, vec b WHERE b.id < a.id) SELECT id, min(o) AS duplicate_of FROM s WHERE round(s, 9) >= 0.5 GROUP BY id""")
 def i14_near_duplicates(spark, d):
     return G.near_duplicate_items(vectors(spark, d), min_score=0.5)
 
 
-@query(r"""WITH g AS (SELECT conv_id, turn, lower(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user' AND length(text) BETWEEN 10 AND 500 AND NOT regexp_matches(text, '^\s*[<\-*]') AND regexp_matches(lower(text), 'remember|prefer|like|always|never|important|@|the '))
-    SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'prefer|like|love|hate') THEN 'preference' WHEN regexp_matches(t, 'decided|will use') THEN 'decision' WHEN regexp_matches(t, '@|called') THEN 'entity' WHEN regexp_matches(t, 'is|are|has|have') THEN 'fact' ELSE 'other' END AS category FROM g WHERE n <= 3""")
+#: Users' turns with what people say about themselves put before some.
+_SAID = "CASE turn % 8 WHEN 0 THEN concat('I prefer ', substr(text, 1, 60)) WHEN 2 THEN concat('always ', substr(text, 1, 60)) WHEN 4 THEN concat('We will use it, my plan is ', substr(text, 1, 60)) ELSE text END"
+_MET = " OR ".join(f"regexp_matches(lower(text), '{x}')" for x in G.TRIGGERS)
+_CATEGORY = " ".join(f"WHEN regexp_matches(t, '{x}') THEN '{name}'" for name, x in G.CATEGORIES)
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, role, {_SAID} AS text FROM conversations), g AS (SELECT conv_id, turn, lower(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m
+        WHERE role = 'user' AND length(text) BETWEEN 10 AND 500 AND NOT contains(text, '<relevant-memories>') AND NOT (starts_with(text, '<') AND contains(text, '</')) AND NOT (contains(text, '**') AND contains(text, chr(10) || '-'))
+            AND len(regexp_extract_all(text, '{G.EMOJI}')) <= 3 AND ({_MET}))
+    SELECT conv_id, turn, CASE {_CATEGORY} ELSE 'other' END AS category FROM g WHERE n <= 3""")
 def i15_capture(spark, d):
-    return G.capture(messages(spark, d))
+    return G.capture(messages(spark, d).withColumn("text", F.expr(_SAID)))
 
 
 @query()

@@ -96,11 +96,12 @@ def c9_fuse_candidates(spark, d):
     return J.fuse_candidates(of("click", "page_score"), of("view", "word_score"), of("error", "temporal_score"))
 
 
-@query(f"""WITH {VEC}, refs AS (SELECT page AS ref_page, id AS ref_id, v AS rv FROM vec WHERE id % 25 = 0), s AS (SELECT vec.id, vec.page, ref_page, list_cosine_similarity(v, rv) AS c, row_number() OVER (PARTITION BY vec.id ORDER BY round(list_cosine_similarity(v, rv), 9) DESC, ref_id) AS r FROM vec, refs)
+@query(f"""WITH {VEC}, refs AS (SELECT page AS ref_page, id AS ref_id, v AS rv FROM vec),
+    s AS (SELECT vec.id, vec.page, ref_page, list_cosine_similarity(v, rv) AS c, row_number() OVER (PARTITION BY vec.id ORDER BY round(list_cosine_similarity(v, rv), 9) DESC, ref_id) AS r FROM vec, refs WHERE vec.id % 50 = 0 AND ref_id <> vec.id)
     SELECT id, ref_page AS best_page, round(c, 5) AS score, abs(ref_page - page) AS page_error FROM s WHERE r = 1""")
 def c10_best_self_match(spark, d):
     v = vectors(spark, d)
-    return best_self_match(v, v.where("id % 25 = 0")).withColumn("score", F.round("score", 5))
+    return best_self_match(v.where("id % 50 = 0"), v).withColumn("score", F.round("score", 5))
 
 
 _SEG = f"{LOG}, seg AS (SELECT page, min(value) AS start, max(value) AS duration FROM log GROUP BY page)"
@@ -114,22 +115,22 @@ def c13_align_words(spark, d):
     return out.select("word", "page", "pos", F.round("confidence", 3).alias("confidence"), "est_start", "est_duration")
 
 
-@query(f"""WITH {TOK}, {ASK}, a AS (SELECT DISTINCT word AS left_word FROM ask WHERE regexp_full_match(word, '[a-z]{{5,8}}')), b AS (SELECT DISTINCT word AS right_word FROM tok WHERE regexp_full_match(word, '[a-z]{{5,8}}') AND page < 100)
-    SELECT left_word, right_word FROM a JOIN b ON abs(length(left_word) - length(right_word)) <= 1 AND levenshtein(left_word, right_word) <= 1""")
+@query()
 def c14_fuzzy_join(spark, d):
-    short = F.col("word").rlike("^[a-z]{5,8}$")
-    return J.fuzzy_join(questions(spark, d).where(short), tokens(spark, d).where(short & (F.col("page") < 100)), max_dist=1)
+    """All words of the questions with all words of the pages: too slow in SQL, tested against brute force."""
+    return J.fuzzy_join(questions(spark, d), tokens(spark, d))
 
 
-@query(f"WITH {TOK}, {POST}, p AS (SELECT word, page FROM post JOIN df USING (word) WHERE df <= 20) SELECT a.page AS page_a, b.page AS page_b, count(*) AS shared FROM p a JOIN p b ON a.word = b.word AND a.page < b.page GROUP BY 1, 2")
+@query(f"WITH {TOK}, {POST} SELECT a.page AS page_a, b.page AS page_b, count(*) AS shared FROM post a JOIN post b ON a.word = b.word AND a.page <> b.page WHERE a.page % 50 = 0 GROUP BY 1, 2")
 def c15_page_overlap(spark, d):
-    return J.page_overlap(C.postings(tokens(spark, d)), max_df=20)
+    post = C.postings(tokens(spark, d))
+    return J.page_overlap(post.where("page % 50 = 0"), post)
 
 
-@query(f"""WITH {TOK}, {LOG}, rec AS (SELECT session_id AS recording, avg(t) AS duration FROM log GROUP BY session_id), c AS (SELECT DISTINCT recording, page FROM log JOIN rec ON session_id = recording WHERE t <= duration AND recording < 5)
-    SELECT recording, word, count(*) AS count FROM c JOIN tok USING (page) GROUP BY recording, word""")
+@query(f"""WITH {TOK}, {LOG}, rec AS (SELECT session_id AS recording, avg(t) AS duration FROM log GROUP BY session_id), c AS (SELECT DISTINCT recording, page FROM log JOIN rec ON session_id = recording WHERE t <= duration),
+    n AS (SELECT page, word, count(*) AS n FROM tok GROUP BY ALL) SELECT recording, word, sum(n)::BIGINT AS count FROM c JOIN n USING (page) GROUP BY recording, word""")
 def c16_words_for_recordings(spark, d):
-    e = entries(spark, d).where("session_id < 5").withColumnRenamed("session_id", "recording")
+    e = entries(spark, d).withColumnRenamed("session_id", "recording")
     return J.words_for_recordings(e.groupBy("recording").agg(F.avg("t").alias("duration")), e.select("recording", "t", "page"), tokens(spark, d).select("page", "word"))
 
 

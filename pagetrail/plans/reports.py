@@ -155,9 +155,9 @@ def d21_calibrate(spark, d):
     return R.calibrate(_device(spark, d)).select("i", F.round("offset", 6).alias("off"), F.round("scale", 4).alias("scale"))
 
 
-@query(f"WITH {_CAL}, f AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM vec WHERE id < 50) SELECT id, round(sum((x + offset_) * scale), 3) AS total FROM f JOIN cal USING (i) GROUP BY id")
+@query(f"WITH {_CAL}, f AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM vec) SELECT id, round(sum((x + offset_) * scale), 3) AS total FROM f JOIN cal USING (i) GROUP BY id")
 def d21_apply_calibration(spark, d):
-    out = R.apply_calibration(vectors(spark, d).where("id < 50"), R.calibrate(_device(spark, d)))
+    out = R.apply_calibration(vectors(spark, d), R.calibrate(_device(spark, d)))
     return out.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
@@ -168,10 +168,10 @@ def d22_source_drift(spark, d):
     return _R(_R(R.source_drift(e.where("speaker = 'click'"), e.where("speaker = 'view'"), feature="value", flag_at=0.5), 5, "shift"), 6, "overlap")
 
 
-@query(f"""WITH {TOK}, t AS (SELECT * FROM tok WHERE page < 200), h AS (SELECT count(*) AS c FROM (SELECT word FROM t GROUP BY word HAVING count(DISTINCT page) > 3)), x AS (SELECT 40 * least(1.0, count(DISTINCT page) / 183) AS a, 30 * least(1.0, count(*) / count(DISTINCT page) / 20) AS b, 10.0 AS e FROM t)
+@query(f"""WITH {TOK}, t AS (SELECT * FROM tok), h AS (SELECT count(*) AS c FROM (SELECT word FROM t GROUP BY word HAVING count(DISTINCT page) > 3)), x AS (SELECT 40 * least(1.0, count(DISTINCT page) / 183) AS a, 30 * least(1.0, count(*) / count(DISTINCT page) / 20) AS b, 10.0 AS e FROM t)
     SELECT a AS coverage, b AS density, greatest(0, 20 - c)::DOUBLE AS keywords, e::DOUBLE AS completeness, round(a + b + greatest(0, 20 - c) + e, 5)::DOUBLE AS score FROM x, h""")
 def d23_dictionary_score(spark, d):
-    return _R(R.dictionary_score(tokens(spark, d).where("page < 200"), n_pages=183), 5, "score")
+    return _R(R.dictionary_score(tokens(spark, d), n_pages=183), 5, "score")
 
 
 _GATE = f"{LOG}, p AS (SELECT session_id, page, max(score) AS hi FROM log GROUP BY ALL), m AS (SELECT session_id, count(*) FILTER (hi < 0.5) AS missed FROM p GROUP BY session_id), s AS (SELECT session_id, max(t) AS ts, avg(score) AS avg FROM log GROUP BY session_id), g AS (SELECT * FROM s JOIN m USING (session_id))"

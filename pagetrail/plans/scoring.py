@@ -93,12 +93,12 @@ def f6_match_counts(spark, d):
     return M.match_counts(questions(spark, d), C.postings(tokens(spark, d)), first_n=10).withColumn("confidence", F.round("confidence", 6))
 
 
-_TPL = f"""{VEC}, sc AS (SELECT o.id AS obs_id, 'w' || t.page AS word, max({{s}}) AS score FROM vec o, vec t WHERE t.id % 10 = 3 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY score DESC, word)::INT AS rank FROM sc)"""
+_TPL = f"""{VEC}, sc AS (SELECT o.id AS obs_id, 'w' || t.page AS word, max({{s}}) AS score FROM vec o, vec t WHERE t.id % 50 = 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY score DESC, word)::INT AS rank FROM sc)"""
 
 
 def _templates(spark, d):
     v = vectors(spark, d)
-    return v.select(F.col("id").alias("obs_id"), "v"), v.where("id % 10 = 3").select(F.concat(F.lit("w"), F.col("page").cast("string")).alias("word"), F.col("v").alias("tv"), (F.col("id") % 100).alias("frequency"))
+    return v.select(F.col("id").alias("obs_id"), "v"), v.where("id % 50 = 0").select(F.concat(F.lit("w"), F.col("page").cast("string")).alias("word"), F.col("v").alias("tv"), (F.col("id") % 100).alias("frequency"))
 
 
 @query(f"WITH {_TPL.format(s='round(0.8 * list_cosine_similarity(o.v, t.v) + 0.2 * exp(-10 * abs(o.v[1] - t.v[1])), 6)')} SELECT * FROM rk WHERE rank <= 5")
@@ -116,12 +116,12 @@ def f8_match_patterns(spark, d):
     return M.score_templates(obs, tpl, F.round(score, 6)).where("score > 0.3")
 
 
-@query(f"""WITH {TOK}, {ASK}, {POST}, r AS (SELECT query_id AS obs_id, word, pos / 100.0 AS score FROM ask WHERE pos <= 8) SELECT obs_id, page, count(*) AS matches, round(avg(score), 6) AS avg_confidence, round(count(*) * sum(score) / (count(*) + 1), 6) AS score
+@query(f"""WITH {TOK}, {ASK}, {POST}, r AS (SELECT query_id AS obs_id, word, least(pos / 100.0, 1.0) AS score FROM ask) SELECT obs_id, page, count(*) AS matches, round(avg(score) + 1e-9, 4) AS avg_confidence, round(count(*) * sum(score) / (count(*) + 1) + 1e-9, 4) AS score
     FROM r JOIN post USING (word) GROUP BY obs_id, page""")
 def f9_words_to_pages(spark, d):
-    r = questions(spark, d).where("pos <= 8").select(F.col("query_id").alias("obs_id"), "word", (F.col("pos") / 100).alias("score"))
+    r = questions(spark, d).select(F.col("query_id").alias("obs_id"), "word", F.least(F.col("pos") / 100, F.lit(1.0)).alias("score"))
     out = M.words_to_pages(r, C.postings(tokens(spark, d)))
-    return out.select("obs_id", "page", "matches", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("score", 6).alias("score"))
+    return out.select("obs_id", "page", "matches", F.round(F.col("avg_confidence") + 1e-9, 4).alias("avg_confidence"), F.round(F.col("score") + 1e-9, 4).alias("score"))
 
 
 _LAG = f"{LOG}, lg AS (SELECT *, lag(page) OVER w AS prev, lag(value) OVER w AS pv FROM log WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id))"

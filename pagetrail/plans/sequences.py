@@ -97,11 +97,11 @@ def e11_trigger_rules(spark, d):
 
 
 def _markers(spark, d):
-    e = entries(spark, d).where("speaker = 'click' and session_id < 20")
+    e = entries(spark, d).where("speaker = 'click'")
     return e.select(F.col("session_id").alias("recording"), F.floor((F.col("t") - 1704067200) / 100).alias("timestamp_ms"), "page", "value")
 
 
-@query(f"""WITH {LOG}, m AS (SELECT session_id AS recording, floor((t - 1704067200) / 100)::BIGINT AS ms0, page, value FROM log WHERE speaker = 'click' AND session_id < 20), n AS (SELECT *, lead(ms0) OVER w AS nt, lead(value) OVER w AS nv FROM m WINDOW w AS (PARTITION BY recording ORDER BY ms0, page)),
+@query(f"""WITH {LOG}, m AS (SELECT session_id AS recording, floor((t - 1704067200) / 100)::BIGINT AS ms0, page, value FROM log WHERE speaker = 'click'), n AS (SELECT *, lead(ms0) OVER w AS nt, lead(value) OVER w AS nv FROM m WINDOW w AS (PARTITION BY recording ORDER BY ms0, page)),
     r AS (SELECT *, ceil(ms0 / 100)::BIGINT AS f0, ceil(coalesce(nt, ms0 + 1000) / 100)::BIGINT - 1 AS f1 FROM n), f AS (SELECT *, unnest(range(f0, f1 + 1)) AS frame FROM r)
     SELECT recording, frame, frame * 100 AS timestamp_ms, page AS page_number, round(CASE WHEN coalesce(nt - frame * 100 < frame * 100 - ms0, false) THEN nv * exp(-(nt - frame * 100) / 2000) ELSE value * exp(-(frame * 100 - ms0) / 2000) END, 5) AS value, frame = f0 AS is_boundary FROM f""")
 def e12_canonical_timeline(spark, d):

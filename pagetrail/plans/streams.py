@@ -8,7 +8,7 @@ from pagetrail.streaming import flows as S
 from pagetrail.streaming import tracking as K
 
 from .registry import query
-from .tables import LOG, table
+from .tables import LOG, entries, table
 
 
 def _stream(spark, d):
@@ -36,9 +36,17 @@ def _observations(df):
     return df.select("session_id", F.col("event_id").alias("id"), F.col("t").alias("ts"), "speaker", (F.col("page") / 1000).alias("rms"), scores.alias("scores"))
 
 
+def _speakers(spark, d):
+    """The commonest speaker of each page of the book (100 pages): what the tracker expects there."""
+    n = entries(spark, d).where("page between 1 and 100").groupBy("page", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["page"]: r["speaker"] for r in n.groupBy("page").agg(F.max_by("speaker", F.struct("n", "speaker")).alias("speaker")).collect()}
+    return [found.get(p) for p in range(1, 101)]
+
+
 def _track(profile):
     def run(spark, d):
-        return S.run_available(K.track_pages(_observations(_stream(spark, d)), profile=profile))
+        config = {"speakers": _speakers(spark, d)} if profile == "tracker" else None
+        return S.run_available(K.track_pages(_observations(_stream(spark, d)), profile=profile, config=config))
 
     run.__name__ = f"h{'2' if profile == 'tracker' else '3' if profile in ('smart', 'word_buffer', 'double_gate', 'sensitivity') else {'discriminative': 4, 'transcript': 5, 'coordinator': 6, 'aligner': 7, 'belief': 8}[profile]}_track_{profile}"
     return run
