@@ -357,7 +357,7 @@ def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     under = float(np.log10(total + 0.5 * (distinct + 1)))
     heads_n, heads_kinds = np.bincount(cls[: heads.rare], top_n, classes), np.bincount(cls[: heads.rare], minlength=classes)
     logs = np.concatenate((np.log10(top_n + 0.5), [0.0, np.log10(ends + 0.5)]))  # rare words' own logarithms come later
-    emit = np.concatenate((logs[: heads.rare] - np.log10(heads_n + 0.5 * heads_kinds)[cls[: heads.rare]] if heads.rare else [], [-np.log10(all_n - top_n.sum() + 0.5 * (kinds - heads.rare + 1)), 0.0]))
+    emit = np.concatenate((logs[: heads.rare] - np.log10(np.maximum(heads_n + 0.5 * heads_kinds, 0.5))[cls[: heads.rare]] if heads.rare else [], [-np.log10(all_n - top_n.sum() + 0.5 * (kinds - heads.rare + 1)), 0.0]))
 
     def make():
         def read(texts):

@@ -135,10 +135,10 @@ class Transducer:
         for p in self.arcs:
             start = p[:3] if len(p) > 2 else p[:2]
             self.widest[start] = max(self.widest.get(start, 1), len(p))
-        inside = "".join(map(re.escape, sorted(set("".join(self.arcs)) - {MARK}))) or "a"
+        inside = "".join(map(re.escape, sorted(set("".join([*self.arcs, *self.own])) - {MARK}))) or "a"
         # With byte fallback a character in no piece stands alone; without, neighbours of the kind become one unknown piece.
         self._parts = re.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{MARK}{inside}]" if self.fallback else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.split_at_marks = MARK in self.arcs and not any(MARK in p.lstrip(MARK) for p in self.arcs)
+        self.split_at_marks = MARK in self.arcs and not any(MARK in p.lstrip(MARK) for p in [*self.arcs, *self.own])
         self.packed = {p: i.to_bytes(4, "little") for p, i in (self.arcs | self.own).items()}
         self._trie()
         self.parts: dict[str, bytes] = {}

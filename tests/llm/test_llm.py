@@ -5,12 +5,15 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from pagetrail.llm import class_lm, exact_dedup, gif, licenses, mixing, near_dedup, repeats, sentencepiece_fst, token_counts, toxicity
+from pagetrail.llm import class_lm, exact_dedup, gif, licenses, mixing, near_dedup, queries, repeats, sentencepiece_fst, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -18,7 +21,11 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def make(spark, rows):
     """Documents with extra columns whose names clash with those of results and of internal steps."""
     df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
-    return df.withColumn("kept", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("k", F.lit("y")).withColumn("size", F.lit(2))
+    return df.withColumns({c: F.lit(c) for c in CLASHING})
+
+
+#: Names of results and of internal steps.
+CLASHING = ["kept", "_row", "row", "k", "t", "size", "_id", "_gone", "gone", "id", "data", "places", "_maybe", "_sha", "_keep", "_source", "_size", "_key", "_bucket", "_family", "_fold", "_x", "score", "label", "word", "rest", "component_id", "media", "frames"]
 
 
 def sentences(rng, n, words=None):
@@ -56,6 +63,72 @@ def test_empty_tables(none, spark):
     assert class_lm.class_scores(none).count() == 0
 
 
+LARGE = 2**53 + 1
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Ids beyond 2^53 beside null ids, null and empty texts, repeated rows, a very long text, ties."""
+    rng = random.Random(21)
+    long = sentences(rng, 60_000)
+    rows = [(LARGE, "one two three four five", "a"), (LARGE + 2, "one two three four five", "a"), (None, "one two three four five", "b"), (None, None, None), (LARGE + 4, None, "a"), (LARGE + 6, "", None), (LARGE + 8, long, "a"), (None, long + " x", "b"), (LARGE + 8, long, "a"), (7, "seven", "c")]
+    return make(spark, rows).coalesce(1)
+
+
+def ids(df, column="doc_id"):
+    return sorted((r[0] for r in df.select(column).collect()), key=lambda x: (x is None, x))
+
+
+def test_ids_beside_nulls(odd, spark):
+    want, labels = ids(odd), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert LARGE in want and None in want
+    results = {
+        "gif": gif.read_back(gif.to_gif(odd)),
+        "exact": exact_dedup.exact_duplicates(odd),
+        "tokens": token_counts.count_tokens(odd),
+        "near": near_dedup.near_duplicates(odd),
+        "toxicity": toxicity.score_toxicity(odd, labels),
+        "licences": licenses.scan_licences(odd),
+        "mixing": mixing.mix_sources(odd),
+        "pieces": sentencepiece_fst.round_trip(odd),
+        "encoded": sentencepiece_fst.encode_documents(odd),
+        "repeats": repeats.cut_repeats(odd),
+        "lm": class_lm.class_scores(odd),
+    }
+    for name, df in results.items():
+        assert ids(df) == want, name
+    near = {(r.doc_id, r.component_id, r.kept) for r in results["near"].collect()}
+    assert {(LARGE, LARGE, True), (LARGE + 2, LARGE, False), (None, None, True), (LARGE + 4, LARGE + 4, True), (LARGE + 6, LARGE + 6, True)} <= near
+    exact = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in results["exact"].collect()}
+    assert {(LARGE, LARGE + 2, 3, False), (LARGE + 2, LARGE + 2, 3, True), (None, LARGE + 2, 3, False), (LARGE + 8, LARGE + 8, 2, True)} <= exact
+
+
+def test_filters_pass_on_all_columns(odd, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for df in (exact_dedup.drop_exact_duplicates(odd), near_dedup.drop_near_duplicates(odd), toxicity.drop_toxic(odd, labels), mixing.mixed_documents(odd)):
+        assert df.columns == odd.columns and df.where("_id = '_id' and _gone = '_gone'").count() == df.count() > 0
+    assert sorted(map(str, ids(near_dedup.drop_near_duplicates(odd)))) == sorted(map(str, [LARGE, None, None, LARGE + 4, LARGE + 6, LARGE + 8, LARGE + 8, None, 7]))
+    base = [f"w{i}" for i in range(100)]
+    near = make(spark, [(5, " ".join(base), "a"), (3, " ".join([*base[:-1], "x"]), "a"), (4, " ".join([*base[:40], "x", *base[41:]]), "a"), (9, " ".join([*base[:20], "x", *base[21:60], "y", *base[61:]]), "a"), (8, " ".join(f"v{i}" for i in range(100)), "a")])
+    assert ids(near_dedup.drop_near_duplicates(near)) == [3, 8]  # by runs of five words: 9 and 5 have 86 of 106 in common
+
+
+def test_frames(spark):
+    def frame(samples, control, delay):
+        return b"\x21\xf9\x04" + bytes([control, delay, 0, 0, 0]) + b"\x2c\0\0\0\0\2\0\1\0\0\x08" + gif._blocks(gif.lzw_encode(bytes(samples)))
+
+    head = b"GIF89a\2\0\1\0\xf7\0\0" + bytes(v for i in range(256) for v in (i, 0, 255 - i))
+    data = head + frame([200, 8], 1 << 2, 5) + frame([0, 70], 3 << 2 | 1, 7) + frame([0, 0], 1, 9) + b"\x3b"
+    media = spark.createDataFrame([(LARGE, data), (None, data[:-20]), (2, None), (3, b""), (4, b"no gif")], "doc_id long, media binary").withColumn("frame_no", F.lit("x"))
+    got = gif.decode_frames(media.coalesce(1)).collect()
+    mine = sorted((r for r in got if r.doc_id == LARGE), key=lambda r: r.frame_no)
+    assert [(r.start_ms, r.delay_ms, r.disposal, r.whole) for r in mine] == [(0, 50, 1, True), (50, 70, 3, True), (120, 90, 0, True)]
+    assert [bytes(r.rgb) for r in mine] == [bytes([200, 0, 55, 8, 0, 247]), bytes([200, 0, 55, 70, 0, 185]), bytes([200, 0, 55, 8, 0, 247])]
+    assert [r.hist_red for r in mine] == [[1, 0, 0, 0, 0, 0, 1, 0], [0, 0, 1, 0, 0, 0, 1, 0], [1, 0, 0, 0, 0, 0, 1, 0]]
+    assert mine[0].hist_green == [2, 0, 0, 0, 0, 0, 0, 0] and {r.doc_id for r in got} == {LARGE, None}
+    assert gif.decode_frames(media.where("false")).count() == 0
+
+
 def test_gif_round_trip(some):
     got = {(r.doc_id, r.payload_sha256) for r in gif.read_back(gif.to_gif(some)).collect()}
     for r in some.collect():
@@ -234,8 +307,6 @@ def test_mixing(some):
 
 
 def test_sentencepiece_matches_the_library(some):
-    import sentencepiece
-
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_path())
     t = sentencepiece_fst.Transducer(sentencepiece_fst.default_path())
     rng = random.Random(3)
@@ -250,6 +321,59 @@ def test_sentencepiece_matches_the_library(some):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def model(pieces, *, bpe, fallback=True, charsmap=b"", prefix=True, squeeze=True):
+    """A model file by hand: pieces of text, score and kind."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda k, data: number(k << 3 | 2) + number(len(data)) + data
+    flag = lambda k, v: number(k << 3) + number(v)
+    own = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])
+    body = b"".join(field(1, field(1, p.encode()) + number(2 << 3 | 5) + np.float32(s).tobytes() + flag(3, k)) for p, s, k in own + pieces)
+    return body + field(2, flag(3, 2 if bpe else 1) + flag(35, int(fallback))) + field(3, field(1, b"hand") + (field(2, charsmap) if charsmap else b"") + flag(3, int(prefix)) + flag(4, int(squeeze)) + flag(5, 1))
+
+
+@pytest.mark.parametrize("bpe", [True, False])
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("mapped", [True, False])
+def test_other_models_match_the_library(bpe, fallback, mapped):
+    rng = random.Random(11)
+    letters = "abcd▁é"
+    texts = {*letters} | {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 5))) for _ in range(60)} | {"▁" + "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(40)}
+    texts = sorted(texts)
+    rng.shuffle(texts)
+    pieces = [(t, -float(i + 1) if bpe else -rng.uniform(1, 12), 1) for i, t in enumerate(texts)] + [("<own>", 0.0, 4), ("ab<", 0.0, 4)]
+    charsmap = b""
+    if mapped:
+        fields = dict(sentencepiece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto()))
+        charsmap = dict(sentencepiece_fst._fields(fields[3]))[2]
+    data = model(pieces, bpe=bpe, fallback=fallback, charsmap=charsmap)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    t = sentencepiece_fst.Transducer(data)
+    parts = ["a", "b", "c", "d", "ab", "cd", "abc", " ", "  ", "é", "日", "\n", "<own>", "ab<", "<ow", "A", "Ｂ", "ﬁ", "\u3000", "①"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert t.encode(text).tolist() == sp.encode(text), text
+        assert t.decode(sp.encode(text)) == sp.decode(sp.encode(text)), text
+
+
+def test_long_and_many_parts(spark):
+    rng = random.Random(13)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_path())
+    texts = ["x" * 3000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(5000)), " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 12))) for _ in range(20_000)), None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sentencepiece_fst.encode_documents(df).collect()}
+    assert all(got[i].token_ids == sp.encode(t or "") and got[i].n_tokens == len(got[i].token_ids) for i, t in enumerate(texts))
+    columns = df.select("text", sentencepiece_fst.encode_column(F.col("text")).alias("e")).select("text", sentencepiece_fst.decode_column(F.col("e")).alias("d"))
+    assert all(r.d == (r.text or "") for r in columns.collect())
+    t = sentencepiece_fst.Transducer(sentencepiece_fst.default_path())
+    assert all(t._bpe_many([p]) == [t._ids(p)] for p in texts[2].split()[:2000])
+
+
 def brute_repeats(rows, size=400):
     seen = Counter()
     for _, text in rows:
@@ -382,7 +506,39 @@ def test_pipeline(spark, tmp_path):
         assert out.columns == docs.columns, name
         out.write.parquet(f"{tmp_path}/{name}")
         at = spark.read.parquet(f"{tmp_path}/{name}")
-    after = spark.read.parquet(f"{tmp_path}/near_dedup")
-    assert {r.doc_id for r in after.collect()} & {1, 2, 3} == {2}
+    # Brute force: nothing is toxic; of equal texts the largest id; of near copies by five words the smallest; the mix by its SQL.
+    last = {}
+    for i, t, s in rows:
+        last[t] = max(last.get(t, (-1,)), (i, t, s))
+    unequal = [SimpleNamespace(doc_id=i, text=t, source=s) for i, t, s in last.values()]
+    comp = brute_components(unequal, size=5)
+    kept = {r.doc_id: r.text for r in unequal if comp[r.doc_id][1] == r.doc_id}
+    assert set(kept) & {1, 2, 3} == {2} and ids(spark.read.parquet(f"{tmp_path}/near_dedup")) == sorted(kept)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/near_dedup/*.parquet'")
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_path())
+    want = []
+    for doc, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLES['op7_mixing']})").fetchall():
+        words = kept[doc].split(" ")
+        assert len(words) == size
+        want += [(doc, tuple(sp.encode(kept[doc])))] * (taken // size)
+        want += [(doc, tuple(sp.encode(" ".join(words[: taken % size]))))] * bool(taken % size)
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.count() == at.count() and set(got.columns) == {"doc_id", "token_ids", "n_tokens"}
+    assert set(got.columns) == {"doc_id", "token_ids", "n_tokens"}
+    assert sorted((r.doc_id, tuple(r.token_ids)) for r in got.collect()) == sorted(want)
+
+
+def test_pipeline_edges(spark, tmp_path, odd):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["vexbag", "glorp"]) if i % 4 == 0 and j % 9 == 3 else f"w{rng.randrange(300)}" for j in range(40)), "a") for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS)
+    for name, table in (("plain", docs), ("empty", docs.where("false")), ("odd", odd.select("doc_id", "text", "lang", "source", "n_chars"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    left = toxicity.drop_toxic(docs, spark.read.parquet(f"{tmp_path}/plain/labels.parquet"))
+    assert ids(left) == [i for i in range(400) if i % 4]  # toxic documents go, clean ones stay
+    assert {i for i in ids(corpus_pipeline.run(spark, f"{tmp_path}/plain"))} <= set(ids(left))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    assert LARGE + 8 in ids(corpus_pipeline.run(spark, f"{tmp_path}/odd"))
