@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import smallest_near, top_k, vector_topk
+from .matching import few, smallest_near, top_k, vector_topk
 
 # Names under which usage is logged.
 USAGE_NAMES = {
@@ -157,7 +157,8 @@ def vector_search(queries: DataFrame, items: DataFrame, *, k: int = 5, min_score
 
 def bm25(asked: DataFrame, tokens: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, page, bm25``: term counts by page, document frequencies, lengths; distinct query words."""
-    tf = tokens.groupBy("page", "word").agg(F.count(F.lit(1)).alias("tf"))
+    words = few(asked.select("word").distinct())
+    tf = tokens.join(words, "word", "left_semi").groupBy("page", "word").agg(F.count(F.lit(1)).alias("tf"))  # asked words alone shuffle
     length = tokens.groupBy("page").agg(F.count(F.lit(1)).alias("len"))
     stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -262,6 +263,19 @@ def metrics_snapshot(events: DataFrame, kinds: list[str]) -> DataFrame:
     return events.groupBy("relay").pivot("kind", kinds).agg(F.count(F.lit(1))).na.fill(0)
 
 
+#: Upper bounds of a histogram's buckets; the last bucket has none.
+BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
+
+
+def histograms(events: DataFrame, *, label: str, value: str, bounds: tuple = BOUNDS) -> DataFrame:
+    """``label, count, sum, bucket_counts``: a histogram of the values of each label, a value in the first bucket whose bound it does not
+    exceed. Null values are left out."""
+    edges = [None, *bounds, None]
+    inside = lambda lo, hi: (F.lit(True) if lo is None else F.col(value) > lo) & (F.lit(True) if hi is None else F.col(value) <= hi)
+    counts = F.array(*[F.count_if(inside(lo, hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
+    return events.where(F.col(value).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), counts.alias("bucket_counts"))
+
+
 def trim_tool_output(messages: DataFrame, *, head: int, tail_: int, max_chars: int) -> DataFrame:
     t = F.col("text")
     cut = F.concat(F.substring(t, 1, head), F.lit("\n…\n"), F.substring(t, -tail_, tail_))

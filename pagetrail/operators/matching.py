@@ -24,9 +24,19 @@ def with_margin(scored: DataFrame, *, by: list[str], score: str, tie: list[str],
     return scored.withColumn("_c", value).withColumn("_n", F.row_number().over(w)).withColumn("confidence", F.first("_c").over(w)).drop("_c", "_n")
 
 
+#: Words up to which a list of them is broadcast.
+FEW = 200_000
+
+
+def few(words: DataFrame, rows: int = FEW) -> DataFrame:
+    """``words``, to be broadcast if there are at most ``rows`` of them."""
+    return F.broadcast(words) if words.limit(rows + 1).count() <= rows else words
+
+
 def match_text(asked: DataFrame, post: DataFrame, *, current: DataFrame | None = None, k: int = 5) -> DataFrame:
     """``query_id, page, score, confidence, rank``: sums of rarity weights of shared words, the next page times 10 and the current times 2
     where ``current`` (query_id, current_page) says so. One shuffle by word, one by query and page, one by query."""
+    post = post.join(few(asked.select("word").distinct()), "word", "left_semi")  # other words are dropped before they shuffle
     weight = document_frequency(post).select("word", rarity_weight(F.col("df")).alias("weight"))
     hits = asked.select("query_id", "word").distinct().join(weight, "word").join(post, "word")
     scored = hits.groupBy("query_id", "page").agg(F.sum("weight").cast("double").alias("score"))

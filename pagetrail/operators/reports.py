@@ -101,32 +101,49 @@ def merge_by_word(patterns: DataFrame) -> DataFrame:
     return v.drop("n").join(c, "word")
 
 
+#: Seconds within which durations count as equal where a signature is missing.
+NEAR_DURATION = 0.2
+FOLDED = "word string, v array<double>, duration double, phonemes string, confidence double, frequency long, contexts array<struct<before:string,after:string>>, learned_from array<string>"
+
+
 def fold_patterns(store: DataFrame, new: DataFrame, *, threshold: float = 0.85) -> DataFrame:
-    """New patterns folded into the store in order: one of the same word with cosine over the threshold gains frequency and the mean of
-    both confidences; others are added. ``word, ord, v, confidence, frequency``; each word is one group, as folding is serial."""
+    """New patterns folded into the store in the order of ``ord``: the first of the same word that matches gains frequency, the mean of
+    both confidences, the context if it is new, and the source; others are added with frequency 1 and a confidence of 0.5 if they
+    bring none.
+
+    Both have ``word, ord, v, duration, phonemes, confidence, frequency, contexts, learned_from``. Signatures match by a cosine over the
+    threshold; where one is null, by equal phonemes and durations within 0.2. A word is one group, as folding is serial.
+    """
     import numpy as np
     import pandas as pd
 
+    names = [x.split()[0] for x in FOLDED.split(", ")]
+
+    def match(a, b) -> bool:
+        if a.v is not None and b.v is not None:
+            x, y = np.asarray(a.v), np.asarray(b.v)
+            n = np.linalg.norm(x) * np.linalg.norm(y)
+            return bool(n) and float(x @ y) / n > threshold
+        return a.phonemes == b.phonemes and abs(a.duration - b.duration) < NEAR_DURATION
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
+        kept: list[tuple] = []
         for r in pdf.sort_values(["new", "ord"]).itertuples():
-            v = np.asarray(r.v)
-            hit = None
-            if r.new:
-                for k in kept:
-                    n = np.linalg.norm(k[1]) * np.linalg.norm(v)
-                    if n and float(k[1] @ v) / n > threshold:
-                        hit = k
-                        break
+            hit = next((k for k in kept if match(k[0], r)), None) if r.new else None
+            contexts, sources = list(r.contexts if r.contexts is not None else ()), list(r.learned_from if r.learned_from is not None else ())
             if hit is None:
-                kept.append([r.word, v, r.confidence, r.frequency])
-            else:
-                hit[3] += 1
-                hit[2] = (hit[2] + r.confidence) / 2
-        return pd.DataFrame([(w, v.tolist(), c, f) for w, v, c, f in kept], columns=["word", "v", "confidence", "frequency"])
+                sure = 0.5 if r.new and not r.confidence > 0 else r.confidence
+                kept.append((r, {"confidence": sure, "frequency": 1 if r.new else r.frequency, "contexts": contexts, "learned_from": sources}))
+                continue
+            old = hit[1]
+            old["frequency"] += 1
+            old["confidence"] = (old["confidence"] + r.confidence) / 2
+            old["contexts"] += [c for c in contexts if c not in old["contexts"]]
+            old["learned_from"] += sources
+        return pd.DataFrame([{"word": r.word, "v": r.v, "duration": r.duration, "phonemes": r.phonemes, **told} for r, told in kept], columns=names)
 
     both = store.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1)))
-    return both.groupBy("word").applyInPandas(fold, "word string, v array<double>, confidence double, frequency long")
+    return both.groupBy("word").applyInPandas(fold, FOLDED)
 
 
 def pattern_stats(store: DataFrame) -> DataFrame:

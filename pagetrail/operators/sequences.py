@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,19 +92,24 @@ def dip_candidates(envelope: DataFrame, *, theta: float = 0.001, drop: float = 0
 
 
 def smooth(frames: DataFrame, *, alpha: float | None = None, last_n: int | None = None) -> DataFrame:
-    """``value`` as a mean of the last frames, or as an exponential average over a recording's ordered values."""
+    """``value`` as a mean of the last frames, or as an exponential average over a recording's ordered values (no nulls)."""
     if last_n:
         w = Window.partitionBy("recording").orderBy("t", "id").rowsBetween(-(last_n - 1), 0)
         return frames.withColumn("smooth", F.avg("value").over(w))
-    seq = frames.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("t", "id", "value"))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        e = F.when(acc["e"].isNull(), x["value"]).otherwise(alpha * x["value"] + (1 - alpha) * acc["e"])
-        return F.struct(e.alias("e"), F.concat(acc["out"], F.array(e)).alias("out"))
 
-    done = seq.withColumn("o", F.aggregate("s", start, step, lambda a: a["out"]))
-    return done.select("recording", F.explode(F.arrays_zip("s", "o")).alias("z")).select("recording", F.col("z.s.id").alias("id"), F.col("z.o").alias("smooth"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, e = None, 0.0
+        for b in batches:
+            out = []
+            for recording, value in zip(b["recording"], b["value"], strict=True):
+                e = value if recording != at else alpha * value + (1 - alpha) * e
+                at = recording
+                out.append(e)
+            yield pd.DataFrame({"recording": b["recording"], "id": b["id"], "smooth": out})
+
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("recording", "id"))
+    ordered = frames.repartition("recording").sortWithinPartitions("recording", "t", "id").select("recording", "id", "value")
+    return ordered.mapInPandas(run, f"{kinds}, smooth double")  # one number is carried from row to row
 
 
 def vote_last(preds: DataFrame) -> DataFrame:

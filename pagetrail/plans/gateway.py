@@ -238,6 +238,13 @@ def i22_metrics_snapshot(spark, d):
     return G.metrics_snapshot(e, ["click", "view", "error"])
 
 
+@query("""WITH e AS (SELECT event_type AS label, value FROM events WHERE value IS NOT NULL), b AS (SELECT unnest([-1e300, 0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]) AS lo, unnest([0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000, 1e300]) AS hi),
+    c AS (SELECT label, lo, count(*) FILTER (value > lo AND value <= hi) AS n FROM e, b GROUP BY label, lo), h AS (SELECT label, list(n ORDER BY lo) AS bucket_counts FROM c GROUP BY label)
+    SELECT label, count(*) AS count, round(sum(value), 2) AS sum, any_value(bucket_counts) AS bucket_counts FROM e JOIN h USING (label) GROUP BY label""")
+def i22_duration_histograms(spark, d):
+    return G.histograms(table(spark, d, "events"), label="event_type", value="value").withColumn("sum", F.round("sum", 2))
+
+
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 100) || chr(10) || '…' || chr(10) || right(text, 50) ELSE text END AS text FROM conversations")
 def i23_trim_tool_output(spark, d):
     return G.trim_tool_output(messages(spark, d), head=100, tail_=50, max_chars=200).select("conv_id", "turn", "text")

@@ -103,8 +103,12 @@ def d16_merge_by_word(spark, d):
 
 @query()
 def d17_fold_patterns(spark, d):
-    v = vectors(spark, d).select(F.concat(F.lit("w"), F.col("page").cast("string")).alias("word"), F.col("id").alias("ord"), "v", (F.col("id") % 10 / 10).alias("confidence"), F.lit(1).cast("long").alias("frequency"))
-    return R.fold_patterns(v.where("ord % 5 = 0"), v.where("ord % 5 <> 0"), threshold=0.3)
+    v = vectors(spark, d)
+    text = lambda c: c.cast("string")
+    context = F.array(F.struct(text(F.col("id") % 3).alias("before"), text(F.col("id") % 2).alias("after")))
+    p = v.select(F.concat(F.lit("w"), text(F.col("page"))).alias("word"), F.col("id").alias("ord"), F.when(F.col("id") % 7 > 0, F.col("v")).alias("v"), (F.col("id") % 9 / 10).alias("duration"), text(F.col("id") % 2).alias("phonemes"),
+                 (F.col("id") % 10 / 10).alias("confidence"), F.lit(1).cast("long").alias("frequency"), context.alias("contexts"), F.array(F.concat(F.lit("s"), text(F.col("id") % 4))).alias("learned_from"))
+    return R.fold_patterns(p.where("ord % 5 = 0"), p.where("ord % 5 <> 0"), threshold=0.3)
 
 
 @query(f"WITH {VEC} SELECT count(*) AS total, count(DISTINCT page) AS unique_words, sum(id % 7)::BIGINT AS total_frequency, round(avg(id % 10 / 10), 5) AS avg_confidence FROM vec")

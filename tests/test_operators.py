@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.functions import scoring as S
 from pagetrail.functions import text as T
-from pagetrail.operators import corpus, decisions, gateway, joins, matching, sequences, signal
+from pagetrail.operators import corpus, decisions, gateway, joins, matching, reports, sequences, signal
 from pagetrail.sources import files
 from pagetrail.streaming import flows, tracking
 
@@ -93,6 +93,22 @@ def test_capture(spark):
     assert {r.conv_id: r.category for r in gateway.capture(df).collect()} == {0: "preference", 5: "entity"}
 
 
+def test_fold_patterns(spark):
+    rows = [
+        ("w", 0, [1.0, 0.0], 1.0, "a b", 0.8, 3, [("x", "y")], ["old"], 0),
+        ("w", 1, [0.9, 0.1], 9.0, "z", 0.4, 7, [("x", "y")], ["s1"], 1),
+        ("w", 2, None, 1.1, "a b", 0.6, 1, [("p", "q")], ["s2"], 1),
+        ("w", 3, [0.0, 1.0], 1.0, "a b", 0.0, 5, [], ["s3"], 1),
+        ("v", 4, None, 1.0, "c", 0.7, 1, None, None, 1),
+    ]
+    df = spark.createDataFrame(rows, "word string, ord long, v array<double>, duration double, phonemes string, confidence double, frequency long, contexts array<struct<before:string,after:string>>, learned_from array<string>, new int")
+    got = {(r.word, r.frequency): r for r in reports.fold_patterns(df.where("new = 0").drop("new"), df.where("new = 1").drop("new")).collect()}
+    assert sorted(got) == [("v", 1), ("w", 1), ("w", 5)]
+    first = got["w", 5]
+    assert first.confidence == pytest.approx(((0.8 + 0.4) / 2 + 0.6) / 2) and [tuple(c) for c in first.contexts] == [("x", "y"), ("p", "q")]
+    assert first.learned_from == ["old", "s1", "s2"] and got["w", 1].confidence == 0.5 and got["v", 1].contexts == []
+
+
 def test_tracker_follows_its_rule(spark):
     rng = random.Random(2)
     speakers = [rng.choice("ab") for _ in range(12)]
