@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_row, text_or_empty
+from .common import cut, per_row, small_batches, text_or_empty
 from .toxicity import remainder
 
 #: Occurrences from which on a word is clustered: about as many as there are classes, as fewer can't tell them apart.
@@ -66,7 +66,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     seen = Counter()
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-    return texts.where("text is not null").select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(texts).where("text is not null").select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def neighbours(texts: DataFrame, heads: Heads, buckets: int, *, salts: int = 1)
         row = (int(found["bucket"].iloc[0]), units, own, start, u, n)
         return pd.DataFrame([tuple(v.tobytes() if isinstance(v, np.ndarray) else v for v in row)], columns=[c.split()[0] for c in _STATIC.split(", ")])
 
-    parts = texts.select("text").mapInPandas(pairs, _PARTS)
+    parts = small_batches(texts).select("text").mapInPandas(pairs, _PARTS)
     if salts > 1:
         salted = parts.withColumn("salt", F.pmod(F.xxhash64("x", "u"), F.lit(salts)))
         parts = salted.groupBy("bucket", "salt").applyInPandas(combine, _PARTS)

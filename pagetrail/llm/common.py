@@ -65,13 +65,24 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
 
 #: Rows that a Python worker holds as objects at once, beside the Arrow batch they come from.
 PIECE = 256
+#: Bytes of an Arrow batch: a batch is held by the executor and by its worker. Spark's own setting, where it has Spark's default.
+BATCH, BATCH_DEFAULT, BATCH_SETTING = "4m", "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small: sets BATCH_SETTING unless the user has."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, BATCH)
+    return df
 
 
 def per_row(rows: DataFrame, make: Callable[[], Callable[..., dict[str, list]]], fresh: str, *, passed: Sequence[str] = ("doc_id",), piece: int = PIECE) -> DataFrame:
     """``rows`` with the columns ``passed`` as they were and the columns ``fresh`` (a DDL string) computed in Python, a row for a row.
 
     ``make`` is called once a task and gives a function that takes a list of values for each other column, at most ``piece`` of them,
-    and returns a list for each fresh column. Passed columns stay in Arrow, so that large or null ids come through unchanged.
+    and returns a list for each fresh column; what it holds on to beyond the task it lets go in a method ``done``, if it has one.
+    Passed columns stay in Arrow, so that large or null ids come through unchanged.
     """
     new = StructType.fromDDL(fresh)
     schema = StructType([StructField(c, rows.schema[c].dataType) for c in passed] + list(new))
@@ -85,5 +96,7 @@ def per_row(rows: DataFrame, make: Callable[[], Callable[..., dict[str, list]]],
                 told = compute(*(part.column(c).to_pylist() for c in used))
                 columns = [part.column(f.name).cast(f.type) if f.name in passed else pa.array(told[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        getattr(compute, "done", lambda: None)()
+        pa.default_memory_pool().release_unused()
 
-    return rows.select(*passed, *used).mapInArrow(run, schema)
+    return small_batches(rows).select(*passed, *used).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .class_lm import words
-from .common import broadcast_if, cut, per_row, text_or_empty
+from .common import broadcast_if, cut, per_row, small_batches, text_or_empty
 from .components import components
 
 BANDS, ROWS = 48, 6
@@ -220,7 +220,7 @@ def _in_groups(rows: DataFrame, keys: list[str], told: str, work) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInPandas(run, told)
+    return small_batches(rows).repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInPandas(run, told)
 
 
 def _links_across(apart: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, size: int) -> DataFrame:

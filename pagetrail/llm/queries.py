@@ -16,42 +16,52 @@ from .toxicity import score_toxicity
 
 
 def op1_gif(spark, sf_dir):
+    """Every text stored as a GIF and read back frame by frame."""
     return read_back(to_gif(documents(spark, sf_dir)))
 
 
 def op2_exact_dedup(spark, sf_dir):
+    """The group of every text and which of its rows stays."""
     return exact_duplicates(documents(spark, sf_dir))
 
 
 def op3_token_counts(spark, sf_dir):
+    """Tokens of every text, as the library for the file counts them."""
     return count_tokens(documents(spark, sf_dir))
 
 
 def op4_near_dedup(spark, sf_dir):
+    """The component of every document by four-word shingles at 0.8."""
     return near_duplicates(documents(spark, sf_dir))
 
 
 def op5_toxicity(spark, sf_dir):
+    """A calibrated score of every text, learned from the labels."""
     return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op6_licenses(spark, sf_dir):
+    """The licence notices of every text."""
     return scan_licences(documents(spark, sf_dir))
 
 
 def op7_mixing(spark, sf_dir):
+    """What the mix takes of every document."""
     return mix_sources(documents(spark, sf_dir))
 
 
 def op8_sentencepiece(spark, sf_dir):
+    """Digests of every text encoded, and decoded again."""
     return round_trip(documents(spark, sf_dir))
 
 
 def op9_repeats(spark, sf_dir):
+    """What is left of every text without its repeated strings, as digests."""
     return cut_repeats(documents(spark, sf_dir)).drop("kept", "spans")
 
 
 def op10_class_lm(spark, sf_dir):
+    """Unigram and class-bigram scores of every text."""
     return class_scores(documents(spark, sf_dir))
 
 

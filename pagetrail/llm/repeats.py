@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, per_row, text_or_empty
-from .exact_dedup import flag, key_filter
+from .common import cut, per_row, small_batches, text_or_empty
+from .exact_dedup import bits_for, flag, key_filter
 from .near_dedup import mix
 
 LENGTH = 400
@@ -33,8 +33,6 @@ SPAN = 96
 PASSAGE = 36
 #: Texts whose findings a worker gathers before it passes them on.
 PIECE = 256
-#: Bits of the filters that keep texts without a list from shuffling.
-FILTER_BITS = 1 << 26
 
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240201, 20240202)]
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -124,10 +122,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _with_lists(texts: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Texts that may have a list, joined with it (null without one), and those that have none for certain.
 
-    A Bloom filter of the lists' keys, of fixed size, decides; so only texts with lists and a few others shuffle, whatever the size.
+    A Bloom filter of the lists' keys, sized from their number (128 MB at most), decides; so only texts with lists and a few others
+    shuffle.
     """
     lists = cut(lists)
-    held = flag(texts, key_filter(lists, F.xxhash64("k", "t"), FILTER_BITS), F.xxhash64("k", "t"), FILTER_BITS)
+    bits = bits_for(lists.count())
+    held = flag(texts, key_filter(lists, F.xxhash64("k", "t"), bits), F.xxhash64("k", "t"), bits)
     met = held.where("_maybe").drop("_maybe").join(lists, ["k", "t"], "left")
     return met, held.where("not _maybe").drop("_maybe").withColumn(column, F.lit(None).cast(lists.schema[column].dataType))
 
@@ -146,7 +146,7 @@ def _from_texts(texts: DataFrame, work, told: str) -> DataFrame:
                     arrays = (np.concatenate(x) for x in zip(*found, strict=True))
                     yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), sizes), "t": np.repeat(part["t"].to_numpy(), sizes)} | {n: a.view(np.int64) if a.dtype == np.uint64 else a for n, a in zip(names, arrays, strict=True)})
 
-    return texts.select("k", "t", *given).mapInPandas(run, f"k long, t long, {told}")
+    return small_batches(texts).select("k", "t", *given).mapInPandas(run, f"k long, t long, {told}")
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:

@@ -416,6 +416,10 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
+    def forget(self) -> None:
+        """Lets the kept parts go; what is known of pairs of pieces stays."""
+        self.parts, self.older = {}, {}
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces and bytes in turn, the leading space mark gone; bytes that are no UTF-8 become U+FFFD."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -468,6 +472,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             ids = t.encode_many(texts)
             return {"token_ids": ids, "n_tokens": [len(x) for x in ids]}
 
+        encode.done = t.forget
         return encode
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -496,6 +501,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 out["decoded_sha256"].append(hashlib.sha256(t.decode(a.tolist()).encode()).hexdigest())
             return out
 
+        digest.done = t.forget
         return digest
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

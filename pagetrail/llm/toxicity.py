@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, small_batches, text_or_empty
 
 #: Labelled rows that the fit uses at most, taken in hash order of their ids.
 TRAIN_ROWS = 20_000
@@ -148,7 +148,7 @@ def learn_lexicon(sample: DataFrame, *, most: int = LEXICON, least: int = LEAST,
                     seen, toxic = Counter(), Counter()
         yield told(seen, toxic)
 
-    counted = sample.select("text", "label").mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counted = small_batches(sample).select("text", "label").mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     z, p = 2.6, F.col("k") / F.col("n")
     low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     best = counted.where(F.col("k") >= least).withColumn("low", low).where(F.col("low") >= share).orderBy(F.desc("low"), F.desc("k"), "term").limit(most)
@@ -163,7 +163,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         """``docs`` as a struct ``_row`` with ``score``, the calibrated probability. Null texts count as empty and are scored like them."""
-        rows = docs.select(F.struct("*").alias("_row"))
+        rows = small_batches(docs).select(F.struct("*").alias("_row"))
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.base))
         vectors = rows.withColumn("_x", array_to_vector(features(text_or_empty(F.col("_row")[text_col]), self.lexicon)))
@@ -188,6 +188,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(known), "_id")  # at most ``rows`` short rows
 
+    small_batches(docs)
+
     @F.pandas_udf("long")
     def family(text: pd.Series) -> pd.Series:
         return text.map(_family)
