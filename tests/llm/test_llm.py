@@ -286,6 +286,32 @@ def test_wrapped_and_several_licences(spark):
     assert all(r.n_notices == len(r.notices) for r in got.values())
 
 
+def test_licences_of_altered_notices(spark):
+    """Notices with words left out, replaced and wrapped, beside ordinary and legal-looking paragraphs: families found, and the unknown
+    class's probability against its share."""
+    import textwrap
+
+    rng = random.Random(17)
+    other = "the of and to in is for on with as by at from this that agreement party shall terms service may not use data privacy policy notice".split()
+    texts = []
+    for family, notices in licenses.NOTICES.items():
+        for notice in notices:
+            for _ in range(2):
+                w = [x if rng.random() > 0.04 else rng.choice(other) for x in notice.split() if rng.random() > 0.03]
+                texts.append((family, textwrap.fill(f"{' '.join(w)} {sentences(rng, 6)}", 60)))
+    texts += [("unknown", " ".join(rng.choice(other) for _ in range(rng.randint(5, 60)))) for _ in range(100)] + [("unknown", sentences(rng, 40)) for _ in range(100)]
+    docs = make(spark, [(i, t, "a") for i, (_, t) in enumerate(texts)])
+    ordinary = make(spark, [(i, sentences(rng, 30), "a") for i in range(100)])
+    got = {r.doc_id: r for r in licenses.scan_licences(docs, licenses.fit_licences(ordinary)).collect()}
+    right = sum(got[i].family == f for i, (f, _) in enumerate(texts)) / len(texts)
+    assert right > 0.9
+    assert sum(got[i].family == "unknown" for i, (f, _) in enumerate(texts) if f == "unknown") / 200 > 0.95
+    unknown = np.array([got[i].probability if got[i].family == "unknown" else 1 - got[i].probability for i in range(len(texts))])
+    truth = np.array([f == "unknown" for f, _ in texts])
+    bins = np.minimum((unknown * 5).astype(int), 4)
+    assert sum(abs(unknown[bins == b].mean() - truth[bins == b].mean()) * (bins == b).mean() for b in range(5) if (bins == b).any()) < 0.1
+
+
 def test_mixing(some):
     got = mixing.mix_sources(some).collect()
     total = sum(r["size"] for r in got)
