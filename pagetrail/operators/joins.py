@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import few
+
 
 def lookup_postings(asked: DataFrame, post: DataFrame) -> DataFrame:
     """``query_id, page, hits``: distinct query words met with postings."""
@@ -89,6 +91,10 @@ def align_audio_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     return out.select("word", "page", "pos", F.least(0.7 / F.sqrt("n"), F.lit(0.8)).alias("confidence"), (F.col("start") + (F.col("pos") - 1) * F.col("duration") / F.col("n")).alias("est_start"), (F.col("duration") / F.col("n")).alias("est_duration"))
 
 
+#: Words and variants up to which they are broadcast (some 60 bytes each).
+KEYS = 1_000_000
+
+
 def _variants(df: DataFrame, word: str, max_dist: int) -> DataFrame:
     """A word, and the word without each set of at most ``max_dist`` of its characters: words within the distance share one."""
     one = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
@@ -104,14 +110,15 @@ def _contained(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
     size, word = F.length(a), F.col(a)
     starts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(word, i, n)))
     parts = outer.where(size > 0).select(a, F.explode(F.array_distinct(F.flatten(starts))).alias("_part"))
-    return parts.join(inner, F.col("_part") == F.col(b)).select("left_word", "right_word")
+    return parts.join(few(inner), F.col("_part") == F.col(b)).select("left_word", "right_word")
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, *, max_dist: int = 2, contains: bool = True) -> DataFrame:
     """Pairs of words that are equal, of which one holds the other, or that are within ``max_dist`` edits: found by shared parts and
     shared deletions, the latter confirmed by the distance. No cross join."""
     x, y = left.select(F.col("word").alias("left_word")).distinct(), right.select(F.col("word").alias("right_word")).distinct()
-    pairs = _variants(x, "left_word", max_dist).join(_variants(y, "right_word", max_dist), "_key").select("left_word", "right_word")
+    keys = few(_variants(x, "left_word", max_dist), KEYS)  # where the left side is small the other's variants needn't shuffle
+    pairs = _variants(y, "right_word", max_dist).join(keys, "_key").select("left_word", "right_word")
     pairs = pairs.where(F.levenshtein("left_word", "right_word", max_dist) >= 0)
     if contains:
         pairs = pairs.unionByName(_contained(x, y, "left_word", "right_word")).unionByName(_contained(y, x, "right_word", "left_word"))
