@@ -50,9 +50,12 @@ _MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 def plain(token: str) -> tuple[str, str]:
     """A lower-case token without the marks around it, and the same with stand-in characters read as letters and inner marks gone."""
-    core = _EDGE.sub("", token)
-    clear = "".join(c for c in token.strip(".,;:?\"'()").translate(LEET) if c.isalpha())
-    return core, clear
+    if token.isalpha():
+        return token, token
+    inner = token.strip(".,;:?\"'()")
+    if inner.isalpha():  # as the rest of this function would have it
+        return inner, inner
+    return _EDGE.sub("", token), "".join(c for c in inner.translate(LEET) if c.isalpha())
 
 
 def terms(word: str) -> list[str]:
@@ -73,7 +76,7 @@ class Featuriser:
         if hidden:
             found = [t for t in terms(clear) if t in self.lexicon]
         best = max(found, key=lambda t: (self.lexicon[t], t), default=None)
-        mixed = bool(core) and not core.isalpha() and not core.isdigit() and bool(_INSIDE.search(core)) and core.translate(LEET).isalpha()
+        mixed = not core.isalpha() and bool(core) and not core.isdigit() and bool(_INSIDE.search(core)) and core.translate(LEET).isalpha()
         return (self.lexicon[best] if best else 0.0, self.order[best] if best else -1, hidden and best is not None, core in SECOND_PERSON, mixed, bool(_STRETCH.search(core)))
 
     def __call__(self, text: str) -> list[float]:
