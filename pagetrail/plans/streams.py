@@ -86,6 +86,15 @@ def h11_debounce(spark, d):
     return out.select("session_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n", "items")
 
 
+@query(f"""WITH {LOG}, g AS (SELECT *, speaker = 'error' AS alone, lag(t) OVER w AS before, lag(speaker = 'error') OVER w AS after_alone FROM log WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id)),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR alone OR after_alone OR t >= before + 18000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k, lead(t) OVER (PARTITION BY session_id ORDER BY t, event_id) AS later FROM g)
+    SELECT session_id, min(t) AS t, count(*) AS n, list(event_id ORDER BY t, event_id) AS items FROM s GROUP BY session_id, k HAVING bool_or(alone) OR max(later) IS NOT NULL AND bool_and(later IS NOT NULL) OR max(t) + 18000 < (SELECT max(t) - 3600 FROM log)""")
+def h11_debounce_bypass(spark, d):
+    """Errors go at once; what is open at the end of the stream stays open."""
+    s = _stream(spark, d).withColumn("alone", F.col("speaker") == "error")
+    return S.run_available(S.debounce_with_bypass(s, key="session_id", gap_sec=18000, bypass="alone"))
+
+
 @query(f"WITH {LOG} SELECT session_id, count(*) AS chunks, count(*) FILTER (triggered) AS triggered, round(avg(score) + 1e-9, 5) AS avg, min(score) AS min, max(score) AS max FROM log GROUP BY session_id")
 def h13_session_summary(spark, d):
     return S.run_available(S.stream_session_summary(_stream(spark, d)), mode="complete").withColumn("avg", F.round(F.col("avg") + 1e-9, 5))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,47 @@ def debounce(stream: DataFrame, *, key: str, gap: str, watermark: str = "1 hour"
     return stream.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("event_id")).alias("items"))
 
 
+def debounce_with_bypass(stream: DataFrame, *, key: str, gap_sec: float, bypass: str, watermark: str = "1 hour") -> DataFrame:
+    """Items (``ts, t`` in seconds, ``event_id``) of a key gathered until it is quiet for ``gap_sec``: ``key, t, n, items``. An item for
+    which the column ``bypass`` holds, or without a key, waits for nothing: what its key has gathered goes first, then it goes alone.
+    A buffer that is still open goes when the watermark has passed its gap."""
+    kind = stream.schema[key].dataType.simpleString()
+    item = stream.schema["event_id"].dataType.simpleString()
+
+    def gather(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = json.loads(state.get[0]) if state.exists else [], []
+
+        def flush(items: list) -> None:
+            if items:
+                out.append((group[0], items[0][0], len(items), [i for _, i in items]))
+
+        if state.hasTimedOut:
+            flush(held)
+            held = []
+        else:
+            rows = pd.concat([b for b in batches]).sort_values(["t", "event_id"])
+            for t, i, alone in zip(rows["t"], rows["event_id"], rows[bypass], strict=True):
+                if held and t >= held[-1][0] + gap_sec:
+                    flush(held)
+                    held = []
+                if alone or pd.isna(group[0]):
+                    flush(held)
+                    held = []
+                    flush([(float(t), i)])
+                else:
+                    held.append((float(t), int(i) if isinstance(i, np.integer) else i))
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(int((held[-1][0] + gap_sec) * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[key, "t", "n", "items"])
+
+    used = stream.withWatermark("ts", watermark).select(key, "ts", "t", "event_id", bypass)
+    return used.groupBy(key).applyInPandasWithState(gather, f"{key} {kind}, t double, n long, items array<{item}>", "items string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_session_summary(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("triggered").alias("triggered"), F.avg("score").alias("avg"), F.min("score").alias("min"), F.max("score").alias("max"))
 

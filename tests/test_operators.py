@@ -254,6 +254,34 @@ def test_stream_equals_batch(spark, tmp_path, profile):
         assert pages == sorted(pages)
 
 
+def test_debounce_with_bypass(spark, tmp_path):
+    rng = random.Random(9)
+    rows, at = [], {k: 1_700_000_000.0 for k in "abc"}
+    for i in range(60):
+        k = rng.choice("abc")
+        at[k] += rng.choice([1.0, 4.0, 30.0])
+        rows.append((k, at[k], i, rng.random() < 0.2))
+    rows.append(("end", 1_800_000_000.0, 99, True))  # moves the watermark past all
+    df = spark.createDataFrame(rows, "k string, t double, event_id long, now boolean").withColumn("ts", F.col("t").cast("timestamp"))
+    for part in range(3):
+        df.where((F.col("event_id") < 99) & (F.col("event_id") % 3 == part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.where("event_id = 99").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want, held = [], {}
+    for k, t, i, now in sorted(rows, key=lambda r: (r[1], r[2])):
+        mine = held.setdefault(k, [])
+        if mine and (now or t >= mine[-1][0] + 10):
+            want.append((k, [x for _, x in mine]))
+            mine.clear()
+        if now:
+            want.append((k, [i]))
+        else:
+            mine.append((t, i))
+    want += [(k, [x for _, x in m]) for k, m in held.items() if m]
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    closed = flows.run_available(flows.debounce_with_bypass(stream, key="k", gap_sec=10, bypass="now", watermark="1 hour")).collect()
+    assert sorted((r.k, list(r["items"])) for r in closed) == sorted(want)
+
+
 def test_plans_have_no_cartesian_product(spark):
     from pagetrail.plans.registry import QUERIES
 
