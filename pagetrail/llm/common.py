@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -37,6 +37,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of ``at`` below the partition, as monotonically_increasing_id has them.
+ROW_BITS = 33
+
+
+def in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows``, written in the given order, with ``at``: a long that grows along it; ``at >> ROW_BITS`` is the range that a row lies in.
+
+    Ranges are cut by a sample and sorted each in its task, with spill. Rows that the order can't tell apart are dealt by a salt, so that
+    a third of all rows may be equal.
+    """
+    salted = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    keys = [*order, F.col("_salt").asc()]
+    return cut(salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt").withColumn("at", F.monotonically_increasing_id()))
+
+
+def numbered(placed: DataFrame, key: str) -> DataFrame:
+    """What :func:`in_order` gave, with ``idx``, the place of a row among those of its (never null) ``key``, and ``n``, their number.
+
+    The rows of a key lie side by side, so a range's first row and the rows in earlier ranges tell each place; the table of those has a
+    row for each key and range.
+    """
+    part = F.shiftright("at", ROW_BITS).alias("_part")
+    firsts = placed.groupBy(key, part).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    along, whole = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(key)
+    firsts = firsts.withColumn("_ahead", F.coalesce(F.sum("_rows").over(along), F.lit(0))).withColumn("n", F.sum("_rows").over(whole))
+    return placed.withColumn("_part", F.shiftright("at", ROW_BITS)).join(firsts, [key, "_part"]).withColumn("idx", F.col("_ahead") + F.col("at") - F.col("_first")).drop("_part", "_first", "_rows", "_ahead")
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
