@@ -11,6 +11,7 @@ from .licenses import scan_licences
 from .merkle import verify_tampered
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .pii import personal_data_digests
 from .repeats import cut_repeats
 from .sentencepiece_fst import round_trip
 from .token_counts import count_tokens
@@ -72,12 +73,17 @@ def op11_conversations(spark, sf_dir):
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_pii(spark, sf_dir):
+    """Personal data in every text: what base rules find, and what the model adds."""
+    return personal_data_digests(documents(spark, sf_dir))
+
+
 def op13_merkle(spark, sf_dir):
     """Every row's leaf, roots and proof, verified after some texts were tampered with."""
     return verify_tampered(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_licenses, op7_mixing, op8_sentencepiece, op9_repeats, op10_class_lm, op11_conversations, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_gif, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_licenses, op7_mixing, op8_sentencepiece, op9_repeats, op10_class_lm, op11_conversations, op12_pii, op13_merkle)}
 
 
 
