@@ -27,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+def cut(df: DataFrame, *, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder, in a folder for each value of ``by``, and read it back.
 
     Later steps then recover from the written table instead of from an executor's memory.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

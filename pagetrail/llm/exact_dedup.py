@@ -5,12 +5,15 @@ or more rows set. Counts are combined in each task first, so that what it sends
 rows. (Bitmaps of the tasks could be merged instead only with a pair of bitmaps for each bit of a row number, as an OR of bits can't tell
 one row from two: more bytes.) Pass 2 tests each row against the kept bits. A row that fails the test has no equal and passes straight
 through; only the others shuffle, where a SHA-256 of the whole text decides. A false positive costs a shuffled row and never changes a
-result. The filter is sized from the number of rows, up to 128 MB; beyond some 70 million rows more and more rows shuffle (their id and
-digest, some 50 bytes), and results stay the same.
+result. The filter is sized from the number of rows, up to 128 MB; beyond some 67 million rows the hashes are dealt to as many parts as it
+takes, each with a filter of its own, and rows are tested part after part. The report reads its rows' hashes and digests for that, which
+are written by part; dropping rows reads whole rows once for each part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,19 @@ MOST_BITS = 1 << 30
 HOT = 10_000
 
 
+#: Bits of the hash that choose a part: those between the block's and the positions'.
+PART_SHIFT, MOST_PARTS = 15, 1 << 15
+
+
+def parts_for(rows: int, most_bits: int = MOST_BITS) -> int:
+    """Parts of the hashes, so that a filter of ``most_bits`` has BITS_A_ROW bits for each row of a part."""
+    return min(MOST_PARTS, max(1, -(-BITS_A_ROW * rows // most_bits)))
+
+
+def _part(h: Column, parts: int) -> Column:
+    return (F.shiftrightunsigned(h, PART_SHIFT).bitwiseAND(F.lit(MOST_PARTS - 1)) % parts).cast("int")
+
+
 def bits_for(rows: int) -> int:
     """Bits of a filter for so many rows: a power of two."""
     return min(MOST_BITS, max(BLOCK_BITS, 1 << (BITS_A_ROW * max(rows, 1) - 1).bit_length()))
@@ -44,7 +60,10 @@ def repeated_bits(texts: DataFrame, *, filter_bits: int, text_col: str = "text")
     """
     if filter_bits < BLOCK_BITS or filter_bits & (filter_bits - 1):
         raise ValueError("filter_bits must be a power of two, 32768 at least")
-    hit = texts.select(_bits(F.xxhash64(text_or_empty(text_col)), filter_bits // BLOCK_BITS).alias("h"))
+    return _twice(texts.select(_bits(F.xxhash64(text_or_empty(text_col)), filter_bits // BLOCK_BITS).alias("h")))
+
+
+def _twice(hit: DataFrame) -> DataFrame:
     bits = hit.select("h.block", F.explode(F.array_distinct(F.array("h.b1", "h.b2"))).alias("bit"))
     twice = bits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
@@ -80,7 +99,7 @@ def _sha(text: Column) -> Column:
     return F.sha2(text_or_empty(text), 256)
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None, hot: int = HOT) -> DataFrame:
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None, hot: int = HOT, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null texts count as empty, and empty texts equal each other. Of equal texts the largest id stays (null ids are smallest; ids that
@@ -88,10 +107,17 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     share one decision. Other columns, whatever their names, play no part. An empty table gives an empty result. Texts with more than
     one row in ``hot`` meet their group by broadcast, so that no task gets all rows of such a text.
     """
-    filter_bits = filter_bits or bits_for(docs.count())
-    bits = repeated_bits(docs, text_col=text_col, filter_bits=filter_bits)
-    marked = maybe_repeated(docs, bits, text_col=text_col, filter_bits=filter_bits)
-    rows = cut(marked.select(F.col("_row")[id_col].alias("doc_id"), _sha(F.col("_row")[text_col]).alias("text_sha256"), "_maybe"))
+    n = docs.count()
+    parts, h = parts_for(n, most_bits), F.xxhash64(text_or_empty(text_col))
+    filter_bits = filter_bits or min(most_bits, bits_for(-(-n // parts)))
+    if parts == 1:
+        bits = repeated_bits(docs, text_col=text_col, filter_bits=filter_bits)
+        marked = maybe_repeated(docs, bits, text_col=text_col, filter_bits=filter_bits)
+        rows = cut(marked.select(F.col("_row")[id_col].alias("doc_id"), _sha(F.col("_row")[text_col]).alias("text_sha256"), "_maybe"))
+    else:
+        told = docs.select(F.col(id_col).alias("doc_id"), _sha(F.col(text_col)).alias("text_sha256"), h.alias("_h"))
+        told = cut(told.withColumn("_p", _part(F.col("_h"), parts)), by="_p")
+        rows = _by_parts(told, F.col("_h"), parts, filter_bits, lambda part: part.select("doc_id", "text_sha256", "_maybe"))
     columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     alone = rows.where("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = rows.where("_maybe")
@@ -104,14 +130,35 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return alone.unionByName(told.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")).select(*columns)
 
 
-def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were: of equal texts the one with the largest id, and one of rows
-    that repeat both. Edge cases as in :func:`exact_duplicates`."""
-    filter_bits = filter_bits or bits_for(docs.count())
-    bits = cut(repeated_bits(docs, text_col=text_col, filter_bits=filter_bits))
-    marked = maybe_repeated(docs, bits, text_col=text_col, filter_bits=filter_bits)
-    again = marked.where("_maybe").select("_row", F.col("_row")[id_col].alias("_id"), _sha(F.col("_row")[text_col]).alias("_sha"))
-    stays = again.groupBy("_sha").agg(F.max("_id").alias("_keep"))
-    kept = again.join(stays.withColumnRenamed("_sha", "_sha2"), (F.col("_sha") == F.col("_sha2")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    once = kept.groupBy("_sha", "_id").agg(F.first("_row").alias("_row"))
-    return marked.where("not _maybe").select("_row.*").unionByName(once.select("_row.*"))
+def _by_parts(rows: DataFrame, h: Column, parts: int, filter_bits: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``keep`` makes of the rows of each part (a column ``_p``), flagged by the part's own filter; a part is written before the next one's
+    filter is broadcast."""
+    out = None
+    for p in range(parts):
+        part = rows.where(F.col("_p") == p)
+        bits = _twice(part.select(_bits(h, filter_bits // BLOCK_BITS).alias("h")))
+        told = cut(keep(flag(part, bits, h, filter_bits)))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns as they were: of equal texts the one with the largest id, and of rows that repeat
+    both the one whose columns, written as JSON, have the largest SHA-256; rows that are equal throughout are one. Other edge cases as in
+    :func:`exact_duplicates`. Of a text that repeats, a task sends one row on, however many it has."""
+    n = docs.count()
+    parts = parts_for(n, most_bits)
+    filter_bits = filter_bits or min(most_bits, bits_for(-(-n // parts)))
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_h", F.xxhash64(text_or_empty(F.col("_row")[text_col])))
+    if parts == 1:
+        marked = flag(rows, cut(_twice(rows.select(_bits(F.col("_h"), filter_bits // BLOCK_BITS).alias("h")))), F.col("_h"), filter_bits)
+        return marked.where("not _maybe").select("_row.*").unionByName(_largest(marked, id_col, text_col))
+    told = rows.withColumn("_p", _part(F.col("_h"), parts))
+    stays = lambda part: part.where("not _maybe").select("_row.*").unionByName(_largest(part, id_col, text_col))
+    return _by_parts(told, F.col("_h"), parts, filter_bits, stays)
+
+
+def _largest(marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    row = F.col("_row")
+    order = F.struct(row[id_col].alias("id"), F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("tie"))
+    return marked.where("_maybe").groupBy(_sha(row[text_col])).agg(F.max_by("_row", order).alias("_row")).select("_row.*")

@@ -22,8 +22,8 @@ from .common import per_row, text_or_empty
 #: them (the first in hash order of their texts).
 ORDINARY_DOCUMENTS = 300
 ORDINARY_PARAGRAPHS = 3000
-#: Characters of such a paragraph that are learned from at most.
-ORDINARY_LENGTH = 4000
+#: Longer paragraphs teach nothing, so that what reaches the driver has a bound; scanned are all.
+ORDINARY_LENGTH = 20_000
 VARIANTS = 24
 GRAMS = 3
 #: Share of a notice's three-word runs that a paragraph must hold.
@@ -140,13 +140,14 @@ def _vector(w: list[str]):
 
 
 def fit_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ordinary: int = ORDINARY_DOCUMENTS, paragraphs: int = ORDINARY_PARAGRAPHS, seed: int = 11) -> LicenceModel:
-    """Train on variants of the notices and on ``paragraphs`` paragraphs of ``ordinary`` documents at most; half of a notice's runs make a paragraph
+    """Train on variants of the notices and on ``paragraphs`` whole paragraphs of ``ordinary`` documents at most, none of them longer
+    than ORDINARY_LENGTH characters; half of a notice's runs make a paragraph
     no example of the unknown class. Works without any document, too: the unknown class then learns from shuffled words alone."""
     rng = np.random.default_rng(seed)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     chosen = rows.where("t is not null").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(ordinary)  # ids alone are sorted
     some = rows.join(F.broadcast(chosen), "i")  # ``ordinary`` ids at most
-    parts = some.select(F.explode(F.split("t", "\n")).alias("p")).select(F.substring("p", 1, ORDINARY_LENGTH).alias("p"))
+    parts = some.select(F.explode(F.split("t", "\n")).alias("p")).where(F.length("p") <= ORDINARY_LENGTH)
     lines = parts.distinct().orderBy(F.xxhash64("p"), "p").limit(paragraphs)
     plain = [w for r in lines.collect() if (w := tokens(r["p"])) and max(template_share(f, w) for f in NOTICES) < 0.5]
     plain += [rng.permutation(sorted(_WORDS))[: rng.integers(1, 12)].tolist() for _ in range(60)]

@@ -173,6 +173,27 @@ def test_exact_dedup(some, spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(top.values()))
 
 
+def test_exact_dedup_in_parts(spark):
+    """A small filter makes parts of the hashes; decisions stay the same, and only rows that repeat are flagged."""
+    rows = [(i, f"text {i % 400}" if i % 3 else f"own {i}", f"s{i % 2}", i) for i in range(6000)] + [(None, "x", "s", 1), (None, "x", "t", 2), (None, None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert exact_dedup.parts_for(10**10) == 150 and exact_dedup.parts_for(10**6) == 1
+    one, many = (sorted(map(repr, exact_dedup.exact_duplicates(df, most_bits=b).collect())) for b in (1 << 30, 1 << 15))
+    assert exact_dedup.parts_for(6003, 1 << 15) == 3 and one == many
+    one, many = (sorted(map(repr, exact_dedup.drop_exact_duplicates(df, most_bits=b).collect())) for b in (1 << 30, 1 << 15))
+    assert one == many and len(one) == len({t or "" for _, t, *_ in rows})
+    told = df.withColumn("_h", F.xxhash64("text")).withColumn("_p", exact_dedup._part(F.col("_h"), 3))
+    flagged = exact_dedup._by_parts(told, F.col("_h"), 3, 1 << 15, lambda part: part.select("text", "_maybe")).groupBy("_maybe").agg(F.count_if(F.col("text").startswith("own")).alias("own"), F.count("*").alias("n")).collect()
+    assert {r["_maybe"]: r["own"] for r in flagged}[True] < 250 and {r["_maybe"]: r["n"] for r in flagged}[True] > 3900
+
+
+def test_exact_dedup_ties_do_not_depend_on_order(spark):
+    rows = [(1, "same", f"o{i}", i) for i in range(20)] + [(None, "other", f"o{i}", None) for i in range(5)]
+    stay = [sorted(map(repr, exact_dedup.drop_exact_duplicates(spark.createDataFrame(r, "doc_id long, text string, source string, n_chars long").repartition(n)).collect())) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert stay[0] == stay[1] and len(stay[0]) == 2
+
+
+
 def test_tokens_match_the_library(some):
     from tokenizers import Tokenizer
 
