@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ SPAN = 96
 #: Words that a run of repeated triggers covers to count as a passage of over 50 words, whose ends hold no trigger for some 25 bytes each.
 PASSAGE = 36
 #: Texts whose findings a worker gathers before it passes them on.
-PIECE = 256
+PIECE = 64
 
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240201, 20240202)]
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -145,6 +146,7 @@ def _from_texts(texts: DataFrame, work, told: str) -> DataFrame:
                 if sum(sizes):
                     arrays = (np.concatenate(x) for x in zip(*found, strict=True))
                     yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), sizes), "t": np.repeat(part["t"].to_numpy(), sizes)} | {n: a.view(np.int64) if a.dtype == np.uint64 else a for n, a in zip(names, arrays, strict=True)})
+        pa.default_memory_pool().release_unused()
 
     return small_batches(texts).select("k", "t", *given).mapInPandas(run, f"k long, t long, {told}")
 
@@ -239,4 +241,4 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return lambda data, places: dict(zip(names, zip(*(removed(x, p or []) for x, p in zip(data, places, strict=True)), strict=True), strict=True))
 
     met, rest = _with_lists(_keyed(docs, id_col, text_col), lists, "places")
-    return per_row(met.select("doc_id", "data", "places").unionByName(rest.select("doc_id", "data", "places")), make, OUT)
+    return per_row(met.select("doc_id", "data", "places").unionByName(rest.select("doc_id", "data", "places")), make, OUT, piece=PIECE)
