@@ -125,6 +125,7 @@ def _romanise(word: str, double_r: bool = False) -> str:
     word = _TRAIL.sub("", word)
     if word in ABBREVIATIONS:
         return ABBREVIATIONS[word]
+    word = re.sub("[^\u0531-\u0556\u0561-\u0587]", "\0", word)  # characters of other scripts have no sound, but keep their place
     for rule, sound in IN_PLACE:
         word = re.sub(rule, sound, word)
     word = word.replace("Ռ", "Rr") if double_r else word

@@ -105,17 +105,44 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def build_inverted_index(tokens: DataFrame, *, stop: tuple[str, ...] = (), span: int = BLOCK) -> DataFrame:
-    """``lang, word, block, pages, df`` from ``lang, word, page``: a row for each block of ``span`` page numbers; ``df`` counts its pages."""
-    kept = tokens.where(~F.col("word").isin(*stop)) if stop else tokens
-    return _blocks(kept.select("lang", "word", "page").distinct(), ["lang", "word"], span).withColumn("df", F.size("pages").cast("long"))
+def index_words(tokens: DataFrame, *, least: dict[str, int] | None = None, stop: dict[str, tuple[str, ...]] | None = None, sounds: dict[str, str] | None = None) -> DataFrame:
+    """Distinct ``lang, word, page`` of an index by language: words shorter than ``least`` (2 where it says nothing) and the words ``stop`` are
+    left out; the sounds of the words of a language are indexed under that which ``sounds`` names, unless they are under two letters."""
+    least, stop = least or {}, stop or {}
+    rows = tokens.select("lang", "word", "page")
+    short = F.lit(2)
+    for lang, n in least.items():
+        short = F.when(F.col("lang") == lang, n).otherwise(short)
+    kept = F.length("word") >= short
+    for lang, words in stop.items():
+        kept &= ~((F.col("lang") == lang) & F.col("word").isin(*words))
+    out = rows.where(kept).distinct()
+    for lang, to in (sounds or {}).items():
+        known = out.where(F.col("lang") == lang)
+        sound = known.select("word").distinct().withColumn("_sound", F.lower(T.transliterate(F.col("word")))).where(F.length("_sound") >= 2)
+        out = out.unionByName(known.join(sound, "word").select(F.lit(to).alias("lang"), F.col("_sound").alias("word"), "page"))
+    return out.distinct() if sounds else out
+
+
+def build_inverted_index(indexed: DataFrame, *, span: int = BLOCK) -> DataFrame:
+    """``lang, word, block, pages`` from :func:`index_words`: a row for each block of ``span`` page numbers that a word is in."""
+    return _blocks(indexed.select("lang", "word", "page"), ["lang", "word"], span)
+
+
+def index_totals(indexed: DataFrame) -> DataFrame:
+    """``lang, word, first_page, df``: a row a word, its pages counted over all blocks."""
+    return indexed.groupBy("lang", "word").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("df"))
+
+
+def build_dictionary(tokens: DataFrame) -> DataFrame:
+    """``word, first_page, occurrences, page_count``: a row a word, over all of its pages."""
+    by_page = tokens.groupBy("word", "page").agg(F.count(F.lit(1)).alias("n"))
+    return by_page.groupBy("word").agg(F.min("page").alias("first_page"), F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("page_count"))
 
 
-def build_dictionary(tokens: DataFrame, *, span: int = BLOCK) -> DataFrame:
-    """``word, block, first_page, occurrences, page_count`` and the pages of each word in each block of ``span`` page numbers."""
-    by_page = tokens.groupBy("word", "page").agg(F.count(F.lit(1)).alias("n"))
-    by_block = by_page.groupBy("word", F.floor(F.col("page") / span).cast("long").alias("block"))
-    return by_block.agg(F.min("page").alias("first_page"), F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("page_count"), F.sort_array(F.collect_list("page")).alias("pages"))
+def dictionary_pages(tokens: DataFrame, *, span: int = BLOCK) -> DataFrame:
+    """``word, block, pages``: the pages of each word, a row for each block of ``span`` page numbers."""
+    return _blocks(tokens.select("word", "page").distinct(), ["word"], span)
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.functions import scoring as S
 
-from .matching import paired
+from .matching import vector_topk
 
 
 def apply_transitions(scored: DataFrame, edges: DataFrame, *, prev: str = "prev", default: float = 1e-5) -> DataFrame:
@@ -26,37 +26,63 @@ def trigger_match(tokens: DataFrame, *, last: int = 10, hits: int = 3, share: fl
     return out.withColumn("advance", (F.col("match_count") >= hits) | (F.col("confidence") >= share)).drop("_recent")
 
 
-def coordinate(signals: DataFrame, *, fp_strong: float = 0.85, ng_strong: float = 0.6) -> DataFrame:
-    """An action for ``trigger_page, fp_page, fp_score, ng_page, ng_score``, by the first rule that applies: a trigger; n-grams alone
-    where there is no fingerprint; both agree; a strong fingerprint; strong n-grams; else hold."""
-    ng = F.col("ng_page").isNotNull() & (F.col("ng_score") >= ng_strong)
+#: In percent, and matches: what one signal needs alone, and agreements in a row that turn a page.
+FINGERPRINT, NGRAMS, TRIGGER, NGRAMS_ONLY, AGREEMENTS = 45.0, 2, 60.0, 20.0, 1
+
+
+def coordinate(signals: DataFrame, *, by: str = "session_id", order: tuple[str, ...] = ("t", "event_id"), fingerprint: float = FINGERPRINT, ngrams: int = NGRAMS, trigger: float = TRIGGER, alone: float = NGRAMS_ONLY, agreements: int = AGREEMENTS) -> DataFrame:
+    """``action`` (turn or hold), ``target_page``, ``reason`` and ``agreement`` of each row, from what three signals suggest.
+
+    Rows have ``current_page``, the suggested ``trigger_page``, ``fp_page`` and ``ng_page`` (null: none), their confidences in percent
+    (``trigger_confidence``, ``fp_confidence`` (null: no fingerprints at all), ``ng_confidence``) and ``ng_matches`` on the next page. Only the
+    next page is ever turned to. The first rule that holds decides: a sure trigger; without fingerprints n-grams alone; a trigger that
+    another signal confirms; both others agree, ``agreements`` times in a row; they differ (hold); a strong fingerprint; strong n-grams;
+    else hold. A row of agreements ends where both hold or differ, or agree on another page.
+    """
+    nxt = F.col("current_page") + 1
+    on = lambda c: F.coalesce(F.col(c) == nxt, F.lit(False))
+    tr, fp, ng, sure = on("trigger_page"), on("fp_page"), on("ng_page"), F.coalesce(F.col("trigger_confidence"), F.lit(0.0)) >= trigger
+    none, early = F.col("fp_confidence").isNull(), (tr & sure) | F.col("fp_confidence").isNull() | (tr & (fp | ng))
+    both, differ = fp & ng, F.coalesce(F.col("fp_page") != F.col("ng_page"), F.lit(False))
+    strong_fp, strong_ng = fp & (F.col("fp_confidence") >= fingerprint), ng & (F.coalesce(F.col("ng_matches"), F.lit(0)) >= 2 * ngrams)
+    held = F.col("fp_page").isNull() & F.col("ng_page").isNull()
+    # agreements in a row: counted from the last row that ends them, or that agrees on another page
+    along = Window.partitionBy(by).orderBy(*order)
+    out = signals.withColumn("_both", ~early & both).withColumn("_end", F.sum((~early & ~both & (differ | held)).cast("int")).over(along))
+    last = F.last(F.when(F.col("_both"), nxt), ignorenulls=True).over(Window.partitionBy(by, "_end").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("_other", (F.col("_both") & (F.coalesce(last, nxt) != nxt)).cast("int"))
+    out = out.withColumn("_other", F.sum("_other").over(Window.partitionBy(by, "_end").orderBy(*order)))
+    out = out.withColumn("_row", F.sum(F.col("_both").cast("int")).over(Window.partitionBy(by, "_end", "_other").orderBy(*order)))
     rules = [
-        (F.col("trigger_page").isNotNull(), "trigger_page", "trigger"),
-        (F.col("fp_page").isNull() & ng, "ng_page", "no fingerprint"),
-        (F.col("fp_page").isNull(), None, "nothing"),
-        (F.col("fp_page") == F.col("ng_page"), "fp_page", "agreement"),
-        (F.col("fp_score") >= fp_strong, "fp_page", "fingerprint"),
-        (ng, "ng_page", "n-grams"),
+        (tr & sure, True, "trigger_match", False),
+        (none & ng & (F.coalesce(F.col("ng_confidence"), F.lit(0.0)) >= alone), True, "ngram_only_mode", False),
+        (none, False, "ngram_only_insufficient", False),
+        (tr & (fp | ng), True, "trigger_confirmed", True),
+        (both & (F.col("_row") >= agreements), True, "both_agree", True),
+        (both, False, "agreement_pending", True),
+        (differ, False, "disagreement", False),
+        (strong_fp, True, "fingerprint_strong", False),
+        (strong_ng, True, "ngram_strong", False),
+        (held, False, "both_hold", True),
     ]
-    target, reason = F.lit(None).cast("int"), F.lit("weak signals")
-    for when, page, why in reversed(rules):
-        target = F.when(when, F.col(page) if page else F.lit(None).cast("int")).otherwise(target)
-        reason = F.when(when, F.lit(why)).otherwise(reason)
-    out = signals.withColumn("target_page", target).withColumn("reason", reason)
-    return out.withColumn("action", F.when(F.col("target_page").isNotNull() | (F.col("reason") == "trigger"), "advance").otherwise("hold")).withColumn("agreement", F.coalesce(F.col("fp_page") == F.col("ng_page"), F.lit(False)))
+    told = F.struct(F.lit(False).alias("turn"), F.lit("uncertain").alias("reason"), F.lit(False).alias("agreement"))
+    for when, turn, reason, agrees in reversed(rules):
+        told = F.when(when, F.struct(F.lit(turn).alias("turn"), F.lit(reason).alias("reason"), F.lit(agrees).alias("agreement"))).otherwise(told)
+    out = out.withColumn("_told", told).withColumn("action", F.when(F.col("_told.turn"), "turn").otherwise("hold"))
+    out = out.withColumn("target_page", F.when(F.col("_told.turn"), nxt)).withColumn("reason", F.col("_told.reason")).withColumn("agreement", F.col("_told.agreement"))
+    return out.drop("_both", "_end", "_other", "_row", "_told")
 
 
 def noise_sweep(fingerprints: DataFrame, *, levels: tuple[float, ...], seed: int) -> DataFrame:
     """``level, detected, correct``: page averages found again from vectors with hash noise of each level (share of each number)."""
     centre = fingerprints.select("page", F.posexplode("v").alias("i", "x")).groupBy("page", "i").agg(F.avg("x").alias("x")).groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("ref"))
-    noisy = fingerprints.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    kinds = len(levels)
+    noisy = fingerprints.select("id", "page", "v", F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("_l", "level"))
     unit = lambda i: F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(10_000)) / 5_000 - 1
-    noisy = noisy.withColumn("v", F.transform("v", lambda x, i: x * (1 + F.col("level") * unit(i))))
-    refs = centre.withColumnRenamed("page", "detected_page")
-    scored = paired(noisy, refs).withColumn("score", S.cosine(F.col("v"), F.col("ref")))
-    first = F.max_by(F.struct("page", "detected_page"), F.struct("score", -F.col("detected_page"))).alias("best")  # combined before it shuffles
-    best = scored.groupBy("level", "id").agg(first).select("level", "best.*")
-    return best.groupBy("level").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("page") == F.col("detected_page")).alias("correct"))
+    noisy = noisy.withColumn("v", F.transform("v", lambda x, i: x * (1 + F.col("level") * unit(i)))).withColumn("id", F.col("id") * kinds + F.col("_l"))
+    best = vector_topk(noisy.select("id", "v"), centre.select(F.col("page").alias("id"), F.col("ref").alias("v")), k=1, digits=9)
+    told = noisy.select(F.col("id").alias("query_id"), "level", "page").join(best, "query_id")
+    return told.groupBy("level").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("page") == F.col("item_id")).alias("correct"))
 
 
 def sequential_decode(candidates: DataFrame, edges: dict[tuple[int, int], float], *, default: float = 1e-5) -> DataFrame:

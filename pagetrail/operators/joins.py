@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import few
+from .tables import cut
 
 
 def lookup_postings(asked: DataFrame, post: DataFrame) -> DataFrame:
@@ -91,35 +93,151 @@ def align_audio_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     return out.select("word", "page", "pos", F.least(0.7 / F.sqrt("n"), F.lit(0.8)).alias("confidence"), (F.col("start") + (F.col("pos") - 1) * F.col("duration") / F.col("n")).alias("est_start"), (F.col("duration") / F.col("n")).alias("est_duration"))
 
 
-#: Words and variants up to which they are broadcast (some 60 bytes each).
+#: Words and keys up to which they are broadcast (some 60 bytes each).
 KEYS = 1_000_000
+#: Pairs whose shorter word has at most so many letters meet by deletions, longer ones by segments, which are then selective.
+SHORT = 6
+#: Letters of a key by which a word is found inside another, and of the pieces that long words are cut into.
+GRAM, PIECE = 8, 248
 
 
-def _variants(df: DataFrame, word: str, max_dist: int) -> DataFrame:
+def _deletions(df: DataFrame, word: str, max_dist: int) -> DataFrame:
     """A word, and the word without each set of at most ``max_dist`` of its characters: words within the distance share one."""
     one = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
     level, out = F.array(F.col(word)), F.array(F.col(word))
     for _ in range(max_dist):
         level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda x: x != ""), one)))
         out = F.array_union(out, level)
-    return df.withColumn("_key", F.explode(out))
+    return df.where(F.length(word) <= SHORT + max_dist).select(word, F.explode(out).alias("_key"))
+
+
+def _segments(size: Column, max_dist: int) -> list[tuple[Column, Column]]:
+    """First letters and lengths of the ``max_dist + 1`` segments of a word of this size: lengths differ by one at most, longer ones last."""
+    parts, at, out = max_dist + 1, F.lit(1), []
+    for i in range(parts):
+        length = F.floor(size / parts) + F.when(size % parts >= parts - i, 1).otherwise(0)
+        out.append((at, length))
+        at = at + length
+    return out
+
+
+def _segment_key(word: Column, size: Column, i: int, at: Column, length: Column) -> Column:
+    return F.xxhash64(F.substring(word, at.cast("int"), length.cast("int")), size, F.lit(i))
+
+
+def _owned(df: DataFrame, word: str, max_dist: int) -> DataFrame:
+    """A word of more than SHORT letters with a key for each of its segments."""
+    w, size = F.col(word), F.length(word)
+    keys = [_segment_key(w, size, i, at, length) for i, (at, length) in enumerate(_segments(size, max_dist))]
+    return df.where(size > SHORT).select(word, F.explode(F.array(*keys)).alias("_key"))
+
+
+def _sought(df: DataFrame, word: str, max_dist: int) -> DataFrame:
+    """A word with the keys under which any word within ``max_dist`` edits has a segment.
+
+    Of ``max_dist + 1`` segments one is free of edits, with at most ``i`` edits left of the i-th (from 0) and the others right of it. So
+    it starts at most ``i`` places off, and at most ``max_dist - i`` off when counted from the words' ends: a few places for each size.
+    """
+    w, own, keys = F.col(word), F.length(word), []
+    for more in range(-max_dist, max_dist + 1):
+        size = own - more  # of the other word
+        for i, (at, length) in enumerate(_segments(size, max_dist)):
+            for shift in range(max(-i, more - (max_dist - i)), min(i, more + max_dist - i) + 1):
+                start = at + shift
+                fits = (size > SHORT) & (start >= 1) & (start + length <= own + 1)
+                keys.append(F.when(fits, _segment_key(w, size, i, start, length)))
+    found = F.explode(F.array_distinct(F.array_compact(F.array(*keys))))
+    return df.where(own > SHORT).select(word, found.alias("_key"))
+
+
+def _shared(a: str, i: int, b: str, j: int) -> int:
+    """Letters that two words have in common from these places on: doubled steps, then halved ones, each a comparison of slices."""
+    n, step = 0, 64
+    while step:
+        if i + n + step <= len(a) and j + n + step <= len(b) and a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n, step = n + step, step * 2
+        else:
+            step //= 2
+    return n
+
+
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether two long words are within ``most`` edits: for each number of edits, the furthest place on each diagonal."""
+    goal, reach = len(b) - len(a), {0: _shared(a, 0, b, 0)}
+    for _ in range(most):
+        if reach.get(goal, -1) >= len(a):
+            break
+        fresh: dict[int, int] = {}
+        for d, i in reach.items():
+            for e, k in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
+                if k <= len(a) and 0 <= k + e <= len(b):
+                    fresh[e] = max(fresh.get(e, -1), k)
+        reach = {d: i + _shared(a, i, b, i + d) for d, i in fresh.items()}
+    return reach.get(goal, -1) >= len(a)
+
+
+def _long_within(a: str, b: str, most: int) -> Column:
+    @F.pandas_udf("boolean")
+    def compare(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([within_edits(x, y, most) for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    return compare(a, b)
+
+
+def _near(x: DataFrame, y: DataFrame, a: str, b: str, max_dist: int) -> DataFrame:
+    """Pairs of words within ``max_dist`` edits."""
+    short = _deletions(y, b, max_dist).join(few(_deletions(x, a, max_dist), KEYS), "_key").select(a, b)
+    long = _sought(y, b, max_dist).join(few(_owned(x, a, max_dist), KEYS), "_key").select(a, b)
+    within = F.abs(F.length(a) - F.length(b)) <= max_dist
+    least = F.least(F.length(a), F.length(b))
+    found = short.unionByName(long.where(least <= PIECE)).where(within & (F.levenshtein(a, b, max_dist) >= 0))
+    # the built-in distance takes time by the product of the lengths
+    vast = _sought(y.where(F.length(b) > PIECE), b, max_dist).join(_owned(x.where(F.length(a) > PIECE), a, max_dist), "_key").select(a, b).where(within).distinct()
+    return found.unionByName(vast.where(_long_within(a, b, max_dist)))
+
+
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """Hashes of all parts of these lengths, each once."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.xxhash64(F.substring(text, i, F.lit(n))))
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
 
 
 def _contained(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of words of which ``b`` is a part of ``a``, found by the parts of ``a``."""
-    size, word = F.length(a), F.col(a)
-    starts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(word, i, n)))
-    parts = outer.where(size > 0).select(a, F.explode(F.array_distinct(F.flatten(starts))).alias("_part"))
-    return parts.join(few(inner), F.col("_part") == F.col(b)).select("left_word", "right_word")
+    """Pairs of words of which ``b`` is a part of ``a``: found by the first GRAM letters of ``b`` (all of a shorter one) among the parts of ``a``.
+
+    A word has GRAM keys a letter at most. Longer words are cut into overlapping pieces, whose keys carry a hash of the word in place of
+    the word; what was found by them meets the words again and is compared.
+    """
+    inner = inner.where(F.length(b) > 0)
+    lengths = sorted(r[0] for r in inner.select(F.least(F.length(b), F.lit(GRAM))).distinct().collect())  # GRAM numbers at most
+    if not lengths:
+        return outer.select(a, F.lit("").alias(b)).limit(0).select("left_word", "right_word")
+    most = PIECE + GRAM - 1
+    keyed = few(inner.select(b, F.xxhash64(F.substring(b, 1, GRAM)).alias("_key")), KEYS)
+    plain = outer.where(F.length(a).between(1, most)).select(a, F.explode(_grams(F.col(a), lengths)).alias("_key"))
+    found = plain.join(keyed, "_key").where(F.contains(a, b)).select("left_word", "right_word")
+    long = outer.where(F.length(a) > most)
+    if long.isEmpty():
+        return found
+    pieces = long.select(F.xxhash64(a).alias("_a"), F.length(a).alias("_n"), F.explode(F.transform(F.sequence(F.lit(1), F.length(a), F.lit(PIECE)), lambda i: F.substring(F.col(a), i, F.lit(most)))).alias("_piece"))
+    parts = pieces.select("_a", "_n", F.explode(_grams(F.col("_piece"), lengths)).alias("_key"))
+    met = parts.join(inner.select(F.xxhash64(b).alias("_b"), F.length(b).alias("_m"), F.xxhash64(F.substring(b, 1, GRAM)).alias("_key")), "_key")
+    met = met.where("_m <= _n").select("_a", "_b").distinct()
+    met = met.join(long, F.col("_a") == F.xxhash64(a)).join(inner, F.col("_b") == F.xxhash64(b))
+    return found.unionByName(met.where(F.contains(a, b)).select("left_word", "right_word"))
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, *, max_dist: int = 2, contains: bool = True) -> DataFrame:
-    """Pairs of words that are equal, of which one holds the other, or that are within ``max_dist`` edits: found by shared parts and
-    shared deletions, the latter confirmed by the distance. No cross join."""
-    x, y = left.select(F.col("word").alias("left_word")).distinct(), right.select(F.col("word").alias("right_word")).distinct()
-    keys = few(_variants(x, "left_word", max_dist), KEYS)  # where the left side is small the other's variants needn't shuffle
-    pairs = _variants(y, "right_word", max_dist).join(keys, "_key").select("left_word", "right_word")
-    pairs = pairs.where(F.levenshtein("left_word", "right_word", max_dist) >= 0)
+    """Pairs of words that are equal, of which one holds the other, or that are within ``max_dist`` edits; each pair once.
+
+    Short words meet by shared deletions, longer ones by a shared segment near its place, and words inside others by their first letters.
+    All candidates are compared. Keys grow in proportion to a word's letters. The distinct words are
+    written once, as every way of meeting reads them. Null words match nothing; the empty word matches words of up
+    to ``max_dist`` letters and is part of none. No cross join.
+    """
+    x = cut(left.select(F.col("word").alias("left_word")).where("left_word is not null").distinct())
+    y = cut(right.select(F.col("word").alias("right_word")).where("right_word is not null").distinct())
+    pairs = _near(x, y, "left_word", "right_word", max_dist)
     if contains:
         pairs = pairs.unionByName(_contained(x, y, "left_word", "right_word")).unionByName(_contained(y, x, "right_word", "left_word"))
     return pairs.distinct()

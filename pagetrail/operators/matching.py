@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .corpus import document_frequency, rarity_weight
+from .tables import cut
 
 
 def top_k(scored: DataFrame, *, by: list[str], score: str, k: int = 5, tie: list[str]) -> DataFrame:
@@ -72,16 +73,48 @@ def window_weights(windows: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("word", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def match_windows(live: DataFrame, windows: DataFrame, current: DataFrame, *, resync: bool = False) -> DataFrame:
-    """Windows of the pages ahead scored by the share of matched weight, times 0.5 for the next page and 0.8 for the current one."""
-    w = windows.select("page", "window_index", "word").distinct().join(window_weights(windows), "word")
-    ahead = current.select("query_id", "current_page", F.explode(F.sequence(F.col("current_page"), F.col("current_page") + (12 if resync else 3))).alias("page"))
-    cand = ahead.join(w, "page")
-    total = w.groupBy("page", "window_index").agg(F.sum("idf").alias("total"))
-    met = cand.join(live.select("query_id", "word").distinct(), ["query_id", "word"]).groupBy("query_id", "current_page", "page", "window_index").agg(F.sum("idf").alias("got"), F.count(F.lit(1)).alias("matched_words"))
+#: How far ahead windows are looked at: pages after the current one, normally and when the place was lost.
+AHEAD, AHEAD_LOST = 3, 12
+
+
+def score_windows(live: DataFrame, windows: DataFrame, current: DataFrame, *, resync: bool = False) -> DataFrame:
+    """``query_id, page, window_index, matched_words, total_words, confidence`` of the windows ahead that match any live word.
+
+    ``live`` has ``query_id, pos, word``, ``windows`` has ``page, window_index, word`` and ``current`` says ``query_id, current_page,
+    current_window``. A live word counts each time that it was said, and matches a window that has a word which is equal, holds it, is
+    held by it or is within two edits. Confidence is the share of the live words' weight that matches, in percent, times 0.5 on the next page
+    and 0.8 on the current one, of which only windows from the current one on count. Queries without live words have no rows.
+    """
+    from .joins import fuzzy_join  # which takes this module's helpers
+
+    windows = cut(windows.select("page", "window_index", "word").distinct())
+    said = live.where(F.col("word") != "").groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    unseen = F.ln(windows.select("page", "window_index").distinct().count() + F.lit(1.0)) + 1
+    said = cut(said.join(window_weights(windows), "word", "left").withColumn("idf", F.coalesce("idf", unseen)))
+    whole = said.groupBy("query_id").agg(F.sum("n").alias("total_words"), F.sum(F.col("n") * F.col("idf")).alias("_all"))
+    steps = F.sequence(F.col("current_page"), F.col("current_page") + (AHEAD_LOST if resync else AHEAD))
+    ahead = current.select("query_id", "current_page", "current_window", F.explode(steps).alias("page"))
+    near = windows.join(ahead.select("page").distinct(), "page", "left_semi")
+    pairs = fuzzy_join(said.select("word"), near.select("word")).select(F.col("left_word").alias("word"), F.col("right_word").alias("_held"))
+    asked = said.select("query_id", "word").join(pairs, "word")
+    met = ahead.join(near.withColumnRenamed("word", "_held"), "page").where((F.col("page") != F.col("current_page")) | (F.col("window_index") >= F.col("current_window")))
+    met = met.join(asked, ["query_id", "_held"]).select("query_id", "current_page", "page", "window_index", "word").distinct()
+    got = met.join(said, ["query_id", "word"]).groupBy("query_id", "current_page", "page", "window_index").agg(F.sum("n").alias("matched_words"), F.sum(F.col("n") * F.col("idf")).alias("_got"))
     gap = F.col("page") - F.col("current_page")
     bias = F.when(gap == 1, 0.5).when(gap == 0, 0.8).otherwise(1.0)
-    return met.join(total, ["page", "window_index"]).select("query_id", "page", "window_index", "matched_words", (100 * F.col("got") / F.col("total") * bias).alias("confidence"))
+    return got.join(whole, "query_id").select("query_id", "page", "window_index", "matched_words", "total_words", (100 * F.col("_got") / F.col("_all") * bias).alias("confidence"))
+
+
+def match_windows(live: DataFrame, windows: DataFrame, current: DataFrame, *, resync: bool = False, digits: int = 9) -> DataFrame:
+    """The best window of every row of ``current``: the first in order of page and window of those with the highest confidence, compared
+    to ``digits`` places. Without a match it is the current one, with a confidence of 0."""
+    scored = score_windows(live, windows, current, resync=resync)
+    order = F.struct(F.round("confidence", digits), -F.col("page"), -F.col("window_index"))
+    best = scored.groupBy("query_id").agg(F.max_by(F.struct("page", "window_index", "matched_words", "confidence"), order).alias("b"))
+    total = live.where(F.col("word") != "").groupBy("query_id").agg(F.count(F.lit(1)).alias("total_words"))
+    out = current.join(best, "query_id", "left").join(total, "query_id", "left")
+    pick = lambda c, other: F.coalesce(F.col("b")[c], other)
+    return out.select("query_id", pick("page", F.col("current_page")).alias("page"), pick("window_index", F.col("current_window")).alias("window_index"), pick("matched_words", F.lit(0)).cast("long").alias("matched_words"), F.coalesce("total_words", F.lit(0)).cast("long").alias("total_words"), pick("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def words_to_pages(recognized: DataFrame, post: DataFrame) -> DataFrame:
@@ -90,33 +123,14 @@ def words_to_pages(recognized: DataFrame, post: DataFrame) -> DataFrame:
     return met.withColumn("score", F.col("matches") * F.col("_s") / (F.col("matches") + 1)).drop("_s")
 
 
-#: Templates up to which they are broadcast, and rows of a block beyond that.
-BROADCAST_TEMPLATES, TEMPLATE_BLOCK = 20_000, 5_000
-
-
-def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of ``left`` with every row of ``right``: a broadcast of few, else ``right`` in blocks, to each of which ``left`` goes."""
-    if right.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
-        return left.join(F.broadcast(right))
-    blocks = -(-right.count() // TEMPLATE_BLOCK)
-    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*[c for c in right.columns]), F.lit(blocks)))
-    return left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
-
-
-def score_templates(obs: DataFrame, templates: DataFrame, score: Column, *, k: int = 5) -> DataFrame:
-    """Best template of each word for each observation, the ``k`` best words. Scores are combined before they shuffle."""
-    best = paired(obs, templates).withColumn("score", score).groupBy("obs_id", "word").agg(F.max("score").alias("score"))
-    return top_k(best, by=["obs_id"], score="score", k=k, tie=["word"])
-
-
 #: Rows of a block of queries and of items, and of queries compared at once.
 QUERY_BLOCK, ITEM_BLOCK, TILE = 4096, 32_768, 128
 
 
-def _met(queries: DataFrame, items: DataFrame, work, told: str) -> DataFrame:
-    """``work(query ids, vectors, item ids, vectors)`` for every block of queries with every block of items: both are dealt by a shuffle,
+def _met(queries: DataFrame, items: DataFrame, work, told: str, *, more: tuple[str, ...] = ()) -> DataFrame:
+    """``work(query ids, vectors, item ids, vectors)``, and the items' columns ``more``, for every block of queries with every block of items: both are dealt by a shuffle,
     so that neither is ever whole in a task, on the driver or in a broadcast. Rows without a vector play no part."""
-    q, i = (x.where("v is not null").select(F.col("id").alias("id"), F.col("v").alias("v")) for x in (queries, items))
+    q, i = (x.where("v is not null").select("id", "v", *more[: len(more) * n]) for n, x in enumerate((queries, items)))
     nq, ni = (max(1, -(-x.count() // size)) for x, size in ((q, QUERY_BLOCK), (i, ITEM_BLOCK)))
     names = [x.split()[0] for x in told.split(", ")]
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -127,12 +141,35 @@ def _met(queries: DataFrame, items: DataFrame, work, told: str) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in names})
-        return work(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()))
+        return work(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), *(right[c].to_numpy() for c in more))
 
     return q.groupBy("a", "b").cogroup(i.groupBy("a", "b")).applyInPandas(run, told)
 
 
-def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def score_templates(obs: DataFrame, templates: DataFrame, score, *, k: int = 5, digits: int = 6) -> DataFrame:
+    """The ``k`` best words of each observation: ``obs_id, word, score, rank``, a word's score being its best template's.
+
+    ``obs`` has ``id, v`` and ``templates`` has ``id, v, word, extra``; ``score(vectors, template vectors, extras)`` gives a matrix.
+    All templates are compared, in dealt blocks, and only the ``k`` best words of each block shuffle. Ties go to the smaller word.
+    """
+
+    def work(ids, mat, item_ids, item_mat, words, extra):
+        words = words.astype(str)
+        order = np.lexsort((item_ids, words))
+        words, item_mat, extra, rows = words[order], item_mat[order], extra[order], []
+        first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        for at in range(0, len(ids), TILE):
+            s = np.maximum.reduceat(score(mat[at : at + TILE], item_mat, extra).round(digits), first, axis=1)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            rows.append(pd.DataFrame({"obs_id": np.repeat(ids[at : at + TILE], best.shape[1]), "word": words[first][best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
+        return pd.concat(rows)
+
+    met = _met(obs, templates, work, "obs_id long, word string, score double", more=("word", "extra"))
+    best = met.groupBy("obs_id", "word").agg(F.max("score").alias("score"))
+    return top_k(best, by=["obs_id"], score="score", k=k, tie=["word"])
+
+
+def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     d, na, nb = a @ b.T, np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     if metric == "cosine":
         return np.divide(d, na[:, None] * nb, out=np.zeros_like(d), where=(na[:, None] * nb) > 0)
@@ -147,7 +184,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 5, metric: str
         order = np.argsort(item_ids, kind="stable")
         item_ids, item_mat, rows = item_ids[order], item_mat[order], []
         for at in range(0, len(ids), TILE):
-            s = _scores(mat[at : at + TILE], item_mat, metric)
+            s = scores(mat[at : at + TILE], item_mat, metric)
             s = s if digits is None else s.round(digits)
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             rows.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + TILE], best.shape[1]), "item_id": item_ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
@@ -164,7 +201,7 @@ def smallest_near(items: DataFrame, *, min_score: float) -> DataFrame:
         order = np.argsort(item_ids, kind="stable")
         item_ids, item_mat, rows = item_ids[order], item_mat[order], []
         for at in range(0, len(ids), TILE):
-            near = (_scores(mat[at : at + TILE], item_mat, "l2").round(9) >= min_score) & (item_ids[None] < ids[at : at + TILE, None])
+            near = (scores(mat[at : at + TILE], item_mat, "l2").round(9) >= min_score) & (item_ids[None] < ids[at : at + TILE, None])
             hit = np.flatnonzero(near.any(1))
             rows.append(pd.DataFrame({"id": ids[at : at + TILE][hit], "other": item_ids[near[hit].argmax(1)]}))
         return pd.concat(rows)

@@ -192,16 +192,38 @@ def b22_clamp(spark, d):
     return table(spark, d, "events").select("event_id", T.clamp(F.get_json_object("props", "$.k").cast("int"), 1, 50).alias("page"))
 
 
-@query(f"WITH {TOK} SELECT lang, word, page // 4096 AS block, list_sort(list(DISTINCT page)) AS pages, count(DISTINCT page) AS df FROM tok WHERE word NOT IN ('the', 'and', 'of') GROUP BY lang, word, page // 4096")
+# Latin words that the index of sounds leaves out.
+LATIN_STOP = ("the", "and", "of", "to", "in", "a", "is", "for", "on", "at")
+_STOP = ", ".join(f"'{w}'" for w in LATIN_STOP)
+_INDEXED = f"{TOK}, ix AS (SELECT DISTINCT lang, word, page FROM tok WHERE length(word) >= CASE lang WHEN 'en' THEN 3 ELSE 2 END AND NOT (lang = 'es' AND word IN ({_STOP})))"
+
+
+def _indexed(spark, d):
+    """English words have three letters at least, stop words are left out of one language, and another's sounds are added to it (there are
+    none of Latin letters)."""
+    return C.index_words(tokens(spark, d), least={"en": 3}, stop={"es": LATIN_STOP}, sounds={"de": "es"})
+
+
+@query(f"WITH {_INDEXED} SELECT lang, word, page // 4096 AS block, list_sort(list(page)) AS pages FROM ix GROUP BY lang, word, page // 4096")
 def d1_inverted_index(spark, d):
-    return C.build_inverted_index(tokens(spark, d), stop=("the", "and", "of"))
+    return C.build_inverted_index(_indexed(spark, d))
 
 
-@query(f"WITH {TOK} SELECT word, page // 4096 AS block, min(page) AS first_page, count(*) AS occurrences, count(DISTINCT page) AS page_count, list_sort(list(DISTINCT page)) AS pages FROM tok GROUP BY word, page // 4096")
+@query(f"WITH {_INDEXED} SELECT lang, word, min(page) AS first_page, count(*) AS df FROM ix GROUP BY lang, word")
+def d1_index_totals(spark, d):
+    return C.index_totals(_indexed(spark, d))
+
+
+@query(f"WITH {TOK} SELECT word, min(page) AS first_page, count(*) AS occurrences, count(DISTINCT page) AS page_count FROM tok GROUP BY word")
 def d2_dictionary(spark, d):
     return C.build_dictionary(tokens(spark, d))
 
 
+@query(f"WITH {TOK} SELECT word, page // 4096 AS block, list_sort(list(DISTINCT page)) AS pages FROM tok GROUP BY word, page // 4096")
+def d2_dictionary_pages(spark, d):
+    return C.dictionary_pages(tokens(spark, d))
+
+
 _PAIRS = f"{TOK}, pairs AS (SELECT page AS page_number, pos, word AS armenian, lead(word) OVER (PARTITION BY page ORDER BY pos) AS phonetic FROM tok)"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -62,16 +63,30 @@ _WIN = f"""{TOK}, lw AS (SELECT page, list(word ORDER BY pos) AS ws FROM tok WHE
     wins AS (SELECT * FROM win WHERE len(words) >= 4 OR (start_offset = 0 AND len((SELECT ws FROM lw WHERE lw.page = win.page)) <= 14))"""
 
 
-@query(f"""WITH {_WIN}, {ASK}, ww AS (SELECT DISTINCT page, window_index, unnest(words) AS word FROM wins), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT page, window_index FROM ww)), idf AS (SELECT word, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM ww, n GROUP BY word),
-    tot AS (SELECT page, window_index, sum(idf) AS total FROM ww JOIN idf USING (word) GROUP BY ALL), q AS (SELECT DISTINCT query_id, word FROM ask),
-    m AS (SELECT query_id, page, window_index, sum(idf) AS got, count(*) AS matched_words FROM q JOIN ww USING (word) JOIN idf USING (word) WHERE page BETWEEN query_id * 7 AND query_id * 7 + 12 GROUP BY ALL)
-    SELECT query_id, page, window_index, matched_words, round(100 * got / total * CASE page - query_id * 7 WHEN 1 THEN 0.5 WHEN 0 THEN 0.8 ELSE 1.0 END, 4) AS confidence FROM m JOIN tot USING (page, window_index)""")
+#: DuckDB's distance counts bytes: a byte for each letter that the given words have.
+_BYTES = "translate({}, 'àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123')"
+
+
+@query(f"""WITH {_WIN}, {ASK}, ww AS (SELECT DISTINCT page, window_index, unnest(words) AS word FROM wins), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT page, window_index FROM ww)),
+    df AS (SELECT word, count(*) AS df FROM ww GROUP BY word), said AS (SELECT query_id, word, count(*) AS k FROM ask WHERE length(word) > 2 GROUP BY query_id, word),
+    live AS (SELECT said.*, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM said LEFT JOIN df USING (word), n), whole AS (SELECT query_id, sum(k) AS total_words, sum(k * idf) AS total FROM live GROUP BY query_id),
+    ahead AS (SELECT item_id AS query_id, page, window_index, word AS held FROM benchmark JOIN ww ON page BETWEEN item_id * 7 AND item_id * 7 + 12 WHERE page > item_id * 7 OR window_index >= 2),
+    pairs AS (SELECT DISTINCT live.word, held FROM live JOIN ahead USING (query_id)),
+    near AS (SELECT word, held FROM pairs WHERE contains(held, word) OR contains(word, held)
+        OR (abs(length(held) - length(word)) <= 2 AND levenshtein({_BYTES.format("held")}, {_BYTES.format("word")}) <= 2)),
+    hit AS (SELECT DISTINCT ahead.query_id, live.word, page, window_index FROM ahead JOIN near USING (held) JOIN live ON live.query_id = ahead.query_id AND live.word = near.word),
+    got AS (SELECT query_id, page, window_index, sum(k)::BIGINT AS matched_words, sum(k * idf) AS got FROM hit JOIN live USING (query_id, word) GROUP BY query_id, page, window_index),
+    sc AS (SELECT query_id, page, window_index, matched_words, round(100 * got / total * CASE page - query_id * 7 WHEN 1 THEN 0.5 WHEN 0 THEN 0.8 ELSE 1.0 END, 4) AS confidence FROM got JOIN whole USING (query_id)),
+    best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, page, window_index) = 1)
+    SELECT item_id AS query_id, coalesce(page, item_id * 7) AS page, coalesce(window_index, 2)::INT AS window_index, coalesce(matched_words, 0) AS matched_words, coalesce(total_words, 0)::BIGINT AS total_words, coalesce(confidence, 0) AS confidence
+    FROM benchmark LEFT JOIN best ON best.query_id = item_id LEFT JOIN whole ON whole.query_id = item_id""")
 def f4_match_windows(spark, d):
+    """Each passage as live words at page 7 x its number, window 2, its place lost: the best window ahead."""
     from pagetrail.operators.sequences import text_windows
 
     w = text_windows(tokens(spark, d)).select("page", "window_index", F.explode("words").alias("word"))
-    current = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("current_page"))
-    return M.match_windows(questions(spark, d), w, current, resync=True).withColumn("confidence", F.round("confidence", 4))
+    current = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("current_page"), F.lit(2).alias("current_window"))
+    return M.match_windows(questions(spark, d).where(F.length("word") > 2), w, current, resync=True, digits=4).withColumn("confidence", F.round("confidence", 4))
 
 
 def _grams(df, key):
@@ -93,27 +108,29 @@ def f6_match_counts(spark, d):
     return M.match_counts(questions(spark, d), C.postings(tokens(spark, d)), first_n=10).withColumn("confidence", F.round("confidence", 6))
 
 
-_TPL = f"""{VEC}, sc AS (SELECT o.id AS obs_id, 'w' || t.page AS word, max({{s}}) AS score FROM vec o, vec t WHERE t.id % 50 = 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY score DESC, word)::INT AS rank FROM sc)"""
+_TPL = f"""{VEC}, sc AS (SELECT o.id AS obs_id, 'w' || t.page AS word, max({{s}}) AS score FROM vec o, vec t WHERE o.id % 50 = 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY score DESC, word)::INT AS rank FROM sc)"""
 
 
 def _templates(spark, d):
+    """Every vector as a template; those with an id divisible by 50 ask."""
     v = vectors(spark, d)
-    return v.select(F.col("id").alias("obs_id"), "v"), v.where("id % 50 = 0").select(F.concat(F.lit("w"), F.col("page").cast("string")).alias("word"), F.col("v").alias("tv"), (F.col("id") % 100).alias("frequency"))
+    return v.where("id % 50 = 0").select("id", "v"), v.select("id", "v", F.concat(F.lit("w"), F.col("page").cast("string")).alias("word"), (F.col("id") % 100).cast("double").alias("extra"))
 
 
 @query(f"WITH {_TPL.format(s='round(0.8 * list_cosine_similarity(o.v, t.v) + 0.2 * exp(-10 * abs(o.v[1] - t.v[1])), 6)')} SELECT * FROM rk WHERE rank <= 5")
 def f7_recognize_words(spark, d):
-    obs, tpl = _templates(spark, d)
-    score = 0.8 * S.cosine(F.col("v"), F.col("tv")) + 0.2 * F.exp(-10 * F.abs(F.get("v", F.lit(0)) - F.get("tv", F.lit(0))))
-    return M.score_templates(obs, tpl, F.round(score, 6))
+    def score(a, b, extra):
+        return 0.8 * M.scores(a, b, "cosine") + 0.2 * np.exp(-10 * np.abs(a[:, :1] - b[:, 0]))
+
+    return M.score_templates(*_templates(spark, d), score)
 
 
 @query(f"WITH {_TPL.format(s='round(0.5 * list_cosine_similarity(o.v, t.v) + 0.2 * greatest(0, 1 - abs(o.v[1] - t.v[1])) + 0.2 * list_cosine_similarity(o.v[1:12], t.v[1:12]) + least(t.id % 100 / 100, 0.1), 6)')} SELECT * FROM rk WHERE rank <= 5 AND score > 0.3")
 def f8_match_patterns(spark, d):
-    obs, tpl = _templates(spark, d)
-    part = lambda c: F.slice(F.col(c), 1, 12)
-    score = 0.5 * S.cosine(F.col("v"), F.col("tv")) + 0.2 * F.greatest(F.lit(0.0), 1 - F.abs(F.get("v", F.lit(0)) - F.get("tv", F.lit(0)))) + 0.2 * S.cosine(part("v"), part("tv")) + F.least(F.col("frequency") / 100, F.lit(0.1))
-    return M.score_templates(obs, tpl, F.round(score, 6)).where("score > 0.3")
+    def score(a, b, extra):
+        return 0.5 * M.scores(a, b, "cosine") + 0.2 * np.maximum(0, 1 - np.abs(a[:, :1] - b[:, 0])) + 0.2 * M.scores(a[:, :12], b[:, :12], "cosine") + np.minimum(extra / 100, 0.1)
+
+    return M.score_templates(*_templates(spark, d), score).where("score > 0.3")
 
 
 @query(f"""WITH {TOK}, {ASK}, {POST}, r AS (SELECT query_id AS obs_id, word, least(pos / 100.0, 1.0) AS score FROM ask) SELECT obs_id, page, count(*) AS matches, round(avg(score) + 1e-9, 4) AS avg_confidence, round(count(*) * sum(score) / (count(*) + 1) + 1e-9, 4) AS score
@@ -186,12 +203,28 @@ def f17_trigger_match(spark, d):
     return D.trigger_match(q.select("query_id", "ws", F.slice("ws", 1, 5).alias("triggers"))).select("query_id", F.col("match_count").cast("long").alias("match_count"))
 
 
-@query(f"""WITH {_LAG}, x AS (SELECT event_id, CASE WHEN value > 100 THEN prev + 1 END AS trigger_page, CASE WHEN speaker <> 'error' THEN page END AS fp_page, score AS fp_score, CASE WHEN speaker <> 'view' THEN page // 2 * 2 END AS ng_page, value / 100 AS ng_score FROM lg)
-    SELECT event_id, CASE WHEN trigger_page IS NOT NULL THEN 'advance' WHEN fp_page IS NULL AND ng_page IS NOT NULL AND ng_score >= 0.6 THEN 'advance' WHEN fp_page IS NULL THEN 'hold' WHEN fp_page = ng_page THEN 'advance' WHEN fp_score >= 0.85 THEN 'advance' WHEN ng_page IS NOT NULL AND ng_score >= 0.6 THEN 'advance' ELSE 'hold' END AS action,
-    CASE WHEN trigger_page IS NOT NULL THEN trigger_page WHEN fp_page IS NULL AND ng_page IS NOT NULL AND ng_score >= 0.6 THEN ng_page WHEN fp_page IS NULL THEN NULL WHEN fp_page = ng_page THEN fp_page WHEN fp_score >= 0.85 THEN fp_page WHEN ng_page IS NOT NULL AND ng_score >= 0.6 THEN ng_page END AS target_page FROM x""")
+_SIGNALS = f"""{LOG}, x AS (SELECT session_id, event_id, t, page AS current_page, CASE WHEN value > 20 THEN page + 1 END AS trigger_page, value AS trigger_confidence,
+    CASE WHEN event_id % 3 > 0 THEN page + 1 + (event_id % 7 = 0)::INT END AS fp_page, CASE WHEN speaker <> 'error' THEN 2 * value END AS fp_confidence, CASE WHEN event_id % 5 > 1 THEN page + 1 END AS ng_page, value / 2 AS ng_confidence, event_id % 6 AS ng_matches FROM log),
+    y AS (SELECT *, current_page + 1 AS nxt, coalesce(trigger_page = current_page + 1, false) AS tr, coalesce(fp_page = current_page + 1, false) AS fp, coalesce(ng_page = current_page + 1, false) AS ng,
+        fp_page IS NOT NULL AND ng_page IS NOT NULL AND fp_page <> ng_page AS differ, fp_page IS NULL AND ng_page IS NULL AS held FROM x),
+    z AS (SELECT *, (tr AND trigger_confidence >= 60) OR fp_confidence IS NULL OR (tr AND (fp OR ng)) AS early FROM y),
+    s AS (SELECT *, NOT early AND fp AND ng AS agree, sum((NOT early AND NOT (fp AND ng) AND (differ OR held))::INT) OVER (PARTITION BY session_id ORDER BY t, event_id) AS ended FROM z),
+    u AS (SELECT *, last_value(CASE WHEN agree THEN nxt END IGNORE NULLS) OVER (PARTITION BY session_id, ended ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+    v AS (SELECT *, sum((agree AND before IS NOT NULL AND before <> nxt)::INT) OVER (PARTITION BY session_id, ended ORDER BY t, event_id) AS other FROM u),
+    w AS (SELECT *, sum(agree::INT) OVER (PARTITION BY session_id, ended, other ORDER BY t, event_id) AS run FROM v)"""
+
+
+@query(f"""WITH {_SIGNALS}, r AS (SELECT *, CASE WHEN tr AND trigger_confidence >= 60 THEN 'trigger_match' WHEN fp_confidence IS NULL AND ng AND ng_confidence >= 20 THEN 'ngram_only_mode' WHEN fp_confidence IS NULL THEN 'ngram_only_insufficient'
+    WHEN tr AND (fp OR ng) THEN 'trigger_confirmed' WHEN fp AND ng AND run >= 2 THEN 'both_agree' WHEN fp AND ng THEN 'agreement_pending' WHEN differ THEN 'disagreement' WHEN fp AND fp_confidence >= 45 THEN 'fingerprint_strong'
+    WHEN ng AND ng_matches >= 4 THEN 'ngram_strong' WHEN held THEN 'both_hold' ELSE 'uncertain' END AS reason FROM w), a AS (SELECT *, reason IN ('trigger_match', 'ngram_only_mode', 'trigger_confirmed', 'both_agree', 'fingerprint_strong', 'ngram_strong') AS turn FROM r)
+    SELECT event_id, CASE WHEN turn THEN 'turn' ELSE 'hold' END AS action, CASE WHEN turn THEN nxt END AS target_page, reason, reason IN ('trigger_confirmed', 'both_agree', 'agreement_pending', 'both_hold') AS agreement FROM a""")
 def f18_coordinate(spark, d):
-    x = _lagged(spark, d).select("event_id", F.when(F.col("value") > 100, F.col("prev") + 1).alias("trigger_page"), F.when(F.col("speaker") != "error", F.col("page")).alias("fp_page"), F.col("score").alias("fp_score"), F.when(F.col("speaker") != "view", (F.floor(F.col("page") / 2) * 2).cast("int")).alias("ng_page"), (F.col("value") / 100).alias("ng_score"))
-    return D.coordinate(x).select("event_id", "action", "target_page")
+    """Signals made of the log, two agreements in a row for a turn."""
+    e, page = entries(spark, d), F.col("page")
+    x = e.select("session_id", "event_id", "t", page.alias("current_page"), F.when(F.col("value") > 20, page + 1).alias("trigger_page"), F.col("value").alias("trigger_confidence"),
+                 F.when(F.col("event_id") % 3 > 0, page + 1 + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("fp_page"), F.when(F.col("speaker") != "error", 2 * F.col("value")).alias("fp_confidence"),
+                 F.when(F.col("event_id") % 5 > 1, page + 1).alias("ng_page"), (F.col("value") / 2).alias("ng_confidence"), (F.col("event_id") % 6).alias("ng_matches"))
+    return D.coordinate(x, agreements=2).select("event_id", "action", "target_page", "reason", "agreement")
 
 
 @query(f"""WITH {TOK}, {ASK}, {POST}, sg AS (SELECT page, word FROM post JOIN df USING (word) WHERE df <= 3), sc AS (SELECT query_id, page, sum({_RARITY})::DOUBLE * any_value(CASE WHEN page = query_id * 7 + 1 THEN 10.0 WHEN page = query_id * 7 THEN 2.0 ELSE 1.0 END) AS score FROM (SELECT DISTINCT query_id, word FROM ask) JOIN df USING (word) JOIN post USING (word) GROUP BY ALL),

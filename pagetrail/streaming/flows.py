@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagetrail.operators.tables import shared_dir
+
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, or in the warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one; see :func:`pagetrail.operators.tables.shared_dir`."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, *, mode: str = "append") -> DataFrame:

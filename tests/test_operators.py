@@ -68,6 +68,53 @@ def test_fuzzy_join_against_brute_force(spark):
     assert got == {(x, y) for x in a for y in b if x in y or y in x or edits(x, y) <= 2}
 
 
+def test_fuzzy_join_of_long_words(spark):
+    """Segments, pieces and long words: equal to brute force, with a word of 100,000 letters on either side."""
+    rng = random.Random(3)
+    word = lambda n, letters="abcd": "".join(rng.choice(letters) for _ in range(n))
+
+    def changed(x):
+        for _ in range(rng.randint(0, 3)):
+            i, k = rng.randint(0, len(x)), rng.random()
+            x = x[:i] + rng.choice("abé") + x[i:] if k < 0.4 else x[:i] + x[i + 1 :]
+        return x
+
+    a = sorted({word(rng.randint(0, 14)) for _ in range(60)} | {word(300), word(40), word(19), word(27)})
+    b = sorted({changed(rng.choice(a)) for _ in range(70)} | {word(rng.randint(0, 20)) for _ in range(20)} | {a[5] + "zz" + a[9]})
+    big = word(100_000, "abcdefgh")
+    near, far = big[:50_000] + "z" + big[50_000:-1], big[:100] + "zzz" + big[100:]
+    want = {(x, y) for x in a for y in b if (x and x in y) or (y and y in x) or edits(x, y) <= 2}
+    a, b = [*a, big, big[5000:5400]], [*b, near, far, big[100:400], big[77_777:77_790]]
+    want |= {(big, near), (big, big[100:400]), (big, big[77_777:77_790]), (big[5000:5400], near), (big[5000:5400], far)} - {(big, far)}
+    want |= {(x, y) for x in a for y in b[-4:] if x and len(x) < 100_000 and x in y} | {(x, y) for x in a[-2:] for y in b if y and y in x}
+    frame = lambda x: spark.createDataFrame([(w,) for w in [*x, None]], "word string")
+    assert {tuple(r) for r in joins.fuzzy_join(frame(a), frame(b)).collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_within_edits(most):
+    rng = random.Random(most)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in "ab")
+        assert joins.within_edits(a, b, most) == (edits(a, b) <= most)
+
+
+def test_windows_of_live_words(spark):
+    """Live words count each time, match equal, contained or within two edits, and weigh against all live words."""
+    windows = spark.createDataFrame([(5, 0, w) for w in ("lord", "mercy", "upon")] + [(5, 1, w) for w in ("peace", "lord")] + [(6, 0, w) for w in ("lord", "mercyy", "zzz")] + [(9, 0, "zzz")], "page long, window_index int, word string")
+    live = spark.createDataFrame([(1, i, w) for i, w in enumerate(("lord", "zzz", "mercyy", "lord"))] + [(2, 0, "nothing")], "query_id long, pos int, word string")
+    now = spark.createDataFrame([(1, 5, 1), (2, 5, 0)], "query_id long, current_page long, current_window int")
+    idf = lambda df: math.log((4 + 1) / (df + 1)) + 1
+    weight = {"lord": idf(3), "zzz": idf(2), "mercyy": idf(1)}
+    total = 2 * weight["lord"] + weight["zzz"] + weight["mercyy"]
+    got = {(r.query_id, r.page, r.window_index): (r.matched_words, round(r.confidence, 6)) for r in matching.score_windows(live, windows, now).collect()}
+    assert got == {(1, 5, 1): (2, round(100 * 2 * weight["lord"] / total * 0.8, 6)), (1, 6, 0): (4, 50.0)}
+    far = {(r.page, r.window_index) for r in matching.score_windows(live, windows, now, resync=True).collect()}
+    assert far == {(5, 1), (6, 0), (9, 0)}
+    best = {r.query_id: (r.page, r.window_index, r.matched_words, r.total_words) for r in matching.match_windows(live, windows, now).collect()}
+    assert best == {1: (5, 1, 2, 4), 2: (5, 0, 0, 1)} or best[1] == (6, 0, 4, 4)
+
+
 def test_near_items_are_not_capped(spark):
     rng = np.random.default_rng(5)
     m = np.concatenate([rng.normal(size=(40, 6)), np.ones((60, 6)) + rng.normal(size=(60, 6)) * 0.005])
