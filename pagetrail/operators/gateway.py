@@ -130,16 +130,59 @@ def adaptive_ratio(messages: DataFrame, *, context: int, base: float = 0.4, leas
     return a.select("conv_id", F.when(F.col("a") > 0.1, F.greatest(F.lit(least), base - F.least(2 * F.col("a"), F.lit(base - least)))).otherwise(base).alias("ratio"))
 
 
-def repair_tool_results(messages: DataFrame) -> DataFrame:
-    """Counts of what a repair does: results moved to their call, missing ones added, duplicates and orphans dropped.
-
-    ``conv_id, turn, kind`` (call, result, other) and ``call_id``. A result belongs to the first call of its id in the conversation.
+# The row that calls results, the row that has one, and the text of a result that was never stored.
+ASSISTANT, RESULT = "assistant", "toolResult"
+MISSING_RESULT = "[clawdbot] missing tool result in session history; inserted synthetic error result for transcript repair."
+
+
+def _spans(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages with the number of their span (an assistant row and what follows it; 0 before the first); the spans' calls, each with its place
+    and whether its id was called before; and results, each with whether its span calls it, calls it first, and has an earlier one."""
+    along = Window.partitionBy("conv_id").orderBy("turn", "role", "result_id", "text")
+    rows = messages.withColumn("span", F.sum((F.col("role") == ASSISTANT).cast("long")).over(along))
+    calls = rows.where(F.col("role") == ASSISTANT).select("conv_id", "span", F.posexplode("call_ids").alias("place", "id")).where("id is not null")
+    seen = F.row_number().over(Window.partitionBy("conv_id", "id").orderBy("span", "place"))
+    calls = calls.withColumn("first", seen == 1)
+    own = calls.groupBy("conv_id", "span", "id").agg(F.max("first").alias("_first"))
+    results = rows.where(F.col("role") == RESULT).select("conv_id", "span", F.col("result_id").alias("id"), "turn", "text")
+    results = results.join(own, ["conv_id", "span", "id"], "left")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "span", "id").orderBy("turn", "text"))
+    return rows, calls, results.withColumn("kept", F.coalesce("_first", F.lit(False)) & (nth == 1)).withColumn("called", F.col("_first").isNotNull())
+
+
+def repaired_messages(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, source_turn, role, result_id, text, synthetic``: conversations in which every call's result follows its assistant row.
+
+    ``messages`` has ``conv_id, turn, role, call_ids, result_id, text``; ``call_ids`` (of assistant rows) and ``result_id`` (of tool results)
+    may be null. A span is an assistant row and all rows up to the next. The first result of a called id in its span moves behind the
+    assistant row, in order of the calls, and before the span's other rows; a call without one gets a synthetic result. An id that was
+    called before gets no second result, and all other results go: repeats, those of no call of their span, and those without an id. New
+    turns count from 0. Rows of one turn are taken by role, id and text; conversations without rows have none.
     """
-    calls = messages.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
-    results = messages.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("n"))
-    x = calls.join(results, ["conv_id", "call_id"], "full")
-    both = F.col("call_turn").isNotNull() & F.col("result_turn").isNotNull()
-    return x.groupBy("conv_id").agg(F.count_if(both & (F.col("result_turn") != F.col("call_turn") + 1)).alias("moved"), F.count_if(F.col("result_turn").isNull()).alias("added"), F.coalesce(F.sum(F.when(both, F.col("n") - 1)), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("call_turn").isNull(), F.col("n"))), F.lit(0)).alias("orphans"))
+    rows, calls, results = _spans(messages)
+    kept = results.where("kept").select("conv_id", "span", "id", F.col("turn").alias("source_turn"), F.col("text").alias("_text"))
+    answers = calls.where("first").join(kept, ["conv_id", "span", "id"], "left")
+    known = F.col("_text").isNotNull() | F.col("source_turn").isNotNull()
+    answers = answers.select("conv_id", "span", F.lit(1).alias("_group"), F.col("place").cast("long").alias("_place"), "source_turn", F.lit(RESULT).alias("role"), F.col("id").alias("result_id"), F.when(known, F.col("_text")).otherwise(F.lit(MISSING_RESULT)).alias("text"), (~known).alias("synthetic"))
+    others = rows.where(F.col("role") != RESULT)
+    group = F.when(F.col("role") == ASSISTANT, 0).otherwise(2)
+    others = others.select("conv_id", "span", group.alias("_group"), F.lit(0).cast("long").alias("_place"), F.col("turn").alias("source_turn"), "role", F.lit(None).cast("string").alias("result_id"), "text", F.lit(False).alias("synthetic"))
+    along = Window.partitionBy("conv_id").orderBy("span", "_group", "_place", "source_turn", "role", "text")
+    return others.unionByName(answers).withColumn("turn", (F.row_number().over(along) - 1).cast("long")).select("conv_id", "turn", "source_turn", "role", "result_id", "text", "synthetic")
+
+
+def repair_tool_results(messages: DataFrame) -> DataFrame:
+    """``conv_id, added, duplicates, orphans, moved``: synthetic results, results dropped because their id has one already, results dropped because
+    their span doesn't call them, and spans in which a result moves before other rows. Columns as in :func:`repaired_messages`."""
+    rows, calls, results = _spans(messages)
+    count = lambda when: F.coalesce(F.count_if(when), F.lit(0))
+    told = results.groupBy("conv_id").agg(count(F.col("called") & ~F.col("kept")).alias("duplicates"), count(~F.col("called")).alias("orphans"), count("kept").alias("_kept"))
+    asked = calls.groupBy("conv_id").agg(count("first").alias("_asked"))
+    met = results.where("kept").select("conv_id", "span").distinct()
+    rest = rows.where(~F.col("role").isin(ASSISTANT, RESULT)).select("conv_id", "span").distinct()
+    moved = met.join(rest, ["conv_id", "span"]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("moved"))
+    out = messages.select("conv_id").distinct().join(told, "conv_id", "left").join(asked, "conv_id", "left").join(moved, "conv_id", "left").na.fill(0)
+    return out.select("conv_id", (F.col("_asked") - F.col("_kept")).alias("added"), "duplicates", "orphans", "moved")
 
 
 def token_chunks(df: DataFrame, *, id_col: str, text_col: str, tokens: int = 400, overlap: int = 80) -> DataFrame:

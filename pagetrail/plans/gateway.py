@@ -110,11 +110,37 @@ def i9_adaptive_ratio(spark, d):
     return G.adaptive_ratio(messages(spark, d), context=1000).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' THEN 'result' ELSE 'other' END AS kind, turn // 3 AS call_id FROM conversations), c AS (SELECT conv_id, call_id, min(turn) AS ct FROM m WHERE kind = 'call' GROUP BY ALL), r AS (SELECT conv_id, call_id, min(turn) AS rt, count(*) AS n FROM m WHERE kind = 'result' GROUP BY ALL)
-    SELECT conv_id, count(*) FILTER (ct IS NOT NULL AND rt IS NOT NULL AND rt <> ct + 1) AS moved, count(*) FILTER (rt IS NULL) AS added, coalesce(sum(n - 1) FILTER (ct IS NOT NULL AND rt IS NOT NULL), 0)::BIGINT AS duplicates, coalesce(sum(n) FILTER (ct IS NULL), 0)::BIGINT AS orphans FROM c FULL JOIN r USING (conv_id, call_id) GROUP BY conv_id""")
+_CALLS = """m AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' AND length(text) % 3 > 0 THEN 'toolResult' ELSE role END AS role, CASE WHEN turn % 3 > 0 THEN ['c' || turn // 4, 'c' || (turn // 4 + 1)] ELSE [] END AS ids, 'c' || turn // 4 AS rid FROM conversations),
+    r AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS span FROM m),
+    c AS (SELECT conv_id, span, unnest(ids) AS id, unnest(range(len(ids))) AS place FROM r WHERE role = 'assistant'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY span, place) = 1 AS first FROM c),
+    t AS (SELECT r.conv_id, r.span, rid AS id, turn, text, bool_or(first) AS opens, bool_or(f.id IS NOT NULL) AS called FROM r LEFT JOIN f ON f.conv_id = r.conv_id AND f.span = r.span AND f.id = rid WHERE role = 'toolResult' GROUP BY ALL),
+    k AS (SELECT *, coalesce(opens, false) AND row_number() OVER (PARTITION BY conv_id, span, id ORDER BY turn) = 1 AS kept FROM t)"""
+
+
+def _calls(spark, d):
+    """Some user rows as tool results, and calls in some assistant rows."""
+    turn, name = F.col("turn"), lambda n: F.concat(F.lit("c"), n.cast("long").cast("string"))
+    ids = F.when(turn % 3 > 0, F.array(name(F.floor(turn / 4)), name(F.floor(turn / 4) + 1)))
+    role = F.when((F.col("role") == "user") & (F.length("text") % 3 > 0), "toolResult").otherwise(F.col("role"))
+    return messages(spark, d).select("conv_id", "turn", role.alias("role"), ids.alias("call_ids"), F.when(role == "toolResult", name(F.floor(turn / 4))).alias("result_id"), "text")
+
+
+@query(f"""WITH {_CALLS}, o AS (SELECT f.conv_id, f.span, 1 AS g, f.place, turn AS source_turn, 'toolResult' AS role, f.id AS result_id, coalesce(text, '{G.MISSING_RESULT}') AS text, turn IS NULL AS synthetic
+        FROM f LEFT JOIN (SELECT * FROM k WHERE kept) k ON k.conv_id = f.conv_id AND k.span = f.span AND k.id = f.id WHERE first
+        UNION ALL SELECT conv_id, span, CASE role WHEN 'assistant' THEN 0 ELSE 2 END, 0, turn, role, NULL, text, false FROM r WHERE role <> 'toolResult')
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY span, g, place, source_turn) - 1 AS turn, source_turn, role, result_id, text, synthetic FROM o""")
+def i10_repaired_messages(spark, d):
+    return G.repaired_messages(_calls(spark, d))
+
+
+@query(f"""WITH {_CALLS}, n AS (SELECT conv_id, count(*) FILTER (called AND NOT kept) AS duplicates, count(*) FILTER (NOT called) AS orphans, count(*) FILTER (kept) AS kept FROM k GROUP BY conv_id),
+    a AS (SELECT conv_id, count(*) FILTER (first) AS asked FROM f GROUP BY conv_id),
+    v AS (SELECT conv_id, count(DISTINCT span) AS moved FROM k SEMI JOIN (SELECT conv_id, span FROM r WHERE role NOT IN ('assistant', 'toolResult')) x USING (conv_id, span) WHERE kept GROUP BY conv_id)
+    SELECT conv_id, coalesce(asked, 0) - coalesce(kept, 0) AS added, coalesce(duplicates, 0) AS duplicates, coalesce(orphans, 0) AS orphans, coalesce(moved, 0) AS moved
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN v USING (conv_id)""")
 def i10_repair_tool_results(spark, d):
-    kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("other")
-    return G.repair_tool_results(messages(spark, d).select("conv_id", "turn", kind.alias("kind"), F.floor(F.col("turn") / 3).alias("call_id")))
+    return G.repair_tool_results(_calls(spark, d))
 
 
 @query()

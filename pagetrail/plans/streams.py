@@ -56,6 +56,20 @@ for _profile in K.PROFILES:
     query()(_track(_profile))
 
 
+@query()
+def h5_follow_transcripts(spark, d):
+    """Every conversation as a session of transcripts, four seconds apart, through the book whose pages are the benchmark's passages."""
+    from pagetrail.functions import text as X
+    from pagetrail.operators.sequences import text_windows
+    from pagetrail.streaming import transcripts
+
+    passages = table(spark, d, "benchmark").select((F.col("item_id") + 1).cast("int").alias("page"), F.lower("text").alias("text"))
+    book = transcripts.read_book(text_windows(X.tokenize(passages, "text", pattern=r"\p{L}+", min_len=2)))
+    said = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    said = said.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), F.timestamp_seconds(1_700_000_000 + 4 * F.col("turn")).alias("ts"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), " ").alias("text"))
+    return S.run_available(transcripts.follow_transcripts(said, book)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def h9_dedupe(spark, d):
     s = _stream(spark, d).select("speaker", "session_id", "ts", F.concat_ws("|", "speaker", "session_id").alias("id"))

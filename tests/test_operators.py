@@ -277,10 +277,59 @@ def test_readers_of_missing_files(spark, tmp_path):
     assert files.read_json_artifact(spark, str(tmp_path / "x.json"), "a int").count() == 2
 
 
+def paired_results(rows):
+    """Tool results put behind their calls, row after row: what stays (source turn, role, id, synthetic) and what was counted."""
+    out, seen, counts = [], set(), {"added": 0, "duplicates": 0, "orphans": 0, "moved": 0}
+    i = 0
+    while i < len(rows):
+        turn, role, calls, result, _ = rows[i]
+        i += 1
+        if role != "assistant":
+            if role == "toolResult":
+                counts["orphans"] += 1
+            else:
+                out.append((turn, role, None, False))
+            continue
+        span, rest = {}, []
+        while i < len(rows) and rows[i][1] != "assistant":
+            turn2, role2, _, result2, _ = rows[i]
+            i += 1
+            if role2 != "toolResult":
+                rest.append((turn2, role2, None, False))
+            elif result2 is None or result2 not in (calls or []):
+                counts["orphans"] += 1
+            elif result2 in seen or result2 in span:
+                counts["duplicates"] += 1
+            else:
+                span[result2] = turn2
+        out.append((turn, role, None, False))
+        counts["moved"] += bool(span and rest)
+        for c in calls or []:
+            if c not in seen:
+                seen.add(c)
+                counts["added"] += c not in span
+                out.append((span.get(c), "toolResult", c, c not in span))
+        out += rest
+    return out, counts
+
+
 def test_tool_repair(spark):
-    rows = [(1, 0, "call", 1), (1, 1, "result", 1), (1, 2, "result", 1), (1, 3, "call", 2), (1, 5, "result", 3)]
-    r = gateway.repair_tool_results(spark.createDataFrame(rows, "conv_id int, turn int, kind string, call_id int")).first()
-    assert (r.moved, r.added, r.duplicates, r.orphans) == (0, 1, 1, 1)
+    rng, rows = random.Random(9), []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 14)):
+            role = rng.choice(["assistant", "toolResult", "toolResult", "user", "system"])
+            calls = [rng.choice("abcd") for _ in range(rng.randint(0, 3))] if role == "assistant" and rng.random() < 0.8 else None
+            rows.append((conv, turn, role, calls, rng.choice(["a", "b", "c", "d", None]) if role == "toolResult" else None, f"t{turn}"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, call_ids array<string>, result_id string, text string").repartition(3)
+    got, counts = {}, {r.conv_id: r for r in gateway.repair_tool_results(df).collect()}
+    for r in gateway.repaired_messages(df).orderBy("conv_id", "turn").collect():
+        own = got.setdefault(r.conv_id, [])
+        assert r.turn == len(own) and r.text == (gateway.MISSING_RESULT if r.synthetic else f"t{r.source_turn}")
+        own.append((r.source_turn, r.role, r.result_id, r.synthetic))
+    for conv in range(60):
+        want, told = paired_results([r[1:] for r in rows if r[0] == conv])
+        assert got.get(conv, []) == want and {k: counts[conv][k] for k in told} == told
+    assert gateway.repaired_messages(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("profile", sorted(tracking.PROFILES))
