@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagetrail.streaming import flows as S
@@ -65,11 +66,42 @@ def h5_follow_transcripts(spark, d):
 
     passages = table(spark, d, "benchmark").select((F.col("item_id") + 1).cast("int").alias("page"), F.lower("text").alias("text"))
     book = transcripts.read_book(text_windows(X.tokenize(passages, "text", pattern=r"\p{L}+", min_len=2)))
-    said = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    said = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet*")  # a file or a folder
     said = said.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), F.timestamp_seconds(1_700_000_000 + 4 * F.col("turn")).alias("ts"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), " ").alias("text"))
     return S.run_available(transcripts.follow_transcripts(said, book)).withColumn("confidence", F.round("confidence", 6))
 
 
+def _played(spark, d):
+    """All vectors, in order of page and id, as a timeline of frames a tenth of a second apart; and the same played three times with noise."""
+    from pagetrail.streaming import alignment
+
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.col("embedding").cast("array<double>").alias("v"))
+    line = alignment.read_timeline(v.select(F.struct("page", "id").alias("frame"), "page", "v"), hop=0.1)
+    places = spark.createDataFrame([(page, at) for at, page in line.pages], "page long, at long")  # a row a page
+    frames = v.withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy("id")) - 1).join(places, "page").select("id", (F.col("at") + F.col("_n")).alias("frame"))
+    heard = spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parquet*").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    unit = lambda i: F.pmod(F.xxhash64("id", "session_id", i), F.lit(10_000)) / 5_000 - 1
+    heard = heard.join(frames, "id").withColumn("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    heard = heard.withColumn("v", F.transform("v", lambda x, i: x * (1 + 0.05 * F.col("session_id") * unit(i)))).withColumn("ts", F.timestamp_millis(1_700_000_000_000 + 100 * F.col("frame")))
+    return heard, line
+
+
+def _place(machine):
+    def run(spark, d):
+        from pagetrail.streaming import alignment
+
+        heard, line = _played(spark, d)
+        out = S.run_available(alignment.place_stream(heard, line, machine=machine))
+        return out.select("session_id", "ts", "page", F.round("position", 4).alias("position"), F.round("confidence", 4).alias("confidence"), "turned")
+
+    run.__name__ = f"{'h7_align' if machine == 'aligner' else 'h8_believe'}_timeline"
+    return run
+
+
+for _machine in ("aligner", "belief"):
+    query()(_place(_machine))
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def h9_dedupe(spark, d):
     s = _stream(spark, d).select("speaker", "session_id", "ts", F.concat_ws("|", "speaker", "session_id").alias("id"))

@@ -28,10 +28,18 @@ BUFFER, GAP, LOST, IDLE = 12.0, 2.5, 15.0, 1800.0
 GOOD, SAME_PAGE = 55.0, 45.0
 TURN = {True: (2, 45.0), False: (3, 50.0)}
 SILENT = ("", "[silence]", "[error]")
+#: Letters up to which a live word finds the book's words by deletions; longer ones are compared with all long words.
+SHORT = 12
 #: Words whose matches a task keeps.
 MEMO = 50_000
 
 
+def shortened(word: str) -> set[str]:
+    """The word, and what is left without one or two of its letters: words within two edits share one of these."""
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word, *one, *(x[:i] + x[i + 1 :] for x in one for i in range(len(x)))}
+
+
 class Book:
     """Windows ``(page, window_index, words)`` in order, and which of their words a live word matches."""
 
@@ -45,6 +53,11 @@ class Book:
         for k, (p, _, _) in enumerate(self.windows):
             self.starts.setdefault(p, k)
         self.memo: dict[str, frozenset[int]] = {}
+        self.short: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            for x in shortened(w) if len(w) <= SHORT + 2 else ():
+                self.short.setdefault(x, []).append(i)
+        self.long = [i for i, w in enumerate(self.words) if len(w) > SHORT - 2]
 
     def idf(self, word: str) -> float:
         return math.log((len(self.windows) + 1) / (self.seen.get(word, 0) + 1)) + 1
@@ -55,7 +68,9 @@ class Book:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             n = len(word)
-            self.memo[word] = frozenset(i for i, w in enumerate(self.words) if w in word or word in w or (abs(len(w) - n) <= 2 and within_edits(word, w, 2)))
+            near = {i for x in shortened(word) for i in self.short.get(x, ())} if n <= SHORT else self.long
+            found = {i for i in near if abs(len(self.words[i]) - n) <= 2 and within_edits(word, self.words[i], 2)}
+            self.memo[word] = frozenset(found.union(i for i, w in enumerate(self.words) if w in word or word in w))
         return self.memo[word]
 
     def ahead(self, page: int, window: int, most: int) -> Iterator[tuple[int, int, frozenset[int]]]:
