@@ -130,7 +130,8 @@ QUERY_BLOCK, ITEM_BLOCK, TILE = 4096, 32_768, 128
 def _met(queries: DataFrame, items: DataFrame, work, told: str, *, more: tuple[str, ...] = ()) -> DataFrame:
     """``work(query ids, vectors, item ids, vectors)``, and the items' columns ``more``, for every block of queries with every block of items: both are dealt by a shuffle,
     so that neither is ever whole in a task, on the driver or in a broadcast. Rows without a vector play no part."""
-    q, i = (x.where("v is not null").select("id", "v", *more[: len(more) * n]) for n, x in enumerate((queries, items)))
+    own = lambda x, cols: x.where("v is not null").select(*[F.col(c).alias(c) for c in cols])  # noqa: E731  # new names, as both may be one table
+    q, i = own(queries, ("id", "v")), own(items, ("id", "v", *more))
     nq, ni = (max(1, -(-x.count() // size)) for x, size in ((q, QUERY_BLOCK), (i, ITEM_BLOCK)))
     names = [x.split()[0] for x in told.split(", ")]
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
