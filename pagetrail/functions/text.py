@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 LONG_U = "ûùüú"
 LIGATURES = {"ﬓ": "մն", "ﬔ": "մե", "ﬕ": "մի", "ﬖ": "վն", "ﬗ": "մխ", "և": "եւ"}
 SPEAKERS = {"CHR": "choir", "CLB": "celebrant", "DCN": "deacon", "SRK": "deacon"}
+SPEAKER_TAGS = SPEAKERS | {"ՔՀՆ": "celebrant", "ԴՊՐ": "celebrant", "ՍՐԿ": "deacon"}
 CUES = ("the", "and", "of", "lord", "with", "for")
 SCRIPT = r"[\x{0530}-\x{058F}\x{FB00}-\x{FB17}]"
 LATIN = r"[\x{0041}-\x{007A}\x{00C0}-\x{024F}]"

@@ -17,7 +17,7 @@ def split_pages(raw: DataFrame, *, marker: str = r"-- (\d+) of \d+ --") -> DataF
     return body.groupBy("doc", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 
-def extract_speakers(lines: DataFrame, *, tags: dict[str, str] = T.SPEAKERS) -> DataFrame:
+def extract_speakers(lines: DataFrame, *, tags: dict[str, str] = T.SPEAKER_TAGS) -> DataFrame:
     """``page_number, main_speaker, speakers, multi_speaker`` from lines ``page_number, pos, line`` that start with a tag and a dot."""
     tag = F.regexp_extract("line", "^(" + "|".join(tags) + r")\.", 1)
     names = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])

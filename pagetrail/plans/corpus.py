@@ -45,11 +45,11 @@ def b3_classify_lines(spark, d):
 
 
 def _tagged(spark, d):
-    tag = F.element_at(F.array(*[F.lit(t) for t in ("CHR", "CLB", "DCN", "SRK", "XYZ")]), (F.col("turn") % 5 + 1).cast("int"))
+    tag = F.element_at(F.array(*[F.lit(t) for t in ("CHR", "CLB", "DCN", "SRK", "XYZ", "ՔՀՆ", "ԴՊՐ", "ՍՐԿ")]), (F.col("turn") % 8 + 1).cast("int"))
     return messages(spark, d).select(F.col("conv_id").alias("page_number"), F.col("turn").alias("pos"), F.concat(tag, F.lit(". "), F.coalesce("text", F.lit(""))).alias("line"))
 
 
-@query("""WITH l AS (SELECT conv_id AS page_number, turn AS pos, ['choir', 'celebrant', 'deacon', 'deacon', NULL][1 + turn % 5] AS speaker FROM conversations)
+@query("""WITH l AS (SELECT conv_id AS page_number, turn AS pos, ['choir', 'celebrant', 'deacon', 'deacon', NULL, 'celebrant', 'celebrant', 'deacon'][1 + turn % 8] AS speaker FROM conversations)
     SELECT page_number, arg_min(speaker, pos) AS main_speaker, list_sort(list(DISTINCT speaker)) AS speakers, count(DISTINCT speaker) > 1 AS multi_speaker
     FROM l WHERE speaker IS NOT NULL GROUP BY page_number""")
 def b4_extract_speakers(spark, d):

@@ -128,10 +128,27 @@ def test_near_items_are_not_capped(spark):
 
 
 def test_templates_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(matching, "BROADCAST_TEMPLATES", 3)
-    monkeypatch.setattr(matching, "TEMPLATE_BLOCK", 2)
-    a, b = (spark.createDataFrame([(i,) for i in range(7)], f"{c} long") for c in "ab")
-    assert sorted(map(tuple, matching.paired(a, b).collect())) == [(i, j) for i in range(7) for j in range(7)]
+    """All templates are compared, over many blocks; a word has its best template's score; ties go to the smaller word."""
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(matching, "ITEM_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    obs, items, extra = rng.normal(size=(7, 4)), rng.normal(size=(23, 4)), rng.random(23)
+    words = [f"w{i % 9}" for i in range(23)]
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(obs)], "id long, v array<double>")
+    y = spark.createDataFrame([(i, v.tolist(), words[i], float(extra[i])) for i, v in enumerate(items)], "id long, v array<double>, word string, extra double")
+    got = {}
+    for r in matching.score_templates(x, y, lambda a, b, e: matching.scores(a, b, "cosine") + e, k=3).orderBy("obs_id", "rank").collect():
+        got.setdefault(r.obs_id, []).append((r.word, r.score))
+    s = (matching.scores(obs, items, "cosine") + extra).round(6)
+    for i in range(7):
+        best = {w: max(s[i, j] for j in range(23) if words[j] == w) for w in words}
+        assert got[i] == sorted(best.items(), key=lambda t: (-t[1], t[0]))[:3]
+
+
+def test_speaker_tags_in_script_letters(spark):
+    lines = spark.createDataFrame([(1, 0, "ՔՀՆ. text"), (1, 1, "ՍՐԿ. text"), (2, 0, "ԴՊՐ. text"), (2, 1, "no tag")], "page_number long, pos long, line string")
+    got = {r.page_number: (r.main_speaker, sorted(r.speakers)) for r in corpus.extract_speakers(lines).collect()}
+    assert got == {1: ("celebrant", ["celebrant", "deacon"]), 2: ("celebrant", ["celebrant"])}
 
 
 def test_capture(spark):
