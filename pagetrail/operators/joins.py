@@ -237,6 +237,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, *, max_dist: int = 2, contains
     """
     x = cut(left.select(F.col("word").alias("left_word")).where("left_word is not null").distinct())
     y = cut(right.select(F.col("word").alias("right_word")).where("right_word is not null").distinct())
+    n = left.sparkSession.sparkContext.defaultParallelism  # a written list of words is small, but every word makes many keys
+    x, y = x.repartition(n, "left_word"), y.repartition(n, "right_word")
     pairs = _near(x, y, "left_word", "right_word", max_dist)
     if contains:
         pairs = pairs.unionByName(_contained(x, y, "left_word", "right_word")).unionByName(_contained(y, x, "right_word", "left_word"))
