@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import few, smallest_near, top_k, vector_topk
+from .scans import carry, placed, reached, running_sum
+from .tables import cut
 
 # Names under which usage is logged.
 USAGE_NAMES = {
@@ -90,21 +90,28 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 
-def pack_by_tokens(messages: DataFrame, *, max_tokens: int) -> DataFrame:
-    """Messages of a conversation in order, packed greedily into chunks of at most ``max_tokens``; a larger one is a chunk of its own."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        chunk, used, out = 0, 0, []
-        for n in pdf["tokens"]:
-            if used and used + n > max_tokens:
-                chunk, used = chunk + 1, 0
-            used += n
-            out.append(chunk)
-        return pdf.assign(chunk=out)
+def pack_by_tokens(messages: DataFrame, *, max_tokens: int, slices: int | None = None) -> DataFrame:
+    """Messages of a conversation in order, packed greedily into chunks of at most ``max_tokens``; a larger one is a chunk of its own.
 
-    m = messages.select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens"))
-    return m.groupBy("conv_id").applyInPandas(pack, "conv_id long, turn long, tokens long, chunk long")
+    Where a chunk that starts at a message would end follows from running sums alone; chunks are the chain of a conversation's first
+    message. Of equal turns the smaller message goes first.
+    """
+    m = placed(messages.select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens")), "conv_id", ["turn", "tokens"], slices=slices)
+    m = cut(carry(running_sum(m, "conv_id", F.col("tokens"), "_sum"), "conv_id", F.col("_at"), "_after", backward=True, inclusive=False))
+    full = F.struct(F.col("_sum"), F.col("tokens"), F.col("_at").alias("at"), F.col("_after").alias("after"))
+    ends = m.select("conv_id", F.col("_sum").alias("_x"), F.lit(0).alias("_kind"), F.col("_at").alias("_id"), F.lit(None).cast("long").alias("_before"), full.alias("_end"))
+    before = F.col("_sum") - F.col("tokens")
+    asked = m.select("conv_id", (before + max_tokens).alias("_x"), F.lit(1).alias("_kind"), F.col("_at").alias("_id"), before.alias("_before"), F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"))
+    # the first message whose running sum is beyond the budget starts the next chunk, or ends this one if nothing but it is in it
+    both = placed(ends.unionByName(asked), "conv_id", ["_x", "_kind", "_id"], slices=slices)
+    found = carry(both, "conv_id", F.col("_end"), "_next", backward=True).where("_kind = 1")
+    alone = F.col("_next._sum") - F.col("_next.tokens") <= F.col("_before")
+    links = found.select(F.col("_id").alias("at"), F.when(alone, F.col("_next.after")).otherwise(F.col("_next.at")).alias("next"))
+    heads = m.groupBy("conv_id").agg(F.min("_at").alias("at")).select("at", F.lit(True).alias("head"))
+    starts = reached(links.join(heads, "at", "left").withColumn("head", F.coalesce("head", F.lit(False))))
+    starts = starts.select(F.col("at").alias("_at"), F.lit(1).alias("_start"))
+    out = running_sum(m.join(starts, "_at", "left"), "conv_id", F.col("_start"), "chunk")
+    return out.select("conv_id", "turn", "tokens", (F.col("chunk") - 1).alias("chunk"))
 
 
 def split_by_share(messages: DataFrame, *, parts: int = 2) -> DataFrame:

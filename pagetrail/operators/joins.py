@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import few
+from .scans import carry, placed
 from .tables import cut
 
 
@@ -15,11 +16,12 @@ def lookup_postings(asked: DataFrame, post: DataFrame) -> DataFrame:
     return asked.select("query_id", "word").distinct().join(post, "word").groupBy("query_id", "page").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def asof_page(points: DataFrame, page_times: DataFrame, *, by: str = "recording") -> DataFrame:
-    """``points`` with the page whose start is the last at or before them: one window over both sides, no range join."""
-    both = points.withColumn("_page", F.lit(None).cast("int")).withColumn("_p", F.lit(1)).select(by, "t", "id", "_page", "_p").unionByName(page_times.select(by, "t", F.lit(None).cast("long").alias("id"), F.col("page").alias("_page"), F.lit(0).alias("_p")))
-    w = Window.partitionBy(by).orderBy("t", "_p", "_page")
-    return both.withColumn("expected_page", F.last("_page", ignorenulls=True).over(w)).where("_p = 1").select(by, "t", "id", "expected_page")
+def asof_page(points: DataFrame, page_times: DataFrame, *, by: str = "recording", slices: int | None = None) -> DataFrame:
+    """``points`` with the page whose start is the last at or before them: one ordered scan over both sides in slices, no range join."""
+    both = points.select(by, "t", "id", F.lit(None).cast("int").alias("_page"), F.lit(1).alias("_p"))
+    both = both.unionByName(page_times.select(by, "t", F.lit(None).cast("long").alias("id"), F.col("page").alias("_page"), F.lit(0).alias("_p")))
+    x = carry(placed(both, by, ["t", "_p", "_page", "id"], slices=slices), by, F.col("_page"), "expected_page")
+    return x.where("_p = 1").select(by, "t", "id", "expected_page")
 
 
 def time_window_candidates(points: DataFrame, page_times: DataFrame, *, by: str = "recording", window_sec: float = 30) -> DataFrame:
@@ -38,15 +40,16 @@ def page_window_candidates(obs: DataFrame, *, back: int, ahead: int, max_page: i
     return obs.withColumn("page", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
 
 
-def nearest_marker(frames: DataFrame, markers: DataFrame, *, by: str = "recording") -> DataFrame:
-    """Each frame's nearest marker, the earlier of equally near ones."""
-    both = frames.select(by, "t", "id", F.lit(None).cast("double").alias("mt"), F.lit(None).cast("int").alias("mp")).unionByName(markers.select(by, "t", F.lit(None).cast("long").alias("id"), F.col("t").alias("mt"), F.col("page").alias("mp")))
+def nearest_marker(frames: DataFrame, markers: DataFrame, *, by: str = "recording", slices: int | None = None) -> DataFrame:
+    """Each frame's nearest marker, the earlier of equally near ones; found by scans in slices."""
+    both = frames.select(by, "t", "id", F.lit(None).cast("double").alias("mt"), F.lit(None).cast("int").alias("mp"), F.lit(1).alias("_p"))
+    both = both.unionByName(markers.select(by, "t", F.lit(None).cast("long").alias("id"), F.col("t").alias("mt"), F.col("page").alias("mp"), F.lit(0).alias("_p")))
     mark = F.when(F.col("mt").isNotNull(), F.struct("mt", "mp"))
-    w = Window.partitionBy(by).orderBy("t", F.col("id").isNotNull(), "mp")
-    both = both.withColumn("prev", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    x = placed(both, by, ["t", "_p", "mp", "id"], slices=slices)
+    x = carry(carry(x, by, mark, "prev"), by, mark, "next", backward=True)
     dp, dn = F.col("t") - F.col("prev.mt"), F.col("next.mt") - F.col("t")
     late = dp.isNull() | (dn < dp)
-    return both.where("id is not null").select(by, "id", F.when(late, F.col("next.mp")).otherwise(F.col("prev.mp")).alias("marker_page"), F.when(late, dn).otherwise(dp).alias("distance"))
+    return x.where("_p = 1").select(by, "id", F.when(late, F.col("next.mp")).otherwise(F.col("prev.mp")).alias("marker_page"), F.when(late, dn).otherwise(dp).alias("distance"))
 
 
 def unknown_words(words: DataFrame, known: DataFrame) -> DataFrame:

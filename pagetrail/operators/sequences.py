@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrail.operators.scans import carry, exponential, placed, reached
+
 
 def text_windows(tokens: DataFrame, *, size: int = 14, step: int = 7, min_words: int = 4, min_len: int = 3) -> DataFrame:
     """Sliding windows of a page's longer words; windows under ``min_words`` are dropped unless they are the whole page."""
@@ -38,8 +37,8 @@ def change_points(timeline: DataFrame, *, ignore: str = "silence") -> DataFrame:
 def sustained_changes(timeline: DataFrame, *, hold: int = 2, ignore: str = "silence") -> DataFrame:
     """Changes whose new label holds (or is silence) for the next ``hold`` points, against the label last accepted.
 
-    The first label that isn't silence starts the sequence. Serial in a recording; points whose neighbours rule them out are dropped
-    natively before, all but a recording's first.
+    The first label that isn't silence starts the sequence. After any point that holds, its label is the accepted one, whether it was a
+    change or not; so what a point is compared with is the point before it that holds, or the recording's first.
     """
     w = Window.partitionBy("recording").orderBy("time", "id")
     held = F.lit(True)
@@ -48,33 +47,28 @@ def sustained_changes(timeline: DataFrame, *, hold: int = 2, ignore: str = "sile
         held = held & F.coalesce((nxt == F.col("label")) | (nxt == ignore), F.lit(False))
     flagged = timeline.withColumn("held", held).where(F.col("label") != ignore)
     flagged = flagged.withColumn("first", F.row_number().over(w) == 1).where("held or first")
+    changed = flagged.withColumn("from_label", F.lag("label").over(w)).where("from_label <> label")
+    return changed.select("recording", "time", "from_label", F.col("label").alias("to_label"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], None
-        for r in pdf.sort_values(["time", "id"]).itertuples():
-            if last is None:
-                last = r.label
-            elif r.held and r.label != last:
-                rows.append((r.recording, r.time, last, r.label))
-                last = r.label
-        return pd.DataFrame(rows, columns=["recording", "time", "from_label", "to_label"])
-
-    return flagged.groupBy("recording").applyInPandas(run, "recording long, time double, from_label string, to_label string")
 
+def greedy_apart(points: DataFrame, *, min_gap: float, slices: int | None = None) -> DataFrame:
+    """Of ordered points (``recording, timestamp``) those at least ``min_gap`` after the last kept one; of equal times the first kept.
 
-def greedy_apart(points: DataFrame, *, min_gap: float) -> DataFrame:
-    """Of ordered points (``recording, timestamp``) those at least ``min_gap`` after the last kept one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        pdf = pdf.sort_values("timestamp")
-        for i, t in enumerate(pdf["timestamp"]):
-            if last is None or t - last >= min_gap:
-                kept.append(i)
-                last = t
-        return pdf.iloc[kept]
-
-    return points.groupBy("recording").applyInPandas(run, points.schema)
+    Each point's successor is the first point from ``min_gap`` later on; the kept ones are the chain of a recording's first point.
+    Points without a time are not kept.
+    """
+    if min_gap <= 0:
+        raise ValueError("min_gap must be above 0")
+    others = [c for c in points.columns if c not in ("recording", "timestamp")]
+    p = placed(points.where("timestamp is not null"), "recording", ["timestamp", *others], slices=slices)
+    here = p.select("recording", F.col("timestamp").alias("_t"), F.lit(1).alias("_kind"), F.col("_at").alias("_id"))
+    asked = p.select("recording", (F.col("timestamp") + min_gap).alias("_t"), F.lit(0).alias("_kind"), F.col("_at").alias("_id"))
+    both = placed(here.unionByName(asked), "recording", ["_t", "_kind", "_id"], slices=slices)
+    nexts = carry(both, "recording", F.when(F.col("_kind") == 1, F.col("_id")), "next", backward=True)
+    links = nexts.where("_kind = 0").select(F.col("_id").alias("at"), F.when(F.col("next") > F.col("_id"), F.col("next")).alias("next"))
+    heads = p.groupBy("recording").agg(F.min("_at").alias("at")).select("at", F.lit(True).alias("head"))
+    kept = reached(links.join(heads, "at", "left").withColumn("head", F.coalesce("head", F.lit(False))))
+    return p.join(kept.withColumnRenamed("at", "_at"), "_at", "left_semi").select(points.columns)
 
 
 def energy_dips(envelope: DataFrame, *, theta: float = 0.001, drop: float = 0.5, min_gap: float = 3) -> DataFrame:
@@ -91,25 +85,13 @@ def dip_candidates(envelope: DataFrame, *, theta: float = 0.001, drop: float = 0
     return e.withColumn("type", kind).where("type is not null").select("recording", "timestamp", "type", "before", F.col("rms").alias("at"), "after")
 
 
-def smooth(frames: DataFrame, *, alpha: float | None = None, last_n: int | None = None) -> DataFrame:
+def smooth(frames: DataFrame, *, alpha: float | None = None, last_n: int | None = None, slices: int | None = None) -> DataFrame:
     """``value`` as a mean of the last frames, or as an exponential average over a recording's ordered values (no nulls)."""
     if last_n:
         w = Window.partitionBy("recording").orderBy("t", "id").rowsBetween(-(last_n - 1), 0)
         return frames.withColumn("smooth", F.avg("value").over(w))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, e = None, 0.0
-        for b in batches:
-            out = []
-            for recording, value in zip(b["recording"], b["value"], strict=True):
-                e = value if recording != at else alpha * value + (1 - alpha) * e
-                at = recording
-                out.append(e)
-            yield pd.DataFrame({"recording": b["recording"], "id": b["id"], "smooth": out})
-
-    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("recording", "id"))
-    ordered = frames.repartition("recording").sortWithinPartitions("recording", "t", "id").select("recording", "id", "value")
-    return ordered.mapInPandas(run, f"{kinds}, smooth double")  # one number is carried from row to row
+    return exponential(frames, "recording", ["t", "id"], "value", "smooth", alpha=alpha, slices=slices).select("recording", "id", "smooth")
 
 
 def vote_last(preds: DataFrame) -> DataFrame:

@@ -43,13 +43,21 @@ def _envelope(spark, d):
     return entries(spark, d).select(F.col("session_id").alias("recording"), F.col("t").alias("timestamp"), F.col("value").alias("rms"))
 
 
-@query(f"""WITH {LOG}, e AS (SELECT session_id AS recording, t AS timestamp, value AS rms, lag(value, 5) OVER w AS before, lead(value, 5) OVER w AS after, avg(value) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m FROM log WINDOW w AS (PARTITION BY session_id ORDER BY t)),
-    k AS (SELECT *, CASE WHEN before > 20 AND rms < 0.5 * before AND after > 1.2 * rms THEN 'dip' WHEN m > 20 AND rms < 20 THEN 'fall' END AS type FROM e) SELECT recording, timestamp, type, before, rms AS "at", after FROM k WHERE type IS NOT NULL""")
+_DIPS = f"""{LOG}, e AS (SELECT session_id AS recording, t AS timestamp, value AS rms, lag(value, 5) OVER w AS before, lead(value, 5) OVER w AS after,
+    avg(value) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m FROM log WINDOW w AS (PARTITION BY session_id ORDER BY t)),
+    k AS (SELECT *, CASE WHEN before > 20 AND rms < 0.5 * before AND after > 1.2 * rms THEN 'dip' WHEN m > 20 AND rms < 20 THEN 'fall' END AS type FROM e),
+    dips AS (SELECT recording, timestamp, type, before, rms AS "at", after FROM k WHERE type IS NOT NULL)"""
+
+
+@query(f"WITH {_DIPS} SELECT * FROM dips")
 def e4_dip_candidates(spark, d):
     return Q.dip_candidates(_envelope(spark, d), theta=20.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DIPS}, one AS (SELECT * FROM dips QUALIFY row_number() OVER (PARTITION BY recording, timestamp ORDER BY type, before, "at", after) = 1),
+    nx AS MATERIALIZED (SELECT a.recording, a.timestamp, b.timestamp AS nxt FROM one a ASOF JOIN one b ON a.recording = b.recording AND a.timestamp + 36000 <= b.timestamp),
+    chain AS (SELECT recording, min(timestamp) AS timestamp FROM one GROUP BY recording UNION ALL SELECT nx.recording, nx.nxt FROM chain JOIN nx USING (recording, timestamp))
+    SELECT one.* FROM one JOIN chain USING (recording, timestamp)""")
 def e4_energy_dips(spark, d):
     return Q.energy_dips(_envelope(spark, d), theta=20.0, min_gap=36000)
 
