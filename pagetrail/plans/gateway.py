@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagetrail.functions import text as T
 from pagetrail.operators import gateway as G
 from pagetrail.operators.matching import vector_topk
+from pagetrail.operators.nearness import serial_near_duplicates
 
 from .registry import query
 from .tables import ASK, LOG, TOK, VEC, entries, messages, questions, table, tokens, vectors
@@ -186,6 +187,16 @@ def i14_near_duplicates(spark, d):
     return G.near_duplicate_items(vectors(spark, d), min_score=0.5)
 
 
+@query(f"""WITH RECURSIVE {VEC}, o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n FROM vec),
+    near AS (SELECT a.id, list(b.id) AS ids FROM vec a, vec b WHERE b.id < a.id AND round(1 / (1 + list_distance(a.v, b.v)), 9) >= 0.46 GROUP BY a.id),
+    x AS MATERIALIZED (SELECT o.n, o.id, coalesce(near.ids, []) AS ids FROM o LEFT JOIN near USING (id)),
+    r AS (SELECT n, id, [id] AS kept, NULL::BIGINT AS duplicate_of FROM x WHERE n = 1
+        UNION ALL SELECT x.n, x.id, CASE WHEN len(list_intersect(r.kept, x.ids)) > 0 THEN r.kept ELSE list_append(r.kept, x.id) END, list_min(list_intersect(r.kept, x.ids)) FROM r JOIN x ON x.n = r.n + 1)
+    SELECT id, duplicate_of FROM r WHERE duplicate_of IS NOT NULL""")
+def i14_serial_near_duplicates(spark, d):
+    return serial_near_duplicates(vectors(spark, d), min_score=0.46)
+
+
 #: Users' turns with what people say about themselves put before some.
 _SAID = "CASE turn % 8 WHEN 0 THEN concat('I prefer ', substr(text, 1, 60)) WHEN 2 THEN concat('always ', substr(text, 1, 60)) WHEN 4 THEN concat('We will use it, my plan is ', substr(text, 1, 60)) ELSE text END"
 _MET = " OR ".join(f"regexp_matches(lower(text), '{x}')" for x in G.TRIGGERS)
