@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagetrail.streaming import caches as C
 from pagetrail.streaming import flows as S
 from pagetrail.streaming import tracking as K
 
@@ -115,6 +116,16 @@ def h9_dedupe_refreshed(spark, d):
     return S.run_available(S.dedupe(s, id="session_id", ttl="7200 seconds", refresh=True)).select("event_id", "session_id")
 
 
+@query(f"""WITH {LOG}, x AS (SELECT event_id, session_id, t, speaker || '-' || page % 5 AS id, row_number() OVER (PARTITION BY session_id ORDER BY t, speaker || '-' || page % 5) AS n FROM log),
+    p AS (SELECT *, lag(n) OVER (PARTITION BY session_id, id ORDER BY n) AS before, lag(t) OVER (PARTITION BY session_id, id ORDER BY n) AS was FROM x),
+    others AS (SELECT p.event_id, count(DISTINCT x.id) AS k FROM p JOIN x ON x.session_id = p.session_id AND x.n > p.before AND x.n < p.n GROUP BY p.event_id)
+    SELECT event_id, session_id FROM p LEFT JOIN others USING (event_id) WHERE before IS NULL OR t - was >= 400000 OR coalesce(k, 0) >= 4""")
+def h9_dedupe_capped(spark, d):
+    """Kinds of event by user, each user's cache of four ids and 400,000 seconds."""
+    s = _stream(spark, d).select("session_id", "event_id", "t", F.concat("speaker", F.lit("-"), (F.col("page") % 5).cast("string")).alias("id"))
+    return S.run_available(C.dedupe_capped(s, scope="session_id", id="id", time="t", ttl=400_000, most=4)).select("event_id", "session_id")
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
 def h10_accepted(spark, d):
     return S.run_available(S.split_late(_stream(spark, d), since=F.expr("TIMESTAMP '2024-01-10 00:00:00 UTC'"))[0]).select("event_id")
@@ -149,3 +160,12 @@ def h13_session_summary(spark, d):
 @query(f"WITH {LOG} SELECT session_id, greatest(1, least(50, arg_max(page, ts))) AS state FROM log GROUP BY session_id")
 def h14_latest_state(spark, d):
     return S.run_available(S.latest_state(_stream(spark, d), key="session_id", state="page", lo=1, hi=50), mode="complete")
+
+
+@query(f"""WITH {LOG}, x AS (SELECT session_id, event_id, t, speaker = 'purchase' AS reply FROM log), g AS (SELECT *, coalesce(sum(reply::INT) OVER (PARTITION BY session_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM x),
+    h AS (SELECT session_id, k, list(event_id ORDER BY t, event_id) FILTER (NOT reply) AS ids, max(event_id) FILTER (reply) AS event_id FROM g GROUP BY session_id, k)
+    SELECT session_id, event_id, coalesce(ids[-5:], []) AS history FROM h WHERE event_id IS NOT NULL""")
+def h15_pending_history(spark, d):
+    """The last five events of each user that came since the purchase before, at each purchase."""
+    s = _stream(spark, d).withColumn("reply", F.col("speaker") == "purchase")
+    return S.run_available(C.pending_history(s, key="session_id", item="event_id", time="t", reply="reply", most=5))
