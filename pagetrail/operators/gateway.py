@@ -57,6 +57,42 @@ def list_sessions(sessions: DataFrame, *, kind: str | None = None, search: str |
     return s.orderBy(F.desc("updated"), "session_id").limit(limit) if limit else s
 
 
+def session_kind(key: Column, chat_type: Column) -> Column:
+    """global, unknown, group (by chat type, or a group or channel in the key) or direct."""
+    group = chat_type.isin("group", "channel") | key.contains(":group:") | key.contains(":channel:")
+    return F.when(key.isin("global", "unknown"), key).when(F.coalesce(group, F.lit(False)), "group").otherwise("direct")
+
+
+def filter_sessions(sessions: DataFrame, *, agent: str = "", label: str = "", spawned_by: str = "", search: str = "", active_minutes: float | None = None, limit: float | None = None, include_global: bool = False, include_unknown: bool = False, now: Column | None = None) -> DataFrame:
+    """Sessions with their kind and name to display, latest first, by the filters that are set.
+
+    ``sessions``: key, session_id, label, subject, display_name, origin_label, spawned_by, chat_type, updated. A key of an agent is
+    ``agent:<id>:<rest>``; ids are compared without case. The global and the unknown session are left out unless asked for, and belong to
+    no agent and no parent. A search looks into the name, label, subject, session id and key; blank filters are none. Minutes and limits
+    are whole and at least 1. Sessions that were never updated come last and are not active. Ties go to the smaller key.
+    """
+    key, s = F.col("key"), sessions
+    odd = key.isin("global", "unknown")
+    for name, kept in (("global", include_global), ("unknown", include_unknown)):
+        if not kept:
+            s = s.where(key != name)
+    if agent.strip():
+        parts = F.split(key, ":")
+        s = s.where((F.lower(parts[0]) == "agent") & (F.size(parts) > 2) & (F.lower(F.trim(F.get(parts, F.lit(1)))) == agent.strip().lower()))
+    if spawned_by:
+        s = s.where(~odd & (F.col("spawned_by") == spawned_by))
+    if label.strip():
+        s = s.where(F.col("label") == label.strip())
+    s = s.withColumn("kind", session_kind(key, F.col("chat_type"))).withColumn("display_name", F.coalesce("display_name", "label", "origin_label"))
+    if search.strip():
+        fields = [F.coalesce(F.lower(F.col(c).cast("string")).contains(search.strip().lower()), F.lit(False)) for c in ("display_name", "label", "subject", "session_id", "key")]
+        s = s.where(fields[0] | fields[1] | fields[2] | fields[3] | fields[4])
+    if active_minutes is not None:
+        s = s.where(F.col("updated") >= now - F.expr(f"INTERVAL {max(1, int(active_minutes // 1))} MINUTES"))
+    order = [F.desc_nulls_last("updated"), F.asc("key")]
+    return s.orderBy(*order).limit(max(1, int(limit // 1))) if limit is not None else s.orderBy(*order)
+
+
 def title(text: Column, max_len: int) -> Column:
     """At most ``max_len`` characters, cut at the last space if that is beyond 60 % of them."""
     head = F.substring(text, 1, max_len)

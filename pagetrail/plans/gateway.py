@@ -62,6 +62,22 @@ def i5_list_sessions(spark, d):
     return G.list_sessions(s, kind="O", search="ur", active_minutes=2_000_000, limit=40, now=F.expr("TIMESTAMP_NTZ '2000-06-01'")).select("session_id", "label", "updated")
 
 
+@query("""WITH s AS (SELECT o_orderkey::VARCHAR AS session_id, o_orderpriority AS label, 'order of ' || o_custkey AS subject, o_orderdate AS updated, CASE WHEN o_custkey % 4 = 0 THEN 'group' END AS chat_type, 'customer' || o_custkey % 10 AS parent,
+    CASE WHEN o_orderkey = 7 THEN 'global' ELSE 'agent:' || o_orderstatus || ':' || CASE WHEN o_orderkey % 3 = 0 THEN 'web:channel:' ELSE 'web:' END || o_orderkey END AS key FROM orders)
+    SELECT key, CASE WHEN chat_type = 'group' OR contains(key, ':channel:') THEN 'group' ELSE 'direct' END AS kind, label AS display_name, updated FROM s
+    WHERE key LIKE 'agent:O:%' AND parent = 'customer3' AND label = '2-HIGH' AND (contains(lower(label), '13') OR contains(subject, '13') OR contains(session_id, '13') OR contains(lower(key), '13')) AND updated >= TIMESTAMP '2000-06-01' - INTERVAL 2000000 MINUTE""")
+def i5_filter_sessions(spark, d):
+    text = lambda c: F.col(c).cast("string")
+    rest = F.concat(F.lit("agent:"), "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, ":web:channel:").otherwise(":web:"), text("o_orderkey"))
+    s = table(spark, d, "orders").select(
+        F.when(F.col("o_orderkey") == 7, "global").otherwise(rest).alias("key"), text("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("label"), F.concat(F.lit("order of "), text("o_custkey")).alias("subject"),
+        F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("string").alias("origin_label"), F.concat(F.lit("customer"), (F.col("o_custkey") % 10).cast("string")).alias("spawned_by"),
+        F.when(F.col("o_custkey") % 4 == 0, "group").alias("chat_type"), F.col("o_orderdate").alias("updated"),
+    )
+    out = G.filter_sessions(s, agent="o", label=" 2-HIGH ", spawned_by="customer3", search="13", active_minutes=2_000_000, now=F.expr("TIMESTAMP_NTZ '2000-06-01'"))
+    return out.select("key", "kind", "display_name", "updated")
+
+
 _TITLE = "CASE WHEN length({t}) <= 60 THEN {t} ELSE (CASE WHEN 60 - length(regexp_extract(substr({t}, 1, 60), '([^ ]*)$', 1)) - 1 > 36 THEN rtrim(substr({t}, 1, 60 - length(regexp_extract(substr({t}, 1, 60), '([^ ]*)$', 1)) - 1), ' ') ELSE substr({t}, 1, 60) END) || '…' END"
 
 
