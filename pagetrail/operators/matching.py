@@ -66,6 +66,41 @@ def match_ngrams(transcripts: DataFrame, pages: DataFrame) -> DataFrame:
     return met.join(total, "query_id").withColumn("score", F.col("matched") / F.col("total"))
 
 
+def match_ngrams_ahead(transcripts: DataFrame, pages: DataFrame, current: DataFrame, *, look_ahead: int = 1) -> DataFrame:
+    """The first page from ``current_page`` to ``look_ahead`` further that holds the most of a transcript's distinct grams.
+
+    A row for each row of ``current`` (``query_id, current_page``): query_id, page, matched, total, score, where ``total`` counts every gram,
+    repeats too, and the score is matched / total. Without a match, or without grams, it is the current page with a score of 0.
+    """
+    total = transcripts.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    ask = transcripts.select("query_id", "gram").distinct().join(current.select("query_id", "current_page"), "query_id")
+    ask = ask.withColumn("page", F.explode(F.sequence("current_page", F.col("current_page") + look_ahead)))
+    held = pages.select(F.col("page").cast(ask.schema["page"].dataType).alias("page"), "gram").distinct()
+    met = ask.join(held, ["page", "gram"]).groupBy("query_id", "page").agg(F.count(F.lit(1)).alias("matched"))
+    best = met.groupBy("query_id").agg(F.max_by(F.struct("page", "matched"), F.struct("matched", -F.col("page"))).alias("b"))
+    out = current.select("query_id", "current_page").join(best, "query_id", "left").join(total, "query_id", "left")
+    matched, n = F.coalesce("b.matched", F.lit(0).cast("long")), F.coalesce("total", F.lit(0).cast("long"))
+    score = F.when(n > 0, matched / n).otherwise(0.0)
+    return out.select("query_id", F.coalesce("b.page", "current_page").alias("page"), matched.alias("matched"), n.alias("total"), score.alias("score"))
+
+
+def mapped_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``words`` with ``word`` replaced where the dictionary (``word, mapped``, a row a word) has one that isn't empty."""
+    known = dictionary.where("mapped <> ''").select("word", F.col("mapped").alias("_mapped"))
+    return words.join(known, "word", "left").withColumn("word", F.coalesce("_mapped", "word")).select(words.columns)
+
+
+def grams_held(transcripts: DataFrame, pages: DataFrame, current: DataFrame) -> DataFrame:
+    """``query_id, matches, total``: how many of a transcript's grams, repeats too, its current page holds; a row for each of ``current``."""
+    n = transcripts.groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("_n"))
+    total = n.groupBy("query_id").agg(F.sum("_n").alias("total"))
+    ask = n.join(current.select("query_id", F.col("current_page").alias("page")), "query_id")
+    held = pages.select(F.col("page").cast(ask.schema["page"].dataType).alias("page"), "gram").distinct()
+    met = ask.join(held, ["page", "gram"]).groupBy("query_id").agg(F.sum("_n").alias("matches"))
+    none = F.lit(0).cast("long")
+    return current.select("query_id").join(met, "query_id", "left").join(total, "query_id", "left").select("query_id", F.coalesce("matches", none).alias("matches"), F.coalesce("total", none).alias("total"))
+
+
 def window_weights(windows: DataFrame) -> DataFrame:
     """ln((N + 1) / (df + 1)) + 1 for the words of text windows (``page, window_index, word``), N counting windows."""
     n = windows.select("page", "window_index").distinct().agg(F.count(F.lit(1)).alias("n"))

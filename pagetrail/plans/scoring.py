@@ -102,6 +102,17 @@ def f5_match_ngrams(spark, d):
     return M.match_ngrams(asked, _grams(sections(spark, d), "page")).where("matched > 1").withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {TOK}, {ASK}, g AS (SELECT DISTINCT page, word || ' ' || nxt AS gram FROM (SELECT page, word, lead(word) OVER (PARTITION BY page ORDER BY pos) AS nxt FROM tok) WHERE nxt IS NOT NULL),
+    q AS (SELECT query_id, word || ' ' || nxt AS gram FROM (SELECT query_id, word, lead(word) OVER (PARTITION BY query_id ORDER BY pos) AS nxt FROM ask) WHERE nxt IS NOT NULL), t AS (SELECT query_id, count(*) AS total FROM q GROUP BY query_id),
+    m AS (SELECT query_id, page, count(DISTINCT gram) AS matched FROM q JOIN g USING (gram) WHERE page BETWEEN query_id * 3 AND query_id * 3 + 40 GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, page) = 1)
+    SELECT item_id AS query_id, coalesce(page, item_id * 3)::BIGINT AS page, coalesce(matched, 0) AS matched, coalesce(total, 0) AS total, coalesce(round(matched / total, 6), 0)::DOUBLE AS score FROM benchmark LEFT JOIN b ON b.query_id = item_id LEFT JOIN t ON t.query_id = item_id""")
+def f5_match_ngrams_ahead(spark, d):
+    """Each passage at page 3 x its number: the best of that page and the forty after it."""
+    asked = _grams(table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
+    current = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).cast("long").alias("current_page"))
+    return M.match_ngrams_ahead(asked, _grams(sections(spark, d), "page"), current, look_ahead=40).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {TOK}, {ASK}, {POST}, q AS (SELECT DISTINCT query_id, word FROM ask WHERE pos <= 10), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id), h AS (SELECT query_id, page, count(*) AS hits FROM q JOIN post USING (word) GROUP BY ALL)
     SELECT query_id, page, hits, round(hits / n, 6) AS confidence FROM h JOIN n USING (query_id) WHERE hits >= 2""")
 def f6_match_counts(spark, d):
