@@ -248,6 +248,21 @@ def fuzzy_join(left: DataFrame, right: DataFrame, *, max_dist: int = 2, contains
     return pairs.distinct()
 
 
+def search_substrings(asked: DataFrame, page_words: DataFrame, *, points: int = 10) -> DataFrame:
+    """``query_id, page, score`` of pages in whose words the asked words are found, inside of longer ones too: ``points`` for each asked word.
+
+    ``asked``: query_id, word, where a repeated word counts again; ``page_words``: page, word, words without blanks. Distinct words of both
+    sides meet first, then the pages of what was found. Null and empty words are found nowhere.
+    """
+    post = page_words.select("page", F.col("word").alias("left_word")).where("left_word <> ''").distinct()
+    n = asked.where("word <> ''").groupBy("query_id", F.col("word").alias("right_word")).agg(F.count(F.lit(1)).alias("_n"))
+    parallel = asked.sparkSession.sparkContext.defaultParallelism
+    x = cut(post.select("left_word").distinct()).repartition(parallel, "left_word")
+    y = cut(n.select("right_word").distinct()).repartition(parallel, "right_word")
+    pages = _contained(x, y, "left_word", "right_word").join(post, "left_word").select("right_word", "page").distinct()
+    return pages.join(n, "right_word").groupBy("query_id", "page").agg((F.sum("_n") * points).alias("score"))
+
+
 def page_overlap(asked: DataFrame, post: DataFrame) -> DataFrame:
     """Shared distinct words of each asked page with every other page (``word, page`` both)."""
     a, b = asked.withColumnRenamed("page", "page_a"), post.withColumnRenamed("page", "page_b")

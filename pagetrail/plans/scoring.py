@@ -10,6 +10,7 @@ from pagetrail.functions import scoring as S
 from pagetrail.functions import text as T
 from pagetrail.operators import corpus as C
 from pagetrail.operators import decisions as D
+from pagetrail.operators import joins as J
 from pagetrail.operators import matching as M
 
 from .registry import query
@@ -119,6 +120,13 @@ def f6_match_counts(spark, d):
     return M.match_counts(questions(spark, d), C.postings(tokens(spark, d)), first_n=10).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"""WITH {TOK}, {ASK}, q AS (SELECT query_id, word, count(*) AS n FROM ask WHERE length(word) > 2 GROUP BY ALL), pw AS (SELECT DISTINCT page, word FROM tok), v AS (SELECT DISTINCT word FROM pw), a AS (SELECT DISTINCT word FROM q),
+    c AS (SELECT v.word AS outer_word, a.word FROM v JOIN a ON contains(v.word, a.word)), h AS (SELECT DISTINCT c.word, page FROM c JOIN pw ON pw.word = c.outer_word)
+    SELECT query_id, page, sum(n)::BIGINT * 10 AS score FROM q JOIN h USING (word) GROUP BY query_id, page""")
+def f6_search_substrings(spark, d):
+    return J.search_substrings(questions(spark, d).where(F.length("word") > 2), tokens(spark, d))
+
+
 _TPL = f"""{VEC}, sc AS (SELECT o.id AS obs_id, 'w' || t.page AS word, max({{s}}) AS score FROM vec o, vec t WHERE o.id % 50 = 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY score DESC, word)::INT AS rank FROM sc)"""
 
 

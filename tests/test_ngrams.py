@@ -1,8 +1,8 @@
-"""N-grams matched in a range of pages against a plain loop; dictionary words; grams held by a page."""
+"""Words inside words; n-grams matched in a range of pages against a plain loop; dictionary words; grams held by a page."""
 
 import random
 
-from pagetrail.operators import matching
+from pagetrail.operators import joins, matching
 
 
 def test_first_best_page_in_range(spark):
@@ -34,3 +34,16 @@ def test_dictionary_and_held_grams(spark):
     current = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "query_id long, current_page long")
     got = {r.query_id: (r.matches, r.total) for r in matching.grams_held(asked, pages, current).collect()}
     assert got == {1: (2, 3), 2: (0, 1), 3: (0, 0)}
+
+
+def test_words_inside_words(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ab") for _ in range(n))
+    pages = [(p, word(r.randrange(1, 30))) for p in range(12) for _ in range(4)] + [(99, ""), (99, None)]
+    asked = [(q, word(r.randrange(1, 9))) for q in range(10) for _ in range(4)] + [(50, ""), (50, None), (51, "c")]
+    got = joins.search_substrings(spark.createDataFrame(asked, "query_id long, word string"), spark.createDataFrame(pages, "page long, word string"))
+    want = {}
+    for q, w in asked:
+        for p in {p for p, x in pages if w and x and w in x}:
+            want[q, p] = want.get((q, p), 0) + 10
+    assert {(x.query_id, x.page): x.score for x in got.collect()} == want
