@@ -129,13 +129,14 @@ def trigger_rules(page_words: DataFrame, *, k: int = 5) -> DataFrame:
     return out.where("next_page is not null").select("book", F.col("page").alias("current_page"), "next_page", "trigger_words", "trigger_speaker", F.coalesce(F.col("trigger_speaker") != F.col("speaker"), F.lit(False)).alias("speaker_changes"))
 
 
-def canonical_timeline(markers: DataFrame, *, hop_ms: int = 100, tail_ms: int = 10_000) -> DataFrame:
+def canonical_timeline(markers: DataFrame, *, hop_ms: int = 100, tail_ms: int = 10_000, slices: int | None = None) -> DataFrame:
     """Frames of each recording: page as of the frame, the nearest marker's value faded by exp(-d/2000), and boundary frames.
 
-    Every marker spreads its own frames up to the next one, so no join is needed.
+    Every marker spreads its own frames up to the next one, which a scan in slices finds; of equal times the smaller page goes first.
     """
-    w = Window.partitionBy("recording").orderBy("timestamp_ms", "page")
-    m = markers.withColumn("_nt", F.lead("timestamp_ms").over(w)).withColumn("_nv", F.lead("value").over(w))
+    m = placed(markers.select("recording", "timestamp_ms", "page", "value"), "recording", ["timestamp_ms", "page", "value"], slices=slices)
+    m = carry(m, "recording", F.struct("timestamp_ms", "value"), "_next", backward=True, inclusive=False)
+    m = m.withColumn("_nt", F.col("_next.timestamp_ms")).withColumn("_nv", F.col("_next.value"))
     first, last = F.ceil(F.col("timestamp_ms") / hop_ms), F.ceil(F.coalesce(F.col("_nt"), F.col("timestamp_ms") + tail_ms) / hop_ms) - 1
     f = m.where(last >= first).withColumn("frame", F.explode(F.sequence(first, last))).withColumn("ms", F.col("frame") * hop_ms)
     dp, dn = F.col("ms") - F.col("timestamp_ms"), F.col("_nt") - F.col("ms")

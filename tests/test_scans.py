@@ -143,3 +143,17 @@ def test_as_of_and_nearest(spark, slices):
         before = [p for x, p in own if x <= t]
         assert page[i] == (before[-1] if before else None)
         assert near[i] == (min(own, key=lambda x: (abs(x[0] - t), x[0]))[1] if own else None)
+
+
+def test_timeline_is_the_same_in_slices(spark):
+    r = random.Random(12)
+    rows = [(1 if r.random() < 0.8 else 2, t, i, r.random()) for i, t in enumerate(sorted(r.sample(range(20_000), 60)))]
+    df = spark.createDataFrame(rows, "recording long, timestamp_ms long, page int, value double")
+    one, many = ({(x.recording, x.frame): (x.page_number, round(x.value, 12), x.is_boundary) for x in sequences.canonical_timeline(df, tail_ms=500, slices=n).collect()} for n in (1, 9))
+    assert one == many
+    for k in (1, 2):
+        own = [x for x in rows if x[0] == k]
+        for (_, a, page, _), (_, b, _, _) in zip(own, own[1:], strict=False):
+            for f in range(-(-a // 100), -(-b // 100)):
+                assert many[k, f][0] == page
+                assert many[k, f][2] == (f == -(-a // 100))
