@@ -214,7 +214,9 @@ def d1_index_totals(spark, d):
     return C.index_totals(_indexed(spark, d))
 
 
-@query(f"WITH {TOK} SELECT word, min(page) AS first_page, count(*) AS occurrences, count(DISTINCT page) AS page_count FROM tok GROUP BY word")
+@query(f"""WITH {TOK}, t AS (SELECT word, min(page) AS first_page, count(*) AS occurrences, count(DISTINCT page) AS page_count FROM tok GROUP BY word),
+    b AS (SELECT word, page // 4096 AS block, count(*) AS block_occurrences, list_sort(list(DISTINCT page)) AS pages FROM tok GROUP BY word, page // 4096)
+    SELECT word, block, first_page, occurrences, page_count, block_occurrences, pages FROM b JOIN t USING (word)""")
 def d2_dictionary(spark, d):
     return C.build_dictionary(tokens(spark, d))
 

@@ -255,6 +255,12 @@ def test_empty_inputs(spark):
     assert matching.vector_topk(spark.createDataFrame([], "id long, v array<double>"), spark.createDataFrame([(1, [1.0])], "id long, v array<double>")).count() == 0
 
 
+def test_dictionary_has_totals_and_all_pages(spark):
+    t = spark.createDataFrame([(9000, "a"), (1, "a"), (5000, "a"), (1, "a"), (2, "a"), (7, "b")], "page long, word string")
+    got = sorted(tuple(r) for r in corpus.build_dictionary(t).select("word", "block", "first_page", "occurrences", "page_count", "block_occurrences", "pages").collect())
+    assert got == [("a", 0, 1, 5, 4, 3, [1, 2]), ("a", 1, 1, 5, 4, 1, [5000]), ("a", 2, 1, 5, 4, 1, [9000]), ("b", 0, 7, 1, 1, 1, [7])]
+
+
 def test_short_page_is_one_window(spark):
     t = spark.createDataFrame([(1, 1, "abc"), (1, 2, "def")], "page int, pos int, word string")
     assert [(r.window_index, r.words) for r in sequences.text_windows(t).collect()] == [(0, ["abc", "def"])]
