@@ -7,11 +7,12 @@ its form and by what stands around it; those above their kind's threshold that m
 There are no labels. Positives are base spans in their place, and the same written in ways that no base rule takes (without a plus,
 spaced, with words for signs). Negatives are parts of those, base matches that fail their check and altered digits. Proposals that meet
 none of these are free: the trees take them for negatives, but as the text may hold what no base rule takes, a few may score high.
-The fit reads a bounded sample of rows; counts, proposals and decisions cover every whole text.
+The fit, counts, proposals and decisions cover every whole text of every row.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut, per_row, small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows with a digit or an at sign that the fit reads at most, the first in hash order of their ids, and examples of a row.
-TRAIN_ROWS = 6000
-EXAMPLES = 48
+#: Examples that a task holds before it passes them on.
+HELD = 2000
+#: Decimals of a margin of the trees, so that the driver gets a row for each kind and level: some 15,000 levels at most.
+LEVELS = 3
 #: Share of right ones among the held-out examples at or above a kind's threshold; free ones there at most, for each right one; and
 #: examples of a class without which nothing is fitted.
 PRECISION = 0.995
@@ -191,25 +193,24 @@ def _rewritten(kind: str, own: str, pick: int) -> tuple[str, bool]:
     return (f"00{own[1:]}", f"00{digits}", f"00 {own[1:]}", own[1:].replace("(", "").replace(")", ""))[pick % 4], True
 
 
-def examples(text: str, most: int = EXAMPLES) -> list[tuple[list[float], str, float, bool, int]]:
-    """Features, kind, label, whether the example is free, and the hash of the span (copies share it): ``most`` of a text, in hash order."""
+def examples(text: str) -> Iterator[tuple[list[float], str, float, bool, int]]:
+    """Features, kind, label, whether the example is free, and the hash of the span (copies share it): all of a text."""
     base, failed = matches(text)
     found = set(base)
-    out = []
     for k, lo, hi in base:
         h = xxhash.xxh64_intdigest(text[lo:hi]) >> 1
-        out.append((text, (k, lo, hi), 1.0, False, h))
+        yield described(text, (k, lo, hi)), k, 1.0, False, h
         new, right = _rewritten(k, text[lo:hi], h // 7)
         near = text[max(0, lo - 3 * AROUND) : lo]
         whole, start, stop = near + new + text[hi : hi + 3 * AROUND], len(near), len(near) + len(new)
-        out.append((whole, (k, start, stop), float(right), False, h))
-        out += [(whole, s, 0.0, False, h) for s in proposals(whole) if s != (k, start, stop) and s[1] < stop and s[2] > start]
+        yield described(whole, (k, start, stop)), k, float(right), False, h
+        for s in proposals(whole):
+            if s != (k, start, stop) and s[1] < stop and s[2] > start:
+                yield described(whole, s), s[0], 0.0, False, h
     known = sorted((lo, hi) for _, lo, hi in [*base, *failed])
     others = [s for s in proposals(text) if s not in found]
     for s, free in zip(others, _free(others, known), strict=True):
-        out.append((text, s, 0.0, free, xxhash.xxh64_intdigest(text[s[1] : s[2]]) >> 1))
-    out.sort(key=lambda x: (xxhash.xxh64_intdigest(f"{x[4]}:{x[1]}:{x[2]}"), x[1], x[2]))
-    return [(described(t, s), s[0], label, free, h) for t, s, label, free, h in out[:most]]
+        yield described(text, s), s[0], 0.0, free, xxhash.xxh64_intdigest(text[s[1] : s[2]]) >> 1
 
 
 class Model:
@@ -229,7 +230,7 @@ class Model:
                 go = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= edge[at]
                 at = np.where(inner, np.where(go, left[at], right[at]), at)
             margin += w * value[at]
-        return np.interp(1 / (1 + np.exp(-2 * margin)), self.bounds, self.values)
+        return np.interp(np.round(margin, LEVELS), self.bounds, self.values)
 
     def added(self, text: str, base: list[Span]) -> list[tuple[str, int, int, float]]:
         """Spans beyond the base ones: proposals above their threshold that meet no base span, best first, none meeting a better one."""
@@ -277,35 +278,39 @@ def _nodes(tree) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c) for c in zip(*rows, strict=True))
 
 
-def fit_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, precision: float = PRECISION, seed: int = 7) -> Model:
-    """Trees from the sample's examples, calibrated on those whose span's hash puts them into a third that the trees have not seen.
-
-    A kind's threshold lies half-way between the least calibrated probability that has ``precision`` among the held-out examples at or
-    above it, and at most FREE free ones there for each right one, and the next lower probability; at 0.5 at least. A kind without one
-    adds nothing. Rows without an id or text teach nothing.
-    """
-    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("@|[0-9]")).select(F.col(id_col).alias("_id"))
-    known = known.select("_id", F.xxhash64("_id", F.lit(seed)).alias("_h")).distinct().orderBy("_h", "_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("_id")), "_id").where("text is not null").select("text")
+def training_examples(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``x, kind, label, free, h``: the distinct examples of every text; a null one has none."""
     schema = pa.schema([("x", pa.list_(pa.float64())), ("kind", pa.string()), ("label", pa.float64()), ("free", pa.bool_()), ("h", pa.int64())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0):
-                found = examples(text.as_py())
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+        every = (e for b in batches for text in b.column(0) for e in examples(text.as_py()))
+        while found := list(itertools.islice(every, HELD)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+    texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
+    return small_batches(texts).mapInArrow(tell, "x array<double>, kind string, label double, free boolean, h long").distinct()
 
-    told = cut(small_batches(texts).mapInArrow(tell, "x array<double>, kind string, label double, free boolean, h long").distinct().withColumn("held", F.col("h") % 3 == 0))
+
+def fit_model(docs: DataFrame, *, text_col: str = "text", precision: float = PRECISION, seed: int = 7) -> Model:
+    """Trees from all texts' examples, calibrated on those whose span's hash puts them into a third that the trees have not seen.
+
+    A kind's threshold lies half-way between the least calibrated probability that has ``precision`` among the held-out examples at or
+    above it, and at most FREE free ones there for each right one, and the next lower probability; at 0.5 at least. A kind without one
+    adds nothing. Rows without a text teach nothing. MLlib takes the trees' candidate edges from a sample of the examples, as it always
+    does; every example counts in the choice among them.
+    """
+    told = cut(training_examples(docs, text_col=text_col).withColumn("held", F.col("h") % 3 == 0))
     counts = {(r["held"], r["label"]): r["n"] for r in told.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(counts.get((held, label), 0) for held in (False, True) for label in (0.0, 1.0)) < LEAST:
         return Model([], [], [0.0, 1.0], [0.0, 0.0])
     vectors = told.withColumn("_x", array_to_vector("x"))
     trees = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=4, maxIter=12, stepSize=0.3, minInstancesPerNode=LEAST, seed=seed).fit(vectors.where("not held"))
-    raw = cut(trees.transform(vectors.where("held")).select("kind", "label", "free", vector_to_array("probability")[1].alias("_raw")))
-    fitted = IsotonicRegression(featuresCol="_raw", labelCol="label").fit(raw.where("not free").select("_raw", "label"))
+    raw = trees.transform(vectors.where("held")).withColumn("_raw", F.bround(vector_to_array("rawPrediction")[1], LEVELS))
+    levels = cut(raw.groupBy("kind", "_raw").agg(F.sum("label").alias("right"), F.count_if(~F.col("free")).alias("n"), F.count_if("free").alias("free")))
+    sure = levels.where("n > 0").groupBy("_raw").agg((F.sum("right") / F.sum("n")).alias("label"), F.sum("n").cast("double").alias("weight"))
+    fitted = IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight").fit(sure)
     model = Model([_nodes(t) for t in trees.trees], list(trees.treeWeights), [float(v) for v in fitted.boundaries], [float(v) for v in fitted.predictions])
-    held = raw.groupBy("kind", "_raw").agg(F.sum("label").alias("right"), F.count_if(~F.col("free")).alias("n"), F.count_if("free").alias("free")).collect()  # of the bounded sample
+    held = levels.collect()  # a row for each kind and level
     for kind in KINDS:
         ranked = sorted(((float(np.interp(r["_raw"], model.bounds, model.values)), r["right"], r["n"], r["free"]) for r in held if r["kind"] == kind), reverse=True)
         right = total = free = 0
@@ -325,9 +330,9 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Null texts count as empty and have none. Rows with equal texts have equal spans. Base spans of different kinds may overlap; what is
     redacted then bears the kind of the first. Null and repeated ids are passed on. An empty table gives an empty result; other columns,
-    whatever their names, play no part. A sample with fewer than LEAST examples of a class adds nothing.
+    whatever their names, play no part. Texts with fewer than LEAST examples of a class in all add nothing.
     """
-    model = fit_model(docs, id_col=id_col, text_col=text_col, **fit)
+    model = fit_model(docs, text_col=text_col, **fit)
 
     def told(text: str) -> tuple:
         base = base_spans(text)

@@ -87,3 +87,12 @@ def test_without_examples_nothing_is_added(spark):
     got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
     assert got[1]["added"] == [] and len(got[2]["base"]) == 1
     assert pii.personal_data_digests(df.limit(0)).count() == 0
+
+
+def test_fit_reads_every_row_and_every_example_of_a_text(spark):
+    rows = spark.range(6500).selectExpr("id AS doc_id", "concat('call +1 415 ', 1000000 + id) AS text")
+    assert pii.training_examples(rows).where("label = 1").select("h").distinct().count() == 6500
+    whole = " ".join(text for _, text in corpus(1, 700))
+    df = spark.createDataFrame([(1, whole), (2, "here 83[.]12[.]7[.]200 answers"), (3, "paid by 4111.1111.1111.1112 then")], "doc_id long, text string")
+    got = {r["doc_id"]: r["added"] for r in pii.find_personal_data(df).collect()}
+    assert [s["kind"] for s in got[2]] == ["ip"] and got[3] == []
