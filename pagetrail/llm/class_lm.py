@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_row, small_batches, text_or_empty
+from .common import cut, let_go, per_row, small_batches, text_or_empty
 from .toxicity import remainder
 
 #: Occurrences from which on a word is clustered. On held-out texts 3 scores better than 50 (README).
@@ -35,6 +35,8 @@ BUCKET = 1_500_000
 RISE = 5e-4
 #: The smallest share of words that is tried when more at once make the pairs no likelier.
 SMALLEST = 1 / 64
+#: Counts of a class beside a word up to which gains are matrix products, and words whose gains a task holds at once.
+FEW, AT_ONCE = 4, 512
 #: Added to each class transition.
 ALPHA = 0.1
 #: Distinct words whose counts a task holds before it passes them on, and tokens whose pairs it holds.
@@ -57,17 +59,22 @@ def word_id(word: bytes) -> int:
 def count_words(texts: DataFrame) -> DataFrame:
     """``word, n`` of a table with a column ``text``; none of null or empty texts, or of an empty table."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
-                seen.update(words(t))
+            for t in b.column(0):
+                seen.update(words(t.as_py()))
                 if len(seen) > FLUSH:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield told(seen)
                     seen = Counter()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield told(seen)
+        del seen
+        let_go()
 
-    return small_batches(texts).where("text is not null").select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(texts).where("text is not null").select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -79,28 +86,43 @@ def gains(out: np.ndarray, into: np.ndarray, own: np.ndarray, cls: np.ndarray, t
     of its own; nothing in the first and last, which the end of a text and rare words have. ``near`` is ``small_gains(table)``."""
     left, right, diag = table.sum(1), table.sum(0), np.diag(table)
     at = np.arange(len(cls))
-    total = np.zeros(out.shape)
+    total, home = np.zeros(out.shape), np.zeros(len(cls))
     for vec, side, other, small in ((out, table, into, near[0]), (into, table.T, out, near[1])):
         i, c = np.nonzero(vec)
-        if not len(i):
-            continue
         n, a = vec[i, c], cls[i]
-        got = small[np.minimum(n, len(small) - 1).astype(int), c]
-        anew = np.flatnonzero((n >= len(small)) | (c == a))
-        j, base = i[anew], side[:, c[anew]].T
-        base = base - np.where((c == a)[anew, None], other[j], 0)
-        got[anew] = _xlogx(base + n[anew, None]) - _xlogx(base)
-        home = side[a, c] - n - np.where(c == a, other[i, a] + own[i], 0)
-        got[np.arange(len(i)), a] = _xlogx(home + n) - _xlogx(home)
-        first = np.flatnonzero(np.diff(i, prepend=-1))
-        total[i[first]] += np.add.reduceat(got, first, axis=0)
+        base = side[a, c] - n - np.where(c == a, other[i, a] + own[i], 0)
+        home += np.bincount(i, _xlogx(base + n) - _xlogx(base), len(cls))
+        with_own, rest = vec[at, cls], vec.copy()
+        rest[at, cls] = 0
+        for n in range(1, FEW + 1):
+            total += (rest == n).astype(float) @ small[n]
+        i, c = np.nonzero(rest > FEW)
+        if len(i):
+            n = rest[i, c]
+            got = small[np.minimum(n, len(small) - 1).astype(int), c]
+            anew = np.flatnonzero(n >= len(small))
+            base = side[:, c[anew]].T
+            got[anew] = _xlogx(base + n[anew, None]) - _xlogx(base)
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            total[i[first]] += np.add.reduceat(got, first, axis=0)
+        j = np.flatnonzero(with_own)
+        base = side[:, cls[j]].T - other[j]
+        total[j] += _xlogx(base + with_own[j, None]) - _xlogx(base)
+    total[at, cls] = home
     after, before, s = out.sum(1), into.sum(1), own[:, None]
-    l, r, d = (np.repeat(x[None], len(cls), 0) for x in (left, right, diag))
-    l[at, cls] -= after + own
-    r[at, cls] -= before + own
-    d[at, cls] -= out[at, cls] + into[at, cls] + own
-    total += _xlogx(d + out + into + s) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
-    total -= _xlogx(l + after[:, None] + s) - _xlogx(l) + _xlogx(r + before[:, None] + s) - _xlogx(r)
+
+    def less(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each word, with ``n`` taken out of its class, and its ``_xlogx``."""
+        rows, logs = np.repeat(x[None], len(cls), 0), np.repeat(_xlogx(x)[None], len(cls), 0)
+        rows[at, cls] -= n
+        logs[at, cls] = _xlogx(rows[at, cls])
+        return rows, logs
+
+    d, log = less(diag, out[at, cls] + into[at, cls] + own)
+    total += _xlogx(d + out + into + s) - _xlogx(d + out) - _xlogx(d + into) + log
+    for x, n in ((left, after), (right, before)):
+        x, log = less(x, n + own)
+        total -= _xlogx(x + n[:, None] + s) - log
     total[:, [0, -1]] = -np.inf
     return total
 
@@ -179,6 +201,8 @@ def neighbours(texts: DataFrame, heads: Heads, buckets: int, *, salts: int = 1)
                     seen, held = _Seen({b" ": 0}), [0]
         if len(held) > 1:
             yield flush(seen, held)
+        del seen, held
+        let_go()
 
     def added(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units, and sorted keys (place of the unit, side, neighbour) with their counts."""
@@ -226,24 +250,26 @@ class _Bucket:
 
     def table(self, cls: np.ndarray, classes: int) -> np.ndarray:
         """Pairs of classes, the unit's first."""
-        slot, rare = np.repeat(np.arange(2 * len(self.units)), np.diff(self.start)), len(cls) - 2
-        a, c = cls[self.units[slot >> 1]].astype(np.int64), cls[self.u]
-        still = (self.u >= rare) & (self.units[slot >> 1] < rare)
-        after, before = slot % 2 == AFTER, (slot % 2 == BEFORE) & still  # pairs that only the mover holds
-        out = np.bincount(a[after] * classes + c[after], self.n[after], classes * classes)
-        out += np.bincount(c[before] * np.int64(classes) + a[before], self.n[before], classes * classes)
+        width, rare = np.diff(self.start), len(cls) - 2
+        a, c = np.repeat(np.repeat(cls[self.units], 2), width), cls[self.u]
+        after = np.repeat(np.tile([True, False], len(self.units)), width)
+        cell = a[after].astype(np.int64) * classes + c[after]
+        out = np.bincount(cell, self.n[after], classes * classes)
+        still = np.flatnonzero(~after & (self.u >= rare))
+        still = still[np.repeat(np.repeat(self.units < rare, 2), width)[still]]  # pairs that only the mover holds
+        out += np.bincount(c[still].astype(np.int64) * classes + a[still], self.n[still], classes * classes)
         return out + np.bincount(cls[self.units].astype(np.int64) * (classes + 1), self.own, classes * classes)
 
     def choose(self, cls: np.ndarray, table: np.ndarray, near, part: float, turn: int, classes: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Units that move and their new classes, and how many would: the share ``part`` may in this turn."""
         moved, to, wants, least = [], [], 0, max(1e-6, 1e-12 * abs(likelihood(table)))
-        for lo in range(0, len(self.units), 4096):
-            units = self.units[lo : lo + 4096]
+        for lo in range(0, len(self.units), AT_ONCE):
+            units = self.units[lo : lo + AT_ONCE]
             first = self.start[2 * lo : 2 * (lo + len(units)) + 1]
             slot = np.repeat(np.arange(2 * len(units)), np.diff(first))
             dense = np.bincount(slot * classes + cls[self.u[first[0] : first[-1]]], self.n[first[0] : first[-1]], 2 * len(units) * classes).reshape(len(units), 2, classes)
             a = cls[units].astype(int)
-            g = gains(dense[:, AFTER], dense[:, BEFORE], self.own[lo : lo + 4096].astype(float), a, table, near)
+            g = gains(dense[:, AFTER], dense[:, BEFORE], self.own[lo : lo + AT_ONCE].astype(float), a, table, near)
             best, at = g.argmax(1), np.arange(len(units))
             go = (g[at, best] > g[at, a] + least) & (a > 0) & (a < classes - 1)
             wants += int(go.sum())
@@ -255,20 +281,30 @@ class _Bucket:
         return np.concatenate(moved), np.concatenate(to), wants
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bucket]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Bucket({c: b.column(c)[i].as_buffer() for c in ("words", "own", "start", "u", "n")})
+        del b
+    let_go()
+
+
 def class_table(static: DataFrame, cls: np.ndarray, *, classes: int = CLASSES) -> np.ndarray:
     """How often each class follows each; added up in Spark."""
 
+    shared = static.sparkSession.sparkContext.broadcast(cls)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes)
-        for b in batches:
-            for i in range(b.num_rows):
-                total += _Bucket(b.slice(i, 1).to_pylist()[0]).table(cls, classes)
+        for bucket in _buckets(batches):
+            total += bucket.table(shared.value, classes)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.float64())], ["cell", "n"])
 
     out = np.zeros(classes * classes)
     for cell, n in static.mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect():
         out[cell] = n
+    shared.destroy()
     return out.reshape(classes, classes)
 
 
@@ -283,20 +319,21 @@ def cluster(static: DataFrame, units: int, *, classes: int = CLASSES, sweeps: in
     cls = (1 + np.arange(units) % (classes - 2)).astype(np.uint8)
     cls[units - 2 :] = classes - 1, 0
 
-    def chooser(cls: np.ndarray, table: np.ndarray, part: float, turn: int):
-        near = small_gains(table)
-
+    def chooser(shared, part: float, turn: int):
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    moved, to, wants = _Bucket(b.slice(i, 1).to_pylist()[0]).choose(cls, table, near, part, turn, classes)
-                    yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()], pa.binary()), pa.array([to.tobytes()], pa.binary()), pa.array([wants], pa.int64())], ["moved", "cls", "wants"])
+            cls, table = shared.value
+            near = small_gains(table)
+            for bucket in _buckets(batches):
+                moved, to, wants = bucket.choose(cls, table, near, part, turn, classes)
+                yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()], pa.binary()), pa.array([to.tobytes()], pa.binary()), pa.array([wants], pa.int64())], ["moved", "cls", "wants"])
 
         return choose
 
     table, part = class_table(static, cls, classes=classes), 1.0
     for turn in itertools.count() if sweeps is None else range(sweeps):
-        told = static.mapInArrow(chooser(cls, table, part, turn), "moved binary, cls binary, wants long").collect()  # five bytes a word at most
+        shared = static.sparkSession.sparkContext.broadcast((cls, table))
+        told = static.mapInArrow(chooser(shared, part, turn), "moved binary, cls binary, wants long").collect()  # five bytes a word at most
+        shared.destroy()
         if not sum(r["wants"] for r in told):
             break
         then = cls.copy()

@@ -589,3 +589,23 @@ def test_pipeline_edges(spark, tmp_path, odd):
     assert {i for i in ids(corpus_pipeline.run(spark, f"{tmp_path}/plain"))} <= set(ids(left))
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
     assert LARGE + 8 in ids(corpus_pipeline.run(spark, f"{tmp_path}/odd"))
+
+
+def test_a_bucket_of_frequent_words_takes_bounded_memory():
+    import tracemalloc
+
+    units, classes, per = 8192, 48, 46
+    rng = np.random.default_rng(3)
+    words = np.arange(units, dtype=np.int32)
+    start = np.arange(2 * units + 1) * per
+    u = np.concatenate([rng.choice(units, per, replace=False) for _ in range(2 * units)]).astype(np.int32)
+    n = rng.integers(1, 90, len(u)).astype(np.int32)
+    bucket = class_lm._Bucket({"words": words.tobytes(), "own": np.ones(units, np.int64).tobytes(), "start": start.tobytes(), "u": u.tobytes(), "n": n.tobytes()})
+    cls = (1 + np.arange(units + 2) % (classes - 2)).astype(np.uint8)
+    cls[-2:] = classes - 1, 0
+    table = bucket.table(cls, classes).reshape(classes, classes)
+    tracemalloc.start()
+    moved, to, wants = bucket.choose(cls, table, class_lm.small_gains(table), 1.0, 0, classes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(moved) == len(to) == wants > 0 and most < 60e6
