@@ -15,7 +15,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,8 +28,10 @@ LEAST = 3
 #: Words up to which that holds (29 bytes each in a scoring task, 116 MB); with more of them the least count is the next that fits.
 HEAD = 4_000_000
 CLASSES = 48
-#: Pairs of neighbours that a bucket of words holds, about.
-BUCKET = 1_500_000
+#: Pairs of neighbours that a bucket of words holds, about: a task has those of one in Python.
+BUCKET = 750_000
+#: Pairs that a row or batch between Spark and Python holds, about: 8 bytes each in a row of a bucket, 12 in a batch before.
+ROW = 50_000
 #: A sweep over all words that raises the log likelihood by less than this share of it is the last.
 RISE = 5e-4
 #: The smallest share of words that is tried when more at once make the pairs no likelier.
@@ -169,76 +170,95 @@ _STATIC = "bucket int, words binary, own binary, start binary, u binary, n binar
 
 
 def neighbours(texts: DataFrame, heads: Heads, buckets: int, *, salts: int = 1) -> DataFrame:
-    """A row a bucket of units (those with this remainder): the units, their pairs with themselves, and where their pairs with units
-    after them and before them start (two places a unit) in the lists of neighbours and counts.
+    """Rows for each bucket of units (those with this remainder): units, their pairs with themselves, and where their pairs with units
+    after them and before them start (two places a unit) in the lists of neighbours and counts. A unit lies in one row; a row ends
+    with the unit that brings its pairs to ``ROW``, so that it stays small in the executor, in Arrow and in Parquet.
 
     Rare words and ends do not move: of theirs only the pairs among each other are held. With ``salts`` over 1 the findings of the
     tasks are first added up in so many parts a bucket, so that no task gets a frequent word's pairs from all of them.
     """
 
-    def flush(seen: _Seen, held: list[int]) -> pd.DataFrame:
-        unit = heads.units_of(seen)[1]
-        unit[0] = heads.end
-        path = unit[np.array(held)].astype(np.int64)
-        key, n = np.unique(path[:-1] * heads.units + path[1:], return_counts=True)
-        a, b, n, rows = (key // heads.units).astype(np.int32), (key % heads.units).astype(np.int32), n.astype(np.int32), []
+    shared, units, rare, end = texts.sparkSession.sparkContext.broadcast(heads), heads.units, heads.rare, heads.end
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def flush(seen: _Seen, held: list[int]) -> Iterator[pa.RecordBatch]:
+        unit = shared.value.units_of(seen)[1]
+        unit[0] = end
+        path = unit[np.array(held, np.int32)]
+        key, n = np.unique(path[:-1].astype(np.int64) * units + path[1:], return_counts=True)
+        a, b, n = (key // units).astype(np.int32), (key % units).astype(np.int32), n.astype(np.int32)
+        del key, path
         for side, x, u in ((AFTER, a, b), (BEFORE, b, a)):
-            held_ = np.flatnonzero((x < heads.rare) | (u >= heads.rare))
-            order = held_[np.argsort(x[held_] % buckets, kind="stable")]
-            for part in np.split(order, np.flatnonzero(np.diff(x[order] % buckets)) + 1):
+            at = np.flatnonzero((x < rare) | (u >= rare))
+            at = at[np.argsort(x[at] % buckets, kind="stable")]
+            rows, size = [], 0
+            for part in np.split(at, np.flatnonzero(np.diff(x[at] % buckets)) + 1):
                 if len(part):
                     rows.append((int(x[part[0]] % buckets), side, x[part].tobytes(), u[part].tobytes(), n[part].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "side", "x", "u", "n"])
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                    size += len(part)
+                if size >= ROW:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = _Seen({b" ": 0}), [0]  # a space is no word: it stands for the ends of texts
-        for b in batches:
-            for t in b["text"]:
-                held += map(seen.__getitem__, words(t))
+        for batch in batches:
+            for t in batch.column(0):
+                held += map(seen.__getitem__, words(t.as_py()))
                 held.append(0)
                 if len(held) > TOKENS:
-                    yield flush(seen, held)
+                    yield from flush(seen, held)
                     seen, held = _Seen({b" ": 0}), [0]
         if len(held) > 1:
-            yield flush(seen, held)
+            yield from flush(seen, held)
         del seen, held
         let_go()
 
-    def added(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Units, and sorted keys (place of the unit, side, neighbour) with their counts."""
-        x, u, n = (np.concatenate([np.frombuffer(r, np.int32) for r in found[c]]) for c in ("x", "u", "n"))
-        side = np.repeat(found["side"].to_numpy(), [len(r) // 4 for r in found["x"]])
-        units, at = np.unique(x, return_inverse=True)
-        key = (at.astype(np.int64) * 2 + side) * heads.units + u
+    def added(found: pa.Table, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units, their neighbours on this side, sorted by both, and counts."""
+        here = [s == side for s in found.column("side").to_pylist()]
+        x, u, n = (np.frombuffer(b"".join(v.as_buffer() for v in itertools.compress(found.column(c), here)), np.int32) for c in ("x", "u", "n"))
+        key = x.astype(np.int64) * units + u
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        return units, key[first], np.add.reduceat(n, first).astype(np.int32)
-
-    def combine(found: pd.DataFrame) -> pd.DataFrame:
-        units, key, n = added(found)
-        slot, u, rows = key // heads.units, (key % heads.units).astype(np.int32), []
-        for side in (AFTER, BEFORE):
-            i = np.flatnonzero(slot % 2 == side)
-            rows.append((int(found["bucket"].iloc[0]), side, units[slot[i] >> 1].tobytes(), u[i].tobytes(), n[i].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "side", "x", "u", "n"])
-
-    def gather(found: pd.DataFrame) -> pd.DataFrame:
-        units, key, n = added(found)
-        slot, u = key // heads.units, key % heads.units
-        self_ = units[slot >> 1] == u
-        own = np.zeros(len(units), np.int64)
-        own[(slot >> 1)[self_ & (slot % 2 == AFTER)]] = n[self_ & (slot % 2 == AFTER)]
-        slot, u, n = slot[~self_], u[~self_].astype(np.int32), n[~self_]
-        start = np.searchsorted(slot, np.arange(2 * len(units) + 1))
-        row = (int(found["bucket"].iloc[0]), units, own, start, u, n)
-        return pd.DataFrame([tuple(v.tobytes() if isinstance(v, np.ndarray) else v for v in row)], columns=[c.split()[0] for c in _STATIC.split(", ")])
-
-    parts = small_batches(texts).select("text").mapInPandas(pairs, _PARTS)
+        key, n = key[first], np.add.reduceat(n, first).astype(np.int32) if len(first) else n
+        return (key // units).astype(np.int32), (key % units).astype(np.int32), n
+
+    def combine(found: pa.Table) -> pa.Table:
+        bucket = found.column("bucket")[0].as_py()
+        return pa.Table.from_batches([told([(bucket, side, *(v.tobytes() for v in added(found, side))) for side in (AFTER, BEFORE)])])
+
+    def gather(found: pa.Table) -> pa.Table:
+        bucket, sides = found.column("bucket")[0].as_py(), [added(found, side) for side in (AFTER, BEFORE)]
+        held = np.union1d(sides[AFTER][0], sides[BEFORE][0])
+        own = np.zeros(len(held), np.int64)
+        x, u, n = sides[AFTER]
+        own[np.searchsorted(held, x[x == u])] = n[x == u]
+        sides = [(2 * np.searchsorted(held, x[x != u]) + side, u[x != u], n[x != u]) for side, (x, u, n) in enumerate(sides)]
+        slot, u, n = (np.concatenate(v) for v in zip(*sides, strict=True))
+        order = np.argsort(slot, kind="stable")
+        u, n, start = u[order], n[order], np.searchsorted(slot[order], np.arange(2 * len(held) + 1))
+        rows, edge = [], np.flatnonzero(np.diff(start[:-1:2] // ROW)) + 1
+        for i, j in itertools.pairwise([0, *edge.tolist(), len(held)]):
+            at = slice(start[2 * i], start[2 * j])
+            rows.append((bucket, *(v.tobytes() for v in (held[i:j], own[i:j], start[2 * i : 2 * j + 1] - start[2 * i], u[at], n[at]))))
+        del slot, u, n, order, sides
+        let_go()
+        names = [c.split()[0] for c in _STATIC.split(", ")]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if k else pa.int32()) for k, v in enumerate(row)], names) for row in rows])
+
+    parts = small_batches(texts).select("text").mapInArrow(pairs, _PARTS)
     if salts > 1:
         salted = parts.withColumn("salt", F.pmod(F.xxhash64("x", "u"), F.lit(salts)))
-        parts = salted.groupBy("bucket", "salt").applyInPandas(combine, _PARTS)
-    return parts.groupBy("bucket").applyInPandas(gather, _STATIC)
+        parts = salted.groupBy("bucket", "salt").applyInArrow(combine, _PARTS)
+    return parts.groupBy("bucket").applyInArrow(gather, _STATIC)
 
 
 class _Bucket:
@@ -397,7 +417,11 @@ def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     logs = np.concatenate((np.log10(top_n + 0.5), [0.0, np.log10(ends + 0.5)]))  # rare words' own logarithms come later
     emit = np.concatenate((logs[: heads.rare] - np.log10(np.maximum(heads_n + 0.5 * heads_kinds, 0.5))[cls[: heads.rare]] if heads.rare else [], [-np.log10(all_n - top_n.sum() + 0.5 * (kinds - heads.rare + 1)), 0.0]))
 
+    shared = docs.sparkSession.sparkContext.broadcast((heads, cls, logs, emit))
+
     def make():
+        heads, cls, logs, emit = shared.value
+
         def read(texts):
             seen, path, cuts = _Seen({b" ": 0}), [], []
             for t in texts:
@@ -418,9 +442,11 @@ def class_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 out["rest"].append([{"id": i, "n": k} for i, k in zip(ids[x].tolist(), n.tolist(), strict=True)])
             return out
 
+        read.done = let_go
         return read
 
     seen = cut(per_row(texts, make, "n_tokens long, n_known long, base_score double, score double, rest array<struct<id:long,n:long>>", passed=("doc_id", "held_out")).withColumn("_row", F.monotonically_increasing_id()))
+    shared.destroy()
     rest = seen.select("_row", F.inline("rest"))
     floor = int(top_n[-1]) if heads.rare else None
     tail = counts if floor is None else counts.where(F.col("n") < floor)

@@ -591,6 +591,24 @@ def test_pipeline_edges(spark, tmp_path, odd):
     assert LARGE + 8 in ids(corpus_pipeline.run(spark, f"{tmp_path}/odd"))
 
 
+def test_pairs_lie_in_small_rows_whatever_the_bucket_holds(spark):
+    grid = [[f"{a}{i}" for i in range(400)] for a in "xy"]
+    text = " ".join(f"{a} {b}" for a in grid[0] for b in grid[1])
+    train = spark.createDataFrame([(text,)], "text string")
+    seen = sorted(map(class_lm.word_id, {w.encode() for g in grid for w in g}))
+    heads = class_lm.Heads(np.array(seen, np.int64))
+    rows = class_lm.neighbours(train, heads, 1).collect()
+    units = np.concatenate([np.frombuffer(r.words, np.int32) for r in rows])
+    assert sorted(units) == [*range(len(seen)), heads.end][: len(units)] and len(units) >= len(seen)
+    assert max(sum(map(len, r[1:])) for r in rows) < 1e6 < sum(len(r.u) for r in rows)
+    place = {i: p for p, i in enumerate(seen)}
+    path = [heads.end, *(place[class_lm.word_id(w.encode())] for w in text.split()), heads.end]
+    cls = (np.arange(heads.units) % 5).astype(np.uint8)
+    want = np.zeros((5, 5))
+    np.add.at(want, (cls[path[:-1]], cls[path[1:]]), 1)
+    assert (sum(class_lm._Bucket(r.asDict()).table(cls, 5) for r in rows).reshape(5, 5) == want).all()
+
+
 def test_a_bucket_of_frequent_words_takes_bounded_memory():
     import tracemalloc
 
