@@ -2,11 +2,13 @@
 
 import datetime as dt
 import math
+import pickle
 import random
 
 import pytest
 
 from pagetrail.streaming import transcripts as t
+from pagetrail.streaming.flows import run_available
 
 WORDS = [a + b for a in ("lor", "mer", "pea", "hol", "glo", "spi", "fat", "son") for b in ("d", "cy", "ce", "ly", "ry", "rit")]
 ROWS = "session_id long, id long, ts timestamp, text string"
@@ -122,3 +124,15 @@ def test_no_windows_and_no_rows(spark):
             t.read_book(spark.createDataFrame([(1, 0, ["a"]), (2, 0, ["b"])], "page long, window_index int, words array<string>"))
         finally:
             t.MOST_WINDOWS = most
+
+
+def test_book_over_a_megabyte_in_a_stream(spark, told, tmp_path):
+    """A stream's tasks get a book that Spark won't send with the code: far pages with long words don't change the rows."""
+    windows, rows, want = told
+    rows, far = [r for r in rows if r[0] == 0], [(1000 + k, 0, [f"q{k:05d}" + "zxj" * 200]) for k in range(2000)]
+    alone, book = t.Book(windows), t.Book([*windows, *far])
+    assert len(pickle.dumps(alone)) < 1 << 20 < len(pickle.dumps(book))
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in")
+    got = rows_by_session(run_available(t.follow_transcripts(stream, book, watermark="2 hours")))
+    assert got == rows_by_session(t.follow_batch(frame(spark, rows), book)) and len(got[0]) == len(want[0])
