@@ -9,6 +9,7 @@ import pytest
 
 from pagetrail.streaming import alignment as a
 from pagetrail.streaming import transcripts as t
+from pagetrail.streaming.flows import run_available
 
 ROWS = "session_id long, id long, ts timestamp, v array<double>"
 HOP, N = 0.1, 900
@@ -119,3 +120,15 @@ def test_no_rows_and_far_sounds(spark):
     far = [(0, i, 1_700_000_000 + i * HOP, [1e6] * 15) for i in range(3)]
     got = a.place_batch(frame(spark, far), line, machine="belief").collect()
     assert len(got) == 3 and all(math.isfinite(r.confidence) for r in got)
+
+
+@pytest.mark.parametrize("machine", ["aligner", "belief"])
+def test_timeline_over_a_megabyte_in_a_stream(spark, tmp_path, machine):
+    """A stream's tasks get a timeline that Spark won't send with the code."""
+    short, rows = recording(0.3)
+    rows = [r for r in rows if r[0] == 0]
+    line = a.Timeline(np.vstack([short.frames, np.full((20_000, short.frames.shape[1]), 50.0)]), short.pages, HOP)
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in")
+    got = by_session(run_available(a.place_stream(stream, line, machine=machine)))
+    assert got == by_session(a.place_batch(frame(spark, rows), line, machine=machine)) and len(got[0]) > 100
