@@ -13,6 +13,11 @@ from .tables import LOG, TOK, VEC, entries, sections, tokens, vectors
 _R = lambda df, n, *cols: df.select(*[F.round(c, n).alias(c) if c in cols else c for c in df.columns])
 
 
+def _signed(x, n):
+    """``x`` rounded, with its sign where it becomes zero, as in SQL."""
+    return F.signum(x) * F.round(F.abs(x), n)
+
+
 @query(f"""WITH {LOG}, p AS (SELECT session_id, page, max(score) AS hi, count(*) FILTER (triggered) AS tn FROM log GROUP BY ALL), q AS (SELECT session_id, count(*) FILTER (hi < 0.5) AS never_matched, count(*) FILTER (hi > 0.95 AND tn = 0) AS overconfident FROM p GROUP BY session_id),
     s AS (SELECT session_id, avg(score) AS a, avg(score) FILTER (triggered) AS b, avg(score) FILTER (NOT triggered) AS c, max(score) AS max_score, min(score) AS min_score FROM log GROUP BY session_id)
     SELECT session_id, round(a + 1e-9, 5) AS avg_all, round(b + 1e-9, 5) AS avg_triggered, round(c + 1e-9, 5) AS avg_not_triggered, max_score, min_score, never_matched, overconfident, CASE WHEN never_matched > 5 THEN 'retrain missing pages' WHEN a > 0.85 THEN 'raise the threshold' WHEN a < 0.425 THEN 'lower the threshold' ELSE 'keep' END AS recommendation FROM s JOIN q USING (session_id)""")
@@ -90,7 +95,7 @@ _AVG = f"{VEC}, ex AS (SELECT page, unnest(v) AS x, unnest(range(64)) AS i, id F
 @query(f"WITH {_AVG}, s AS (SELECT page, count(*) AS n, round(avg(CASE WHEN id % 3 <> 0 THEN id % 3 END), 5) AS k FROM vec GROUP BY page) SELECT page, list(round(x, 5) ORDER BY i) AS v, n, k FROM av JOIN s USING (page) GROUP BY page, n, k")
 def d15_average_vectors(spark, d):
     out = R.average_vectors(vectors(spark, d).withColumn("k", F.col("id") % 3), ["page"], vec="v", scalars=("k",))
-    return out.select("page", F.transform("v", lambda x: F.round(x, 5)).alias("v"), "n", F.round("k", 5).alias("k"))
+    return out.select("page", F.transform("v", lambda x: _signed(x, 5)).alias("v"), "n", F.round("k", 5).alias("k"))
 
 
 @query(f"""WITH {_AVG}, c AS (SELECT page, round(least(1.2 * avg(id % 10 / 10), 0.95), 5)::DOUBLE AS confidence, list_sort(list(DISTINCT 's' || id % 4)) AS learned_from FROM vec GROUP BY page)

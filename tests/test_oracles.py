@@ -31,6 +31,18 @@ def duck():
     return con
 
 
+@pytest.mark.parametrize("name", ["d15_average_vectors"])
+def test_means_that_round_to_zero_keep_their_sign(name, spark, tmp_path):
+    vecs = [(k, [(-1) ** (k + i) * 3e-6 * (i % 3) - 1e-6 * (i % 2) for i in range(64)], k % 2) for k in range(8)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    got = sorted(repr(tuple(r)) for r in df.collect())
+    assert got == sorted(map(repr, con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()))
+    assert any("-0.0" in r for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, duck):
