@@ -103,7 +103,7 @@ def d15_average_vectors(spark, d):
 def d16_merge_by_word(spark, d):
     p = vectors(spark, d).select(F.concat(F.lit("w"), F.col("page").cast("string")).alias("word"), F.col("v").alias("signature"), (F.col("id") % 10 / 10).alias("confidence"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
     out = R.merge_by_word(p)
-    return out.select("word", F.transform("signature", lambda x: F.round(x, 5)).alias("signature"), F.round("confidence", 5).alias("confidence"), "learned_from")
+    return out.select("word", F.transform("signature", lambda x: _signed(x, 5)).alias("signature"), F.round("confidence", 5).alias("confidence"), "learned_from")
 
 
 @query()

@@ -31,7 +31,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["d15_average_vectors"])
+@pytest.mark.parametrize("name", ["d15_average_vectors", "d16_merge_by_word"])
 def test_means_that_round_to_zero_keep_their_sign(name, spark, tmp_path):
     vecs = [(k, [(-1) ** (k + i) * 3e-6 * (i % 3) - 1e-6 * (i % 2) for i in range(64)], k % 2) for k in range(8)]
     spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
