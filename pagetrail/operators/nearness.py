@@ -1,7 +1,8 @@
 """Near items dropped as a serial store drops them: in order of id, each against those kept so far.
 
 Only near cells meet. Every item is at home in the cell of its nearest pivot, in a ring of its distance from it; one that asks visits the
-cells and rings in which, by the triangle inequality, something within the radius can be at home. Choices are made in rounds.
+cells and rings in which, by the triangle inequality, something within the radius can be at home. Where the radius is so wide that an item
+would visit more cells than there are blocks of items, all are one cell, and blocks meet. Choices are made in rounds.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matching import ITEM_BLOCK, QUERY_BLOCK, TILE, scores
+from .matching import ITEM_BLOCK, TILE, scores
 from .tables import cut
 
 #: Pivots at most, and items a pivot below that: the pivots' vectors go into each task.
 MOST_PIVOTS, SHARE = 1024, 256
 #: What distances may be off by, absolute and relative.
 SLACK = 1e-6
+#: Rows of a block that asks, and that one batch of visits passes on.
+QUERY_BLOCK, PASSED = 16_384, 8192
 #: Parts that the copies of one vector are dealt to.
 SALT = 16
 
@@ -44,27 +47,46 @@ def at_home(items: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
     return items.mapInPandas(run, "id long, v array<double>, cell int, ring long")
 
 
-def visits(items: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
-    """A row for each ``cell`` and ``ring`` in which something within ``radius`` of an item can be at home.
+def _reached(mat: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, ...]:
+    """Rows and the cells that they visit, with the first ring and the number of rings of each.
 
     What is at home in a cell has no nearer pivot, so the cell's pivot is at most twice the radius farther than the item's own nearest
     one; and its distance from the pivot differs from the item's by the radius at most.
     """
+    d = 1 / scores(mat, centres, "l2") - 1
+    slack = SLACK * (1 + d)
+    row, cell = np.nonzero(d - slack <= d.min(1, keepdims=True) + 2 * radius)
+    at, off = d[row, cell], slack[row, cell]
+    lo = np.maximum(np.floor((at - off - radius) / radius), 0).astype("int64")
+    return row, cell, lo, np.floor((at + off + radius) / radius).astype("int64") - lo + 1
+
+
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return (b.iloc[at : at + TILE] for b in batches for at in range(0, len(b), TILE))
+
+
+def visited(items: DataFrame, centres: np.ndarray, radius: float) -> int:
+    """How many rows :func:`visits` has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            d = 1 / scores(np.stack(b["v"].to_numpy()), centres, "l2") - 1
-            slack = SLACK * (1 + d)
-            row, cell = np.nonzero(d - slack <= d.min(1, keepdims=True) + 2 * radius)
-            at, off = d[row, cell], slack[row, cell]
-            lo = np.maximum(np.floor((at - off - radius) / radius), 0).astype("int64")
-            hi = np.floor((at + off + radius) / radius).astype("int64")
-            n = hi - lo + 1
+        for b in _tiles(batches):
+            yield pd.DataFrame({"n": [int(_reached(np.stack(b["v"].to_numpy()), centres, radius)[3].sum())]})
+
+    return items.select("v").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def visits(items: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
+    """A row for each ``cell`` and ``ring`` in which something within ``radius`` of an item can be at home."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _tiles(batches):
+            row, cell, lo, n = _reached(np.stack(b["v"].to_numpy()), centres, radius)
             each = np.repeat(np.arange(len(row)), n)
             ring = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[row[each]], "v": b["v"].to_numpy()[row[each]], "cell": cell[each].astype("int32"), "ring": ring})
+            ids, vs = b["id"].to_numpy(), b["v"].to_numpy()
+            for k in range(0, len(each), PASSED):
+                part = each[k : k + PASSED]
+                yield pd.DataFrame({"id": ids[row[part]], "v": vs[row[part]], "cell": cell[part].astype("int32"), "ring": ring[k : k + PASSED]})
 
     return items.mapInPandas(run, "id long, v array<double>, cell int, ring long")
 
@@ -87,14 +109,17 @@ def smallest_met(asking: DataFrame, home: DataFrame, min_score: float) -> DataFr
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "other": []})
-        right = right.sort_values("id")
-        ids, others, mat, rows = left["id"].to_numpy(), right["id"].to_numpy(), np.stack(left["v"].to_numpy()), []
-        held = np.stack(right["v"].to_numpy())
+        left, right = left.sort_values("id"), right.sort_values("id")
+        ids, others, mat, held = left["id"].to_numpy(), right["id"].to_numpy(), np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        told = [(ids[:0], others[:0])]
         for at in range(0, len(ids), TILE):
-            near = (scores(mat[at : at + TILE], held, "l2").round(9) >= min_score) & (others[None] < ids[at : at + TILE, None])
-            hit = np.flatnonzero(near.any(1))
-            rows.append(pd.DataFrame({"id": ids[at : at + TILE][hit], "other": others[near[hit].argmax(1)]}))
-        return pd.concat(rows)
+            rest, lo, size = np.arange(at, min(at + TILE, len(ids))), 0, TILE
+            while len(rest) and lo < len(others) and others[lo] < ids[rest[-1]]:  # upwards, until each has met one
+                near = (scores(mat[rest], held[lo : lo + size], "l2").round(9) >= min_score) & (others[None, lo : lo + size] < ids[rest, None])
+                hit = near.any(1)
+                told.append((ids[rest[hit]], others[lo + near[hit].argmax(1)]))
+                rest, lo, size = rest[~hit], lo + size, min(2 * size, 4096)
+        return pd.DataFrame(dict(zip(("id", "other"), map(np.concatenate, zip(*told, strict=True)), strict=True)))
 
     left, right = met_blocks(asking, home)
     key = ("cell", "ring", "a", "b")
@@ -119,10 +144,14 @@ def serial_near_duplicates(items: DataFrame, *, min_score: float = 0.95) -> Data
     told = held.sparkSession.createDataFrame([], "id long, duplicate_of long")
     if not len(centres):
         return told
-    home = cut(at_home(waiting, centres, radius))
+    n = waiting.count()
+    one = visited(waiting, centres, radius) > n * (-(-n // QUERY_BLOCK) + -(-n // ITEM_BLOCK))
+    everywhere = lambda x: x.select(F.col("id").alias("id"), F.col("v").alias("v"), F.lit(0).alias("cell"), F.lit(0).cast("long").alias("ring"))  # noqa: E731  # new names, as both sides may be one table
+    home = everywhere(waiting) if one else cut(at_home(waiting, centres, radius))
     kept = None
     while True:
-        met = cut(waiting.join(smallest_met(visits(waiting, centres, radius), home, min_score), "id", "left"))
+        asking = everywhere(waiting) if one else visits(waiting, centres, radius)
+        met = cut(waiting.join(smallest_met(asking, home, min_score), "id", "left"))
         new = met.where("other is null").select("id")
         kept = cut(new if kept is None else kept.unionByName(new))
         asked = met.where("other is not null").join(kept.select(F.col("id").alias("other"), F.lit(True).alias("_kept")), "other", "left")

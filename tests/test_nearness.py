@@ -73,3 +73,15 @@ def test_edges(spark, small):
     assert nearness.serial_near_duplicates(df.where("id = 1")).count() == 0
     with pytest.raises(ValueError, match="between"):
         nearness.serial_near_duplicates(df, min_score=1)
+
+
+def test_a_wide_radius_makes_no_more_rows_than_blocks_do(spark, small, monkeypatch):
+    """Where every item could meet something in every cell, no vector is copied to all of them."""
+    rows = clustered(240, 12, 0.5, 5)
+    want, asked = serial(rows, 0.2), []
+    met = nearness.smallest_met
+    monkeypatch.setattr(nearness, "ITEM_BLOCK", 64)
+    monkeypatch.setattr(nearness, "smallest_met", lambda asking, home, least: (asked.append(asking.count()), met(asking, home, least))[1])
+    got = nearness.serial_near_duplicates(spark.createDataFrame(rows, "id long, v array<double>"), min_score=0.2).collect()
+    assert {r.id: r.duplicate_of for r in got} == want
+    assert max(asked) <= len(rows)
