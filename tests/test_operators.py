@@ -421,3 +421,17 @@ def test_refreshed_ids_in_parts_and_in_no_order(spark, tmp_path):
     finally:
         spark.conf.set(setting, before)
     assert sorted(map(tuple, got)) == [(0, 58, 20.0), (1, 59, 10.0), (1, 60, 5000.0)]
+
+
+def test_overlap_of_pages_shuffles_no_pairs(spark):
+    """All pages share words; in blocks of one and of many asked pages, with pages that share nothing, nulls and a word of all pages."""
+    r = random.Random(9)
+    words = {p: {"all", *(f"w{r.randrange(30)}" for _ in range(r.randrange(1, 12)))} for p in range(60)} | {60: {"alone"}, 61: {None, "w1"}}
+    post = spark.createDataFrame([(w, p) for p, ws in words.items() for w in ws], "word string, page int").repartition(5)
+    want = sorted((a, b, n) for a in range(0, 62, 5) for b in words if a != b and (n := len(words[a] & words[b] - {None})))
+    for block in (1, 4, 10**6):
+        out = joins.page_overlap(post.where("page % 5 = 0"), post, block=block)
+        assert sorted(map(tuple, out.collect())) == want
+    assert [c[1] for c in out.dtypes] == ["int", "int", "bigint"]
+    assert "page_b" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    assert joins.page_overlap(post.where("page < 0"), post).count() == 0
