@@ -435,3 +435,19 @@ def test_overlap_of_pages_shuffles_no_pairs(spark):
     assert [c[1] for c in out.dtypes] == ["int", "int", "bigint"]
     assert "page_b" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
     assert joins.page_overlap(post.where("page < 0"), post).count() == 0
+
+
+def test_words_of_recordings_are_added_up_where_their_pages_are(spark):
+    recordings = spark.createDataFrame([(r, 10.0 * r) for r in range(1, 9)], "recording long, duration double")
+    times = spark.createDataFrame([(r, float(t), t % 7) for r in range(1, 9) for t in range(0, 90, 3)], "recording long, t double, page int")
+    said = [(p, f"w{(p * k) % 11}") for p in range(40) for k in range(20)]
+    out = joins.words_for_recordings(recordings, times, spark.createDataFrame(said, "page long, word string"))
+    want = {}
+    for r in range(1, 9):
+        for p in {t % 7 for t in range(0, 90, 3) if t <= 10 * r}:
+            for page, w in said:
+                if page == p:
+                    want[r, w] = want.get((r, w), 0) + 1
+    assert {(x.recording, x.word): x["count"] for x in out.collect()} == want
+    shuffles = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert shuffles and not any("word" in x for x in shuffles)
