@@ -451,3 +451,26 @@ def test_words_of_recordings_are_added_up_where_their_pages_are(spark):
     assert {(x.recording, x.word): x["count"] for x in out.collect()} == want
     shuffles = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
     assert shuffles and not any("word" in x for x in shuffles)
+
+
+def test_only_the_best_pages_of_a_query_are_put_in_order(spark):
+    """Pages of a query are cut to the best before any margin is taken, in a plan without a window over all of them."""
+    r = random.Random(3)
+    post = [(f"w{w}", p) for p in range(40) for w in r.sample(range(25), 6)]
+    asked = [(q, k, f"w{r.randrange(25)}") for q in range(4) for k in range(8)]
+    rare = [(p, w) for w, p in post if r.random() < 0.3]
+    frames = (spark.createDataFrame(asked, "query_id long, pos int, word string"), spark.createDataFrame(post, "word string, page long"), spark.createDataFrame(rare, "page long, word string"))
+    out = matching.multi_signal_match(*frames, current=spark.createDataFrame([(q, 9 * q) for q in range(4)], "query_id long, current_page long"), k=3)
+    df = {w: sum(x == w for x, _ in post) for w, _ in post}
+    for q in range(4):
+        words, scored = {w for i, _, w in asked if i == q}, {}
+        for w, p in post:
+            if w in words:
+                scored[p] = scored.get(p, 0) + (10 if df[w] <= 3 else 3 if df[w] <= 10 else 1)
+        scored = {p: x * {9 * q + 1: 10.0, 9 * q: 2.0}.get(p, 1.0) * (1 + sum(a == p and w in words for a, w in rare)) for p, x in scored.items()}
+        best = sorted(scored.items(), key=lambda x: (-x[1], x[0]))
+        got = sorted((x.rank, x.page, x.score, round(x.confidence, 9)) for x in out.collect() if x.query_id == q)
+        assert got == [(i + 1, p, x, round(best[0][1] / best[1][1], 9)) for i, (p, x) in enumerate(best[:3])]
+    lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    windows = [x for x in lines if "Window" in x]
+    assert "WindowGroupLimit" in windows[-1] and windows[-1].rstrip().endswith("Partial")
