@@ -474,3 +474,13 @@ def test_only_the_best_pages_of_a_query_are_put_in_order(spark):
     lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
     windows = [x for x in lines if "Window" in x]
     assert "WindowGroupLimit" in windows[-1] and windows[-1].rstrip().endswith("Partial")
+
+
+def test_energy_alone_equals_that_of_all_features(spark):
+    rng = np.random.default_rng(8)
+    files = [(f"r{n}", bytearray(signal.wav_bytes(rng.uniform(-0.9, 0.9, n), 8000))) for n in (0, 1, 511, 512, 513, 4000, 4097, 30_001)]
+    chunks = signal.overlapped_wavs(spark.createDataFrame(files, "recording string, content binary"), chunk_sec=0.1, size=512, hop=256)
+    told = lambda df: sorted((r.recording, r.frame, r.timestamp, round(r.rms, 12)) for r in df.collect())
+    whole, alone = signal.recording_frames(chunks, size=512, hop=256), signal.recording_frames(chunks, size=512, hop=256, energy=True)
+    assert told(alone) == told(whole) and alone.columns == ["recording", "frame", "timestamp", "rms"]
+    assert {r.recording for r in alone.collect()} == {name for name, _ in files[1:]}
